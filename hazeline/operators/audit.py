@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hazeline.constants import POLLUTANTS
 from hazeline.functions.clock import micros, reporting_date, winter_label
 from hazeline.functions.numeric import exact_avg, round_half_even
-from hazeline.operators.ordered import HOUR_US, exact_percentiles, previous_time
+from hazeline.operators.ordered import HOUR_US, previous_time
 
 
 def pct(part: Column, whole: Column, digits: int) -> Column:
@@ -73,7 +73,6 @@ def raw_inspection(records: DataFrame, keys: list[str], ts: str = "ts", order: s
     timed = previous_time(per_time, by, ts, "previous").withColumn(
         "gap", (micros(ts) - micros("previous")) / 60_000_000
     )
-    # Counting the few distinct gap lengths first keeps the median's input small.
     return timed.groupBy(*by).agg(
         F.sum("copies").alias("n_records"),
         F.sum(F.col("copies") - 1).alias("duplicates"),

@@ -105,12 +105,13 @@ def row_numbers(df: DataFrame, group: list[str], order: list[str], name: str = "
 
 
 def exact_percentiles(
-    df: DataFrame, group: list[str], value: str, probs: dict[str, float]
+    df: DataFrame, group: list[str], value: str, probs: dict[str, float], ends: bool = False
 ) -> DataFrame:
     """Exact linear-interpolated percentiles per group, for groups of any size.
 
     Equal values are counted before the shuffle; the wanted order statistics are then read
-    off the running counts.
+    off the running counts. With `ends` each percentile is struct(lo, hi, frac), for callers
+    that transform the two order statistics before interpolating.
     """
     counted = (
         df.where(F.col(value).isNotNull())
@@ -132,37 +133,36 @@ def exact_percentiles(
             F.max(at - lo).alias(f"_f_{name}"),
         ]
     picked = ranked.where(wanted).groupBy(*group).agg(*aggs, F.max(size).alias("n_values"))
-    return picked.select(
-        *group,
-        *[
-            (F.col(f"_lo_{n}") + F.col(f"_f_{n}") * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n)
-            for n in probs
-        ],
-        "n_values",
-    )
+
+    def result(n: str) -> Column:
+        lo, hi, f = F.col(f"_lo_{n}"), F.col(f"_hi_{n}"), F.col(f"_f_{n}")
+        if ends:
+            return F.struct(lo.alias("lo"), hi.alias("hi"), f.alias("frac")).alias(n)
+        return (lo + f * (hi - lo)).alias(n)
+
+    return picked.select(*group, *[result(n) for n in probs], "n_values")
 
 
 def rank_lookup(
-    values: DataFrame, probes: DataFrame, group: list[str], value: str, probe: str, strict: bool = True
+    values: DataFrame, probes: DataFrame, group: list[str], value: str, probe: str, inclusive: str
 ) -> DataFrame:
-    """For every probe row: how many group values are below (`strict`) or at most its probe.
+    """For every probe row: how many values of its group lie below it.
 
-    One sorted pass over values and probes together; no join of values with probes.
+    Where the boolean column `inclusive` is true, equal values count too. One sorted pass
+    over values and probes together; values are never joined with probes.
     """
     extra = [c for c in probes.columns if c not in group and c != probe]
     left = values.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_x")).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    payload = F.struct(*[F.col(c) for c in extra]) if extra else F.lit(0)
-    right = probes.select(*group, F.col(probe).alias("_x"), payload.alias("_p"), F.lit(0).cast("long").alias("_n"))
-    both = left.withColumn("_k", F.lit(1 if strict else 0)).unionByName(
-        right.withColumn("_k", F.lit(0 if strict else 1)), allowMissingColumns=True
+    right = probes.select(
+        *group, F.col(probe).alias("_x"), F.struct(*extra).alias("_p"), F.lit(0).cast("long").alias("_n"),
+        F.when(F.col(inclusive), 2).otherwise(0).alias("_k"),
     )
+    both = left.withColumn("_k", F.lit(1)).unionByName(right, allowMissingColumns=True)
     ranked = place(both, group, ["_x", "_k"]).running({"_upto": F.col("_n")}).rows()
-    hits = ranked.where("_p IS NOT NULL")
-    out = [F.col(f"_p.{c}").alias(c) for c in extra]
-    return hits.select(
-        *group, *out, F.col("_x").alias(probe),
+    return ranked.where("_p IS NOT NULL").select(
+        *group, *[F.col(f"_p.{c}").alias(c) for c in extra], F.col("_x").alias(probe),
         F.col("_upto").alias("n_below"), F.col("_upto_total").alias("n_values"),
     )
 
