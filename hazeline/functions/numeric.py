@@ -25,9 +25,14 @@ def safe_double(c: Column, default: float | None = None) -> Column:
     return F.coalesce(nan_to_null(c.try_cast("double")), F.lit(default).cast("double"))
 
 
+def fixed_point(c: Column, scale: int = 6) -> Column:
+    """The value in whole units of 10^-scale, as an exact integer."""
+    return F.rint(c * float(10**scale)).cast("long").cast("decimal(20,0)")
+
+
 def exact_sum(c: Column, scale: int = 6) -> Column:
-    """Sum of doubles over fixed-point values, so that row order cannot change the result."""
-    return F.sum(c.cast(f"decimal({18 if scale <= 6 else 28},{scale})")).cast("double")
+    """Sum over fixed-point values, so that row order and retries cannot change the result."""
+    return F.sum(fixed_point(c, scale)).cast("double") / float(10**scale)
 
 
 def exact_avg(c: Column, scale: int = 6) -> Column:
@@ -37,7 +42,7 @@ def exact_avg(c: Column, scale: int = 6) -> Column:
 
 def window_avg(c: Column, window, scale: int = 6) -> Column:
     """`exact_avg` over a window."""
-    total = F.sum(c.cast(f"decimal(18,{scale})")).over(window).cast("double")
+    total = F.sum(fixed_point(c, scale)).over(window).cast("double") / float(10**scale)
     return F.try_divide(total, F.count(c).over(window))
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazeline.functions.clock import micros
+from hazeline.functions.numeric import window_avg
 from hazeline.session import durable
 
 HOUR_US = 3_600_000_000
@@ -105,18 +106,20 @@ def row_numbers(df: DataFrame, group: list[str], order: list[str], name: str = "
 
 
 def exact_percentiles(
-    df: DataFrame, group: list[str], value: str, probs: dict[str, float], ends: bool = False
+    df: DataFrame, group: list[str], value: str, probs: dict[str, float],
+    ends: bool = False, weight: str | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated percentiles per group, for groups of any size.
 
     Equal values are counted before the shuffle; the wanted order statistics are then read
     off the running counts. With `ends` each percentile is struct(lo, hi, frac), for callers
-    that transform the two order statistics before interpolating.
+    that transform the two order statistics before interpolating. `weight` counts a row
+    that many times.
     """
     counted = (
         df.where(F.col(value).isNotNull())
         .groupBy(*group, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
     )
     ranked = place(counted, group, [value]).running({"_upto": F.col("_n")}).rows()
     first, size = F.col("_upto") - F.col("_n"), F.col("_upto_total")
@@ -198,11 +201,9 @@ def rolling_mean(
     """Trailing right-closed mean over (t - window, t]; null below `min_count` values."""
     base = with_halo(df.withColumn("_us", micros(ts)), F.col("_us"), 2 * window_us, window_us)
     w = Window.partitionBy(*keys, "_bucket").orderBy("_us").rangeBetween(-(window_us - 1), 0)
-    total = F.sum(F.col(value).cast("decimal(18,6)")).over(w).cast("double")
-    n = F.count(F.col(value)).over(w)
     return (
-        base.withColumn("_n", n)
-        .withColumn(out, F.when(F.col("_n") >= min_count, F.try_divide(total, F.col("_n"))))
+        base.withColumn("_n", F.count(F.col(value)).over(w))
+        .withColumn(out, F.when(F.col("_n") >= min_count, window_avg(F.col(value), w)))
         .where("_home")
         .drop("_us", "_bucket", "_home", "_n")
     )

@@ -23,8 +23,12 @@ def davg(x: str) -> str:
     return f"(CAST(SUM(CAST({x} AS DECIMAL(18,2))) AS DOUBLE) / NULLIF(COUNT({x}), 0))"
 
 
+def fixed(x: str, scale: int = 6) -> str:
+    return f"CAST(round_even(({x}) * {num(10.0**scale)}, 0) AS HUGEINT)"
+
+
 def esum(x: str, scale: int = 6) -> str:
-    return f"CAST(SUM(CAST({x} AS DECIMAL({18 if scale <= 6 else 28},{scale}))) AS DOUBLE)"
+    return f"(CAST(SUM({fixed(x, scale)}) AS DOUBLE) / {num(10.0**scale)})"
 
 
 def eavg(x: str, scale: int = 6) -> str:
@@ -32,7 +36,7 @@ def eavg(x: str, scale: int = 6) -> str:
 
 
 def wavg(x: str, over: str) -> str:
-    return f"(CAST(SUM(CAST({x} AS DECIMAL(18,6))) OVER {over} AS DOUBLE) / NULLIF(COUNT({x}) OVER {over}, 0))"
+    return f"(CAST(SUM({fixed(x)}) OVER {over} AS DOUBLE) / 1e6 / NULLIF(COUNT({x}) OVER {over}, 0))"
 
 
 def sub_index(pollutant: str, c: str, gap_mode: str = "reference") -> str:
