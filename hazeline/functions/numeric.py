@@ -90,13 +90,21 @@ def _erfc_polynomial(degree: int = 26) -> list[float]:
 ERFC_COEFFICIENTS = _erfc_polynomial()
 
 
-def erfc(x: Column) -> Column:
-    """Complementary error function as one Horner chain (no UDF)."""
-    z = F.abs(x)
-    t = 2.0 / (2.0 + z)
-    u = 2.0 * t - 1.0
+def erfc_argument(x: Column) -> Column:
+    """Argument of the polynomial behind `erfc`, in [-1, 1]."""
+    return 2.0 * (2.0 / (2.0 + F.abs(x))) - 1.0
+
+
+def erfc_from(x: Column, u: Column) -> Column:
+    """`erfc` of x when its polynomial argument is already a column."""
     poly = F.lit(ERFC_COEFFICIENTS[-1])
     for c in reversed(ERFC_COEFFICIENTS[:-1]):
         poly = poly * u + c
-    tail = t * F.exp(-z * z + poly)
+    z = F.abs(x)
+    tail = 2.0 / (2.0 + z) * F.exp(-z * z + poly)
     return F.when(x >= 0, tail).otherwise(2.0 - tail)
+
+
+def erfc(x: Column) -> Column:
+    """Complementary error function as one Horner chain (no UDF)."""
+    return erfc_from(x, erfc_argument(x))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazeline.constants import (
@@ -114,34 +114,53 @@ def normal_pairs(n: int = 100, seed: int = 42) -> list[tuple[float, float]]:
     return [(float(a), float(b)) for a, b in zip(z[:n], z[n:])]
 
 
-def p_severe_mc(bands: DataFrame, leads=(24, 48, 72), n: int = 100, seed: int = 42) -> DataFrame:
-    """Share of joint draws with a severe index at each lead; the largest lead stands in.
+BAND_COLUMNS = [f"{p}_{q}" for p in ("pm25", "pm10") for q in ("p10", "p50", "p90")]
+
+
+def severe_share(b: Column, draws: Column, n: int) -> Column:
+    """Share of the joint draws whose index is severe, for one struct of particle bands.
+
+    The draws are one small constant array searched inside the row; nothing is joined.
+    """
+    sd25 = F.greatest(F.lit(MIN_SD), (b["pm25_p90"] - b["pm25_p10"]) / INTERVAL_TO_SD)
+    sd10 = F.greatest(F.lit(MIN_SD), (b["pm10_p90"] - b["pm10_p10"]) / INTERVAL_TO_SD)
+    zero = F.lit(0.0)
 
-    The draws are one small constant array evaluated inside the row, so nothing is joined
-    or exploded.
+    def severe(d: Column) -> Column:
+        v25 = F.when(b["pm25_p50"].isNotNull(), F.greatest(zero, b["pm25_p50"] + sd25 * d["a"]))
+        v10 = F.when(b["pm10_p50"].isNotNull(), F.greatest(zero, b["pm10_p50"] + sd10 * d["b"]))
+        return is_severe(pm_index(v25, v10))
+
+    hits = F.size(F.filter(draws, severe)).cast("double") / n
+    none = b["pm25_p50"].isNull() & b["pm10_p50"].isNull()
+    return F.when(none, 0.0).otherwise(round_half_even(hits, 4))
+
+
+def with_p_severe(bands: DataFrame, leads=(24, 48, 72), n: int = 100, seed: int = 42) -> DataFrame:
+    """Adds `p_severe_<lead>h` to every row of its issue; the largest lead stands in.
+
+    One window over the (at most 72) rows of an issue; only the asked leads are evaluated.
     """
-    last = F.max_by("_b", "lead_h")
-    packed = bands.withColumn("_b", F.struct(*[f"{p}_{q}" for p in ("pm25", "pm10") for q in ("p10", "p50", "p90")]))
-    per = packed.groupBy("station", "issue_time").agg(
-        *[F.coalesce(F.max_by(F.when(F.col("lead_h") == h, F.col("_b")), F.when(F.col("lead_h") == h, 1)), last).alias(f"_b{h}")
-          for h in leads])
     z = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in normal_pairs(n, seed)])
+    w = Window.partitionBy("station", "issue_time")
+    lead = F.col("lead_h")
+    out = bands.withColumn("_last", F.max(lead).over(w))
+    asked = lead.isin(*leads) | (lead == F.col("_last"))
+    out = out.withColumn("_p", F.when(asked, severe_share(F.struct(*BAND_COLUMNS), z, n)))
 
-    def share(b: Column) -> Column:
-        sd25 = F.greatest(F.lit(MIN_SD), (b["pm25_p90"] - b["pm25_p10"]) / INTERVAL_TO_SD)
-        sd10 = F.greatest(F.lit(MIN_SD), (b["pm10_p90"] - b["pm10_p10"]) / INTERVAL_TO_SD)
-        zero = F.lit(0.0)
+    def at(h: Column) -> Column:
+        return F.max(F.when(lead == h, F.col("_p"))).over(w)
 
-        def severe(d: Column) -> Column:
-            v25 = F.when(b["pm25_p50"].isNotNull(), F.greatest(zero, b["pm25_p50"] + sd25 * d["a"]))
-            v10 = F.when(b["pm10_p50"].isNotNull(), F.greatest(zero, b["pm10_p50"] + sd10 * d["b"]))
-            return is_severe(pm_index(v25, v10))
+    return out.withColumns({
+        f"p_severe_{h}h": F.coalesce(at(F.lit(h)), at(F.col("_last"))) for h in leads
+    }).drop("_last", "_p")
 
-        hits = F.size(F.filter("_z", severe)).cast("double") / n
-        return F.when(b["pm25_p50"].isNull() & b["pm10_p50"].isNull(), 0.0).otherwise(round_half_even(hits, 4))
 
-    return per.withColumn("_z", z).select(
-        "station", "issue_time", *[share(F.col(f"_b{h}")).alias(f"p_severe_{h}h") for h in leads])
+def p_severe_mc(bands: DataFrame, leads=(24, 48, 72), n: int = 100, seed: int = 42) -> DataFrame:
+    """The severe-risk indicator per (station, issue_time)."""
+    names = [f"p_severe_{h}h" for h in leads]
+    return with_p_severe(bands, leads, n, seed).groupBy("station", "issue_time").agg(
+        *[F.any_value(c).alias(c) for c in names])
 
 
 def choose_drivers(history: DataFrame, live: DataFrame, issue: Column, max_lead: int = 72) -> DataFrame:

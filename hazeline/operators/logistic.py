@@ -48,7 +48,8 @@ def fit_logistic(
     }).drop("_rate")
     state = durable(state)
     types = dict(state.dtypes)
-    schema = ", ".join(f"{n} {types[n]}" for n in state.columns)
+    names = list(state.columns)
+    schema = ", ".join(f"{n} {types[n]}" for n in names)
     tri = [(i, j) for i in range(d) for j in range(i, d)]
 
     def update(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,7 +76,7 @@ def fit_logistic(
                     step *= 5.0 / size
                 weights.append((w - step).tolist())
                 steps.append(size)
-            out = pdf[[n for n in state.columns]].copy()
+            out = pdf[names].copy()
             out["_w"], out["_step"] = weights, steps
             yield out
 

@@ -105,23 +105,38 @@ def row_numbers(df: DataFrame, group: list[str], order: list[str], name: str = "
     return place(df, group, order).running({name: F.lit(1)}).rows()
 
 
-def exact_percentiles(
-    df: DataFrame, group: list[str], value: str, probs: dict[str, float],
-    ends: bool = False, weight: str | None = None,
+def ranked_values(
+    values: DataFrame, group: list[str], value: str, weight: str | None = None,
+    probes: DataFrame | None = None, probe: str | None = None, inclusive: str | None = None,
 ) -> DataFrame:
-    """Exact linear-interpolated percentiles per group, for groups of any size.
+    """Distinct values per group with running counts, and optionally probe rows among them.
 
-    Equal values are counted before the shuffle; the wanted order statistics are then read
-    off the running counts. With `ends` each percentile is struct(lo, hi, frac), for callers
-    that transform the two order statistics before interpolating. `weight` counts a row
-    that many times.
+    Equal values are counted before the shuffle. A probe row carries its other columns in
+    `_p` and, as `_upto`, how many values lie below it (or up to it where `inclusive`).
     """
     counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*group, value)
-        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
+        values.where(F.col(value).isNotNull())
+        .groupBy(*group, F.col(value).alias("_x"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).cast("long").alias("_n"))
+        .withColumn("_k", F.lit(1))
+    )
+    if probes is None:
+        return place(counted, group, ["_x"]).running({"_upto": F.col("_n")}).rows()
+    extra = [c for c in probes.columns if c not in group and c != probe]
+    asked = probes.select(
+        *group, F.col(probe).alias("_x"), F.lit(0).cast("long").alias("_n"),
+        F.when(F.col(inclusive), 2).otherwise(0).alias("_k"), F.struct(*extra).alias("_p"),
     )
-    ranked = place(counted, group, [value]).running({"_upto": F.col("_n")}).rows()
+    both = counted.unionByName(asked, allowMissingColumns=True)
+    return place(both, group, ["_x", "_k"]).running({"_upto": F.col("_n")}).rows()
+
+
+def percentiles_of(ranked: DataFrame, group: list[str], probs: dict[str, float], ends: bool = False) -> DataFrame:
+    """Linear-interpolated percentiles read off `ranked_values`.
+
+    With `ends` each one is struct(lo, hi, frac), for callers that transform the two order
+    statistics before interpolating.
+    """
     first, size = F.col("_upto") - F.col("_n"), F.col("_upto_total")
     aggs, wanted = [], F.lit(False)
     for name, p in probs.items():
@@ -131,11 +146,11 @@ def exact_percentiles(
         is_hi = (first <= hi) & (hi < F.col("_upto"))
         wanted = wanted | is_lo | is_hi
         aggs += [
-            F.max(F.when(is_lo, F.col(value))).alias(f"_lo_{name}"),
-            F.max(F.when(is_hi, F.col(value))).alias(f"_hi_{name}"),
+            F.max(F.when(is_lo, F.col("_x"))).alias(f"_lo_{name}"),
+            F.max(F.when(is_hi, F.col("_x"))).alias(f"_hi_{name}"),
             F.max(at - lo).alias(f"_f_{name}"),
         ]
-    picked = ranked.where(wanted).groupBy(*group).agg(*aggs, F.max(size).alias("n_values"))
+    picked = ranked.where((F.col("_k") == 1) & wanted).groupBy(*group).agg(*aggs, F.max(size).alias("n_values"))
 
     def result(n: str) -> Column:
         lo, hi, f = F.col(f"_lo_{n}"), F.col(f"_hi_{n}"), F.col(f"_f_{n}")
@@ -146,26 +161,17 @@ def exact_percentiles(
     return picked.select(*group, *[result(n) for n in probs], "n_values")
 
 
-def rank_lookup(
-    values: DataFrame, probes: DataFrame, group: list[str], value: str, probe: str, inclusive: str
+def exact_percentiles(
+    df: DataFrame, group: list[str], value: str, probs: dict[str, float], weight: str | None = None
 ) -> DataFrame:
-    """For every probe row: how many values of its group lie below it.
+    """Exact percentiles per group, for groups of any size; `weight` counts a row that many times."""
+    return percentiles_of(ranked_values(df, group, value, weight), group, probs)
 
-    Where the boolean column `inclusive` is true, equal values count too. One sorted pass
-    over values and probes together; values are never joined with probes.
-    """
-    extra = [c for c in probes.columns if c not in group and c != probe]
-    left = values.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_x")).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    right = probes.select(
-        *group, F.col(probe).alias("_x"), F.struct(*extra).alias("_p"), F.lit(0).cast("long").alias("_n"),
-        F.when(F.col(inclusive), 2).otherwise(0).alias("_k"),
-    )
-    both = left.withColumn("_k", F.lit(1)).unionByName(right, allowMissingColumns=True)
-    ranked = place(both, group, ["_x", "_k"]).running({"_upto": F.col("_n")}).rows()
-    return ranked.where("_p IS NOT NULL").select(
-        *group, *[F.col(f"_p.{c}").alias(c) for c in extra], F.col("_x").alias(probe),
+
+def probe_counts(ranked: DataFrame, group: list[str], probe: str) -> DataFrame:
+    """The probe rows of `ranked_values` with `n_below` and the group's `n_values`."""
+    return ranked.where("_k <> 1").select(
+        *group, "_p.*", F.col("_x").alias(probe),
         F.col("_upto").alias("n_below"), F.col("_upto_total").alias("n_values"),
     )
 

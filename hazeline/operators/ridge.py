@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from hazeline.constants import CATEGORIES, DAILY_FEATURES, INDEX_BANDS, SEVERE_INDEX, VERY_POOR_INDEX
 from hazeline.functions.numeric import exact_sum, round_half_even
-from hazeline.operators.ordered import exact_percentiles, rank_lookup
+from hazeline.operators.ordered import percentiles_of, probe_counts, ranked_values
+from hazeline.session import durable
 
 K = len(DAILY_FEATURES)
 # Fixed shifts that keep the accumulated squares small; they cancel in the solution.
@@ -131,7 +132,6 @@ def predictive_distribution(points: DataFrame, residuals: DataFrame, keys: list[
     are counts of residuals below the category edges minus the point, found in one sorted
     pass; samples are never materialised.
     """
-    ends = exact_percentiles(residuals, keys, "residual", {"e10": 0.1, "e90": 0.9}, ends=True)
     ids = [*keys, "station"]
     edges = [(f"lo{k}", float(lo), False) for k, (lo, _) in enumerate(INDEX_BANDS) if k]
     edges += [(f"hi{k}", float(hi), True) for k, (_, hi) in enumerate(INDEX_BANDS)]
@@ -140,7 +140,9 @@ def predictive_distribution(points: DataFrame, residuals: DataFrame, keys: list[
     ]))
     asked = points.select(*ids, "point", probe.alias("e")).select(
         *ids, "e.edge", "e.inclusive", (F.col("e.log_edge") - F.col("point")).alias("x"))
-    ranks = rank_lookup(residuals, asked, keys, "residual", "x", "inclusive")
+    ranked = ranked_values(residuals, keys, "residual", probes=asked, probe="x", inclusive="inclusive")
+    ends = percentiles_of(ranked, keys, {"e10": 0.1, "e90": 0.9}, ends=True)
+    ranks = probe_counts(ranked, keys, "x")
     counts = ranks.groupBy(*ids).agg(
         F.max("n_values").alias("n_residuals"),
         *[F.max(F.when(F.col("edge") == n, F.col("n_below"))).alias(n) for n, _, _ in edges],
@@ -196,7 +198,7 @@ def daily_forecasts(features: DataFrame, daily: DataFrame, alpha: float = 1.0, m
     train = expanding_train(features, daily, horizons)
     as_of = daily.select("season", "date").distinct().withColumn(
         "horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
-    coefficients = ridge_expanding(expanding_moments(train, as_of), alpha, min_rows)
+    coefficients = durable(ridge_expanding(expanding_moments(train, as_of), alpha, min_rows))
     points = predict_points(features, coefficients)
     keys = ["season", "horizon", "date"]
     return top_contributions(predictive_distribution(points, training_residuals(train, coefficients), keys))

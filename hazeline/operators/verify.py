@@ -13,7 +13,9 @@ from hazeline.constants import (
     ALL_LEADS, CANDIDATES, INTERVAL_TO_SD, LEAD_BUCKETS, MIN_SD, SEVERE_PM10, SEVERE_PM25,
 )
 from hazeline.functions.index import category_rank
-from hazeline.functions.numeric import erfc, exact_avg, exact_sum, fixed_point, round_half_even
+from hazeline.functions.numeric import (
+    erfc, erfc_argument, erfc_from, exact_avg, fixed_point, round_half_even,
+)
 from hazeline.operators.ordered import place
 
 SCALE = 9
@@ -310,16 +312,25 @@ def category_accuracy(table: DataFrame, observed: str, models: dict[str, str]) -
 
 def p_exceed(p10: Column, p50: Column, p90: Column, threshold: float) -> Column:
     """Gaussian exceedance probability from an 80 % interval."""
+    return 0.5 * erfc(_exceed_z(p10, p50, p90, threshold))
+
+
+def _exceed_z(p10: Column, p50: Column, p90: Column, threshold: float) -> Column:
     sd = F.greatest(F.lit(MIN_SD), (p90 - p10) / INTERVAL_TO_SD)
-    return 0.5 * erfc((threshold - p50) / sd / math.sqrt(2.0))
+    return (threshold - p50) / sd / math.sqrt(2.0)
 
 
-def p_exceed_pm(df_prefix25: str = "pm25", df_prefix10: str = "pm10") -> Column:
-    """Larger of the two particle exceedance probabilities."""
-    def one(p: str, t: float) -> Column:
-        return p_exceed(F.col(f"{p}_p10"), F.col(f"{p}_p50"), F.col(f"{p}_p90"), t)
+def with_exceedance(df: DataFrame, out: str = "p_raw") -> DataFrame:
+    """Adds the larger of the two particle exceedance probabilities.
 
-    return F.greatest(one(df_prefix25, SEVERE_PM25), one(df_prefix10, SEVERE_PM10))
+    The polynomial's argument is a column of its own, so it is evaluated once per row and
+    the generated code stays small.
+    """
+    limits = {"pm25": SEVERE_PM25, "pm10": SEVERE_PM10}
+    z = {f"_z_{p}": _exceed_z(F.col(f"{p}_p10"), F.col(f"{p}_p50"), F.col(f"{p}_p90"), t) for p, t in limits.items()}
+    step = df.withColumns(z).withColumns({f"_u_{p}": erfc_argument(F.col(f"_z_{p}")) for p in limits})
+    tails = [0.5 * erfc_from(F.col(f"_z_{p}"), F.col(f"_u_{p}")) for p in limits]
+    return step.withColumn(out, F.greatest(*tails)).drop(*z, *[f"_u_{p}" for p in limits])
 
 
 def severe_state(pm25: Column, pm10: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazeline.constants import POLLUTANTS
-from hazeline.operators.bands import index_quantiles, p_severe_mc, quantile_bands
+from hazeline.operators.bands import index_quantiles, quantile_bands, with_p_severe
 from hazeline.operators.bias import residual_quantiles, staleness_guard
 from hazeline.operators.features import samples_for_issues
 
@@ -23,8 +23,7 @@ def forecast_72h(obs: DataFrame, drivers: DataFrame, issues: DataFrame, history:
     guard = staleness_guard(issues, obs)
     residuals = residual_quantiles(issues, obs, history)
     bands = index_quantiles(quantile_bands(samples, guard, residuals))
-    risk = p_severe_mc(bands)
-    return bands.join(risk, ["station", "issue_time"], "left").select(
+    return with_p_severe(bands).select(
         "station", "issue_time", "valid_time", "lead_h", *QUANTILE_NAMES, "category",
         "bias_correction", "newest_obs_age_hours", "recent_obs_count_7d",
         "p_severe_24h", "p_severe_48h", "p_severe_72h",

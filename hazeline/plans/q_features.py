@@ -14,7 +14,7 @@ from hazeline.operators import features as ft
 from hazeline.plans import adapters as A
 from hazeline.plans import forecast as fc
 from hazeline.plans import sqltext as S
-from hazeline.plans.registry import query
+from hazeline.plans.registry import plan
 
 _C = F.col
 SEASONS = [("2024-01-01", "2024-01-20"), ("2024-01-21", "2024-01-30")]
@@ -37,12 +37,12 @@ S.view("issues", _issues_sql(SEASONS, 12), "stations")
 S.view("daily_issues", _issues_sql(WHOLE, 24), "stations")
 
 
-def issues(spark, sf):
-    return ft.issue_times(A.stations(spark, sf), SEASONS, 12)
+def issues(t):
+    return ft.issue_times(t.stations, SEASONS, 12)
 
 
-def daily_issues(spark, sf):
-    return ft.issue_times(A.stations(spark, sf), WHOLE, 24)
+def daily_issues(t):
+    return ft.issue_times(t.stations, WHOLE, 24)
 
 
 def _pers_sql(table):
@@ -79,69 +79,69 @@ S.view("samples", _samples_sql("persisted"), "persisted", "drivers", "obs")
 S.view("daily_samples", _samples_sql("daily_persisted"), "daily_persisted", "drivers", "obs")
 
 
-@query("persistence_24h", S.sql("SELECT * FROM persisted", "persisted"))
-def persistence_24h(spark, sf):
-    return ft.persistence_24h(issues(spark, sf), A.obs(spark, sf))
+@plan("persistence_24h", S.sql("SELECT * FROM persisted", "persisted"))
+def persistence_24h(t):
+    return ft.persistence_24h(issues(t), t.obs)
 
 
-@query("issue_times", S.sql("SELECT * FROM issues", "issues"))
-def issue_times(spark, sf):
-    return issues(spark, sf)
+@plan("issue_times", S.sql("SELECT * FROM issues", "issues"))
+def issue_times(t):
+    return issues(t)
 
 
-@query("lead_expand", S.sql("SELECT station, issue_time, valid_time, lead_h, driver_pm25 FROM samples", "samples"))
-def lead_expand(spark, sf):
-    return ft.lead_expand(issues(spark, sf), A.drivers(spark, sf)).select(
+@plan("lead_expand", S.sql("SELECT station, issue_time, valid_time, lead_h, driver_pm25 FROM samples", "samples"))
+def lead_expand(t):
+    return ft.lead_expand(issues(t), t.drivers).select(
         "station", "issue_time", "valid_time", "lead_h", _C("pm2_5").alias("driver_pm25"))
 
 
-@query("targets_at_valid_time", S.sql("SELECT station, issue_time, valid_time, lead_h, target_pm25, target_pm10, target_o3, target_no2 FROM samples", "samples"))
-def targets_at_valid_time(spark, sf):
-    leads = ft.lead_expand(issues(spark, sf), A.drivers(spark, sf)).select("station", "issue_time", "valid_time", "lead_h")
-    return ft.targets_at_valid_time(leads, A.obs(spark, sf))
+@plan("targets_at_valid_time", S.sql("SELECT station, issue_time, valid_time, lead_h, target_pm25, target_pm10, target_o3, target_no2 FROM samples", "samples"))
+def targets_at_valid_time(t):
+    leads = ft.lead_expand(issues(t), t.drivers).select("station", "issue_time", "valid_time", "lead_h")
+    return ft.targets_at_valid_time(leads, t.obs)
 
 
-def samples(spark, sf):
-    return ft.samples_72h(A.obs(spark, sf), A.drivers(spark, sf), A.stations(spark, sf), SEASONS, 12)
+def samples(t):
+    return ft.samples_72h(t.obs, t.drivers, t.stations, SEASONS, 12)
 
 
-@query("samples_72h", S.sql("SELECT * FROM samples", "samples"))
-def samples_72h(spark, sf):
-    return _r(samples(spark, sf), *_TIME, digits=9)
+@plan("samples_72h", S.sql("SELECT * FROM samples", "samples"))
+def samples_72h(t):
+    return _r(samples(t), *_TIME, digits=9)
 
 
-@query("leak_audit", S.sql("SELECT station, issue_time, 'pm25' AS pollutant, last_obs_pm25 AS used, last_obs_pm25 AS allowed FROM samples WHERE FALSE", "samples"))
-def leak_audit(spark, sf):
-    o = A.obs(spark, sf)
-    return ft.leak_audit(samples(spark, sf), o)
+@plan("leak_audit", S.sql("SELECT station, issue_time, 'pm25' AS pollutant, last_obs_pm25 AS used, last_obs_pm25 AS allowed FROM samples WHERE FALSE", "samples"))
+def leak_audit(t):
+    o = t.obs
+    return ft.leak_audit(samples(t), o)
 
 
-@query("winter_split", S.sql("""SELECT part, COUNT(*) AS n_rows, COUNT(target_pm25) AS n_targets FROM (SELECT *, CASE
+@plan("winter_split", S.sql("""SELECT part, COUNT(*) AS n_rows, COUNT(target_pm25) AS n_targets FROM (SELECT *, CASE
  WHEN valid_time >= TIMESTAMP '2024-01-01' AND valid_time <= TIMESTAMP '2024-01-20 23:00:00' THEN 'train'
  WHEN valid_time >= TIMESTAMP '2024-01-21' AND valid_time <= TIMESTAMP '2024-01-30 23:00:00' THEN 'test' END AS part FROM samples) WHERE part IS NOT NULL GROUP BY 1""", "samples"))
-def winter_split(spark, sf):
-    return ft.split_by_winter(samples(spark, sf), SEASONS[:1], SEASONS[1]).groupBy("part").agg(
+def winter_split(t):
+    return ft.split_by_winter(samples(t), SEASONS[:1], SEASONS[1]).groupBy("part").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count("target_pm25").alias("n_targets"))
 
 
-@query("ventilation_index", S.sql("SELECT station, ts, COALESCE(blh, 0) * (COALESCE(ws, 0) / 3.6e0) AS ventilation_index FROM (SELECT station, ts, CASE WHEN hour(ts) <> 3 THEN boundary_layer_height END AS blh, CASE WHEN hour(ts) <> 4 THEN wind_speed_10m END AS ws FROM drivers)", "drivers"))
-def ventilation_index(spark, sf):
+@plan("ventilation_index", S.sql("SELECT station, ts, COALESCE(blh, 0) * (COALESCE(ws, 0) / 3.6e0) AS ventilation_index FROM (SELECT station, ts, CASE WHEN hour(ts) <> 3 THEN boundary_layer_height END AS blh, CASE WHEN hour(ts) <> 4 THEN wind_speed_10m END AS ws FROM drivers)", "drivers"))
+def ventilation_index(t):
     blh = F.when(F.hour("ts") != 3, _C("boundary_layer_height"))
     ws = F.when(F.hour("ts") != 4, _C("wind_speed_10m"))
-    return A.drivers(spark, sf).select("station", "ts", ft.ventilation_index(blh, ws).alias("ventilation_index"))
+    return t.drivers.select("station", "ts", ft.ventilation_index(blh, ws).alias("ventilation_index"))
 
 
-@query("cyclic_features", S.sql("SELECT station, ts AS valid_time, CAST(hour(ts) AS INTEGER) AS hour, CAST(dayofyear(ts) AS INTEGER) AS day_of_year, "
+@plan("cyclic_features", S.sql("SELECT station, ts AS valid_time, CAST(hour(ts) AS INTEGER) AS hour, CAST(dayofyear(ts) AS INTEGER) AS day_of_year, "
     + ", ".join(f"{S.rnd(e.replace('valid_time', 'ts'), 9)} AS {n}" for n, e in _TIME.items()) + " FROM drivers", "drivers"))
-def cyclic_features(spark, sf):
-    d = A.drivers(spark, sf).select("station", _C("ts").alias("valid_time"))
+def cyclic_features(t):
+    d = t.drivers.select("station", _C("ts").alias("valid_time"))
     return _r(d.withColumns(ft.time_features()), *_TIME, digits=9)
 
 
-@query("calendar_lag", S.sql("""SELECT d.station, CAST(d.date AS VARCHAR) AS date, d.aqi, p.aqi AS aqi_lag FROM daily_long d
+@plan("calendar_lag", S.sql("""SELECT d.station, CAST(d.date AS VARCHAR) AS date, d.aqi, p.aqi AS aqi_lag FROM daily_long d
 LEFT JOIN daily_long p ON p.station = d.station AND p.date = d.date - 1""", "daily_long"))
-def calendar_lag(spark, sf):
-    return ft.calendar_lag(A.daily_long(spark, sf)).withColumn("date", _C("date").cast("string"))
+def calendar_lag(t):
+    return ft.calendar_lag(t.daily_long).withColumn("date", _C("date").cast("string"))
 
 
 _LABELS = [(h, e, v) for h in (1, 2, 3) for e, v in ft.EVENTS.items()]
@@ -152,16 +152,16 @@ S.view("labels_daily", "SELECT d.station, d.date, d.aqi AS aqi_t, p.aqi AS aqi_t
     + " ".join(f"LEFT JOIN daily_long t{h} ON t{h}.station = d.station AND t{h}.date = d.date + {h}" for h in (1, 2, 3)), "daily_long")
 
 
-@query("horizon_labels", S.sql("SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM labels_daily", "labels_daily"))
-def horizon_labels(spark, sf):
-    return _r(ft.horizon_labels(A.daily_long(spark, sf)), "month_sin", "month_cos", digits=9).withColumn("date", _C("date").cast("string"))
+@plan("horizon_labels", S.sql("SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM labels_daily", "labels_daily"))
+def horizon_labels(t):
+    return _r(ft.horizon_labels(t.daily_long), "month_sin", "month_cos", digits=9).withColumn("date", _C("date").cast("string"))
 
 
-@query("split_counts", S.sql("""SELECT part, year, COUNT(*) AS n_rows, COUNT(y_severe_h1) AS n_labels, CAST(SUM(y_severe_h1) AS BIGINT) AS n_events FROM (
+@plan("split_counts", S.sql("""SELECT part, year, COUNT(*) AS n_rows, COUNT(y_severe_h1) AS n_labels, CAST(SUM(y_severe_h1) AS BIGINT) AS n_events FROM (
  SELECT *, CASE WHEN year IN (1996, 1998) THEN 'train' WHEN year = 2000 THEN 'test' END AS part FROM labels_daily WHERE month IN (10, 11, 12, 1, 2))
 WHERE part IS NOT NULL GROUP BY 1, 2""", "labels_daily"))
-def split_counts(spark, sf):
-    split = ft.split_by_year(ft.horizon_labels(A.daily_long(spark, sf)), (1996, 1998), 2000)
+def split_counts(t):
+    split = ft.split_by_year(ft.horizon_labels(t.daily_long), (1996, 1998), 2000)
     return split.groupBy("part", "year").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count("y_severe_h1").alias("n_labels"), F.sum("y_severe_h1").cast("long").alias("n_events"))
 
@@ -171,9 +171,9 @@ S.view("mean7", f"""SELECT station, date, aqi, pm25, pm10, CASE WHEN COUNT(CASE
  THEN {S.wavg('(CASE WHEN aqi > 0 THEN aqi END)', _W7)} END AS mean_aqi_7d FROM daily_long""", "daily_long")
 
 
-@query("contiguous_mean_7d", S.sql("SELECT station, CAST(date AS VARCHAR) AS date, mean_aqi_7d FROM mean7", "mean7"))
-def contiguous_mean_7d(spark, sf):
-    return ft.contiguous_mean_7d(A.daily_long(spark, sf)).select("station", _C("date").cast("string").alias("date"), "mean_aqi_7d")
+@plan("contiguous_mean_7d", S.sql("SELECT station, CAST(date AS VARCHAR) AS date, mean_aqi_7d FROM mean7", "mean7"))
+def contiguous_mean_7d(t):
+    return ft.contiguous_mean_7d(t.daily_long).select("station", _C("date").cast("string").alias("date"), "mean_aqi_7d")
 
 
 S.view("feats", f"""SELECT m.station, m.date, m.aqi AS aqi_d, p.aqi AS aqi_d_minus_1, m.mean_aqi_7d, m.pm10 / m.pm25 AS pm_ratio,
@@ -182,9 +182,9 @@ FROM mean7 m JOIN daily_long p ON p.station = m.station AND p.date = m.date - 1
 WHERE m.aqi > 0 AND p.aqi > 0 AND m.mean_aqi_7d IS NOT NULL AND m.pm25 > 0 AND m.pm10 >= 0""", "mean7")
 
 
-@query("daily_features", S.sql("SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM feats", "feats"))
-def daily_features(spark, sf):
-    return _r(ft.daily_features(A.daily_long(spark, sf)), "month_sin", "month_cos", digits=9).withColumn("date", _C("date").cast("string"))
+@plan("daily_features", S.sql("SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM feats", "feats"))
+def daily_features(t):
+    return _r(ft.daily_features(t.daily_long), "month_sin", "month_cos", digits=9).withColumn("date", _C("date").cast("string"))
 
 
 # --- bias and bands
@@ -199,24 +199,24 @@ FROM issues i CROSS JOIN pollutants p LEFT JOIN bias b ON b.station = i.station
     "issues", "pollutants", "bias")
 
 
-@query("rolling_bias_7d", S.sql("SELECT * FROM bias", "bias"))
-def rolling_bias_7d(spark, sf):
-    return bs.rolling_bias_7d(A.obs(spark, sf), A.drivers(spark, sf))
+@plan("rolling_bias_7d", S.sql("SELECT * FROM bias", "bias"))
+def rolling_bias_7d(t):
+    return bs.rolling_bias_7d(t.obs, t.drivers)
 
 
-@query("bias_asof", S.sql("SELECT * FROM bias_issue", "bias_issue"))
-def bias_asof(spark, sf):
-    return bs.bias_asof(issues(spark, sf), bs.rolling_bias_7d(A.obs(spark, sf), A.drivers(spark, sf)))
+@plan("bias_asof", S.sql("SELECT * FROM bias_issue", "bias_issue"))
+def bias_asof(t):
+    return bs.bias_asof(issues(t), bs.rolling_bias_7d(t.obs, t.drivers))
 
 
-@query("bias_at_issue", S.sql("SELECT station, issue_time, pollutant, COALESCE(bias_7d, 0) AS bias_7d FROM bias_issue", "bias_issue"))
-def bias_at_issue(spark, sf):
-    return bs.bias_at_issue(issues(spark, sf), bs.rolling_bias_7d(A.obs(spark, sf), A.drivers(spark, sf)))
+@plan("bias_at_issue", S.sql("SELECT station, issue_time, pollutant, COALESCE(bias_7d, 0) AS bias_7d FROM bias_issue", "bias_issue"))
+def bias_at_issue(t):
+    return bs.bias_at_issue(issues(t), bs.rolling_bias_7d(t.obs, t.drivers))
 
 
-@query("driver_bias_corrected", S.sql("SELECT o.station, o.ts, CASE WHEN o.pm25 IS NOT NULL THEN greatest(0e0, d.pm2_5 + (o.pm25 - 300)) END AS corrected FROM obs o JOIN drivers d ON o.station = d.station AND o.ts = d.ts", "obs", "drivers"))
-def driver_bias_corrected(spark, sf):
-    j = A.obs(spark, sf).join(A.drivers(spark, sf).select("station", "ts", "pm2_5"), ["station", "ts"])
+@plan("driver_bias_corrected", S.sql("SELECT o.station, o.ts, CASE WHEN o.pm25 IS NOT NULL THEN greatest(0e0, d.pm2_5 + (o.pm25 - 300)) END AS corrected FROM obs o JOIN drivers d ON o.station = d.station AND o.ts = d.ts", "obs", "drivers"))
+def driver_bias_corrected(t):
+    j = t.obs.join(t.drivers.select("station", "ts", "pm2_5"), ["station", "ts"])
     return j.select("station", "ts", bs.driver_bias_corrected(_C("pm2_5"), _C("pm25") - 300).alias("corrected"))
 
 
@@ -234,11 +234,11 @@ S.view("candidates", "SELECT s.*, " + ", ".join(f"COALESCE(b_{p}.bias_7d, 0) AS
     + " FROM samples s " + " ".join(f"LEFT JOIN bias_issue b_{p} ON b_{p}.station = s.station AND b_{p}.issue_time = s.issue_time AND b_{p}.pollutant = '{p}'" for p in POLLUTANTS), "samples", "bias_issue")
 
 
-@query("lead_blend", S.sql("SELECT station, issue_time, lead_h, " + ", ".join(f"bc_{p}, {_blend_sql(p, f'last_obs_{p}', f'bc_{p}')} AS blend_{p}" for p in POLLUTANTS) + " FROM candidates", "candidates"))
-def lead_blend(spark, sf):
+@plan("lead_blend", S.sql("SELECT station, issue_time, lead_h, " + ", ".join(f"bc_{p}, {_blend_sql(p, f'last_obs_{p}', f'bc_{p}')} AS blend_{p}" for p in POLLUTANTS) + " FROM candidates", "candidates"))
+def lead_blend(t):
     from hazeline.plans.verification import with_candidates
 
-    c = with_candidates(samples(spark, sf), A.obs(spark, sf), A.drivers(spark, sf))
+    c = with_candidates(samples(t), issues(t), t.obs, t.drivers)
     return c.select("station", "issue_time", "lead_h", *[f"bc_{p}" for p in POLLUTANTS], *[f"blend_{p}" for p in POLLUTANTS])
 
 
@@ -266,14 +266,14 @@ S.view("resq", _resq_sql("issues"), "issues", "pollutants", "residual_rows")
 S.view("daily_resq", _resq_sql("daily_issues"), "daily_issues", "pollutants", "residual_rows")
 
 
-@query("staleness_guard", S.sql("SELECT * FROM guard", "guard"))
-def staleness_guard(spark, sf):
-    return bs.staleness_guard(issues(spark, sf), A.obs(spark, sf))
+@plan("staleness_guard", S.sql("SELECT * FROM guard", "guard"))
+def staleness_guard(t):
+    return bs.staleness_guard(issues(t), t.obs)
 
 
-@query("residual_quantiles", S.sql("SELECT station, issue_time, pollutant, n_pairs, " + ", ".join(f"{S.rnd(c, 6)} AS {c}" for c in ("res_mean", "res_p10", "res_p50", "res_p90")) + " FROM resq", "resq"))
-def residual_quantiles(spark, sf):
-    return _r(bs.residual_quantiles(issues(spark, sf), A.obs(spark, sf), A.drivers(spark, sf)), "res_mean", "res_p10", "res_p50", "res_p90")
+@plan("residual_quantiles", S.sql("SELECT station, issue_time, pollutant, n_pairs, " + ", ".join(f"{S.rnd(c, 6)} AS {c}" for c in ("res_mean", "res_p10", "res_p50", "res_p90")) + " FROM resq", "resq"))
+def residual_quantiles(t):
+    return _r(bs.residual_quantiles(issues(t), t.obs, t.drivers), "res_mean", "res_p10", "res_p50", "res_p90")
 
 
 def _pivot_resq(t):
@@ -304,26 +304,26 @@ def _fallback_sql(p, s="s"):
 _Q = ("p10", "p50", "p90")
 
 
-@query("blend_bands", S.sql(f"WITH r AS ({_pivot_resq('resq')}) SELECT s.station, s.issue_time, s.lead_h, " + ", ".join(
+@plan("blend_bands", S.sql(f"WITH r AS ({_pivot_resq('resq')}) SELECT s.station, s.issue_time, s.lead_h, " + ", ".join(
     f"{S.rnd(e, 6)} AS {p}_{q}" for p in POLLUTANTS for q, e in zip(_Q, _blend_band_sql(p)))
     + " FROM samples s LEFT JOIN r ON r.station = s.station AND r.issue_time = s.issue_time", "samples", "resq"))
-def blend_bands(spark, sf):
-    o, d = A.obs(spark, sf), A.drivers(spark, sf)
-    b = bd.blend_bands(samples(spark, sf), bs.residual_quantiles(issues(spark, sf), o, d))
+def blend_bands(t):
+    o, d = t.obs, t.drivers
+    b = bd.blend_bands(samples(t), bs.residual_quantiles(issues(t), o, d))
     names = [f"{p}_{q}" for p in POLLUTANTS for q in _Q]
     return _r(b.select("station", "issue_time", "lead_h", *names), *names)
 
 
-@query("fallback_bands", S.sql("SELECT s.station, s.issue_time, s.lead_h, " + ", ".join(
+@plan("fallback_bands", S.sql("SELECT s.station, s.issue_time, s.lead_h, " + ", ".join(
     f"{e} AS {p}_{q}" for p in POLLUTANTS for q, e in zip(_Q, _fallback_sql(p))) + " FROM samples s", "samples"))
-def fallback_bands(spark, sf):
-    return bd.fallback_bands(samples(spark, sf)).select("station", "issue_time", "lead_h", *[f"{p}_{q}" for p in POLLUTANTS for q in _Q])
+def fallback_bands(t):
+    return bd.fallback_bands(samples(t)).select("station", "issue_time", "lead_h", *[f"{p}_{q}" for p in POLLUTANTS for q in _Q])
 
 
-@query("monotone_quantiles", S.sql("""SELECT station, ts, a AS pm_p10, b AS pm_p50, greatest(b, q90) AS pm_p90 FROM (SELECT *, greatest(a, q50) AS b FROM
+@plan("monotone_quantiles", S.sql("""SELECT station, ts, a AS pm_p10, b AS pm_p50, greatest(b, q90) AS pm_p90 FROM (SELECT *, greatest(a, q50) AS b FROM
  (SELECT station, ts, pm10 / 2 AS q50, pm25 * 1.1e0 AS q90, greatest(0e0, pm25 - 200) AS a FROM obs WHERE pm25 IS NOT NULL AND pm10 IS NOT NULL))""", "obs"))
-def monotone_quantiles(spark, sf):
-    o = A.obs(spark, sf).where("pm25 IS NOT NULL AND pm10 IS NOT NULL").select(
+def monotone_quantiles(t):
+    o = t.obs.where("pm25 IS NOT NULL AND pm10 IS NOT NULL").select(
         "station", "ts", (_C("pm25") - 200).alias("q10"), (_C("pm10") / 2).alias("q50"), (_C("pm25") * 1.1).alias("q90"))
     return bd.monotone_quantiles(o, {"pm": ("q10", "q50", "q90")}).drop("q10", "q50", "q90")
 
@@ -353,44 +353,44 @@ risk AS (SELECT station, issue_time, MAX(p) FILTER (WHERE h = 24) AS p_severe_24
 _FORECAST_NEEDS = ("daily_samples", "daily_guard", "daily_resq")
 
 
-def forecast(spark, sf):
-    return fc.forecast_72h(A.obs(spark, sf), A.drivers(spark, sf), daily_issues(spark, sf))
+def forecast(t):
+    return fc.forecast_72h(t.obs, t.drivers, daily_issues(t))
 
 
-@query("forecast_72h", S.sql(f"WITH {_bands_cte()}, {_Z}, {_RISK} SELECT i4.station, i4.issue_time, valid_time, lead_h, "
+@plan("forecast_72h", S.sql(f"WITH {_bands_cte()}, {_Z}, {_RISK} SELECT i4.station, i4.issue_time, valid_time, lead_h, "
     + ", ".join(fc.QUANTILE_NAMES) + ", category, bias_correction, newest_obs_age_hours, recent_obs_count_7d, p_severe_24h, p_severe_48h, p_severe_72h "
     "FROM i4 JOIN risk ON risk.station = i4.station AND risk.issue_time = i4.issue_time", *_FORECAST_NEEDS))
-def forecast_72h(spark, sf):
-    return forecast(spark, sf)
+def forecast_72h(t):
+    return forecast(t)
 
 
-@query("p_severe_mc", S.sql(f"WITH {_bands_cte()}, {_Z}, {_RISK} SELECT * FROM risk", *_FORECAST_NEEDS))
-def p_severe_mc(spark, sf):
-    o, d, i = A.obs(spark, sf), A.drivers(spark, sf), daily_issues(spark, sf)
+@plan("p_severe_mc", S.sql(f"WITH {_bands_cte()}, {_Z}, {_RISK} SELECT * FROM risk", *_FORECAST_NEEDS))
+def p_severe_mc(t):
+    o, d, i = t.obs, t.drivers, daily_issues(t)
     bands = bd.quantile_bands(ft.samples_for_issues(i, o, d), bs.staleness_guard(i, o), bs.residual_quantiles(i, o, d))
     return bd.p_severe_mc(bands)
 
 
-@query("forecast_json")
-def forecast_json(spark, sf):
-    return fc.forecast_json(forecast(spark, sf), A.stations(spark, sf))
+@plan("forecast_json")
+def forecast_json(t):
+    return fc.forecast_json(forecast(t), t.stations)
 
 
-@query("replay_observed", S.sql(f"""WITH {_bands_cte()} SELECT i4.station, i4.issue_time, i4.valid_time, lead_h, aqi_p50, category, o.pm25 AS obs_pm25, o.pm10 AS obs_pm10,
+@plan("replay_observed", S.sql(f"""WITH {_bands_cte()} SELECT i4.station, i4.issue_time, i4.valid_time, lead_h, aqi_p50, category, o.pm25 AS obs_pm25, o.pm10 AS obs_pm10,
  {S.pm_index('o.pm25', 'o.pm10')} AS obs_aqi, {S.category('(' + S.pm_index('o.pm25', 'o.pm10') + ')')} AS obs_category
 FROM i4 LEFT JOIN obs o ON o.station = i4.station AND o.ts = i4.valid_time""", *_FORECAST_NEEDS))
-def replay_observed(spark, sf):
-    f = bd.replay_observed(forecast(spark, sf), A.obs(spark, sf))
+def replay_observed(t):
+    f = bd.replay_observed(forecast(t), t.obs)
     return f.select("station", "issue_time", "valid_time", "lead_h", "aqi_p50", "category", "obs_pm25", "obs_pm10", "obs_aqi", "obs_category")
 
 
-@query("driver_source_choice", S.sql("""WITH h AS (SELECT station, ts, pm2_5 FROM drivers WHERE NOT (station = 'st1' AND hour(ts) = 9)),
+@plan("driver_source_choice", S.sql("""WITH h AS (SELECT station, ts, pm2_5 FROM drivers WHERE NOT (station = 'st1' AND hour(ts) = 9)),
 a AS (SELECT * FROM h WHERE ts > TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-13'),
 c AS (SELECT station FROM a GROUP BY 1 HAVING COUNT(DISTINCT ts) >= 72)
 SELECT station, ts, pm2_5, 'history' AS driver_source FROM a WHERE station IN (SELECT station FROM c)
 UNION ALL SELECT station, ts, pm2_5 + 1, 'live' FROM drivers WHERE ts > TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-13' AND station NOT IN (SELECT station FROM c)""", "drivers"))
-def driver_source_choice(spark, sf):
-    d = A.drivers(spark, sf).select("station", "ts", "pm2_5")
+def driver_source_choice(t):
+    d = t.drivers.select("station", "ts", "pm2_5")
     history = d.where(~((_C("station") == "st1") & (F.hour("ts") == 9)))
     live = d.withColumn("pm2_5", _C("pm2_5") + 1)
     return bd.choose_drivers(history, live, F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"))

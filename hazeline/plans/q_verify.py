@@ -16,16 +16,17 @@ from hazeline.operators.bias import residual_quantiles
 from hazeline.plans import adapters as A
 from hazeline.plans import q_features as qf
 from hazeline.plans import sqltext as S
-from hazeline.plans.registry import query
-from hazeline.plans.verification import evaluation_table, with_candidates
+from hazeline.plans.registry import plan
+from hazeline.plans.verification import evaluation_table
+from hazeline.session import durable
 
 _C = F.col
 TRAIN_END = "2024-01-20 23:00:00"
 MODELS = {"persistence": "last_obs_", "raw_driver": "driver_", "rolling_bc": "bc_", "lead_blend": "blend_", "climatology": "clim_", "boosted": "{}_p50"}
 
 
-def train_obs(spark, sf):
-    return A.obs(spark, sf).where(_C("ts") <= F.lit(TRAIN_END).cast("timestamp_ntz"))
+def train_obs(t):
+    return t.obs.where(_C("ts") <= F.lit(TRAIN_END).cast("timestamp_ntz"))
 
 
 S.view("train_obs", f"SELECT * FROM obs WHERE ts <= TIMESTAMP '{TRAIN_END}'", "obs")
@@ -36,9 +37,9 @@ S.view("medians", """SELECT pollutant, CASE WHEN grouping(station) = 0 AND group
 FROM train_long GROUP BY GROUPING SETS ((pollutant, station, month, hour), (pollutant, station, month), (pollutant, month, hour), (pollutant, month), (pollutant))""", "train_long")
 
 
-@query("climatology_median", S.sql(f"SELECT pollutant, level, station, month, hour, {S.rnd('median', 6)} AS median, n_values FROM medians", "medians"))
-def climatology_median(spark, sf):
-    m = cm.climatology_median(train_obs(spark, sf))
+@plan("climatology_median", S.sql(f"SELECT pollutant, level, station, month, hour, {S.rnd('median', 6)} AS median, n_values FROM medians", "medians"))
+def climatology_median(t):
+    m = cm.climatology_median(train_obs(t))
     return m.withColumns({"median": round_half_even(_C("median"), 6), "n_values": _C("n_values").cast("long")})
 
 
@@ -49,7 +50,7 @@ def _clim_joins(valid="s.valid_time"):
         for i, keys in enumerate(cm.LEVELS):
             a = f"c{i}_{p}"
             cond = [f"{a}.pollutant = '{p}'", f"{a}.level = {i}"]
-            cond += {"station": [f"{a}.station = s.station"]}.get("station") if "station" in keys else []
+            cond += [f"{a}.station = s.station"] if "station" in keys else []
             cond += [f"{a}.month = month({valid})"] if "month" in keys else []
             cond += [f"{a}.hour = hour({valid})"] if "hour" in keys else []
             joins.append(f"LEFT JOIN medians {a} ON " + " AND ".join(cond))
@@ -65,19 +66,19 @@ S.view("evaluation", f"""WITH {_R} SELECT s.station, s.issue_time, s.valid_time,
 FROM candidates s LEFT JOIN r ON r.station = s.station AND r.issue_time = s.issue_time {_JOINS}""", "candidates", "medians", "resq")
 
 
-def evaluation(spark, sf):
+def evaluation(t):
     """All candidates; the band forecast stands in the boosted model's place."""
-    o, d = A.obs(spark, sf), A.drivers(spark, sf)
-    table = evaluation_table(qf.samples(spark, sf), o, d, train_obs(spark, sf))
-    out = blend_bands(table, residual_quantiles(qf.issues(spark, sf), o, d))
+    o, d, issues = t.obs, t.drivers, qf.issues(t)
+    table = evaluation_table(qf.samples(t), issues, o, d, train_obs(t))
+    out = blend_bands(table, residual_quantiles(issues, o, d))
     names = [f"{p}_{q}" for p in POLLUTANTS for q in qf._Q]
     return out.withColumns({n: round_half_even(_C(n), 6) for n in names})
 
 
-@query("climatology_lookup", S.sql("SELECT station, issue_time, lead_h, " + ", ".join(f"{S.rnd(f'clim_{p}', 6)} AS clim_{p}" for p in POLLUTANTS) + " FROM evaluation", "evaluation"))
-def climatology_lookup(spark, sf):
-    t = cm.climatology_lookup(qf.samples(spark, sf), cm.climatology_median(train_obs(spark, sf)))
-    return t.select("station", "issue_time", "lead_h", *[round_half_even(_C(f"clim_{p}"), 6).alias(f"clim_{p}") for p in POLLUTANTS])
+@plan("climatology_lookup", S.sql("SELECT station, issue_time, lead_h, " + ", ".join(f"{S.rnd(f'clim_{p}', 6)} AS clim_{p}" for p in POLLUTANTS) + " FROM evaluation", "evaluation"))
+def climatology_lookup(t):
+    rows = cm.climatology_lookup(qf.samples(t), cm.climatology_median(train_obs(t)))
+    return rows.select("station", "issue_time", "lead_h", *[round_half_even(_C(f"clim_{p}"), 6).alias(f"clim_{p}") for p in POLLUTANTS])
 
 
 def _metric_cols(err):
@@ -86,9 +87,9 @@ def _metric_cols(err):
             f"{S.rnd(S.eavg(err), 2)} AS bias, {n} AS n")
 
 
-@query("continuous_metrics", S.sql(f"SELECT station, {_metric_cols('d.pm2_5 - o.pm25')} FROM (SELECT * FROM obs) o JOIN (SELECT station AS st, ts AS t, pm2_5 FROM drivers) d ON o.station = d.st AND o.ts = d.t GROUP BY station", "obs", "drivers"))
-def continuous_metrics(spark, sf):
-    j = A.obs(spark, sf).select("station", "ts", "pm25").join(A.drivers(spark, sf).select("station", "ts", "pm2_5"), ["station", "ts"])
+@plan("continuous_metrics", S.sql(f"SELECT station, {_metric_cols('d.pm2_5 - o.pm25')} FROM (SELECT * FROM obs) o JOIN (SELECT station AS st, ts AS t, pm2_5 FROM drivers) d ON o.station = d.st AND o.ts = d.t GROUP BY station", "obs", "drivers"))
+def continuous_metrics(t):
+    j = t.obs.select("station", "ts", "pm25").join(t.drivers.select("station", "ts", "pm2_5"), ["station", "ts"])
     return vf.continuous_metrics(j, "pm25", "pm2_5", ["station"])
 
 
@@ -99,59 +100,59 @@ _LONG = "long AS (" + " UNION ALL ".join(
 ) + f"), lb AS (SELECT *, {_BK} AS bucket FROM long UNION ALL SELECT *, '{ALL_LEADS}' FROM long), met AS (SELECT pollutant, bucket, model, {_metric_cols('(yhat - y)')} FROM lb GROUP BY 1, 2, 3)"
 
 
-@query("lead_bucket_metrics", S.sql(f"""WITH l AS (SELECT lead_h, target_pm25 AS y, driver_pm25 AS yhat FROM samples),
+@plan("lead_bucket_metrics", S.sql(f"""WITH l AS (SELECT lead_h, target_pm25 AS y, driver_pm25 AS yhat FROM samples),
 lb AS (SELECT *, {_BK} AS bucket FROM l UNION ALL SELECT *, '{ALL_LEADS}' FROM l) SELECT 'pm25' AS pollutant, bucket, 'raw_driver' AS model, {_metric_cols('(yhat - y)')} FROM lb GROUP BY 2""", "samples"))
-def lead_bucket_metrics(spark, sf):
-    return vf.candidate_metrics(qf.samples(spark, sf), {"raw_driver": "driver_"}).where("pollutant = 'pm25'")
+def lead_bucket_metrics(t):
+    return vf.candidate_metrics(qf.samples(t), {"raw_driver": "driver_"}).where("pollutant = 'pm25'")
 
 
-def metrics(spark, sf):
-    return vf.candidate_metrics(evaluation(spark, sf), MODELS)
+def metrics(t):
+    return vf.candidate_metrics(evaluation(t), MODELS)
 
 
-@query("candidate_metrics", S.sql(f"WITH {_LONG} SELECT * FROM met", "evaluation"))
-def candidate_metrics(spark, sf):
-    return metrics(spark, sf)
+@plan("candidate_metrics", S.sql(f"WITH {_LONG} SELECT * FROM met", "evaluation"))
+def candidate_metrics(t):
+    return metrics(t)
 
 
 _RANK = "CASE model WHEN 'rolling_bc' THEN 0 WHEN 'lead_blend' THEN 1 WHEN 'boosted' THEN 2 WHEN 'persistence' THEN 3 WHEN 'raw_driver' THEN 4 ELSE 5 END"
 
 
-@query("best_model", S.sql(f"WITH {_LONG} SELECT pollutant, bucket, COALESCE(FIRST(model ORDER BY mae, {_RANK}) FILTER (WHERE mae IS NOT NULL), 'None') AS best_model, MIN(mae) AS best_mae FROM met GROUP BY 1, 2", "evaluation"))
-def best_model(spark, sf):
-    return vf.best_model(metrics(spark, sf))
+@plan("best_model", S.sql(f"WITH {_LONG} SELECT pollutant, bucket, COALESCE(FIRST(model ORDER BY mae, {_RANK}) FILTER (WHERE mae IS NOT NULL), 'None') AS best_model, MIN(mae) AS best_mae FROM met GROUP BY 1, 2", "evaluation"))
+def best_model(t):
+    return vf.best_model(metrics(t))
 
 
 def _skill(m):
     return f"CASE WHEN raw <> 0 AND {m} <> 0 THEN {S.rnd(f'(1e0 - {m} / raw) * 100e0', 1)} END AS skill_{m}"
 
 
-@query("skill_vs_raw", S.sql(f"WITH {_LONG}, w AS (SELECT pollutant, bucket, MAX(mae) FILTER (WHERE model = 'raw_driver') AS raw, "
+@plan("skill_vs_raw", S.sql(f"WITH {_LONG}, w AS (SELECT pollutant, bucket, MAX(mae) FILTER (WHERE model = 'raw_driver') AS raw, "
     + ", ".join(f"MAX(mae) FILTER (WHERE model = '{m}') AS {m}" for m in ("boosted", "rolling_bc", "lead_blend"))
     + f" FROM met GROUP BY 1, 2) SELECT pollutant, bucket, {_skill('boosted')}, {_skill('rolling_bc')}, {_skill('lead_blend')} FROM w", "evaluation"))
-def skill_vs_raw(spark, sf):
-    return vf.skill_vs_raw(metrics(spark, sf))
+def skill_vs_raw(t):
+    return vf.skill_vs_raw(metrics(t))
 
 
-@query("interval_coverage", S.sql(f"""SELECT bucket, {S.rnd("CAST(COUNT(*) FILTER (WHERE y >= lo AND y <= hi) AS DOUBLE) / COUNT(*) FILTER (WHERE y IS NOT NULL AND lo IS NOT NULL AND hi IS NOT NULL) * 100e0", 2)} AS coverage_pct,
+@plan("interval_coverage", S.sql(f"""SELECT bucket, {S.rnd("CAST(COUNT(*) FILTER (WHERE y >= lo AND y <= hi) AS DOUBLE) / COUNT(*) FILTER (WHERE y IS NOT NULL AND lo IS NOT NULL AND hi IS NOT NULL) * 100e0", 2)} AS coverage_pct,
  COUNT(*) FILTER (WHERE y IS NOT NULL AND lo IS NOT NULL AND hi IS NOT NULL) AS n FROM (SELECT {_BK} AS bucket, target_pm25 AS y, pm25_p10 AS lo, pm25_p90 AS hi FROM evaluation) GROUP BY 1""", "evaluation"))
-def interval_coverage(spark, sf):
-    t = evaluation(spark, sf).withColumn("bucket", vf.lead_bucket(_C("lead_h")))
-    return vf.interval_coverage(t, "target_pm25", "pm25_p10", "pm25_p90", ["bucket"])
+def interval_coverage(t):
+    rows = evaluation(t).withColumn("bucket", vf.lead_bucket(_C("lead_h")))
+    return vf.interval_coverage(rows, "target_pm25", "pm25_p10", "pm25_p90", ["bucket"])
 
 
 _SE = "(p - y) * (p - y)"
 _SER = "(ref - y) * (ref - y)"
 
 
-@query("brier_score", S.sql(f"SELECT station, {S.eavg(_SE, 9)} AS brier, COUNT(p) AS n FROM outcomes GROUP BY 1", "outcomes"))
-def brier_score(spark, sf):
-    return vf.brier_score(A.outcomes(spark, sf), "y", "p", ["station"])
+@plan("brier_score", S.sql(f"SELECT station, {S.eavg(_SE, 9)} AS brier, COUNT(p) AS n FROM outcomes GROUP BY 1", "outcomes"))
+def brier_score(t):
+    return vf.brier_score(t.outcomes, "y", "p", ["station"])
 
 
-@query("brier_skill", S.sql(f"SELECT station, CASE WHEN r = 0 THEN CASE WHEN b = 0 THEN 0e0 ELSE CAST('-infinity' AS DOUBLE) END ELSE 1e0 - b / r END AS skill FROM (SELECT station, {S.eavg(_SE, 9)} AS b, {S.eavg(_SER, 9)} AS r FROM outcomes GROUP BY 1)", "outcomes"))
-def brier_skill(spark, sf):
-    o = A.outcomes(spark, sf)
+@plan("brier_skill", S.sql(f"SELECT station, CASE WHEN r = 0 THEN CASE WHEN b = 0 THEN 0e0 ELSE CAST('-infinity' AS DOUBLE) END ELSE 1e0 - b / r END AS skill FROM (SELECT station, {S.eavg(_SE, 9)} AS b, {S.eavg(_SER, 9)} AS r FROM outcomes GROUP BY 1)", "outcomes"))
+def brier_skill(t):
+    o = t.outcomes
     j = vf.brier_score(o, "y", "p", ["station"]).join(vf.brier_score(o, "y", "ref", ["station"]).select("station", _C("brier").alias("r")), "station")
     return j.select("station", vf.brier_skill(_C("brier"), _C("r")).alias("skill"))
 
@@ -160,20 +161,20 @@ def _bins(p, n, op):
     return "(" + " + ".join(f"CASE WHEN {p} {op} {S.num(e)} THEN 1 ELSE 0 END" for e in vf._edges(n)) + ")"
 
 
-@query("reliability_5", S.sql(f"SELECT station, CAST({_bins('p', 5, '>=')} AS INTEGER) AS bin, COUNT(*) AS n, {S.rnd(S.eavg('p', 9), 4)} AS mean_predicted, {S.rnd(S.eavg('y', 9), 4)} AS observed_fraction FROM outcomes WHERE p >= 0 AND p <= 1 GROUP BY 1, 2", "outcomes"))
-def reliability_5(spark, sf):
-    return vf.reliability_5(A.outcomes(spark, sf), "y", "p", ["station"])
+@plan("reliability_5", S.sql(f"SELECT station, CAST({_bins('p', 5, '>=')} AS INTEGER) AS bin, COUNT(*) AS n, {S.rnd(S.eavg('p', 9), 4)} AS mean_predicted, {S.rnd(S.eavg('y', 9), 4)} AS observed_fraction FROM outcomes WHERE p >= 0 AND p <= 1 GROUP BY 1, 2", "outcomes"))
+def reliability_5(t):
+    return vf.reliability_5(t.outcomes, "y", "p", ["station"])
 
 
-@query("reliability_curve", S.sql(f"""WITH e AS (SELECT l_suppkey AS g, SUM(CASE WHEN l_returnflag = 'R' AND l_tax > 0.07 THEN 1 ELSE 0 END) AS ev FROM lineitem GROUP BY 1),
+@plan("reliability_curve", S.sql(f"""WITH e AS (SELECT l_suppkey AS g, SUM(CASE WHEN l_returnflag = 'R' AND l_tax > 0.07 THEN 1 ELSE 0 END) AS ev FROM lineitem GROUP BY 1),
 o AS (SELECT l_suppkey AS g, CASE WHEN l_returnflag = 'R' AND l_tax > 0.07 THEN 1e0 ELSE 0e0 END AS y, l_discount * 10 AS p FROM lineitem),
 j AS (SELECT o.*, CASE WHEN ev < 10 THEN 5 ELSE 10 END AS n_bins FROM o JOIN e USING (g)),
 b AS (SELECT *, CASE WHEN n_bins = 5 THEN {_bins('p', 5, '>')} ELSE {_bins('p', 10, '>')} END AS rb, CASE WHEN n_bins = 5 THEN {_bins('p', 5, '>=')} ELSE {_bins('p', 10, '>=')} END AS lb FROM j),
 h AS (SELECT g, lb AS bin, COUNT(*) AS n_hist FROM b GROUP BY 1, 2),
 c AS (SELECT g, n_bins, rb AS bin, COUNT(*) AS n_curve, {S.rnd(S.eavg('p', 9), 6)} AS mean_predicted, {S.rnd(S.eavg('y', 9), 6)} AS observed_fraction FROM b GROUP BY 1, 2, 3)
 SELECT c.g, c.n_bins, CAST(c.bin AS INTEGER) AS bin, n_curve, COALESCE(n_hist, 0) AS n_hist, mean_predicted, observed_fraction FROM c LEFT JOIN h ON h.g = c.g AND h.bin = c.bin""", "outcomes"))
-def reliability_curve(spark, sf):
-    li = A.table(spark, sf, "lineitem")
+def reliability_curve(t):
+    li = A.table(t.spark, t.sf_dir, "lineitem")
     o = li.select(_C("l_suppkey").alias("g"), F.when((_C("l_returnflag") == "R") & (_C("l_tax") > 0.07), 1.0).otherwise(0.0).alias("y"), (_C("l_discount") * 10).alias("p"))
     return vf.reliability_curve(o, "y", "p", ["g"])
 
@@ -190,9 +191,9 @@ S.view("categories", f"SELECT lead_h, {_cat_sql('target_pm25', 'target_pm10')} A
     + ", target_pm25, target_pm10, last_obs_pm25, last_obs_pm10, driver_pm25, driver_pm10, pm25_p10, pm25_p50, pm25_p90, pm10_p10, pm10_p50, pm10_p90 FROM evaluation", "evaluation")
 
 
-def categories(spark, sf):
-    t = evaluation(spark, sf)
-    return t.withColumns({"obs_cat": pm_category(_C("target_pm25"), _C("target_pm10"))} | {f"cat_{m}": pm_category(_C(a), _C(b)) for m, (a, b) in _CAT.items()})
+def categories(t):
+    rows = evaluation(t)
+    return rows.withColumns({"obs_cat": pm_category(_C("target_pm25"), _C("target_pm10"))} | {f"cat_{m}": pm_category(_C(a), _C(b)) for m, (a, b) in _CAT.items()})
 
 
 _ACC = " UNION ALL ".join(
@@ -201,10 +202,10 @@ _ACC = " UNION ALL ".join(
     for m in _CAT for ok in [f"cat_{m} <> 'Unknown'" if m == "persistence" else "TRUE"])
 
 
-@query("category_accuracy", S.sql(f"WITH k AS (SELECT *, {S.rank('obs_cat')} AS r_obs, " + ", ".join(f"{S.rank(f'cat_{m}')} AS r_{m}" for m in _CAT)
+@plan("category_accuracy", S.sql(f"WITH k AS (SELECT *, {S.rank('obs_cat')} AS r_obs, " + ", ".join(f"{S.rank(f'cat_{m}')} AS r_{m}" for m in _CAT)
     + f" FROM categories WHERE obs_cat <> 'Unknown'), x AS (SELECT *, {_BK} AS bucket FROM k UNION ALL SELECT *, '{ALL_LEADS}' FROM k) {_ACC}", "categories"))
-def category_accuracy(spark, sf):
-    return vf.category_accuracy(categories(spark, sf), "obs_cat", {m: f"cat_{m}" for m in _CAT})
+def category_accuracy(t):
+    return vf.category_accuracy(categories(t), "obs_cat", {m: f"cat_{m}" for m in _CAT})
 
 
 def _erfc_sql(x):
@@ -226,18 +227,19 @@ def _z_sql(p, t):
 _PROB = f"zz AS (SELECT *, {_z_sql('pm25', 251)} AS z25, {_z_sql('pm10', 431)} AS z10 FROM categories), pr AS (SELECT *, {S.rnd(f'greatest(0.5e0 * ({_erfc_sql('z25')}), 0.5e0 * ({_erfc_sql('z10')}))', 9)} AS p_raw FROM zz)"
 
 
-@query("p_exceed_gauss", S.sql(f"WITH z AS (SELECT station, issue_time, lead_h, {_z_sql('pm25', 251)} AS z25, {_z_sql('pm10', 431)} AS z10 FROM evaluation) SELECT station, issue_time, lead_h, {S.rnd(f'greatest(0.5e0 * ({_erfc_sql('z25')}), 0.5e0 * ({_erfc_sql('z10')}))', 9)} AS p_severe FROM z", "evaluation"))
-def p_exceed_gauss(spark, sf):
-    return evaluation(spark, sf).select("station", "issue_time", "lead_h", round_half_even(vf.p_exceed_pm(), 9).alias("p_severe"))
+@plan("p_exceed_gauss", S.sql(f"WITH z AS (SELECT station, issue_time, lead_h, {_z_sql('pm25', 251)} AS z25, {_z_sql('pm10', 431)} AS z10 FROM evaluation) SELECT station, issue_time, lead_h, {S.rnd(f'greatest(0.5e0 * ({_erfc_sql('z25')}), 0.5e0 * ({_erfc_sql('z10')}))', 9)} AS p_severe FROM z", "evaluation"))
+def p_exceed_gauss(t):
+    rows = vf.with_exceedance(evaluation(t), "p_severe")
+    return rows.select("station", "issue_time", "lead_h", round_half_even(_C("p_severe"), 9).alias("p_severe"))
 
 
 def _sev(a, b):
     return f"CASE WHEN COALESCE({a} >= 251, FALSE) OR COALESCE({b} >= 431, FALSE) THEN 1e0 ELSE 0e0 END"
 
 
-@query("severe_base_rate", S.sql(f"SELECT {S.eavg(_sev('target_pm25', 'target_pm10'), 9)} AS base_rate, COUNT(*) AS n_train FROM samples WHERE issue_time < TIMESTAMP '2024-01-21' AND target_pm25 IS NOT NULL AND target_pm10 IS NOT NULL", "samples"))
-def severe_base_rate(spark, sf):
-    return vf.severe_base_rate(qf.samples(spark, sf).where(_C("issue_time") < F.lit("2024-01-21 00:00:00").cast("timestamp_ntz")))
+@plan("severe_base_rate", S.sql(f"SELECT {S.eavg(_sev('target_pm25', 'target_pm10'), 9)} AS base_rate, COUNT(*) AS n_train FROM samples WHERE issue_time < TIMESTAMP '2024-01-21' AND target_pm25 IS NOT NULL AND target_pm10 IS NOT NULL", "samples"))
+def severe_base_rate(t):
+    return vf.severe_base_rate(qf.samples(t).where(_C("issue_time") < F.lit("2024-01-21 00:00:00").cast("timestamp_ntz")))
 
 
 def _brier_cols(probs):
@@ -251,15 +253,15 @@ def _brier_cols(probs):
 _PROBS = {"raw": "p_raw", "persistence": "p_pers", "raw_driver": "p_drv", "climatology": "p_clim"}
 
 
-@query("severe_risk_table", S.sql(f"""WITH {_PROB}, base AS (SELECT {S.eavg(_sev('target_pm25', 'target_pm10'), 9)} AS rate FROM categories WHERE target_pm25 IS NOT NULL AND target_pm10 IS NOT NULL),
+@plan("severe_risk_table", S.sql(f"""WITH {_PROB}, base AS (SELECT {S.eavg(_sev('target_pm25', 'target_pm10'), 9)} AS rate FROM categories WHERE target_pm25 IS NOT NULL AND target_pm10 IS NOT NULL),
 k AS (SELECT lead_h, CASE WHEN obs_cat = 'Severe' THEN 1e0 ELSE 0e0 END AS y, p_raw, {_sev('last_obs_pm25', 'last_obs_pm10')} AS p_pers, {_sev('driver_pm25', 'driver_pm10')} AS p_drv, rate AS p_clim FROM pr, base WHERE obs_cat <> 'Unknown'),
 x AS (SELECT *, {_BK} AS bucket FROM k UNION ALL SELECT *, '{ALL_LEADS}' FROM k)
 SELECT bucket, COUNT(*) AS n_samples, CAST(SUM(y) AS BIGINT) AS events, {_brier_cols(_PROBS)} FROM x GROUP BY 1""", "categories"))
-def severe_risk_table(spark, sf):
-    t = categories(spark, sf)
-    base = vf.severe_base_rate(t).select(F.lit(0).alias("_one"), _C("base_rate").alias("p_clim"))
-    rows = t.withColumns({
-        "_one": F.lit(0), "p_raw": round_half_even(vf.p_exceed_pm(), 9),
+def severe_risk_table(t):
+    rows = durable(categories(t))
+    base = vf.severe_base_rate(rows).select(F.lit(0).alias("_one"), _C("base_rate").alias("p_clim"))
+    rows = vf.with_exceedance(rows).withColumns({
+        "_one": F.lit(0), "p_raw": round_half_even(_C("p_raw"), 9),
         "p_pers": vf.severe_state(_C("last_obs_pm25"), _C("last_obs_pm10")), "p_drv": vf.severe_state(_C("driver_pm25"), _C("driver_pm10")),
     }).join(F.broadcast(base), "_one")  # one row
     return vf.severe_risk_table(rows, "obs_cat", _PROBS)
@@ -267,8 +269,8 @@ def severe_risk_table(spark, sf):
 
 # --- daily events
 
-def labelled(spark, sf):
-    return ft.split_by_year(ft.horizon_labels(A.daily_long(spark, sf)), (1996, 1998), 2000)
+def labelled(t):
+    return ft.split_by_year(ft.horizon_labels(t.daily_long), (1996, 1998), 2000)
 
 
 _GRID = """lab AS (SELECT *, CASE WHEN year IN (1996, 1998) THEN 'train' ELSE 'test' END AS part FROM labels_daily
@@ -282,28 +284,28 @@ sc AS (SELECT t.*, COALESCE(mo.rate, al.rate, 0e0) AS p_clim, CAST(aqi_t >= thre
   LEFT JOIN al ON al.experiment = t.experiment AND al.event = t.event AND al.horizon = t.horizon WHERE part = 'test')"""
 
 
-@query("climatology_rate", S.sql(f"WITH {_GRID} SELECT experiment, event, horizon, station, CAST(date AS VARCHAR) AS date, y, {S.rnd('p_clim', 9)} AS p_clim, p_pers FROM sc", "labels_daily"))
-def climatology_rate(spark, sf):
-    r = dv.reference_forecasts(dv.experiment_rows(labelled(spark, sf)))
+@plan("climatology_rate", S.sql(f"WITH {_GRID} SELECT experiment, event, horizon, station, CAST(date AS VARCHAR) AS date, y, {S.rnd('p_clim', 9)} AS p_clim, p_pers FROM sc", "labels_daily"))
+def climatology_rate(t):
+    r = dv.reference_forecasts(dv.experiment_rows(labelled(t)))
     return r.select("experiment", "event", "horizon", "station", _C("date").cast("string").alias("date"), "y", round_half_even(_C("p_clim"), 9).alias("p_clim"), "p_pers")
 
 
-@query("persistence_event", S.sql("""SELECT station, CAST(date AS VARCHAR) AS date, CASE WHEN p IS NULL THEN NULL ELSE CAST(p >= 301 AS DOUBLE) END AS strict,
+@plan("persistence_event", S.sql("""SELECT station, CAST(date AS VARCHAR) AS date, CASE WHEN p IS NULL THEN NULL ELSE CAST(p >= 301 AS DOUBLE) END AS strict,
  COALESCE(CAST(p >= 301 AS DOUBLE), 0e0) AS filled FROM (SELECT station, date, aqi_t_minus_1 AS p FROM labels_daily)""", "labels_daily"))
-def persistence_event(spark, sf):
-    lag = ft.calendar_lag(A.daily_long(spark, sf))
+def persistence_event(t):
+    lag = ft.calendar_lag(t.daily_long)
     return lag.select("station", _C("date").cast("string").alias("date"), cm.persistence_event(_C("aqi_lag"), 301.0).alias("strict"), cm.persistence_event(_C("aqi_lag"), 301.0, 0.0).alias("filled"))
 
 
-@query("experiment_grid", S.sql(f"""WITH {_GRID}, cnt AS (SELECT experiment, event, horizon, COUNT(*) FILTER (WHERE part = 'train') AS n_tr, COUNT(*) FILTER (WHERE part = 'test') AS test_days,
+@plan("experiment_grid", S.sql(f"""WITH {_GRID}, cnt AS (SELECT experiment, event, horizon, COUNT(*) FILTER (WHERE part = 'train') AS n_tr, COUNT(*) FILTER (WHERE part = 'test') AS test_days,
   CAST(SUM(CASE WHEN part = 'test' THEN y ELSE 0 END) AS BIGINT) AS events FROM l1 GROUP BY 1, 2, 3),
 br AS (SELECT experiment, event, horizon, {S.eavg('(p_clim - y) * (p_clim - y)', 9)} AS b_clim, {S.eavg('(p_pers - y) * (p_pers - y)', 9)} AS b_pers FROM sc GROUP BY 1, 2, 3)
 SELECT c.experiment, c.event, c.horizon, CASE WHEN test_days = 0 OR n_tr = 0 THEN 'no data' WHEN events < 10 THEN 'insufficient events' ELSE 'valid' END AS status, test_days, events,
  CASE WHEN test_days > 0 AND n_tr > 0 THEN {S.rnd('b_clim', 5)} END AS brier_clim, CASE WHEN test_days > 0 AND n_tr > 0 THEN {S.rnd('b_pers', 5)} END AS brier_pers,
  CASE WHEN test_days > 0 AND n_tr > 0 THEN {S.rnd("(CASE WHEN b_clim = 0 THEN CASE WHEN b_pers = 0 THEN 0e0 ELSE CAST('-infinity' AS DOUBLE) END ELSE 1e0 - b_pers / b_clim END)", 4)} END AS bss_pers_vs_clim
 FROM cnt c LEFT JOIN br USING (experiment, event, horizon)""", "labels_daily"))
-def experiment_grid(spark, sf):
-    return dv.experiment_grid(dv.experiment_rows(labelled(spark, sf)))
+def experiment_grid(t):
+    return dv.experiment_grid(dv.experiment_rows(labelled(t)))
 
 
 def _draw_sql(rep, pos, nb, seed=42):
@@ -331,22 +333,22 @@ _BOOT_SRC = "SELECT experiment, event, horizon, y, p_clim AS p, p_pers AS ref, s
 _BY = ("experiment", "event", "horizon")
 
 
-def _boot(spark, sf, ref=None):
-    rows = dv.reference_forecasts(dv.experiment_rows(labelled(spark, sf)))
+def _boot(t, ref=None):
+    rows = dv.reference_forecasts(dv.experiment_rows(labelled(t)))
     return vf.block_bootstrap(rows, list(_BY), ["station", "date"], "y", "p_clim", ref, reps=200)
 
 
-@query("bootstrap_brier", S.sql(f"WITH {_GRID}, {_boot_sql(_BOOT_SRC, _BY)} SELECT experiment, event, horizon, {S.rnd('quantile_cont(brier, 0.025)', 6)} AS brier_lo, {S.rnd('quantile_cont(brier, 0.975)', 6)} AS brier_hi FROM rp GROUP BY ALL", "labels_daily"))
-def bootstrap_brier(spark, sf):
+@plan("bootstrap_brier", S.sql(f"WITH {_GRID}, {_boot_sql(_BOOT_SRC, _BY)} SELECT experiment, event, horizon, {S.rnd('quantile_cont(brier, 0.025)', 6)} AS brier_lo, {S.rnd('quantile_cont(brier, 0.975)', 6)} AS brier_hi FROM rp GROUP BY ALL", "labels_daily"))
+def bootstrap_brier(t):
     """Interval per station and pooled experiment, as in the experiment runner."""
-    ci = vf.bootstrap_interval(_boot(spark, sf), list(_BY), ["brier"])
+    ci = vf.bootstrap_interval(_boot(t), list(_BY), ["brier"])
     return ci.withColumns({c: round_half_even(_C(c), 6) for c in ("brier_lo", "brier_hi")})
 
 
 _BSS = "CASE WHEN brier_ref = brier THEN 0e0 WHEN brier_ref = 0 THEN CASE WHEN brier = 0 THEN 0e0 ELSE CAST('-infinity' AS DOUBLE) END ELSE 1e0 - brier / brier_ref END"
 
 
-@query("bootstrap_skill", S.sql(f"WITH {_GRID}, {_boot_sql(_BOOT_SRC, _BY)}, s AS (SELECT *, {_BSS} AS skill FROM rp) SELECT experiment, event, horizon, {S.rnd('quantile_cont(skill, 0.025)', 6)} AS skill_lo, {S.rnd('quantile_cont(skill, 0.975)', 6)} AS skill_hi FROM s GROUP BY ALL", "labels_daily"))
-def bootstrap_skill(spark, sf):
-    ci = vf.bootstrap_interval(_boot(spark, sf, "p_pers"), list(_BY), ["skill"])
+@plan("bootstrap_skill", S.sql(f"WITH {_GRID}, {_boot_sql(_BOOT_SRC, _BY)}, s AS (SELECT *, {_BSS} AS skill FROM rp) SELECT experiment, event, horizon, {S.rnd('quantile_cont(skill, 0.025)', 6)} AS skill_lo, {S.rnd('quantile_cont(skill, 0.975)', 6)} AS skill_hi FROM s GROUP BY ALL", "labels_daily"))
+def bootstrap_skill(t):
+    ci = vf.bootstrap_interval(_boot(t, "p_pers"), list(_BY), ["skill"])
     return ci.withColumns({c: round_half_even(_C(c), 6) for c in ("skill_lo", "skill_hi")})

@@ -16,3 +16,14 @@ def query(name: str, oracle: str | None = None):
         return fn
 
     return add
+
+
+def plan(name: str, oracle: str | None = None):
+    """Like `query`, for functions of the `Tables` of one query."""
+    from hazeline.plans.tables import Tables
+
+    def add(fn):
+        query(name, oracle)(lambda spark, sf_dir: fn(Tables(spark, sf_dir)))
+        return fn
+
+    return add

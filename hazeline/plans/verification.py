@@ -16,9 +16,8 @@ def bias_columns(bias: DataFrame) -> DataFrame:
         *[F.max(F.when(F.col("pollutant") == p, F.col("bias_7d"))).alias(f"bias_{p}") for p in POLLUTANTS])
 
 
-def with_candidates(samples: DataFrame, obs: DataFrame, drivers: DataFrame) -> DataFrame:
+def with_candidates(samples: DataFrame, issues: DataFrame, obs: DataFrame, drivers: DataFrame) -> DataFrame:
     """Adds bias, corrected driver and lead blend per pollutant."""
-    issues = samples.select("station", "issue_time").distinct()
     bias = bias_columns(bs.bias_at_issue(issues, bs.rolling_bias_7d(obs, drivers)))
     out = samples.join(bias, ["station", "issue_time"], "left")
     corrected = {f"bc_{p}": bs.driver_bias_corrected(F.col(f"driver_{p}"), F.col(f"bias_{p}")) for p in POLLUTANTS}
@@ -28,6 +27,6 @@ def with_candidates(samples: DataFrame, obs: DataFrame, drivers: DataFrame) -> D
     })
 
 
-def evaluation_table(samples: DataFrame, obs: DataFrame, drivers: DataFrame, train_obs: DataFrame) -> DataFrame:
+def evaluation_table(samples: DataFrame, issues: DataFrame, obs: DataFrame, drivers: DataFrame, train_obs: DataFrame) -> DataFrame:
     """Candidates plus climatology from the training observations."""
-    return climatology_lookup(with_candidates(samples, obs, drivers), climatology_median(train_obs))
+    return climatology_lookup(with_candidates(samples, issues, obs, drivers), climatology_median(train_obs))
