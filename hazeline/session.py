@@ -27,6 +27,12 @@ def _checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder all executors see."""
+    _checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write the rows once to the shared checkpoint folder and go on from there.
 

@@ -83,29 +83,33 @@ def scan_obs_csv(spark: SparkSession, directory: str) -> DataFrame:
     return out
 
 
-def scan_hour_json(spark: SparkSession, directory: str) -> DataFrame:
-    """Nested hour records, one document per series and month; unreadable files are skipped.
+# <station>_<parameter>_<from>_<to>.json
+HOUR_FILE = r"([a-z0-9_]+)_(pm[0-9]+)_([0-9]{8})_([0-9]{8})\.json"
+
 
-    The file name carries `<station>_<parameter>_<from>_<to>.json`.
+def hour_rows(docs: DataFrame, *keep: str) -> DataFrame:
+    """One row per record of `results`; unreadable documents are skipped.
+
+    The period start is the time, the plain stamp stands in; UTC text is preferred.
     """
-    name = r"([a-z0-9_]+)_(pm[0-9]+)_([0-9]{8})_([0-9]{8})\.json"
+    rows = docs.where("_corrupt IS NULL").select(*keep, F.posexplode("results").alias("position", "r"))
+    return rows.select(
+        *keep,
+        to_local(stamp_text(F.col("r.period.datetimeFrom"), F.col("r.datetime"))).alias("ts"),
+        F.col("r.value").alias("value"), F.col("r.coverage.percentComplete").alias("coverage"), "position",
+    )
+
+
+def scan_hour_json(spark: SparkSession, directory: str) -> DataFrame:
+    """Nested hour records, one document per series and month; the series is in the file name."""
     docs = (
         spark.read.schema(HOUR_DOCUMENT).option("multiLine", True).option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt").json(f"{directory}/*.json")
         .select("*", F.col("_metadata.file_name").alias("file"))
-        .where("_corrupt IS NULL")
-    )
-    rows = docs.where(F.col("file").rlike(name)).select(
-        F.regexp_extract("file", name, 1).alias("station"),
-        F.regexp_extract("file", name, 2).alias("parameter"),
-        "file", F.posexplode("results").alias("position", "r"),
-    )
-    return rows.select(
-        "station", "parameter",
-        to_local(stamp_text(F.col("r.period.datetimeFrom"), F.col("r.datetime"))).alias("ts"),
-        F.col("r.value").alias("value"), F.col("r.coverage.percentComplete").alias("coverage"),
-        "file", "position",
+        .where(F.col("file").rlike(HOUR_FILE))
+        .withColumns({"station": F.regexp_extract("file", HOUR_FILE, 1), "parameter": F.regexp_extract("file", HOUR_FILE, 2)})
     )
+    return hour_rows(docs, "station", "parameter", "file")
 
 
 def stamp_text(period_from: Column, fallback: Column) -> Column:
