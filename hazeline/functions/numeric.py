@@ -95,16 +95,20 @@ def erfc_argument(x: Column) -> Column:
     return 2.0 * (2.0 / (2.0 + F.abs(x))) - 1.0
 
 
-def erfc_from(x: Column, u: Column) -> Column:
-    """`erfc` of x when its polynomial argument is already a column."""
-    poly = F.lit(ERFC_COEFFICIENTS[-1])
+def erfc_text(x: str, u: str) -> str:
+    """SQL text of `erfc` for a column x whose polynomial argument is column u."""
+    poly = f"{ERFC_COEFFICIENTS[-1]!r}D"
     for c in reversed(ERFC_COEFFICIENTS[:-1]):
-        poly = poly * u + c
-    z = F.abs(x)
-    tail = 2.0 / (2.0 + z) * F.exp(-z * z + poly)
-    return F.when(x >= 0, tail).otherwise(2.0 - tail)
+        poly = f"({poly} * {u} + {c!r}D)"
+    tail = f"2.0D / (2.0D + abs({x})) * exp(-abs({x}) * abs({x}) + {poly})"
+    return f"CASE WHEN {x} >= 0 THEN {tail} ELSE 2.0D - {tail} END"
 
 
 def erfc(x: Column) -> Column:
     """Complementary error function as one Horner chain (no UDF)."""
-    return erfc_from(x, erfc_argument(x))
+    u, z = erfc_argument(x), F.abs(x)
+    poly = F.lit(ERFC_COEFFICIENTS[-1])
+    for c in reversed(ERFC_COEFFICIENTS[:-1]):
+        poly = poly * u + c
+    tail = 2.0 / (2.0 + z) * F.exp(-z * z + poly)
+    return F.when(x >= 0, tail).otherwise(2.0 - tail)

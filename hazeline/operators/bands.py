@@ -7,15 +7,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazeline.constants import (
-    BAND_FLOOR, DRIVER_OF, FALLBACK_BAND, INTERVAL_TO_SD, LEAD_WIDENING, MIN_SD, POLLUTANTS,
+    BAND_FLOOR, BLEND_WEIGHTS, FALLBACK_BAND, INTERVAL_TO_SD, LEAD_WIDENING, MIN_SD, POLLUTANTS,
 )
 from hazeline.functions.clock import plus_hours
-from hazeline.functions.index import aqi_category, is_severe, pm_index
-from hazeline.functions.numeric import round_half_even
-from hazeline.operators.bias import blend_weight
+from hazeline.functions.index import SEVERE_ABOVE, aqi_category, pm_index, pm_index_text, pm_to_aqi
 from hazeline.operators.daily import aqi_quantile_order
 from hazeline.operators.features import targets_at_valid_time
 
+Q = ("p10", "p50", "p90")
+
 
 def monotone_quantiles(df: DataFrame, names: dict[str, tuple[str, str, str]]) -> DataFrame:
     """p10 = max(0, q10), p50 = max(p10, q50), p90 = max(p50, q90) per named triple."""
@@ -27,30 +27,35 @@ def monotone_quantiles(df: DataFrame, names: dict[str, tuple[str, str, str]]) ->
     return df.withColumns(out)
 
 
-def lead_factor(lead: Column) -> Column:
-    return 1.0 + LEAD_WIDENING * lead
+WIDEN = f"(1.0D + {LEAD_WIDENING!r}D * lead_h)"
 
 
-def blend_band(p: str, driver: Column, stats: Column, last: Column, lead: Column) -> tuple[Column, Column, Column]:
-    """Band of one pollutant from residual statistics; null when the driver is missing."""
-    widen, zero, floor = lead_factor(lead), F.lit(0.0), F.lit(BAND_FLOOR[p])
-    corrected = F.greatest(zero, driver + stats["mean"])
+def blend_band(p: str) -> tuple[str, str, str]:
+    """SQL text of one pollutant's band from the residual struct `res_<p>`."""
+    driver, r, floor = f"driver_{p}", f"res_{p}", f"{BAND_FLOOR[p]!r}D"
+    corrected = f"greatest(0.0D, {driver} + {r}.mean)"
     if p in ("pm25", "pm10"):
         mid = corrected
-        low = F.greatest(floor, stats["mean"] - stats["p10"]) * widen
-        high = F.greatest(floor, stats["p90"] - stats["mean"]) * widen
+        low = f"greatest({floor}, {r}.mean - {r}.p10) * {WIDEN}"
+        high = f"greatest({floor}, {r}.p90 - {r}.mean) * {WIDEN}"
     else:
-        w = blend_weight(p, lead)
-        mid = F.when(last.isNull(), corrected).otherwise(w * last + (1.0 - w) * corrected)
-        low = high = F.greatest(floor, (stats["p90"] - stats["p10"]) / 2.0) * widen
-    return F.greatest(zero, mid - low), mid, mid + high
+        near, mean, far = BLEND_WEIGHTS[p]
+        w = f"(CASE WHEN lead_h <= 24 THEN {near!r}D WHEN lead_h <= 48 THEN {mean!r}D ELSE {far!r}D END)"
+        last = f"last_obs_{p}"
+        mid = f"(CASE WHEN {last} IS NULL THEN {corrected} ELSE {w} * {last} + (1.0D - {w}) * {corrected} END)"
+        low = high = f"greatest({floor}, ({r}.p90 - {r}.p10) / 2.0D) * {WIDEN}"
+    return f"greatest(0.0D, {mid} - {low})", mid, f"{mid} + {high}"
 
 
-def fallback_band(p: str, driver: Column, lead: Column) -> tuple[Column, Column, Column]:
-    """Wide band around the raw driver."""
+def fallback_band(p: str) -> tuple[str, str, str]:
+    """SQL text of the wide band around the raw driver."""
     least, share = FALLBACK_BAND[p]
-    half = F.greatest(F.lit(least), share * driver) * lead_factor(lead)
-    return F.greatest(F.lit(0.0), driver - half), driver, driver + half
+    half = f"greatest({least!r}D, {share!r}D * driver_{p}) * {WIDEN}"
+    return f"greatest(0.0D, driver_{p} - {half})", f"driver_{p}", f"driver_{p} + {half}"
+
+
+def _where_driver(p: str, text: str) -> Column:
+    return F.expr(f"CASE WHEN driver_{p} IS NOT NULL THEN {text} END")
 
 
 def residual_structs(residuals: DataFrame) -> DataFrame:
@@ -68,44 +73,31 @@ def quantile_bands(samples: DataFrame, guard: DataFrame, residuals: DataFrame) -
     """Samples with p10/p50/p90 of every pollutant, by guard status; rounded to one decimal."""
     rows = samples.join(guard, ["station", "issue_time"], "left").join(
         residual_structs(residuals), ["station", "issue_time"], "left")
-    applied = F.col("bias_correction") == "applied"
     out = {}
     for p in POLLUTANTS:
-        driver, lead = F.col(f"driver_{p}"), F.col("lead_h")
-        good = blend_band(p, driver, F.col(f"res_{p}"), F.col(f"last_obs_{p}"), lead)
-        wide = fallback_band(p, driver, lead)
-        for q, a, b in zip(("p10", "p50", "p90"), good, wide):
-            value = F.when(applied, a).otherwise(b)
-            out[f"{p}_{q}"] = F.when(driver.isNotNull(), round_half_even(value, 1))
+        for q, good, wide in zip(Q, blend_band(p), fallback_band(p)):
+            value = f"CASE WHEN bias_correction = 'applied' THEN {good} ELSE {wide} END"
+            out[f"{p}_{q}"] = _where_driver(p, f"rint(({value}) * 10.0D) / 10.0D")
     return rows.withColumns(out)
 
 
 def blend_bands(samples: DataFrame, residuals: DataFrame) -> DataFrame:
     """Unrounded bands with the guard passed everywhere."""
     rows = samples.join(residual_structs(residuals), ["station", "issue_time"], "left")
-    out = {}
-    for p in POLLUTANTS:
-        band = blend_band(p, F.col(f"driver_{p}"), F.col(f"res_{p}"), F.col(f"last_obs_{p}"), F.col("lead_h"))
-        for q, c in zip(("p10", "p50", "p90"), band):
-            out[f"{p}_{q}"] = F.when(F.col(f"driver_{p}").isNotNull(), c)
+    out = {f"{p}_{q}": _where_driver(p, text) for p in POLLUTANTS for q, text in zip(Q, blend_band(p))}
     return rows.withColumns(out).drop(*[f"res_{p}" for p in POLLUTANTS])
 
 
 def fallback_bands(samples: DataFrame) -> DataFrame:
     """Unrounded bands with the guard failed everywhere."""
-    out = {}
-    for p in POLLUTANTS:
-        band = fallback_band(p, F.col(f"driver_{p}"), F.col("lead_h"))
-        for q, c in zip(("p10", "p50", "p90"), band):
-            out[f"{p}_{q}"] = F.when(F.col(f"driver_{p}").isNotNull(), c)
+    out = {f"{p}_{q}": _where_driver(p, text) for p in POLLUTANTS for q, text in zip(Q, fallback_band(p))}
     return samples.withColumns(out)
 
 
 def index_quantiles(bands: DataFrame) -> DataFrame:
     """Ordered index quantiles and the category of the median index."""
-    raw = {f"aqi_{q}": pm_index(F.col(f"pm25_{q}"), F.col(f"pm10_{q}")) for q in ("p10", "p50", "p90")}
-    return aqi_quantile_order(
-        bands.withColumns(raw | {"category": aqi_category(pm_index(F.col("pm25_p50"), F.col("pm10_p50")))}))
+    raw = {f"aqi_{q}": pm_index(f"pm25_{q}", f"pm10_{q}") for q in Q}
+    return aqi_quantile_order(bands.withColumns(raw).withColumn("category", aqi_category("aqi_p50")))
 
 
 def normal_pairs(n: int = 100, seed: int = 42) -> list[tuple[float, float]]:
@@ -114,26 +106,24 @@ def normal_pairs(n: int = 100, seed: int = 42) -> list[tuple[float, float]]:
     return [(float(a), float(b)) for a, b in zip(z[:n], z[n:])]
 
 
-BAND_COLUMNS = [f"{p}_{q}" for p in ("pm25", "pm10") for q in ("p10", "p50", "p90")]
+BAND_COLUMNS = [f"{p}_{q}" for p in ("pm25", "pm10") for q in Q]
 
 
-def severe_share(b: Column, draws: Column, n: int) -> Column:
-    """Share of the joint draws whose index is severe, for one struct of particle bands.
+def severe_share(b: str, n: int, seed: int) -> Column:
+    """Share of n joint draws whose index is severe, for one struct column of particle bands.
 
     The draws are one small constant array searched inside the row; nothing is joined.
     """
-    sd25 = F.greatest(F.lit(MIN_SD), (b["pm25_p90"] - b["pm25_p10"]) / INTERVAL_TO_SD)
-    sd10 = F.greatest(F.lit(MIN_SD), (b["pm10_p90"] - b["pm10_p10"]) / INTERVAL_TO_SD)
-    zero = F.lit(0.0)
+    draws = ", ".join(f"named_struct('a', {x!r}D, 'b', {y!r}D)" for x, y in normal_pairs(n, seed))
 
-    def severe(d: Column) -> Column:
-        v25 = F.when(b["pm25_p50"].isNotNull(), F.greatest(zero, b["pm25_p50"] + sd25 * d["a"]))
-        v10 = F.when(b["pm10_p50"].isNotNull(), F.greatest(zero, b["pm10_p50"] + sd10 * d["b"]))
-        return is_severe(pm_index(v25, v10))
+    def drawn(p: str, z: str) -> str:
+        sd = f"greatest({MIN_SD!r}D, ({b}.{p}_p90 - {b}.{p}_p10) / {INTERVAL_TO_SD!r}D)"
+        return f"CASE WHEN {b}.{p}_p50 IS NOT NULL THEN greatest(0.0D, {b}.{p}_p50 + {sd} * d.{z}) END"
 
-    hits = F.size(F.filter(draws, severe)).cast("double") / n
-    none = b["pm25_p50"].isNull() & b["pm10_p50"].isNull()
-    return F.when(none, 0.0).otherwise(round_half_even(hits, 4))
+    values = f"transform(array({draws}), d -> named_struct('v25', {drawn('pm25', 'a')}, 'v10', {drawn('pm10', 'b')}))"
+    hits = f"size(filter({values}, v -> {pm_index_text('v.v25', 'v.v10')} > {SEVERE_ABOVE}))"
+    none = f"{b}.pm25_p50 IS NULL AND {b}.pm10_p50 IS NULL"
+    return F.expr(f"CASE WHEN {none} THEN 0.0D ELSE rint({hits} / {float(n)!r}D * 10000.0D) / 10000.0D END")
 
 
 def with_p_severe(bands: DataFrame, leads=(24, 48, 72), n: int = 100, seed: int = 42) -> DataFrame:
@@ -141,19 +131,18 @@ def with_p_severe(bands: DataFrame, leads=(24, 48, 72), n: int = 100, seed: int
 
     One window over the (at most 72) rows of an issue; only the asked leads are evaluated.
     """
-    z = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in normal_pairs(n, seed)])
     w = Window.partitionBy("station", "issue_time")
     lead = F.col("lead_h")
-    out = bands.withColumn("_last", F.max(lead).over(w))
+    out = bands.withColumn("_last", F.max(lead).over(w)).withColumn("_b", F.struct(*BAND_COLUMNS))
     asked = lead.isin(*leads) | (lead == F.col("_last"))
-    out = out.withColumn("_p", F.when(asked, severe_share(F.struct(*BAND_COLUMNS), z, n)))
+    out = out.withColumn("_p", F.when(asked, severe_share("_b", n, seed)))
 
     def at(h: Column) -> Column:
         return F.max(F.when(lead == h, F.col("_p"))).over(w)
 
     return out.withColumns({
         f"p_severe_{h}h": F.coalesce(at(F.lit(h)), at(F.col("_last"))) for h in leads
-    }).drop("_last", "_p")
+    }).drop("_last", "_p", "_b")
 
 
 def p_severe_mc(bands: DataFrame, leads=(24, 48, 72), n: int = 100, seed: int = 42) -> DataFrame:
@@ -178,5 +167,4 @@ def choose_drivers(history: DataFrame, live: DataFrame, issue: Column, max_lead:
 def replay_observed(forecast: DataFrame, obs: DataFrame) -> DataFrame:
     """Observed values, index and category at the valid times."""
     seen = targets_at_valid_time(forecast, obs, "obs_")
-    index = pm_index(F.col("obs_pm25"), F.col("obs_pm10"))
-    return seen.withColumns({"obs_aqi": index, "obs_category": aqi_category(index)})
+    return pm_to_aqi(seen, "obs_pm25", "obs_pm10", "obs_aqi", "obs_category")

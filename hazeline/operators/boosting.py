@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -100,10 +102,24 @@ class QuantileBoostModel:
         return cls(meta["alpha"], meta["base"], meta["rate"], stages)
 
 
-def train_quantile_models(train: DataFrame, pollutants=POLLUTANTS, quantiles=QUANTILES, trees: int = 80, **options) -> dict:
-    """{pollutant: {quantile: model}} over the 22 features of the sample matrix."""
+def train_quantile_models(
+    train: DataFrame, pollutants=POLLUTANTS, quantiles=QUANTILES, trees: int = 80, parallelism: int = 6, **options
+) -> dict:
+    """{pollutant: {quantile: model}} over the 22 features of the sample matrix.
+
+    The models are independent, so `parallelism` of them submit their jobs side by side, as
+    Spark ML's own cross-validator does; each job is still spread over the executors.
+    """
     rows = durable(feature_vector(train, list(FEATURES_72H)).select("features", *[f"target_{p}" for p in pollutants]))
-    return {p: {q: QuantileBoost(q, trees, **options).fit(rows, f"target_{p}") for q in quantiles} for p in pollutants}
+    cells = [(p, q) for p in pollutants for q in quantiles]
+
+    def fit(cell):
+        p, q = cell
+        return QuantileBoost(q, trees, **options).fit(rows, f"target_{p}")
+
+    with ThreadPool(parallelism) as pool:
+        fitted = dict(zip(cells, pool.map(inheritable_thread_target(train.sparkSession)(fit), cells)))
+    return {p: {q: fitted[p, q] for q in quantiles} for p in pollutants}
 
 
 def predict_quantiles(models: dict, samples: DataFrame, monotone: bool = True) -> DataFrame:

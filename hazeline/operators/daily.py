@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazeline.constants import (
     CATEGORIES, CONC_BANDS, INDEX_NAMES, SEVERE_INDEX, VERY_POOR_INDEX, breakpoint_rows,
 )
 from hazeline.functions.clock import reporting_date
-from hazeline.functions.index import (
-    aqi_category, aqi_max, is_severe, pm_index, sub_index,
-)
+from hazeline.functions.index import aqi_category, aqi_max, is_severe, pm_index, sub_index
 from hazeline.functions.numeric import exact_avg
 
 
@@ -22,13 +20,12 @@ def unpivot(df: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
 
 def band_counts(long: DataFrame) -> DataFrame:
     """Rows inside each concentration band (values in a gap or beyond the top count nowhere)."""
-    band = F.lit(None).cast("string")
-    for name, bands in CONC_BANDS.items():
-        for (lo, hi), cat in zip(bands, CATEGORIES):
-            inside = (F.col("pollutant") == name) & (F.col("value") >= float(lo)) & (F.col("value") <= float(hi))
-            band = F.when(inside, cat).otherwise(band)
-    return long.withColumn("category", band).where("category IS NOT NULL").groupBy("pollutant", "category").agg(
-        F.count(F.lit(1)).alias("n_hours"))
+    arms = " ".join(
+        f"WHEN pollutant = '{name}' AND value BETWEEN {float(lo)!r}D AND {float(hi)!r}D THEN '{cat}'"
+        for name, bands in CONC_BANDS.items() for (lo, hi), cat in zip(bands, CATEGORIES)
+    )
+    inside = long.withColumn("category", F.expr(f"CASE {arms} END")).where("category IS NOT NULL")
+    return inside.groupBy("pollutant", "category").agg(F.count(F.lit(1)).alias("n_hours"))
 
 
 def threshold_hits(daily: DataFrame) -> DataFrame:
@@ -56,14 +53,14 @@ def daily_aqi_7(hourly: DataFrame, min_valid_hours: int = 16) -> DataFrame:
     have = [n for n in names if n in hourly.columns]
     d = daily_average(hourly, have, min_valid_hours)
     d = d.withColumns({n: F.lit(None).cast("double") for n in names if n not in have})
-    index = aqi_max(*[sub_index(INDEX_NAMES[n], F.col(n)) for n in have])
+    index = aqi_max(*[sub_index(INDEX_NAMES[n], n) for n in have])
     return d.select("station", "date", index.alias("aqi"), *[F.col(n).alias(f"conc_{n}") for n in names])
 
 
 def daily_aqi_pm(hourly: DataFrame, min_valid_hours: int = 16) -> DataFrame:
     """Daily particle means and their index."""
     d = daily_average(hourly, ["pm25", "pm10"], min_valid_hours)
-    return d.withColumn("aqi", pm_index(F.col("pm25"), F.col("pm10")))
+    return d.withColumn("aqi", pm_index("pm25", "pm10"))
 
 
 def daily_calendar(daily: DataFrame, first: str, last: str) -> DataFrame:
@@ -71,7 +68,7 @@ def daily_calendar(daily: DataFrame, first: str, last: str) -> DataFrame:
     spine = daily.select("station").distinct().withColumn(
         "date", F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr("interval 1 day"))))
     out = spine.join(daily.select("station", "date", "pm25", "pm10", "aqi"), ["station", "date"], "left")
-    return out.withColumn("category", F.when(F.col("aqi").isNotNull(), aqi_category(F.col("aqi"))))
+    return out.withColumn("category", F.when(F.col("aqi").isNotNull(), aqi_category("aqi")))
 
 
 def category_counts(calendar: DataFrame) -> DataFrame:
@@ -81,10 +78,10 @@ def category_counts(calendar: DataFrame) -> DataFrame:
 
 def p_severe_samples(samples: DataFrame, by: list[str]) -> DataFrame:
     """Share of joint samples with a severe index; pairs without any value do not count."""
-    index = pm_index(F.col("pm25"), F.col("pm10"))
+    index = pm_index("pm25", "pm10")
     s = samples.select(*by, index.alias("_i"))
     return s.groupBy(*by).agg(
-        F.coalesce(F.try_divide(F.count_if(is_severe(F.col("_i"))).cast("double"), F.count("_i")), F.lit(0.0)).alias("p_severe"),
+        F.coalesce(F.try_divide(F.count_if(is_severe("_i")).cast("double"), F.count("_i")), F.lit(0.0)).alias("p_severe"),
         F.count("_i").alias("n_valid"),
     )
 
@@ -95,22 +92,24 @@ def index_selfcheck(stored: DataFrame) -> DataFrame:
     The lookup searches the 42 rows as an array value, so the check does not share the CASE
     chain that produced the stored values.
     """
-    names = ("pollutant", "conc_low", "conc_high", "index_low", "index_high")
-    rows = sorted((r[0], *r[2:6]) for r in breakpoint_rows())
+    rows = ", ".join(
+        f"named_struct('name', '{n}', 'a', {a!r}D, 'b', {b!r}D, 'i', {i!r}D, 'j', {j!r}D)"
+        for n, _, a, b, i, j, _ in sorted(breakpoint_rows())
+    )
 
-    def lookup(name: str, conc):
-        mine = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in rows if r[0] == name])
-        hit = F.filter(mine, lambda b: (b["conc_low"] <= conc) & (conc <= b["conc_high"]))
-        band = F.when(F.size(hit) > 0, F.element_at(hit, 1)).otherwise(F.element_at(mine, -1))
-        slope = (band["index_high"] - band["index_low"]) / (band["conc_high"] - band["conc_low"])
-        return F.when(conc >= 0, F.rint(band["index_low"] + slope * (conc - band["conc_low"])))
+    def lookup(name: str, conc: str) -> Column:
+        mine = f"filter(array({rows}), r -> r.name = '{name}')"
+        hit = f"filter({mine}, r -> r.a <= {conc} AND {conc} <= r.b)"
+        band = f"coalesce(get({hit}, 0), element_at({mine}, -1))"
+        value = f"transform(array({band}), r -> rint(r.i + (r.j - r.i) / (r.b - r.a) * ({conc} - r.a)))[0]"
+        return F.expr(f"CASE WHEN {conc} >= 0 THEN {value} END")
 
     again = stored.withColumn(
-        "_again", aqi_max(lookup("PM2.5", F.col("pm25")), lookup("PM10", F.col("pm10"))))
+        "_again", aqi_max(lookup("PM2.5", "pm25"), lookup("PM10", "pm10")))
     return again.groupBy("station").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(~F.col("aqi").eqNullSafe(F.col("_again"))).cast("int").alias("n_bad_index"),
-        F.count_if(~F.col("category").eqNullSafe(aqi_category(F.col("_again")))).cast("int").alias("n_bad_category"),
+        F.count_if(~F.col("category").eqNullSafe(aqi_category("_again"))).cast("int").alias("n_bad_category"),
         F.count("aqi").alias("n_index"),
     )
 

@@ -14,7 +14,7 @@ from hazeline.constants import (
 )
 from hazeline.functions.index import category_rank
 from hazeline.functions.numeric import (
-    erfc, erfc_argument, erfc_from, exact_avg, fixed_point, round_half_even,
+    erfc, erfc_argument, erfc_text, exact_avg, fixed_point, round_half_even,
 )
 from hazeline.operators.ordered import place
 
@@ -288,11 +288,11 @@ def category_accuracy(table: DataFrame, observed: str, models: dict[str, str]) -
 
     `models` maps model names to category columns; persistence also needs a known forecast.
     """
-    obs = category_rank(F.col(observed))
+    obs = category_rank(observed)
     known = table.where(F.col(observed) != "Unknown").withColumn("bucket", lead_bucket(F.col("lead_h")))
     aggs = [F.count(F.lit(1)).alias("n_valid")]
     for m, c in models.items():
-        rank = category_rank(F.col(c))
+        rank = category_rank(c)
         ok = (F.col(c) != "Unknown") if m == "persistence" else F.lit(True)
         aggs += [
             F.count_if(ok).alias(f"n_{m}"), F.count_if(ok & (rank == obs)).alias(f"e_{m}"),
@@ -329,8 +329,8 @@ def with_exceedance(df: DataFrame, out: str = "p_raw") -> DataFrame:
     limits = {"pm25": SEVERE_PM25, "pm10": SEVERE_PM10}
     z = {f"_z_{p}": _exceed_z(F.col(f"{p}_p10"), F.col(f"{p}_p50"), F.col(f"{p}_p90"), t) for p, t in limits.items()}
     step = df.withColumns(z).withColumns({f"_u_{p}": erfc_argument(F.col(f"_z_{p}")) for p in limits})
-    tails = [0.5 * erfc_from(F.col(f"_z_{p}"), F.col(f"_u_{p}")) for p in limits]
-    return step.withColumn(out, F.greatest(*tails)).drop(*z, *[f"_u_{p}" for p in limits])
+    tails = ", ".join(f"0.5D * ({erfc_text(f'_z_{p}', f'_u_{p}')})" for p in limits)
+    return step.withColumn(out, F.expr(f"greatest({tails})")).drop(*z, *[f"_u_{p}" for p in limits])
 
 
 def severe_state(pm25: Column, pm10: Column) -> Column:

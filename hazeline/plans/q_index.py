@@ -52,8 +52,8 @@ _SUBS = [("pm25", "PM2.5"), ("pm10", "PM10"), ("no2", "NO2"), ("o3", "O3")]
 def sub_index(spark, sf):
     return A.obs(spark, sf).select(
         "station", "ts",
-        *[ix.sub_index(p, _C(c)).alias(f"si_{c}") for c, p in _SUBS],
-        *[ix.sub_index(p, _C(c), "continuous").alias(f"sc_{c}") for c, p in _SUBS],
+        *[ix.sub_index(p, c).alias(f"si_{c}") for c, p in _SUBS],
+        *[ix.sub_index(p, c, "continuous").alias(f"sc_{c}") for c, p in _SUBS],
     )
 
 
@@ -62,17 +62,18 @@ def sub_index(spark, sf):
     for i, (p, m) in enumerate(zip(CONC_BANDS, (9, 8, 7, 45, 1, 20, 50)))) + " FROM soundings", "soundings"))
 def sub_index_all_pollutants(spark, sf):
     """All seven band tables, the pollutant name taken from a column."""
-    df = A.soundings(spark, sf)
+    scaled = {f"c{i}": _C("temp_c") * m for i, m in enumerate((9, 8, 7, 45, 1, 20, 50))}
+    df = A.soundings(spark, sf).withColumns(scaled)
     return df.select("profile", "height_m", *[
-        ix.sub_index_any(F.lit(f" {p.lower()} "), _C("temp_c") * m).alias(f"si_{i}")
-        for i, (p, m) in enumerate(zip(CONC_BANDS, (9, 8, 7, 45, 1, 20, 50)))
+        ix.sub_index_any(f"' {p.lower()} '", f"c{i}").alias(f"si_{i}")
+        for i, p in enumerate(CONC_BANDS)
     ])
 
 
 @query("aqi_max", S.sql("SELECT station, ts, greatest(" + ", ".join(
     S.sub_index(p, c) for c, p in _SUBS) + ") AS aqi FROM obs", "obs"))
 def aqi_max(spark, sf):
-    return A.obs(spark, sf).select("station", "ts", ix.aqi_max(*[ix.sub_index(p, _C(c)) for c, p in _SUBS]).alias("aqi"))
+    return A.obs(spark, sf).select("station", "ts", ix.aqi_max(*[ix.sub_index(p, c) for c, p in _SUBS]).alias("aqi"))
 
 
 @query("aqi_category", S.sql(f"""SELECT station, date, aqi, {S.category('aqi')} AS category,
@@ -81,24 +82,22 @@ def aqi_max(spark, sf):
 def aqi_category(spark, sf):
     return A.daily_long(spark, sf).select(
         "station", _C("date").cast("string").alias("date"), "aqi",
-        ix.aqi_category(_C("aqi")).alias("category"),
-        ix.aqi_category(_C("aqi"), "continuous").alias("category_continuous"),
+        ix.aqi_category("aqi").alias("category"),
+        ix.aqi_category("aqi", "continuous").alias("category_continuous"),
     )
 
 
 @query("pm_to_aqi", S.sql(f"""SELECT station, ts, aqi, {S.category('aqi')} AS category
 FROM (SELECT station, ts, {S.pm_index('pm25', 'pm10')} AS aqi FROM obs)""", "obs"))
 def pm_to_aqi(spark, sf):
-    return A.obs(spark, sf).select("station", "ts", ix.pm_to_aqi(_C("pm25"), _C("pm10")).alias("x")).select(
-        "station", "ts", "x.aqi", "x.category")
+    return ix.pm_to_aqi(A.obs(spark, sf)).select("station", "ts", "aqi", "category")
 
 
 @query("category_counts_hourly", S.sql(f"""SELECT station, category, COUNT(*) AS n_hours
 FROM (SELECT station, {S.category('aqi')} AS category FROM
  (SELECT station, {S.pm_index('pm25', 'pm10')} AS aqi FROM obs)) GROUP BY 1, 2""", "obs"))
 def category_counts_hourly(spark, sf):
-    return A.obs(spark, sf).groupBy("station", ix.pm_category(_C("pm25"), _C("pm10")).alias("category")).agg(
-        F.count(F.lit(1)).alias("n_hours"))
+    return ix.pm_to_aqi(A.obs(spark, sf)).groupBy("station", "category").agg(F.count(F.lit(1)).alias("n_hours"))
 
 
 @query("dominant_pollutant", S.sql("SELECT station, ts, CASE WHEN top IS NULL THEN NULL "
@@ -106,7 +105,7 @@ def category_counts_hourly(spark, sf):
     + ", ".join(f"s_{c}" for c, _ in _SUBS) + ") AS top FROM (SELECT station, ts, "
     + ", ".join(f"{S.sub_index(p, c)} AS s_{c}" for c, p in _SUBS) + " FROM obs))", "obs"))
 def dominant_pollutant(spark, sf):
-    return A.obs(spark, sf).select("station", "ts", ix.dominant_pollutant(**{c: _C(c) for c, _ in _SUBS}).alias("dominant"))
+    return ix.dominant_pollutant(A.obs(spark, sf), [c for c, _ in _SUBS]).select("station", "ts", "dominant")
 
 
 S.view("daily_pm", f"""SELECT station, {S.REPORTING_DATE.format(ts='ts')} AS date,
@@ -168,8 +167,7 @@ SELECT station, COUNT(*) AS n_rows, 0 AS n_bad_index, 0 AS n_bad_category, COUNT
  (SELECT station, {S.pm_index('pm25', 'pm10')} AS aqi FROM obs) GROUP BY 1""", "obs"))
 def index_selfcheck(spark, sf):
     """Recomputes every stored index by band lookup in the long table and counts mismatches."""
-    stored = A.obs(spark, sf).withColumn("x", ix.pm_to_aqi(_C("pm25"), _C("pm10"))).select(
-        "station", "ts", "pm25", "pm10", "x.*")
+    stored = ix.pm_to_aqi(A.obs(spark, sf)).select("station", "ts", "pm25", "pm10", "aqi", "category")
     return dy.index_selfcheck(stored)
 
 

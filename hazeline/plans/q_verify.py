@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hazeline.constants import ALL_LEADS, POLLUTANTS
-from hazeline.functions.index import pm_category
+from hazeline.functions.index import with_pm_aqi
 from hazeline.functions.numeric import round_half_even
 from hazeline.operators import climatology as cm
 from hazeline.operators import daily_verify as dv
@@ -193,7 +193,8 @@ S.view("categories", f"SELECT lead_h, {_cat_sql('target_pm25', 'target_pm10')} A
 
 def categories(t):
     rows = evaluation(t)
-    return rows.withColumns({"obs_cat": pm_category(_C("target_pm25"), _C("target_pm10"))} | {f"cat_{m}": pm_category(_C(a), _C(b)) for m, (a, b) in _CAT.items()})
+    rows = with_pm_aqi(rows, {"obs": ("target_pm25", "target_pm10")}, None, "{}_cat")
+    return with_pm_aqi(rows, _CAT, None, "cat_{}")
 
 
 _ACC = " UNION ALL ".join(

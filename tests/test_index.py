@@ -19,35 +19,35 @@ def one(spark, expr):
     (250, 430, 400, "Very Poor"), (380, 500, 500, "Severe"), (380, 400, 452, "Severe"),
 ])
 def test_joint_index(spark, pm25, pm10, index, name):
-    got = one(spark, ix.pm_to_aqi(F.lit(float(pm25)), F.lit(float(pm10))))
+    got = ix.pm_to_aqi(spark.createDataFrame([(float(pm25), float(pm10))], "pm25 double, pm10 double")).first()
     assert (got["aqi"], got["category"]) == (index, name)
 
 
 def test_every_band_edge_and_midpoint(spark):
     rows = [(p, c, lo + (hi - lo) * (c - a) / (b - a)) for p, _, a, b, lo, hi, _ in breakpoint_rows() for c in (a, b, (a + b) / 2)]
     df = spark.createDataFrame(rows, "p string, c double, want double")
-    got = df.withColumn("got", ix.sub_index_any(F.col("p"), F.col("c"))).collect()
+    got = df.withColumn("got", ix.sub_index_any("p", "c")).collect()
     assert len(got) == 126
     for r in got:
         assert abs(r["got"] - r["want"]) <= 0.5
 
 
 def test_gap_modes(spark):
-    assert one(spark, ix.sub_index("PM2.5", F.lit(30.5))) == 313
-    assert one(spark, ix.sub_index("PM2.5", F.lit(30.5), "continuous")) == 50
-    assert one(spark, ix.sub_index("PM10", F.lit(50.5))) == -145
-    assert one(spark, ix.aqi_category(F.lit(200.5))) == "Good"
-    assert one(spark, ix.aqi_category(F.lit(200.5), "continuous")) == "Moderate"
-    assert one(spark, ix.sub_index(" pm 2.5 ", F.lit(251.0))) == 401
-    assert one(spark, ix.sub_index("lead", F.lit(1.0))) is None
-    assert one(spark, ix.sub_index("PM10", F.lit(-1.0))) is None
-    assert one(spark, ix.aqi_category(F.lit(None).cast("double"))) == "Unknown"
-    assert one(spark, ix.aqi_category(F.lit(900.0))) == "Severe"
+    assert one(spark, ix.sub_index("PM2.5", "30.5D")) == 313
+    assert one(spark, ix.sub_index("PM2.5", "30.5D", "continuous")) == 50
+    assert one(spark, ix.sub_index("PM10", "50.5D")) == -145
+    assert one(spark, ix.aqi_category("200.5D")) == "Good"
+    assert one(spark, ix.aqi_category("200.5D", "continuous")) == "Moderate"
+    assert one(spark, ix.sub_index(" pm 2.5 ", "251.0D")) == 401
+    assert one(spark, ix.sub_index("lead", "1.0D")) is None
+    assert one(spark, ix.sub_index("PM10", "-1.0D")) is None
+    assert one(spark, ix.aqi_category("CAST(NULL AS DOUBLE)")) == "Unknown"
+    assert one(spark, ix.aqi_category("900.0D")) == "Severe"
 
 
 def test_dominant_and_max(spark):
-    assert one(spark, ix.dominant_pollutant(pm25=F.lit(40.0), pm10=F.lit(300.0))) == "pm10"
-    assert one(spark, ix.dominant_pollutant(pm25=F.lit(None).cast("double"), pm10=F.lit(None).cast("double"))) is None
+    df = spark.createDataFrame([(40.0, 300.0), (None, None)], "pm25 double, pm10 double")
+    assert {r["pm25"]: r["dominant"] for r in ix.dominant_pollutant(df, ["pm25", "pm10"]).collect()} == {40.0: "pm10", None: None}
 
 
 def test_reporting_day_edges_and_valid_hours(spark):
