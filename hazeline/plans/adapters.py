@@ -1,7 +1,7 @@
 """Views that read the given star-schema tables as stations, drivers, soundings and fires.
 
 Only the columns a view needs are selected, so the Parquet scan prunes the rest. Averages
-are sums of fixed-point values divided once, so that they do not depend on row order.
+are sums of whole cents divided once, so that they do not depend on row order.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from hazeline.constants import breakpoint_rows
 from hazeline.functions.clock import hour_floor, minute_floor, plus_hours, utc_to_local
+from hazeline.functions.numeric import exact_avg
 
 T0 = "TIMESTAMP_NTZ'2024-01-01 00:00:00'"
 BREAKPOINT_SCHEMA = (
@@ -24,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def davg(c: Column) -> Column:
-    return F.try_divide(F.sum(c.cast("decimal(18,2)")).cast("double"), F.count(c))
+    return exact_avg(c, 2)
 
 
 def _station(c: str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,10 +35,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write the rows once to the shared checkpoint folder and go on from there.
+    """Write the rows once as a table in the shared checkpoint folder and go on from there.
 
-    Used where a plan depends on *where* a row was placed (range placement, generated
-    models): a lost executor then re-reads the same rows instead of recomputing others.
+    Used where a plan depends on *where* a row was placed (range placement), where a small
+    table is read many times, or between iterations: a lost executor re-reads the same rows
+    instead of recomputing them. Parquet keeps column pruning and pushdown for later reads.
     """
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
