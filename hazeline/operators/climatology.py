@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hazeline.constants import POLLUTANTS
 from hazeline.operators.daily import unpivot
 from hazeline.operators.ordered import exact_percentiles
+from hazeline.session import durable
 
 # Fallback chain, finest level first; columns not in a level hold a placeholder.
 LEVELS = (("station", "month", "hour"), ("station", "month"), ("month", "hour"), ("month",), ())
@@ -40,37 +41,35 @@ def climatology_median(train_obs: DataFrame) -> DataFrame:
 def climatology_lookup(samples: DataFrame, medians: DataFrame, valid_time: str = "valid_time") -> DataFrame:
     """Adds `clim_<pollutant>` by the fallback chain (finest level present wins).
 
-    The median table is pivoted to one row per key and level, so each level is one join on
-    a table whose size is bounded by stations x months x hours.
+    The medians become one small table (at most stations x 12 x 24 rows at the finest level),
+    written once; each level is a join on it, broadcast by Spark when its size allows. The
+    overall median is spread over the twelve months, so the last two levels are one join.
     """
-    wide = medians.groupBy("level", "station", "month", "hour").agg(
-        *[F.max(F.when(F.col("pollutant") == p, F.col("median"))).alias(p) for p in POLLUTANTS])
+    wide = durable(medians.groupBy("level", "station", "month", "hour").agg(
+        *[F.max(F.when(F.col("pollutant") == p, F.col("median"))).alias(p) for p in POLLUTANTS]))
     out = samples.withColumns({"_month": F.month(valid_time), "_hour": F.hour(valid_time)})
     keymap = {"station": "station", "month": "_month", "hour": "_hour"}
-    for i, keys in enumerate(LEVELS[:-1]):
+    for i, keys in enumerate(LEVELS[:3]):
         table = wide.where(F.col("level") == i).select(
             *[F.col(k).alias(keymap[k]) for k in keys], *[F.col(p).alias(f"_c{i}_{p}") for p in POLLUTANTS])
         out = out.join(table, [keymap[k] for k in keys], "left")
-    overall = wide.where(F.col("level") == len(LEVELS) - 1).select(
-        F.lit(0).alias("_one"), *[F.col(p).alias(f"_c4_{p}") for p in POLLUTANTS])
-    out = out.withColumn("_one", F.lit(0)).join(F.broadcast(overall), "_one", "left")  # one row
+    spread = F.when(F.col("level") == 3, F.array("month")).otherwise(F.sequence(F.lit(1), F.lit(12)))
+    months = wide.where(F.col("level") >= 3).withColumn("_month", F.explode(spread)).groupBy("_month").agg(*[
+        F.min_by(p, F.when(F.col(p).isNotNull(), F.col("level"))).alias(f"_c3_{p}") for p in POLLUTANTS])
+    out = out.join(months, "_month", "left")
     out = out.withColumns({
-        f"clim_{p}": F.coalesce(*[F.col(f"_c{i}_{p}") for i in range(len(LEVELS))], F.lit(LAST_RESORT)) for p in POLLUTANTS
+        f"clim_{p}": F.coalesce(*[F.col(f"_c{i}_{p}") for i in range(4)], F.lit(LAST_RESORT)) for p in POLLUTANTS
     })
-    return out.drop("_month", "_hour", "_one", *[f"_c{i}_{p}" for i in range(len(LEVELS)) for p in POLLUTANTS])
+    return out.drop("_month", "_hour", *[f"_c{i}_{p}" for i in range(4) for p in POLLUTANTS])
 
 
-def climatology_rate(train: DataFrame, test: DataFrame, label: str, by: list[str] = (), out: str = "p_clim") -> DataFrame:
-    """Monthly event rate of the training rows, overall rate where a month is new, else 0."""
+def climatology_rate(train: DataFrame, test: DataFrame, label: str, by: list[str], out: str = "p_clim") -> DataFrame:
+    """Monthly event rate of the training rows per group, its overall rate where a month is new, else 0."""
     seen = train.where(F.col(label).isNotNull())
-    monthly = seen.groupBy(*by, "month").agg(F.avg(label).alias("_rate"))
-    overall = seen.groupBy(*by).agg(F.avg(label).alias("_all")) if by else seen.agg(F.avg(label).alias("_all"))
-    got = test.join(monthly, [*by, "month"], "left")
-    if by:
-        got = got.join(overall, list(by), "left")
-    else:
-        got = got.withColumn("_one", F.lit(0)).join(F.broadcast(overall.withColumn("_one", F.lit(0))), "_one", "left").drop("_one")
-    return got.withColumn(out, F.coalesce("_rate", "_all", F.lit(0.0))).drop("_rate", "_all")
+    monthly = seen.groupBy(*by, "month").agg(F.sum(label).alias("_s"), F.count(label).alias("_n"))
+    overall = monthly.groupBy(*by).agg((F.sum("_s") / F.sum("_n")).alias("_all"))
+    got = test.join(monthly, [*by, "month"], "left").join(overall, list(by), "left")
+    return got.withColumn(out, F.coalesce(F.col("_s") / F.col("_n"), F.col("_all"), F.lit(0.0))).drop("_s", "_n", "_all")
 
 
 def climatology_expanding(daily: DataFrame, forecasts: DataFrame, events: dict[str, float]) -> DataFrame:
@@ -85,6 +84,7 @@ def climatology_expanding(daily: DataFrame, forecasts: DataFrame, events: dict[s
     probes = asked.withColumn("_ask", F.lit(True))
     both = facts.unionByName(probes, allowMissingColumns=True)
     run_m = Window.partitionBy("month").orderBy("date").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # Every calendar day once: a few hundred rows per year, whatever the number of stations.
     run_a = Window.partitionBy(F.lit(0)).orderBy("date").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     names = ["n", *events]
     summed = both.withColumns(

@@ -15,6 +15,7 @@ from hazeline.plans import adapters as A
 from hazeline.plans import forecast as fc
 from hazeline.plans import sqltext as S
 from hazeline.plans.registry import plan
+from hazeline.session import durable
 
 _C = F.col
 SEASONS = [("2024-01-01", "2024-01-20"), ("2024-01-21", "2024-01-30")]
@@ -206,12 +207,12 @@ def rolling_bias_7d(t):
 
 @plan("bias_asof", S.sql("SELECT * FROM bias_issue", "bias_issue"))
 def bias_asof(t):
-    return bs.bias_asof(issues(t), bs.rolling_bias_7d(t.obs, t.drivers))
+    return bs.bias_asof(issues(t), durable(bs.rolling_bias_7d(t.obs, t.drivers)))
 
 
 @plan("bias_at_issue", S.sql("SELECT station, issue_time, pollutant, COALESCE(bias_7d, 0) AS bias_7d FROM bias_issue", "bias_issue"))
 def bias_at_issue(t):
-    return bs.bias_at_issue(issues(t), bs.rolling_bias_7d(t.obs, t.drivers))
+    return bs.bias_at_issue(issues(t), durable(bs.rolling_bias_7d(t.obs, t.drivers)))
 
 
 @plan("driver_bias_corrected", S.sql("SELECT o.station, o.ts, CASE WHEN o.pm25 IS NOT NULL THEN greatest(0e0, d.pm2_5 + (o.pm25 - 300)) END AS corrected FROM obs o JOIN drivers d ON o.station = d.station AND o.ts = d.ts", "obs", "drivers"))

@@ -260,11 +260,11 @@ x AS (SELECT *, {_BK} AS bucket FROM k UNION ALL SELECT *, '{ALL_LEADS}' FROM k)
 SELECT bucket, COUNT(*) AS n_samples, CAST(SUM(y) AS BIGINT) AS events, {_brier_cols(_PROBS)} FROM x GROUP BY 1""", "categories"))
 def severe_risk_table(t):
     rows = durable(categories(t))
-    base = vf.severe_base_rate(rows).select(F.lit(0).alias("_one"), _C("base_rate").alias("p_clim"))
+    rate = vf.severe_base_rate(rows).first()["base_rate"]
     rows = vf.with_exceedance(rows).withColumns({
-        "_one": F.lit(0), "p_raw": round_half_even(_C("p_raw"), 9),
+        "p_raw": round_half_even(_C("p_raw"), 9), "p_clim": F.lit(rate),
         "p_pers": vf.severe_state(_C("last_obs_pm25"), _C("last_obs_pm10")), "p_drv": vf.severe_state(_C("driver_pm25"), _C("driver_pm10")),
-    }).join(F.broadcast(base), "_one")  # one row
+    })
     return vf.severe_risk_table(rows, "obs_cat", _PROBS)
 
 

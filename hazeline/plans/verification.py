@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hazeline.constants import POLLUTANTS
 from hazeline.operators import bias as bs
 from hazeline.operators.climatology import climatology_lookup, climatology_median
+from hazeline.session import durable
 
 
 def bias_columns(bias: DataFrame) -> DataFrame:
@@ -18,7 +19,7 @@ def bias_columns(bias: DataFrame) -> DataFrame:
 
 def with_candidates(samples: DataFrame, issues: DataFrame, obs: DataFrame, drivers: DataFrame) -> DataFrame:
     """Adds bias, corrected driver and lead blend per pollutant."""
-    bias = bias_columns(bs.bias_at_issue(issues, bs.rolling_bias_7d(obs, drivers)))
+    bias = bias_columns(bs.bias_at_issue(issues, durable(bs.rolling_bias_7d(obs, drivers))))
     out = samples.join(bias, ["station", "issue_time"], "left")
     corrected = {f"bc_{p}": bs.driver_bias_corrected(F.col(f"driver_{p}"), F.col(f"bias_{p}")) for p in POLLUTANTS}
     out = out.withColumns(corrected)
