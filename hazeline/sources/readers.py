@@ -123,7 +123,9 @@ def explode_driver_arrays(docs: DataFrame, variables: list[str]) -> DataFrame:
     A document with an empty time list gives no rows. Other columns are kept.
     """
     fields = docs.schema["hourly"].dataType.names
-    arrays = [F.col("hourly.time")] + [F.col(f"hourly.{v}") for v in variables if v in fields]
+    # A null array would empty the whole zip; an empty one is padded with nulls.
+    empty = F.array().cast("array<double>")
+    arrays = [F.col("hourly.time")] + [F.coalesce(F.col(f"hourly.{v}"), empty) for v in variables if v in fields]
     names = ["time"] + [v for v in variables if v in fields]
     zipped = docs.withColumn("_r", F.explode(F.arrays_zip(*[a.alias(n) for a, n in zip(arrays, names)])))
     out = {v: (F.col(f"_r.{v}").cast("double") if v in fields else F.lit(None).cast("double")) for v in variables}
