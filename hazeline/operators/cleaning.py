@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazeline.constants import HOURLY_VALUES, NA_TOKENS, READING_ALIASES
-from hazeline.functions.clock import hour_floor, micros
+from hazeline.functions.clock import hour_floor
 from hazeline.functions.numeric import exact_avg, nan_to_null
 from hazeline.operators.ordered import first_rows
 

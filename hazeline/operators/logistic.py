@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.session import durable
+from hazeline.session import cut
 
 
 def _linear(names: list[str], shift: list[str]) -> Column:
@@ -46,7 +46,7 @@ def fit_logistic(
         "_w": F.array(F.when(one_class, 0.0).otherwise(F.log(F.col("_rate") / (1 - F.col("_rate")))), *[F.lit(0.0)] * (d - 1)),
         "_step": F.lit(float("inf")),
     }).drop("_rate")
-    state = durable(state)
+    state = cut(state)
     types = dict(state.dtypes)
     names = list(state.columns)
     schema = ", ".join(f"{n} {types[n]}" for n in names)
@@ -88,7 +88,7 @@ def fit_logistic(
         sums = rows.groupBy(*by).agg(
             *[F.sum(F.col("_e") * x[i]).alias(f"g{i}") for i in range(d)],
             *[F.sum(F.col("_v") * x[i] * x[j]).alias(f"h{i}_{j}") for i, j in tri])
-        state = durable(state.join(sums, by, "left").mapInPandas(update, schema))
+        state = cut(state.join(sums, by, "left").mapInPandas(update, schema))
         if state.agg(F.max("_step")).first()[0] < tol:
             break
     return state.drop("_step")

@@ -8,7 +8,6 @@ from hazeline.constants import HOURLY_VALUES
 from hazeline.functions import clock, numeric, text
 from hazeline.operators import audit as au
 from hazeline.operators import cleaning as cl
-from hazeline.operators import ordered as od
 from hazeline.plans import adapters as A
 from hazeline.plans import sqltext as S
 from hazeline.plans.registry import query

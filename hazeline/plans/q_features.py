@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hazeline.constants import (
-    BAND_FLOOR, BLEND_WEIGHTS, CATEGORIES, DRIVER_OF, FALLBACK_BAND, MET_VARIABLES, POLLUTANTS,
+    BAND_FLOOR, BLEND_WEIGHTS, DRIVER_OF, FALLBACK_BAND, POLLUTANTS,
 )
 from hazeline.functions.numeric import round_half_even
 from hazeline.operators import bands as bd
 from hazeline.operators import bias as bs
 from hazeline.operators import features as ft
-from hazeline.plans import adapters as A
 from hazeline.plans import forecast as fc
 from hazeline.plans import sqltext as S
 from hazeline.plans.registry import plan

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hazeline.functions.numeric import safe_double
-from hazeline.operators.cleaning import hour_records_clean, long_to_wide
 from hazeline.plans import adapters as A
 from hazeline.plans import sqltext as S
 from hazeline.plans.registry import plan
@@ -36,14 +35,14 @@ def scan_obs_csv(t):
 
 @plan("scan_hour_json", S.sql("""SELECT ts, value, coverage FROM hour_records""", "hour_records"))
 def scan_hour_json(t):
-    """Hour records written as nested documents (one per station and hour of day) and read back."""
+    """Hour records written as nested documents of at most 500 records and read back."""
     h = t.hour_records
     utc = F.date_format(F.timestamp_add("MINUTE", F.lit(-330), _C("ts")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     rec = F.struct(
         _C("value").alias("value"),
         F.struct(F.struct(utc.alias("utc")).alias("datetimeFrom")).alias("period"),
         F.struct(_C("coverage").alias("percentComplete")).alias("coverage"))
-    docs = h.groupBy("station", "parameter", F.to_date("ts").alias("d"), F.hour("ts").alias("h")).agg(F.collect_list(rec).alias("results"))
+    docs = h.groupBy(F.floor(_C("file_order") / 500).alias("k")).agg(F.collect_list(rec).alias("results"))
     folder = sk.scratch_folder(t.spark, "hour-documents")
     docs.select("results").write.json(folder)
     return rd.hour_rows(t.spark.read.schema(rd.HOUR_DOCUMENT).json(folder)).select("ts", "value", "coverage")

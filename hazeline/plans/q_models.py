@@ -16,7 +16,6 @@ from hazeline.operators import inversion as iv
 from hazeline.operators import logistic as lg
 from hazeline.operators import ridge as rg
 from hazeline.operators import verify as vf
-from hazeline.plans import adapters as A
 from hazeline.plans import q_features as qf
 from hazeline.plans import q_verify as qv
 from hazeline.plans import sqltext as S

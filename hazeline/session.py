@@ -44,3 +44,9 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint for the small state of an iteration (a row per model)."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazeline.constants import HEADER_PATTERNS, MET_VARIABLES, AIR_VARIABLES
+from hazeline.constants import HEADER_PATTERNS
 from hazeline.functions.clock import micros, to_local
 from hazeline.functions.text import canonical_columns, join_labels, station_from_filename
 from hazeline.operators.cleaning import coerce_numeric
