@@ -250,14 +250,20 @@ def _guard_sql(t):
 FROM {t} i LEFT JOIN obs o ON o.station = i.station AND o.ts <= i.issue_time GROUP BY 1, 2"""
 
 
+def _at(p):
+    at = f"({S.num(p)} * (len(v) - 1))"
+    lo, hi = f"v[CAST(floor({at}) AS BIGINT) + 1]", f"v[CAST(ceil({at}) AS BIGINT) + 1]"
+    return f"{lo} + ({at} - floor({at})) * ({hi} - {lo})"
+
+
 def _resq_sql(t):
-    return f"""SELECT i.station, i.issue_time, p.pollutant, COUNT(r.residual) AS n_pairs,
- CASE WHEN COUNT(r.residual) >= 6 THEN {S.eavg('r.residual')} ELSE 0e0 END AS res_mean,
- CASE WHEN COUNT(r.residual) >= 6 THEN quantile_cont(r.residual, 0.1) ELSE -15e0 END AS res_p10,
- CASE WHEN COUNT(r.residual) >= 6 THEN quantile_cont(r.residual, 0.5) ELSE 0e0 END AS res_p50,
- CASE WHEN COUNT(r.residual) >= 6 THEN quantile_cont(r.residual, 0.9) ELSE 15e0 END AS res_p90
-FROM {t} i CROSS JOIN pollutants p LEFT JOIN residual_rows r ON r.station = i.station AND r.pollutant = p.pollutant
- AND r.ts <= i.issue_time AND r.ts >= i.issue_time - INTERVAL 7 DAY GROUP BY 1, 2, 3"""
+    return f"""SELECT station, issue_time, pollutant, n_pairs, CASE WHEN n_pairs >= 6 THEN mean ELSE 0e0 END AS res_mean,
+ CASE WHEN n_pairs >= 6 THEN {_at(0.1)} ELSE -15e0 END AS res_p10, CASE WHEN n_pairs >= 6 THEN {_at(0.5)} ELSE 0e0 END AS res_p50,
+ CASE WHEN n_pairs >= 6 THEN {_at(0.9)} ELSE 15e0 END AS res_p90
+FROM (SELECT i.station, i.issue_time, p.pollutant, COUNT(r.residual) AS n_pairs, {S.eavg('r.residual')} AS mean,
+  list_sort(list(r.residual) FILTER (WHERE r.residual IS NOT NULL)) AS v
+ FROM {t} i CROSS JOIN pollutants p LEFT JOIN residual_rows r ON r.station = i.station AND r.pollutant = p.pollutant
+ AND r.ts <= i.issue_time AND r.ts >= i.issue_time - INTERVAL 7 DAY GROUP BY 1, 2, 3)"""
 
 
 S.view("guard", _guard_sql("issues"), "issues", "obs")
