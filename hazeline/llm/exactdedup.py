@@ -144,11 +144,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = durable(group(rows))
     index = build_index(groups.where("group_size > 1"))
     repeats = durable(lookup(groups.select(F.col("keep_id").alias("id"), "digest"), index).where("member").select(
-        F.col("digest").alias("_digest"), "keep_id", "ties").withColumnRenamed("keep_id", "_keep").withColumnRenamed("ties", "_ties"))
-    marked = join_small(docs.withColumn("_digest", digest(F.col(text_col))), repeats, "_digest")
-    stay = marked.where(F.col("_ties").isNull() | F.col(id_col).eqNullSafe(F.col("_keep")))
-    out = stay.where("_ties IS NULL OR _ties = 1")
-    again = repeats.where("_ties > 1")
+        F.col("digest").alias("__digest"), "keep_id", "ties").withColumnRenamed("keep_id", "__keep").withColumnRenamed("ties", "__ties"))
+    marked = join_small(docs.withColumn("__digest", digest(F.col(text_col))), repeats, "__digest")
+    stay = marked.where(F.col("__ties").isNull() | F.col(id_col).eqNullSafe(F.col("__keep")))
+    out = stay.where("__ties IS NULL OR __ties = 1")
+    again = repeats.where("__ties > 1")
     if not bounded(again, 0):
-        out = out.unionByName(stay.where("_ties > 1").dropDuplicates(["_digest"]))
+        out = out.unionByName(stay.where("__ties > 1").dropDuplicates(["__digest"]))
     return out.select(*docs.columns)

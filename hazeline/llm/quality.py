@@ -161,7 +161,9 @@ def _gradients(net: Network, texts: Sequence[bytes], y: np.ndarray, weight: np.n
     logit, mean, top = _logit(net, pooled, doc)
     error = weight * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) / len(texts)
     count = np.bincount(doc, minlength=len(texts))
-    down = (error / count)[doc][:, None] * net.mean + np.where(pooled == top[doc], error[doc][:, None] * net.top, 0)
+    tops = pooled == top[doc]
+    ties = np.add.reduceat(tops, np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])), axis=0, dtype=np.int64)
+    down = (error / count)[doc][:, None] * net.mean + np.where(tops, error[doc][:, None] * net.top / ties[doc], 0)
     down = np.where(pooled > 0, down, 0)
     padded = np.concatenate([code, np.zeros(WIDTH, code.dtype)])
     vectors, filters = np.zeros_like(net.vectors), np.zeros_like(net.filters)

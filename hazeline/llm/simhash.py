@@ -239,10 +239,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = durable(marked.groupBy(F.col("__id").alias("id"), F.col("__fp").alias("fp")).agg(F.count(F.lit(1)).alias("n")))
     labelled = rows.join(component_labels(rows, threshold), "fp")
     stays = F.col("id").eqNullSafe(F.col("component_id"))
-    odd = durable(labelled.where(~stays | (F.col("n") > 1)).select("id", "fp", stays.alias("again")))
-    same = marked["__id"].eqNullSafe(odd["id"]) & (marked["__fp"] == odd["fp"])
+    odd = durable(labelled.where(~stays | (F.col("n") > 1)).select(
+        F.col("id").alias("__odd_id"), F.col("fp").alias("__odd_fp"), stays.alias("__again")))
+    same = F.col("__id").eqNullSafe(F.col("__odd_id")) & (F.col("__fp") == F.col("__odd_fp"))
     joined = join_small(marked, odd, same)
-    out = joined.where("again IS NULL")
-    if not bounded(odd.where("again"), 0):
-        out = out.unionByName(joined.where("again").dropDuplicates(["__id", "__fp"]))
+    out = joined.where("__again IS NULL")
+    if not bounded(odd.where("__again"), 0):
+        out = out.unionByName(joined.where("__again").dropDuplicates(["__id", "__fp"]))
     return out.select(*docs.columns)
