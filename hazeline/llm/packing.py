@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -12,42 +11,87 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: White space at which every tokenizer of words cuts.
-_GAP = re.compile(r"[ \t\n\r]+")
+#: Marks that stand behind a word.
+_MARKS = ".,;:!?%$&*#|"
+#: Words per call of the tokenizer, and characters of text looked at together.
+_CALL, _GROUP = 64, 1 << 20
+
+
+def _plain(core: str) -> bool:
+    """Letters only, and of those that lower-casing and normalising leave letters: one token run."""
+    return core.isalpha() and (core.isascii() or ("\u0130" not in core and max(core) < "\u1e00"))
 
 
 class WordTokens:
-    """Ids of a text as the ids of its white-space-separated chunks, each looked up once.
+    """Ids of a text as the ids of its white-space-separated chunks, each encoded once.
 
-    Right for tokenizers that drop white space and never join text across it. The table of
-    known chunks is bounded; long chunks are not kept.
+    Right for tokenizers that drop case and white space and never join text across white space, nor
+    letters with the marks behind them. The table of known chunks is bounded: when it is full, later
+    (rarer) chunks are encoded anew each time.
     """
 
-    def __init__(self, path: str, known: int = 600_000, longest: int = 64) -> None:
+    def __init__(self, path: str, known: int = 300_000, longest: int = 40) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.longest = Tokenizer.from_file(path), known, longest
         self.known: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {"": b""}
+
+    def _single(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _cores(self, cores: list[str]) -> dict[str, bytes]:
+        """Plain words, some at a time as one text: the tokenizer numbers the words it cuts."""
+        out: dict[str, bytes] = {}
+        parts = [cores[i:i + _CALL] for i in range(0, len(cores), _CALL)]
+        for part, e in zip(parts, self.tokenizer.encode_batch([" ".join(p) for p in parts], add_special_tokens=False)):
+            at, ids = np.array(e.word_ids, np.int64), np.array(e.ids, "<u4")
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]]).tolist()
+            if len(edges) != len(part) + 1:
+                out.update(zip(part, self._single(part)))
+                continue
+            data = ids.tobytes()
+            out.update((c, data[4 * a:4 * b]) for c, a, b in zip(part, edges, edges[1:]))
+        return out
+
+    def _fresh(self, chunks: list[str]) -> dict[str, bytes]:
+        split, odd = [], []
+        for c in chunks:
+            core = c.rstrip(_MARKS)
+            if _plain(core):
+                split.append((c, core.lower() if core.isascii() else core, c[len(core):]))
+            else:
+                odd.append(c)
+        table = self._cores(list({core for _, core, _ in split}.difference(self.words)))
+        marks = list({marks for _, _, marks in split}.difference(self.words))
+        table.update(zip(marks, self._single(marks)))
+        words = self.words
+        words.update(table)
+        out = {c: words[core] + words[marks] for c, core, marks in split}
+        if len(words) > self.limit:
+            for w in table:
+                del words[w]
+        out.update(zip(odd, self._single(odd)))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        chunks = [_GAP.split(t) for t in texts]
-        fresh = list({c for cs in chunks for c in cs if c not in self.known})
-        table = {}
-        for at in range(0, len(fresh), 10_000):
-            part = fresh[at:at + 10_000]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                table[c] = np.array(e.ids, "<u4").tobytes()
-        if len(self.known) + len(fresh) > self.limit:
-            self.known = {"": b""}
-        self.known.update((c, x) for c, x in table.items() if len(c) <= self.longest)
-        table[""] = b""
-        for cs in chunks:
-            for c in cs:
-                if c not in table:
-                    table[c] = self.known[c] if c in self.known else np.array(
-                        self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
-        return [b"".join([table[c] for c in cs]) for cs in chunks]
+        out, at = [], 0
+        while at < len(texts):
+            group, size = [], 0
+            while at < len(texts) and (not group or size + len(texts[at]) <= _GROUP):
+                size += len(texts[at])
+                group.append(texts[at].replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+                at += 1
+            fresh = set().union(*group).difference(self.known)
+            table = self._fresh(list(fresh))
+            self.known.update(table)
+            out += [b"".join(map(self.known.__getitem__, chunks)) for chunks in group]
+            full = len(self.known) > self.limit
+            for c in table:
+                if full or len(c) > self.longest:
+                    del self.known[c]
+        return out
 
 
 def token_pieces(

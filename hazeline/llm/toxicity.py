@@ -124,7 +124,7 @@ class Model:
 class Matcher:
     """The composed machine run over the clauses of a text."""
 
-    def __init__(self, lexicon: Lexicon, known: int = 500_000) -> None:
+    def __init__(self, lexicon: Lexicon, known: int = 200_000) -> None:
         self.lexicon, self.machine, self.limit = lexicon, grammar().table, known
         self.symbols: dict[str, int] = {}
 
@@ -198,7 +198,7 @@ def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for text, label in zip(pdf["text"], pdf["label"]):
             both[int(label)].update(terms(text))
-        if len(both[0]) + len(both[1]) > 1_000_000:
+        if len(both[0]) + len(both[1]) > 200_000:
             yield rows()
     yield rows()
 
