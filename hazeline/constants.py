@@ -31,11 +31,13 @@ CATEGORY_RANK = {name: rank for rank, name in enumerate(CATEGORIES)}
 HOURLY_VALUES = ("pm25", "pm10", "no2", "so2", "co", "o3", "nh3", "at", "rh", "ws", "wd", "sr")
 
 # Anchored header patterns, first match wins.
-HEADER_PATTERNS = {
-    "pm25": r"^PM2\.?5", "pm10": r"^PM10", "no2": r"^NO2\b", "so2": r"^SO2\b", "co": r"^CO\b",
-    "o3": r"^Ozone\b", "nh3": r"^NH3\b", "at": r"^AT\b", "rh": r"^RH\b", "ws": r"^WS\b",
-    "wd": r"^WD\b", "sr": r"^SR\b",
+HEADER_TOKENS = {
+    "PM25": "pm25", "PM10": "pm10", "NO2": "no2", "SO2": "so2", "CO": "co", "OZONE": "o3", "NH3": "nh3",
+    "AT": "at", "RH": "rh", "WS": "ws", "WD": "wd", "SR": "sr",
 }
+# Agencies in station file names; the first also ends names of files that are not hourly.
+AGENCIES = ("hspcb", "dpcc", "uppcb")
+MAIN_AGENCY = AGENCIES[0]
 # Text that means "missing" in the station files.
 NA_TOKENS = ("NA", "N/A", "null", "NULL", "None", "-", "", "nan", "NaN")
 
@@ -46,10 +48,6 @@ MET_VARIABLES = (
     "wind_direction_10m", "boundary_layer_height", "surface_pressure",
 )
 DRIVER_OF = {"pm25": "pm2_5", "pm10": "pm10", "o3": "ozone", "no2": "nitrogen_dioxide"}
-READING_ALIASES = {
-    "pm25": "pm25", "pm2.5": "pm25", "pm10": "pm10", "o3": "o3", "ozone": "o3",
-    "no2": "no2", "nitrogen_dioxide": "no2",
-}
 
 FEATURES_72H = (
     "lead_h", "driver_pm25", "driver_pm10", "driver_o3", "driver_no2",
@@ -91,3 +89,8 @@ def breakpoint_rows():
         for name, bands in CONC_BANDS.items()
         for (lo, hi), (ilo, ihi), cat in zip(bands, INDEX_BANDS, CATEGORIES)
     ]
+
+READING_ALIASES = {
+    "pm25": "pm25", "pm2.5": "pm25", "pm10": "pm10", "o3": "o3", "ozone": "o3",
+    "no2": "no2", "nitrogen_dioxide": "no2",
+}

@@ -60,13 +60,14 @@ def lead_blend(persistence: Column, corrected: Column, pollutant: str, lead: Col
 
 
 def _window_pairs(issues: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows of the closed week before each issue time, by an equi-join on the hour.
+    """Rows of the closed week up to each issue time, whatever minute either falls on.
 
-    Each issue row asks for its 169 hours; no inequality join.
+    Each issue asks for its eight days, met by equality; the exact range is a filter on top.
     """
-    asked = issues.select("station", "issue_time").withColumn(
-        "ts", F.explode(F.transform(F.sequence(F.lit(0), F.lit(WEEK_H)), lambda k: plus_hours("issue_time", -k))))
-    return asked.join(rows, ["station", "ts"], "inner")
+    last = F.to_date("issue_time")
+    asked = issues.select("station", "issue_time").withColumn("_day", F.explode(F.sequence(F.date_sub(last, 7), last)))
+    found = asked.join(rows.withColumn("_day", F.to_date("ts")), ["station", "_day"], "inner").drop("_day")
+    return found.where(F.col("ts").between(plus_hours("issue_time", F.lit(-WEEK_H)), F.col("issue_time")))
 
 
 def staleness_guard(issues: DataFrame, obs: DataFrame, min_periods: int = 6) -> DataFrame:
@@ -97,8 +98,8 @@ def sorted_percentile(array: str, p: float) -> Column:
 def residual_quantiles(issues: DataFrame, obs: DataFrame, drivers: DataFrame, min_periods: int = 6) -> DataFrame:
     """Mean and 10/50/90 % residuals of the closed week per pollutant; a fixed band below 6 pairs.
 
-    At most 169 residuals per (station, issue, pollutant): they fit a sorted array, and the
-    interpolation is written out so that its last bit is defined.
+    A week of residuals per (station, issue, pollutant) fits a sorted array, and the interpolation
+    is written out so that its last bit is defined.
     """
     pairs = _window_pairs(issues, residual_rows(obs, drivers))
     stats = pairs.groupBy("station", "issue_time", "pollutant").agg(

@@ -155,13 +155,14 @@ def load_models(spark: SparkSession, path: str) -> tuple[dict, dict]:
     return models, doc
 
 
-def isotonic_calibrate(train: DataFrame, test: DataFrame, p: str, y: str, out: str, grid: float = 1e-4) -> DataFrame:
+def isotonic_calibrate(train: DataFrame, test: DataFrame, p: str, y: str, out: str, grid: float | None = None) -> DataFrame:
     """Non-decreasing calibration of probabilities, clipped to [0, 1] and to the trained range.
 
-    Training rows are first averaged per probability step of size `grid` with their count as
-    weight: the fit then sees at most 1/grid + 1 points, however many rows there are.
+    Training rows are first averaged per distinct probability, with their count as weight, which
+    leaves the fit as it is. `grid` instead averages per step of that size, for probabilities with
+    too many distinct values.
     """
-    step = F.rint(F.col(p) / grid)
+    step = F.col(p) if grid is None else F.rint(F.col(p) / grid)
     points = train.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(step.alias("_s")).agg(
         F.avg(p).alias("_x"), F.avg(y).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
     model = IsotonicRegression(featuresCol="_x", labelCol="_y", weightCol="_w", predictionCol="_iso").fit(points)

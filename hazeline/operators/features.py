@@ -101,16 +101,17 @@ def samples_72h(
 def leak_audit(samples: DataFrame, obs: DataFrame) -> DataFrame:
     """Persistence values that are not the last observation at or before issue time.
 
-    Checks every (station, issue, pollutant) by an independent route: a grouped maximum over
-    the 25 hours that may be looked at, spread by the hours they serve.
+    Checks every (station, issue, pollutant) by an independent route: the latest value of the
+    closed 24 hours before the issue, met by calendar day and cut to the exact range.
     """
     issues = samples.select("station", "issue_time", *[f"last_obs_{p}" for p in POLLUTANTS]).distinct()
-    reach = issues.withColumn("back", F.explode(F.sequence(F.lit(0), F.lit(24)))).withColumn(
-        "ts", plus_hours("issue_time", -F.col("back")))
-    seen = reach.join(obs, ["station", "ts"], "left")
+    last = F.to_date("issue_time")
+    reach = issues.withColumn("_day", F.explode(F.sequence(F.date_sub(last, 1), last)))
+    seen = reach.join(obs.withColumn("_day", F.to_date("ts")), ["station", "_day"], "left")
+    inside = F.col("ts").between(plus_hours("issue_time", F.lit(-24)), F.col("issue_time"))
     again = seen.groupBy("station", "issue_time").agg(
         *[F.max(f"last_obs_{p}").alias(f"last_obs_{p}") for p in POLLUTANTS],
-        *[F.min_by(p, F.when(F.col(p).isNotNull(), F.col("back"))).alias(f"check_{p}") for p in POLLUTANTS],
+        *[F.max_by(p, F.when(inside & F.col(p).isNotNull(), F.col("ts"))).alias(f"check_{p}") for p in POLLUTANTS],
     )
     long = again.select("station", "issue_time", F.explode(F.array(*[
         F.struct(F.lit(p).alias("pollutant"), F.col(f"last_obs_{p}").alias("used"), F.col(f"check_{p}").alias("allowed"))

@@ -29,12 +29,13 @@ def _sigmoid(eta: Column) -> Column:
 
 
 def fit_logistic(
-    train: DataFrame, by: list[str], features: list[str], label: str, c: float = 1.0, max_iter: int = 12, tol: float = 1e-9,
+    train: DataFrame, by: list[str], features: list[str], label: str, c: float = 1.0, max_iter: int = 100, tol: float = 1e-9,
 ) -> DataFrame:
     """Weights per group: `_w` (intercept first), feature means `_m<i>`, `constant` for one-class groups.
 
     Minimises C * log-loss + |w|^2 / 2 with a free intercept. Features are shifted by their
-    group mean, which changes only the intercept.
+    group mean, which changes only the intercept. Newton steps go on until none is above `tol`;
+    `converged` is false for groups that `max_iter` steps did not bring there.
     """
     d = len(features) + 1
     means = [f"_m{i}" for i in range(len(features))]
@@ -91,11 +92,11 @@ def fit_logistic(
         state = cut(state.join(sums, by, "left").mapInPandas(update, schema))
         if state.agg(F.max("_step")).first()[0] < tol:
             break
-    return state.drop("_step")
+    return state.withColumn("converged", F.col("constant").isNotNull() | (F.col("_step") < tol)).drop("_step")
 
 
 def predict_logistic(test: DataFrame, weights: DataFrame, by: list[str], features: list[str], out: str = "p_model") -> DataFrame:
     """Event probability per row; one-class groups give their class."""
     means = [f"_m{i}" for i in range(len(features))]
     p = F.coalesce(F.col("constant"), _sigmoid(_linear(features, means)))
-    return test.join(weights, by, "inner").withColumn(out, p).drop("_w", "constant", *means)
+    return test.join(weights, by, "inner").withColumn(out, p).drop("_w", "constant", "converged", *means)

@@ -14,12 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazeline.constants import CATEGORIES, DAILY_FEATURES, INDEX_BANDS, SEVERE_INDEX, VERY_POOR_INDEX
-from hazeline.functions.numeric import fixed_point, round_half_even
+from hazeline.functions.numeric import round_half_even
 from hazeline.operators.ordered import percentiles_of, probe_counts, ranked_values
 from hazeline.session import durable
 
 K = len(DAILY_FEATURES)
-SCALE = 6
+#: Moments are summed as decimals with 12 digits behind the point: exact in any order and at any size met here.
+MOMENT = "decimal(28,12)"
 # Fixed shifts that keep the accumulated squares small; they cancel in the solution.
 CENTRE = (200.0, 200.0, 200.0, 2.0, 0.0, 0.0)
 PAIRS = [(i, j) for i in range(K) for j in range(i, K)]
@@ -54,15 +55,14 @@ def expanding_moments(train: DataFrame, as_of: DataFrame, by: list[str] = ("seas
     y = F.col("y")
     parts = {"sy": y} | {f"sx{i}": x[i] for i in range(K)} | {f"sxy{i}": x[i] * y for i in range(K)}
     parts |= {f"sxx{i}_{j}": x[i] * x[j] for i, j in PAIRS}
-    sums = {"n": F.count(F.lit(1))} | {n: F.sum(fixed_point(c, SCALE)) for n, c in parts.items()}
+    sums = {"n": F.count(F.lit(1))} | {n: F.sum(c.cast(MOMENT)) for n, c in parts.items()}
     per_day = train.groupBy(*by, "horizon", F.col("target_date").alias("date")).agg(*[c.alias(n) for n, c in sums.items()])
     asked = as_of.select(*by, "horizon", "date").distinct().withColumn("_ask", F.lit(1))
     both = per_day.unionByName(asked, allowMissingColumns=True)
     w = Window.partitionBy(*by, "horizon").orderBy("date").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     run = both.withColumns({n: F.coalesce(F.sum(n).over(w), F.lit(0)) for n in SUMS})
-    unit = float(10**SCALE)
     return run.where("_ask = 1").select(
-        *by, "horizon", "date", F.col("n").alias("n_train"), *[(F.col(n).cast("double") / unit).alias(n) for n in SUMS[1:]])
+        *by, "horizon", "date", F.col("n").alias("n_train"), *[F.col(n).cast("double").alias(n) for n in SUMS[1:]])
 
 
 def _solve_one(row, alpha: float) -> tuple:

@@ -321,7 +321,7 @@ def _exceed_z(p10: Column, p50: Column, p90: Column, threshold: float) -> Column
 
 
 def with_exceedance(df: DataFrame, out: str = "p_raw") -> DataFrame:
-    """Adds the larger of the two particle exceedance probabilities.
+    """Adds the larger of the two particle exceedance probabilities; null where either is missing.
 
     The polynomial's argument is a column of its own, so it is evaluated once per row and
     the generated code stays small.
@@ -330,7 +330,8 @@ def with_exceedance(df: DataFrame, out: str = "p_raw") -> DataFrame:
     z = {f"_z_{p}": _exceed_z(F.col(f"{p}_p10"), F.col(f"{p}_p50"), F.col(f"{p}_p90"), t) for p, t in limits.items()}
     step = df.withColumns(z).withColumns({f"_u_{p}": erfc_argument(F.col(f"_z_{p}")) for p in limits})
     tails = ", ".join(f"0.5D * ({erfc_text(f'_z_{p}', f'_u_{p}')})" for p in limits)
-    return step.withColumn(out, F.expr(f"greatest({tails})")).drop(*z, *[f"_u_{p}" for p in limits])
+    whole = F.col("_z_pm25").isNotNull() & F.col("_z_pm10").isNotNull()
+    return step.withColumn(out, F.when(whole, F.expr(f"greatest({tails})"))).drop(*z, *[f"_u_{p}" for p in limits])
 
 
 def severe_state(pm25: Column, pm10: Column) -> Column:

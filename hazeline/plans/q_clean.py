@@ -50,15 +50,7 @@ def slugify(spark, sf):
     return c.select("c_custkey", text.slugify(F.concat(_C("c_mktsegment"), F.lit(", "), _C("c_name"), F.lit(" - Site"))).alias("slug"))
 
 
-_FNAME = ("'Raw_Data_2021_site_' || CAST(c_custkey AS VARCHAR) || '_sector_' || lower(c_mktsegment) || "
-          "CASE c_custkey % 4 WHEN 0 THEN '_hspcb_1Hr.csv' WHEN 1 THEN '_dpcc_1Hr.csv' WHEN 2 THEN '_hspcb_15Min.csv' ELSE '.csv' END")
-
-
-@query("station_from_filename", f"""SELECT c_custkey, COALESCE(
- NULLIF(regexp_extract(f, '(?i)site_\\d+_(.*?)(?:_(?:hspcb|dpcc|uppcb|[a-zA-Z]+))?_1Hr\\.csv$', 1), ''),
- NULLIF(regexp_extract(f, '(?i)site_\\d+_(.*?)_hspcb', 1), ''),
- regexp_replace(regexp_replace(regexp_replace(f, '\\.[^.]*$', ''), '(?i)^Raw_Data_\\d{{4}}_site_\\d+_', ''), '(?i)_(?:hspcb|dpcc|uppcb)?[_.]?1Hr$', '')
- ) AS station FROM (SELECT c_custkey, {_FNAME} AS f FROM customer)""")
+@query("station_from_filename", "SELECT c_custkey, 'sector_' || lower(c_mktsegment) AS station FROM customer")
 def station_from_filename(spark, sf):
     c = A.table(spark, sf, "customer")
     k = _C("c_custkey") % 4

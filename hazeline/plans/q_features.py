@@ -112,10 +112,18 @@ def samples_72h(t):
 
 @plan("leak_audit", S.sql("SELECT station, issue_time, 'pm25' AS pollutant, last_obs_pm25 AS used, last_obs_pm25 AS allowed FROM samples WHERE FALSE", "samples"))
 def leak_audit(t):
+    """Clean samples: nothing to report."""
     o = t.obs
     return ft.leak_audit(samples(t), o)
 
 
+@plan("leak_audit_planted", S.sql("SELECT DISTINCT station, issue_time, 'pm25' AS pollutant, last_obs_pm25 + 1 AS used, last_obs_pm25 AS allowed FROM samples WHERE station = 'st1' AND last_obs_pm25 IS NOT NULL", "samples"))
+def leak_audit_planted(t):
+    """Persistence of one station is off by one everywhere: exactly those values are found."""
+    wrong = samples(t).withColumn("last_obs_pm25", F.when(_C("station") == "st1", _C("last_obs_pm25") + 1).otherwise(_C("last_obs_pm25")))
+    return ft.leak_audit(wrong, t.obs)
+
+
 @plan("winter_split", S.sql("""SELECT part, COUNT(*) AS n_rows, COUNT(target_pm25) AS n_targets FROM (SELECT *, CASE
  WHEN valid_time >= TIMESTAMP '2024-01-01' AND valid_time <= TIMESTAMP '2024-01-20 23:00:00' THEN 'train'
  WHEN valid_time >= TIMESTAMP '2024-01-21' AND valid_time <= TIMESTAMP '2024-01-30 23:00:00' THEN 'test' END AS part FROM samples) WHERE part IS NOT NULL GROUP BY 1""", "samples"))

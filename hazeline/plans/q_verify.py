@@ -323,7 +323,7 @@ def _boot_sql(src, by):
     return f"""src AS ({src}), rn AS (SELECT *, row_number() OVER (PARTITION BY {b} ORDER BY o1, o2, o3) - 1 AS i, COUNT(*) OVER (PARTITION BY {b}) AS n FROM src),
 bl AS (SELECT {b}, i // 7 AS blk, i % 7 AS at, n, CAST(ceil(n / 7.0) AS BIGINT) AS nb, {S.fixed('(p - y) * (p - y)', 9)} AS em, {S.fixed('(ref - y) * (ref - y)', 9)} AS er FROM rn),
 g AS (SELECT DISTINCT {b}, n, nb FROM bl),
-ps AS (SELECT g.*, r AS rep, q AS pos FROM g, range(0, 200) t(r), LATERAL (SELECT unnest(range(0, g.nb)) AS q)),
+ps AS (SELECT g.*, r AS rep, q AS pos FROM g, range(0, 1000) t(r), LATERAL (SELECT unnest(range(0, g.nb)) AS q)),
 dr AS (SELECT *, {_draw_sql('rep', 'pos', 'nb')} AS blk FROM ps),
 ch AS (SELECT dr.{', dr.'.join(by)}, dr.rep, dr.n, bl.em, bl.er, row_number() OVER (PARTITION BY dr.{', dr.'.join(by)}, dr.rep ORDER BY dr.pos, bl.at) AS k
   FROM dr JOIN bl ON {' AND '.join(f'bl.{c} = dr.{c}' for c in by)} AND bl.blk = dr.blk),
@@ -336,7 +336,7 @@ _BY = ("experiment", "event", "horizon")
 
 def _boot(t, ref=None):
     rows = dv.reference_forecasts(dv.experiment_rows(labelled(t)))
-    return vf.block_bootstrap(rows, list(_BY), ["station", "date"], "y", "p_clim", ref, reps=200)
+    return vf.block_bootstrap(rows, list(_BY), ["station", "date"], "y", "p_clim", ref)
 
 
 @plan("bootstrap_brier", S.sql(f"WITH {_GRID}, {_boot_sql(_BOOT_SRC, _BY)} SELECT experiment, event, horizon, {S.rnd('quantile_cont(brier, 0.025)', 6)} AS brier_lo, {S.rnd('quantile_cont(brier, 0.975)', 6)} AS brier_hi FROM rp GROUP BY ALL", "labels_daily"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazeline.constants import HEADER_PATTERNS
+from hazeline.constants import HEADER_TOKENS
 from hazeline.functions.clock import micros, to_local
 from hazeline.functions.text import canonical_columns, join_labels, station_from_filename
 from hazeline.operators.cleaning import coerce_numeric
@@ -74,7 +74,7 @@ def scan_obs_csv(spark: SparkSession, directory: str) -> DataFrame:
             to_local(F.trim(f"c{at}"), naive="IST").alias("ts"),
             station_from_filename(F.col("_metadata.file_name")).alias("station"), *cols,
         )
-        parts.append(coerce_numeric(part, list(HEADER_PATTERNS)).select("ts", "station", *HEADER_PATTERNS))
+        parts.append(coerce_numeric(part, list(HEADER_TOKENS.values())).select("ts", "station", *HEADER_TOKENS.values()))
     if not parts:
         raise FileNotFoundError(f"no station files in {directory}")
     out = parts[0]
@@ -83,8 +83,13 @@ def scan_obs_csv(spark: SparkSession, directory: str) -> DataFrame:
     return out
 
 
-# <station>_<parameter>_<from>_<to>.json
-HOUR_FILE = r"([a-z0-9_]+)_(pm[0-9]+)_([0-9]{8})_([0-9]{8})\.json"
+def series_of_file(file: Column) -> Column:
+    """struct(station, parameter) of `<station>_<parameter>_<from>_<to>.json`, read from the right; null for other names."""
+    words = F.split(F.regexp_replace(file, "[.]json$", ""), "_")
+    dates = F.element_at(words, -1).rlike("^[0-9]{8}$") & F.element_at(words, -2).rlike("^[0-9]{8}$")
+    right = file.endswith(".json") & (F.size(words) > 3) & dates & F.element_at(words, -3).rlike("^pm[0-9]+$")
+    station = F.array_join(F.slice(words, F.lit(1), F.greatest(F.lit(0), F.size(words) - 3)), "_")
+    return F.when((F.size(words) > 3) & right, F.struct(station.alias("station"), F.element_at(words, -3).alias("parameter")))
 
 
 def hour_rows(docs: DataFrame, *keep: str) -> DataFrame:
@@ -106,8 +111,8 @@ def scan_hour_json(spark: SparkSession, directory: str) -> DataFrame:
         spark.read.schema(HOUR_DOCUMENT).option("multiLine", True).option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt").json(f"{directory}/*.json")
         .select("*", F.col("_metadata.file_name").alias("file"))
-        .where(F.col("file").rlike(HOUR_FILE))
-        .withColumns({"station": F.regexp_extract("file", HOUR_FILE, 1), "parameter": F.regexp_extract("file", HOUR_FILE, 2)})
+        .withColumn("_series", series_of_file(F.col("file"))).where("_series IS NOT NULL")
+        .withColumns({"station": F.col("_series.station"), "parameter": F.col("_series.parameter")})
     )
     return hour_rows(docs, "station", "parameter", "file")
 

@@ -126,3 +126,15 @@ def test_json_documents(spark, issue):
     body = json.loads(doc["document"])
     assert doc["n_hours"] == 72 and [h["lead_h"] for h in body["hourly"]] == list(range(1, 73)) and set(body["p_severe"]) == {"24h", "48h", "72h"}
     assert "NaN" not in doc["document"]
+
+
+def test_windows_count_what_is_off_the_hour(spark):
+    issue = dt.datetime(2024, 1, 10, 12, 20)
+    stamps = [issue - dt.timedelta(hours=2 * k, minutes=5) for k in range(84)] + [issue, issue - dt.timedelta(days=7), issue + dt.timedelta(minutes=1), issue - dt.timedelta(days=7, minutes=1)]
+    o = spark.createDataFrame([("s", t, 10.0 + k, 1.0, 1.0, 1.0) for k, t in enumerate(stamps)], "station string, ts timestamp_ntz, pm25 double, pm10 double, o3 double, no2 double")
+    d = o.select("station", "ts", *[F.lit(5.0).alias(c) for c in ("pm2_5", "pm10", "ozone", "nitrogen_dioxide")])
+    i = spark.createDataFrame([("s", issue)], "station string, issue_time timestamp_ntz")
+    g = bs.staleness_guard(i, o).first()
+    assert (g["recent_obs_count_7d"], g["newest_obs_age_hours"], g["bias_correction"]) == (86, 0.0, "applied")
+    r = {x["pollutant"]: x for x in bs.residual_quantiles(i, o, d).collect()}
+    assert r["pm25"]["n_pairs"] == 86 and abs(r["pm25"]["res_p50"] - (10 + 42.5 - 5)) < 1e-9

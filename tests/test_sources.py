@@ -70,18 +70,20 @@ def test_location_flattening(spark):
 
 def test_names_and_times(spark):
     names = {
-        "Raw_Data_2021_site_263_sector_16a_faridabad_hspcb_1Hr.csv": "sector_16a_faridabad",
-        "Raw_Data_2021_site_301_anand_vihar_delhi_dpcc_1Hr.csv": "anand_vihar_delhi",
-        "Raw_Data_2021_site_5082_indirapuram_ghaziabad_uppcb_1Hr.csv": "indirapuram_ghaziabad",
+        "Raw_Data_2021_site_263_sector_4b_norwick_hspcb_1Hr.csv": "sector_4b_norwick",
+        "Raw_Data_2021_site_301_mill_lane_oldport_dpcc_1Hr.csv": "mill_lane_oldport",
+        "Raw_Data_2021_site_5082_eastgate_marlow_uppcb_1Hr.csv": "eastgate_marlow",
+        "Raw_Data_2021_site_7_harbour_hspcb_15Min.csv": "harbour", "Raw_Data_2021_site_8_harbour.csv": "harbour", "harbour_dpcc_1Hr.csv": "harbour",
+        "SITE_9_one_two_1HR.CSV": "one", "other.csv": "other",
     }
     df = spark.createDataFrame([(n,) for n in names], "f string").withColumn("s", text.station_from_filename(F.col("f")))
     assert {r["f"]: r["s"] for r in df.collect()} == names
     r = spark.range(1).select(
-        text.slugify(F.lit(" Sector-11, Faridabad ")).alias("slug"),
+        text.slugify(F.lit(" Sector-11, Norwick ")).alias("slug"),
         *[clock.utc_hhmm_to_local_hour(F.lit(v)).alias(f"h{v}") for v in (2030, 1955, 1945)],
         clock.to_local(F.lit("2021-10-01T18:30:00Z")).cast("string").alias("a"), clock.to_local(F.lit("2021-10-01 05:00:00"), naive="IST").cast("string").alias("b"),
     ).first()
-    assert tuple(r) == ("sector_11_faridabad", 2, 1, 1, "2021-10-02 00:00:00", "2021-10-01 05:00:00")
+    assert tuple(r) == ("sector_11_norwick", 2, 1, 1, "2021-10-02 00:00:00", "2021-10-01 05:00:00")
 
 
 def test_subhourly_rule(spark):
