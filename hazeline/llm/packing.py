@@ -117,7 +117,8 @@ def token_pieces(
                     part = data[at:at + 4 * capacity]
                     row = doc, piece, at // 4, len(part) // 4, zlib.crc32(part)
                     rows.append((*row, np.frombuffer(part, "<u4").astype(np.int32)) if ids else row)
-            yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + ids])
+            if rows:
+                yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + ids])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, columns)
 

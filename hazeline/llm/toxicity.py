@@ -200,7 +200,8 @@ def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             both[int(label)].update(terms(text))
         if len(both[0]) + len(both[1]) > 200_000:
             yield rows()
-    yield rows()
+    if both[0] or both[1]:
+        yield rows()
 
 
 def _surroundings(wanted: frozenset[str]):
@@ -215,7 +216,8 @@ def _surroundings(wanted: frozenset[str]):
                     if own:
                         around = (words[i - 1] if i else "") + " " + (words[i + 1] if i + 1 < len(words) else "")
                         out.update((t, around, w) for t in own)
-            yield pd.DataFrame(list(out), columns=["term", "around", "word"])
+            if out:
+                yield pd.DataFrame(list(out), columns=["term", "around", "word"])
 
     return run
 
