@@ -16,7 +16,7 @@ def session(spark: SparkSession) -> SparkSession:
     """Settings for stages with Python workers: batches bounded by rows and by bytes, for very long texts."""
     spark = ready(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
 
 
