@@ -76,7 +76,7 @@ INTERVAL_TO_SD = 2.563
 MIN_SD = 5.0
 
 # Fixed order that breaks ties between candidate models.
-CANDIDATES = ("rolling_bc", "lead_blend", "boosted", "persistence", "raw_driver", "climatology")
+CANDIDATES = ("rolling_bc", "lead_blend", "boosted", "band_median", "persistence", "raw_driver", "climatology")
 
 DAILY_FEATURES = ("aqi_d", "aqi_d_minus_1", "mean_aqi_7d", "pm_ratio", "month_sin", "month_cos")
 WINTER_MONTHS = (10, 11, 12, 1, 2)

@@ -26,18 +26,25 @@ def safe_double(c: Column, default: float | None = None) -> Column:
 
 
 def fixed_point(c: Column, scale: int = 6) -> Column:
-    """The value in whole units of 10^-scale.
+    """The value in whole units of 10^-scale, as a decimal whose sums are exact; null for NaN and infinities."""
+    return F.rint(c * float(10**scale)).try_cast("decimal(38,0)")
 
-    Sums of whole numbers do not depend on their order while they stay below 2^53 units, so
-    retries and other partitionings give the same bits; beyond that they are plain double
-    sums. Measured 4 to 6 times faster than decimal sums on a scan.
+
+def _unit_sum(c: Column, scale: int, over=None) -> Column:
+    """Sum of whole units, from two sums of long numbers: multiples of 2^20 and what is left of them.
+
+    Neither overflows below 2^43 rows of 2^53 units each, and whole numbers add up to the same
+    total in any order, so retries and other partitionings give the same bits.
     """
-    return F.rint(c * float(10**scale))
+    units = F.rint(c * float(10**scale)).try_cast("long")
+    parts = [F.sum(F.shiftright(units, 20)), F.sum(units.bitwiseAND(F.lit((1 << 20) - 1)))]
+    high, low = parts if over is None else [p.over(over) for p in parts]
+    return high * float(1 << 20) + low
 
 
 def exact_sum(c: Column, scale: int = 6) -> Column:
-    """Order-independent sum (see `fixed_point`)."""
-    return F.sum(fixed_point(c, scale)) / float(10**scale)
+    """Order-independent sum of the finite values."""
+    return _unit_sum(c, scale) / float(10**scale)
 
 
 def exact_avg(c: Column, scale: int = 6) -> Column:
@@ -47,7 +54,7 @@ def exact_avg(c: Column, scale: int = 6) -> Column:
 
 def window_avg(c: Column, window, scale: int = 6) -> Column:
     """`exact_avg` over a window."""
-    total = F.sum(fixed_point(c, scale)).over(window) / float(10**scale)
+    total = _unit_sum(c, scale, window) / float(10**scale)
     return F.try_divide(total, F.count(c).over(window))
 
 

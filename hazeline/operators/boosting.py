@@ -1,158 +1,260 @@
-"""Quantile gradient boosting and isotonic calibration on Spark ML trees."""
+"""Quantile gradient boosting over binned features, and isotonic calibration."""
 
 from __future__ import annotations
 
 import json
-from multiprocessing.pool import ThreadPool
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, IsotonicRegression
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.ml.regression import IsotonicRegression
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazeline.constants import FEATURES_72H, POLLUTANTS, QUANTILES
 from hazeline.operators.ordered import exact_percentiles
 from hazeline.session import durable
 
-MISSING = -9999.0
 
+def _codes(values: np.ndarray, edges: Sequence[np.ndarray]) -> np.ndarray:
+    """Bin of every value (rows x features): 0 where it is missing, else 1 + the number of edges below it."""
+    out = np.empty(values.shape, np.int16)
+    for j, e in enumerate(edges):
+        out[:, j] = np.where(np.isnan(values[:, j]), 0, 1 + np.searchsorted(e, values[:, j], "left"))
+    return out
 
-def feature_vector(df: DataFrame, features: list[str]) -> DataFrame:
-    """`features` vector; a missing value becomes a sentinel plus a 0/1 flag."""
-    flags = [f"_no_{f}" for f in features if f.startswith("last_obs_")]
-    out = df.withColumns(
-        {f"_f_{f}": F.coalesce(F.col(f).cast("double"), F.lit(MISSING)) for f in features}
-        | {g: F.col(g[len("_no_"):]).isNull().cast("double") for g in flags})
-    names = [f"_f_{f}" for f in features] + flags
-    return VectorAssembler(inputCols=names, outputCol="features").transform(out).drop(*names)
 
+@dataclass
+class Tree:
+    """A complete binary tree as two arrays: rows with a bin above `bins[node]` go right; an unsplit node sends all left."""
 
-class QuantileBoost:
-    """Boosted trees for one quantile.
+    feature: np.ndarray
+    bins: np.ndarray
+    value: np.ndarray
 
-    Each round fits a Spark ML tree to the sign residual and sets every leaf to the residual
-    quantile of its rows. Leaf quantiles come from a mergeable sketch (relative rank error
-    1/accuracy), so no leaf is ever gathered; the start value is exact.
-    """
-
-    def __init__(self, alpha: float, trees: int = 80, rate: float = 0.08, depth: int = 5, min_leaf: int = 20,
-                 seed: int = 42, accuracy: int = 10_000, cut_every: int = 10):
-        self.alpha, self.trees, self.rate = alpha, trees, rate
-        self.depth, self.min_leaf, self.seed = depth, min_leaf, seed
-        self.accuracy, self.cut_every = accuracy, cut_every
-
-    def fit(self, df: DataFrame, label: str) -> "QuantileBoostModel":
-        """`df` holds `features` and the label; rows without label are dropped."""
-        rows = df.where(F.col(label).isNotNull()).select("features", F.col(label).cast("double").alias("_y"))
-        start = exact_percentiles(rows.withColumn("_g", F.lit(0)), ["_g"], "_y", {"q": self.alpha}).first()
-        base = float(start["q"]) if start else 0.0
-        work = durable(rows.withColumn("_f", F.lit(base)))
-        stages: list[tuple[DecisionTreeRegressionModel, dict[int, float]]] = []
-        for k in range(self.trees if start else 0):
-            sign = F.when(F.col("_y") > F.col("_f"), self.alpha).otherwise(self.alpha - 1.0)
-            tree = DecisionTreeRegressor(
-                featuresCol="features", labelCol="_g", predictionCol="_p", leafCol="_leaf",
-                maxDepth=self.depth, minInstancesPerNode=self.min_leaf, seed=self.seed + k)
-            model = tree.fit(work.withColumn("_g", sign))
-            placed = model.transform(work).withColumn("_leaf", F.col("_leaf").cast("int"))
-            # At most 2^depth leaves come back.
-            found = placed.groupBy("_leaf").agg(
-                F.percentile_approx(F.col("_y") - F.col("_f"), self.alpha, self.accuracy).alias("v")).collect()
-            leaves = {int(r["_leaf"]): float(r["v"]) for r in found}
-            stages.append((model, leaves))
-            work = placed.withColumn("_f", F.col("_f") + self.rate * _leaf_value(leaves)).select("features", "_y", "_f")
-            if (k + 1) % self.cut_every == 0:
-                work = durable(work)
-        return QuantileBoostModel(self.alpha, base, self.rate, stages)
-
-
-def _leaf_value(leaves: dict[int, float]) -> Column:
-    pairs = [F.lit(x) for kv in sorted(leaves.items()) for x in kv]
-    table = F.create_map(*pairs) if pairs else F.create_map(F.lit(0), F.lit(0.0))
-    return F.coalesce(F.element_at(table, F.col("_leaf")), F.lit(0.0))
-
-
-class QuantileBoostModel:
-    def __init__(self, alpha: float, base: float, rate: float, stages):
-        self.alpha, self.base, self.rate, self.stages = alpha, base, rate, stages
-
-    def transform(self, df: DataFrame, out: str) -> DataFrame:
-        keep = df.columns
-        total = df.withColumn(out, F.lit(self.base))
-        for model, leaves in self.stages:
-            total = model.transform(total).withColumn("_leaf", F.col("_leaf").cast("int"))
-            total = total.withColumn(out, F.col(out) + self.rate * _leaf_value(leaves)).select(*keep, out)
-        return total
+    @classmethod
+    def blank(cls, depth: int) -> "Tree":
+        return cls(np.zeros(2**depth - 1, int), np.full(2**depth - 1, np.iinfo(np.int16).max), np.zeros(2**depth))
+
+    def node(self, codes: np.ndarray, level: int) -> np.ndarray:
+        """Place of each row among the 2^level nodes of a level."""
+        at, every = np.zeros(len(codes), int), np.arange(len(codes))
+        for k in range(level):
+            n = at + 2**k - 1
+            at = 2 * at + (codes[every, self.feature[n]] > self.bins[n])
+        return at
+
+    def leaf(self, codes: np.ndarray) -> np.ndarray:
+        return self.node(codes, (len(self.feature) + 1).bit_length() - 1)
+
+    def predict(self, codes: np.ndarray) -> np.ndarray:
+        return self.value[self.leaf(codes)]
+
+
+@dataclass
+class QuantileModels:
+    """Boosted trees of many (label, quantile) cells over one set of binned features."""
+
+    features: list[str]
+    cells: list[tuple[str, float]]
+    edges: list[np.ndarray]
+    base: list[float]
+    rate: float
+    rounds: list[list[Tree]] = field(default_factory=list)
+
+    def predict(self, codes: np.ndarray) -> np.ndarray:
+        out = np.tile(np.array(self.base, float), (len(codes), 1))
+        for trees in self.rounds:
+            for m, tree in enumerate(trees):
+                out[:, m] += self.rate * tree.predict(codes)
+        return out
+
+    def transform(self, df: DataFrame, names: Sequence[str]) -> DataFrame:
+        """Adds one prediction column per cell."""
+        model = self
+
+        @F.pandas_udf("array<double>")
+        def scores(*columns: pd.Series) -> pd.Series:
+            values = np.column_stack([c.to_numpy(float, na_value=np.nan) for c in columns])
+            return pd.Series(list(model.predict(_codes(values, model.edges))))
+
+        scored = df.withColumn("_scores", scores(*[F.col(f).cast("double") for f in self.features]))
+        return scored.withColumns({n: F.col("_scores")[i] for i, n in enumerate(names)}).drop("_scores")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        for i, (model, _) in enumerate(self.stages):
-            model.write().overwrite().save(f"{path}/tree_{i:04d}")
-        meta = {"alpha": self.alpha, "base": self.base, "rate": self.rate,
-                "leaves": [sorted(l.items()) for _, l in self.stages]}
-        spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").text(f"{path}/meta")
+        doc = {"features": self.features, "cells": self.cells, "edges": [e.tolist() for e in self.edges],
+               "base": self.base, "rate": self.rate,
+               "rounds": [[[t.feature.tolist(), t.bins.tolist(), t.value.tolist()] for t in trees] for trees in self.rounds]}
+        spark.createDataFrame([(json.dumps(doc),)], "model string").write.mode("overwrite").text(path)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> "QuantileBoostModel":
-        meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-        stages = [
-            (DecisionTreeRegressionModel.load(f"{path}/tree_{i:04d}"), {int(k): float(v) for k, v in leaves})
-            for i, leaves in enumerate(meta["leaves"])
-        ]
-        return cls(meta["alpha"], meta["base"], meta["rate"], stages)
-
-
-def train_quantile_models(
-    train: DataFrame, pollutants=POLLUTANTS, quantiles=QUANTILES, trees: int = 80, parallelism: int = 6, **options
-) -> dict:
-    """{pollutant: {quantile: model}} over the 22 features of the sample matrix.
-
-    The models are independent, so `parallelism` of them submit their jobs side by side, as
-    Spark ML's own cross-validator does; each job is still spread over the executors.
+    def load(cls, spark: SparkSession, path: str) -> "QuantileModels":
+        doc = json.loads(spark.read.text(path).first()[0])
+        rounds = [[Tree(*map(np.array, t)) for t in trees] for trees in doc["rounds"]]
+        return cls(doc["features"], [(c, q) for c, q in doc["cells"]], [np.array(e) for e in doc["edges"]],
+                   doc["base"], doc["rate"], rounds)
+
+
+def _bin_edges(df: DataFrame, features: Sequence[str], bins: int) -> list[np.ndarray]:
+    """Distinct inner quantiles of each feature, by sketch: at most `bins` - 1 numbers per feature."""
+    at = [k / bins for k in range(1, bins)]
+    found = df.agg(*[F.percentile_approx(F.col(f).cast("double"), at, 10_000).alias(f"e{i}") for i, f in enumerate(features)]).first()
+    return [np.unique(np.array(found[i] if found[i] is not None else [], float)) for i in range(len(features))]
+
+
+def _best_splits(pdf: pd.DataFrame, bins: int, min_leaf: int) -> pd.DataFrame:
+    """Gain and bin of the best split for each histogram row (model, node, feature, counts, sums)."""
+    n = pdf[[f"n{b}" for b in range(bins)]].to_numpy(float).cumsum(axis=1)
+    g = pdf[[f"g{b}" for b in range(bins)]].to_numpy(float).cumsum(axis=1)
+    right, total = n[:, -1:] - n, g[:, -1:]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = g**2 / n + (total - g) ** 2 / right - total**2 / n[:, -1:]
+    gain[(n < min_leaf) | (right < min_leaf)] = -1.0
+    best = gain.argmax(axis=1)
+    return pdf[["model", "node", "feature"]].assign(bin=best, gain=gain[np.arange(len(pdf)), best])
+
+
+def fit_quantiles(
+    df: DataFrame, features: Sequence[str], cells: Sequence[tuple[str, float]], trees: int = 80, rate: float = 0.08,
+    depth: int = 5, min_leaf: int = 20, bins: int = 32, accuracy: int = 10_000, cut_every: int = 10,
+) -> QuantileModels:
+    """Boosted trees for all (label, quantile) cells at once.
+
+    Features are binned once. Each level of a round is one grouped sum for all cells: histograms of
+    row counts and sign residuals by (cell, node, feature), added up in the task first, so what is
+    shuffled and what returns (one split per node and feature) do not grow with the rows. Leaves take
+    the residual quantile of their rows from a mergeable sketch (relative rank error 1/accuracy); the
+    start value is exact. Every `cut_every` rounds the current predictions are written out. Rows
+    without a label count for the other labels only; a label without any value predicts 0.
     """
-    rows = durable(feature_vector(train, list(FEATURES_72H)).select("features", *[f"target_{p}" for p in pollutants]))
-    cells = [(p, q) for p in pollutants for q in quantiles]
+    labels = sorted({c for c, _ in cells})
+    edges = _bin_edges(df, features, bins)
+    width = max((len(e) for e in edges), default=0) + 2
+    model = QuantileModels(list(features), list(cells), edges, [], rate)
+    for label, q in cells:
+        rows = df.where(F.col(label).isNotNull()).select(F.lit(0).alias("_g"), F.col(label).cast("double").alias("_y"))
+        start = exact_percentiles(rows, ["_g"], "_y", {"q": q}).first()
+        model.base.append(float(start["q"]) if start and start["q"] is not None else 0.0)
+    base, alphas = np.array(model.base), np.array([q for _, q in cells])
+    label_of = np.array([labels.index(c) for c, _ in cells])
+
+    def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            codes = _codes(pdf[[f"x{i}" for i in range(len(features))]].to_numpy(float, na_value=np.nan), edges)
+            yield pd.DataFrame({"codes": list(codes), "y": list(pdf[[f"y{i}" for i in range(len(labels))]].to_numpy(float, na_value=np.nan)),
+                                "f": list(np.tile(base, (len(pdf), 1)))})
+
+    row = "codes array<smallint>, y array<double>, f array<double>"
+    work = durable(df.select(
+        *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)],
+        *[F.col(c).cast("double").alias(f"y{i}") for i, c in enumerate(labels)]).mapInPandas(binned, row))
+    since: list[list[Tree]] = []  # rounds that `work` does not hold yet
+
+    def current(pdf: pd.DataFrame, rounds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes, predictions and residuals (NaN without label) of a batch."""
+        codes, f = np.stack(pdf["codes"].to_numpy()), np.stack(pdf["f"].to_numpy()).copy()
+        for one in rounds:
+            for m, tree in enumerate(one):
+                f[:, m] += rate * tree.predict(codes)
+        y = np.stack(pdf["y"].to_numpy()).astype(float)
+        return codes, f, y[:, label_of] - f
+
+    def histograms(growing: list[Tree], level: int, rounds: list[list[Tree]]):
+        nodes, size = 2**level, len(features) * width
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            count, total = np.zeros((len(cells), nodes * size)), np.zeros((len(cells), nodes * size))
+            for pdf in filter(len, batches):
+                codes, _, rest = current(pdf, rounds)
+                for m, tree in enumerate(growing):
+                    ok = ~np.isnan(rest[:, m])
+                    at = (tree.node(codes[ok], level)[:, None] * size + np.arange(len(features)) * width + codes[ok]).ravel()
+                    sign = np.repeat(np.where(rest[ok, m] > 0, alphas[m], alphas[m] - 1.0), len(features))
+                    count[m] += np.bincount(at, minlength=nodes * size)
+                    total[m] += np.bincount(at, sign, nodes * size)
+            n, g = count.reshape(-1, width), total.reshape(-1, width)
+            seen = np.flatnonzero(n.any(axis=1))
+            cell, node, feature = np.unravel_index(seen, (len(cells), nodes, len(features)))
+            # Sign residuals in millionths: whole numbers, so that the order of adding does not matter.
+            if not len(seen):
+                return
+            yield pd.DataFrame({"model": cell, "node": node, "feature": feature}).join(pd.DataFrame(
+                np.hstack([n[seen], np.rint(g[seen] * 1e6)]), columns=[f"{k}{b}" for k in "ng" for b in range(width)]))
+
+        return run
+
+    amounts = [f"{k}{b}" for k in "ng" for b in range(width)]
+    hist = "model int, node int, feature int, " + ", ".join(f"{c} double" for c in amounts)
+
+    def splits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in filter(len, batches):
+            yield _best_splits(pdf, width, min_leaf)
+
+    def leaves(rounds: list[list[Tree]], grown: list[Tree]):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in filter(len, batches):
+                codes, _, rest = current(pdf, rounds)
+                for m, tree in enumerate(grown):
+                    ok = ~np.isnan(rest[:, m])
+                    yield pd.DataFrame({"model": m, "leaf": tree.leaf(codes[ok]), "rest": rest[ok, m]})
+
+        return run
+
+    def settled(rounds: list[list[Tree]]):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in filter(len, batches):
+                yield pdf.assign(f=list(current(pdf, rounds)[1]))
+
+        return run
+
+    wanted = sorted(set(alphas.tolist()))
+    for k in range(trees):
+        grown = [Tree.blank(depth) for _ in cells]
+        for level in range(depth):
+            sums = work.mapInPandas(histograms(grown, level, list(since)), hist).groupBy("model", "node", "feature").agg(
+                *[F.sum(c).alias(c) for c in amounts])
+            best: dict[tuple[int, int], tuple] = {}
+            for r in sums.mapInPandas(splits, "model int, node int, feature int, bin int, gain double").where("gain > 0").collect():
+                found = (r["gain"], -r["feature"], -r["bin"])  # ties go to the first feature
+                best[r["model"], r["node"]] = max(found, best.get((r["model"], r["node"]), found))
+            for (m, node), (_, feature, cut) in best.items():
+                grown[m].feature[2**level - 1 + node], grown[m].bins[2**level - 1 + node] = -feature, -cut
+        placed = work.mapInPandas(leaves(list(since), grown), "model int, leaf int, rest double")
+        for r in placed.groupBy("model", "leaf").agg(F.percentile_approx("rest", wanted, accuracy).alias("v")).collect():
+            grown[r["model"]].value[r["leaf"]] = r["v"][wanted.index(alphas[r["model"]])]
+        model.rounds.append(grown)
+        since.append(grown)
+        if len(since) == cut_every and k + 1 < trees:
+            work, since = durable(work.mapInPandas(settled(list(since)), row)), []
+    return model
+
+
+def train_quantile_models(train: DataFrame, pollutants=POLLUTANTS, quantiles=QUANTILES, trees: int = 80, **options) -> QuantileModels:
+    """Models of every pollutant and quantile over the 22 features of the sample matrix."""
+    cells = [(f"target_{p}", q) for p in pollutants for q in quantiles]
+    rows = durable(train.select(*FEATURES_72H, *[f"target_{p}" for p in pollutants]))
+    return fit_quantiles(rows, list(FEATURES_72H), cells, trees, **options)
+
+
+def predict_quantiles(models: QuantileModels, samples: DataFrame, monotone: bool = True) -> DataFrame:
+    """Adds `<pollutant>_p10/p50/p90`; ordered and non-negative unless told otherwise."""
+    from hazeline.operators.bands import monotone_quantiles
 
-    def fit(cell):
-        p, q = cell
-        return QuantileBoost(q, trees, **options).fit(rows, f"target_{p}")
+    names = {(c, q): f"{c.removeprefix('target_')}_p{round(q * 100)}" for c, q in models.cells}
+    out = models.transform(samples, [names[cell] for cell in models.cells])
+    triples = {c.removeprefix("target_"): tuple(names[c, q] for q in sorted(q for d, q in models.cells if d == c)) for c, _ in models.cells}
+    return monotone_quantiles(out, triples) if monotone else out
 
-    with ThreadPool(parallelism) as pool:
-        fitted = dict(zip(cells, pool.map(inheritable_thread_target(train.sparkSession)(fit), cells)))
-    return {p: {q: fitted[p, q] for q in quantiles} for p in pollutants}
 
+def save_models(spark: SparkSession, models: QuantileModels, metadata: dict, path: str) -> None:
+    """The models and one metadata document."""
+    models.save(spark, f"{path}/models")
+    spark.createDataFrame([(json.dumps({**metadata, "cells": models.cells}),)], "meta string").write.mode("overwrite").text(f"{path}/metadata")
 
-def predict_quantiles(models: dict, samples: DataFrame, monotone: bool = True) -> DataFrame:
-    """Adds `<pollutant>_p10/p50/p90`; ordered and non-negative unless told otherwise."""
-    from hazeline.operators.bands import monotone_quantiles
 
-    out = feature_vector(samples, list(FEATURES_72H))
-    names = {}
-    for p, by_q in models.items():
-        triple = tuple(f"{p}_p{round(q * 100)}" for q in sorted(by_q))
-        for name, q in zip(triple, sorted(by_q)):
-            out = by_q[q].transform(out, name)
-        names[p] = triple
-    out = out.drop("features")
-    return monotone_quantiles(out, names) if monotone else out
-
-
-def save_models(spark: SparkSession, models: dict, metadata: dict, path: str) -> None:
-    """Every model under its own folder plus one metadata document."""
-    for p, by_q in models.items():
-        for q, m in by_q.items():
-            m.save(spark, f"{path}/{p}_q{round(q * 100)}")
-    doc = {**metadata, "pollutants": list(models), "quantiles": sorted(next(iter(models.values())))}
-    spark.createDataFrame([(json.dumps(doc),)], "meta string").write.mode("overwrite").text(f"{path}/metadata")
-
-
-def load_models(spark: SparkSession, path: str) -> tuple[dict, dict]:
-    doc = json.loads(spark.read.text(f"{path}/metadata").first()[0])
-    models = {
-        p: {q: QuantileBoostModel.load(spark, f"{path}/{p}_q{round(q * 100)}") for q in doc["quantiles"]}
-        for p in doc["pollutants"]
-    }
-    return models, doc
+def load_models(spark: SparkSession, path: str) -> tuple[QuantileModels, dict]:
+    return QuantileModels.load(spark, f"{path}/models"), json.loads(spark.read.text(f"{path}/metadata").first()[0])
 
 
 def isotonic_calibrate(train: DataFrame, test: DataFrame, p: str, y: str, out: str, grid: float | None = None) -> DataFrame:

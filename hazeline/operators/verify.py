@@ -157,19 +157,6 @@ def counter_draw(rep: Column, pos: Column, n_blocks: Column, seed: int = 42) ->
     return x % n_blocks
 
 
-def reference_draws(spark: SparkSession, n_blocks: int, reps: int = 1000, seed: int = 42) -> DataFrame:
-    """(rep, pos, drawn) of the sequential generator, for small block counts only.
-
-    The sequence cannot be produced in parallel, so it is refused beyond 2,000 blocks;
-    `counter_draw` has no such limit.
-    """
-    if n_blocks > 2000:
-        raise ValueError("sequential draws are limited to 2,000 blocks")
-    drawn = np.random.RandomState(seed).randint(0, n_blocks, size=reps * n_blocks)
-    rows = [(int(i // n_blocks), int(i % n_blocks), int(d)) for i, d in enumerate(drawn)]
-    return spark.createDataFrame(rows, "rep long, pos long, drawn long")
-
-
 def block_bootstrap(
     df: DataFrame, by: list[str], order: list[str], y: str, p: str, ref: str | None = None,
     block: int = 7, reps: int = 1000, seed: int = 42, draws: DataFrame | None = None,
@@ -191,7 +178,7 @@ def block_bootstrap(
     last_len = F.pmod(n - 1, F.lit(block)) + 1
     head = F.pmod(at, F.lit(block)) < last_len
     em, er = square_error(F.col("_y"), F.col("_p")), square_error(F.col("_y"), F.col("_r"))
-    rows = rows.withColumns({"_blk": blk, "_em": fixed_point(em, SCALE), "_er": fixed_point(er, SCALE), "_head": head})
+    rows = rows.withColumns({"_blk": blk, "_em": fixed_point(em, SCALE).cast("long"), "_er": fixed_point(er, SCALE).cast("long"), "_head": head})
     blocks = rows.groupBy(*keys, "_blk").agg(
         F.max("_rn_total").cast("long").alias("n"), F.count(F.lit(1)).alias("len"),
         F.sum("_em").alias("em"), F.sum("_er").alias("er"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hazeline.constants import CATEGORIES, POLLUTANTS
@@ -20,7 +22,7 @@ from hazeline.plans import q_features as qf
 from hazeline.plans import q_verify as qv
 from hazeline.plans import sqltext as S
 from hazeline.plans.registry import plan
-from hazeline.session import durable
+from hazeline.session import durable, shared_folder
 
 _C = F.col
 
@@ -259,8 +261,10 @@ def isotonic_calibration(t):
 
 @plan("quantile_gbt")
 def quantile_gbt(t):
-    """Test-season quantiles of every pollutant from boosted trees (3 rounds here; 80 by default)."""
+    """Test-season quantiles of every pollutant from boosted trees, as saved and loaded again."""
     train, test = split_samples(t)
-    models = bo.train_quantile_models(train, trees=3)
+    path = f"{shared_folder(t.spark)}/models-{uuid.uuid4().hex}"
+    bo.save_models(t.spark, bo.train_quantile_models(train), {"season": qf.SEASONS[0]}, path)
+    models, _ = bo.load_models(t.spark, path)
     out = bo.predict_quantiles(models, test)
     return out.select("station", "issue_time", "lead_h", *[f"{p}_p{q}" for p in POLLUTANTS for q in (10, 50, 90)])

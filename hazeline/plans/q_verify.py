@@ -22,7 +22,7 @@ from hazeline.session import durable
 
 _C = F.col
 TRAIN_END = "2024-01-20 23:00:00"
-MODELS = {"persistence": "last_obs_", "raw_driver": "driver_", "rolling_bc": "bc_", "lead_blend": "blend_", "climatology": "clim_", "boosted": "{}_p50"}
+MODELS = {"persistence": "last_obs_", "raw_driver": "driver_", "rolling_bc": "bc_", "lead_blend": "blend_", "climatology": "clim_", "band_median": "{}_p50"}
 
 
 def train_obs(t):
@@ -66,8 +66,16 @@ S.view("evaluation", f"""WITH {_R} SELECT s.station, s.issue_time, s.valid_time,
 FROM candidates s LEFT JOIN r ON r.station = s.station AND r.issue_time = s.issue_time {_JOINS}""", "candidates", "medians", "resq")
 
 
+HELD_OUT = "issue_time >= TIMESTAMP '2024-01-21'"
+S.view("held_out", f"SELECT * FROM evaluation WHERE {HELD_OUT}", "evaluation")
+
+
+def held_out(rows):
+    return rows.where(_C("issue_time") >= F.lit("2024-01-21 00:00:00").cast("timestamp_ntz"))
+
+
 def evaluation(t):
-    """All candidates; the band forecast stands in the boosted model's place."""
+    """All candidates; `band_median` is the middle of the blend bands."""
     o, d, issues = t.obs, t.drivers, qf.issues(t)
     table = evaluation_table(qf.samples(t), issues, o, d, train_obs(t))
     out = blend_bands(table, residual_quantiles(issues, o, d))
@@ -96,29 +104,29 @@ def continuous_metrics(t):
 _BK = "CASE WHEN lead_h <= 24 THEN '1-24h' WHEN lead_h <= 48 THEN '25-48h' ELSE '49-72h' END"
 _COLS = {m: (lambda p, c=c: c.format(p) if "{}" in c else c + p) for m, c in MODELS.items()}
 _LONG = "long AS (" + " UNION ALL ".join(
-    f"SELECT '{p}' AS pollutant, lead_h, '{m}' AS model, target_{p} AS y, {c(p)} AS yhat FROM evaluation" for p in POLLUTANTS for m, c in _COLS.items()
+    f"SELECT '{p}' AS pollutant, lead_h, '{m}' AS model, target_{p} AS y, {c(p)} AS yhat FROM held_out" for p in POLLUTANTS for m, c in _COLS.items()
 ) + f"), lb AS (SELECT *, {_BK} AS bucket FROM long UNION ALL SELECT *, '{ALL_LEADS}' FROM long), met AS (SELECT pollutant, bucket, model, {_metric_cols('(yhat - y)')} FROM lb GROUP BY 1, 2, 3)"
 
 
-@plan("lead_bucket_metrics", S.sql(f"""WITH l AS (SELECT lead_h, target_pm25 AS y, driver_pm25 AS yhat FROM samples),
-lb AS (SELECT *, {_BK} AS bucket FROM l UNION ALL SELECT *, '{ALL_LEADS}' FROM l) SELECT 'pm25' AS pollutant, bucket, 'raw_driver' AS model, {_metric_cols('(yhat - y)')} FROM lb GROUP BY 2""", "samples"))
+@plan("lead_bucket_metrics", S.sql(f"""WITH l AS ({" UNION ALL ".join(f"SELECT '{p}' AS pollutant, lead_h, target_{p} AS y, driver_{p} AS yhat FROM samples" for p in POLLUTANTS)}),
+lb AS (SELECT *, {_BK} AS bucket FROM l UNION ALL SELECT *, '{ALL_LEADS}' FROM l) SELECT pollutant, bucket, 'raw_driver' AS model, {_metric_cols('(yhat - y)')} FROM lb GROUP BY 1, 2""", "samples"))
 def lead_bucket_metrics(t):
-    return vf.candidate_metrics(qf.samples(t), {"raw_driver": "driver_"}).where("pollutant = 'pm25'")
+    return vf.candidate_metrics(qf.samples(t), {"raw_driver": "driver_"})
 
 
 def metrics(t):
-    return vf.candidate_metrics(evaluation(t), MODELS)
+    return vf.candidate_metrics(held_out(evaluation(t)), MODELS)
 
 
-@plan("candidate_metrics", S.sql(f"WITH {_LONG} SELECT * FROM met", "evaluation"))
+@plan("candidate_metrics", S.sql(f"WITH {_LONG} SELECT * FROM met", "held_out"))
 def candidate_metrics(t):
     return metrics(t)
 
 
-_RANK = "CASE model WHEN 'rolling_bc' THEN 0 WHEN 'lead_blend' THEN 1 WHEN 'boosted' THEN 2 WHEN 'persistence' THEN 3 WHEN 'raw_driver' THEN 4 ELSE 5 END"
+_RANK = "CASE model WHEN 'rolling_bc' THEN 0 WHEN 'lead_blend' THEN 1 WHEN 'band_median' THEN 2 WHEN 'persistence' THEN 3 WHEN 'raw_driver' THEN 4 ELSE 5 END"
 
 
-@plan("best_model", S.sql(f"WITH {_LONG} SELECT pollutant, bucket, COALESCE(FIRST(model ORDER BY mae, {_RANK}) FILTER (WHERE mae IS NOT NULL), 'None') AS best_model, MIN(mae) AS best_mae FROM met GROUP BY 1, 2", "evaluation"))
+@plan("best_model", S.sql(f"WITH {_LONG} SELECT pollutant, bucket, COALESCE(FIRST(model ORDER BY mae, {_RANK}) FILTER (WHERE mae IS NOT NULL), 'None') AS best_model, MIN(mae) AS best_mae FROM met GROUP BY 1, 2", "held_out"))
 def best_model(t):
     return vf.best_model(metrics(t))
 
@@ -128,17 +136,17 @@ def _skill(m):
 
 
 @plan("skill_vs_raw", S.sql(f"WITH {_LONG}, w AS (SELECT pollutant, bucket, MAX(mae) FILTER (WHERE model = 'raw_driver') AS raw, "
-    + ", ".join(f"MAX(mae) FILTER (WHERE model = '{m}') AS {m}" for m in ("boosted", "rolling_bc", "lead_blend"))
-    + f" FROM met GROUP BY 1, 2) SELECT pollutant, bucket, {_skill('boosted')}, {_skill('rolling_bc')}, {_skill('lead_blend')} FROM w", "evaluation"))
+    + ", ".join(f"MAX(mae) FILTER (WHERE model = '{m}') AS {m}" for m in ("band_median", "rolling_bc", "lead_blend"))
+    + f" FROM met GROUP BY 1, 2) SELECT pollutant, bucket, {_skill('band_median')}, {_skill('rolling_bc')}, {_skill('lead_blend')} FROM w", "held_out"))
 def skill_vs_raw(t):
-    return vf.skill_vs_raw(metrics(t))
+    return vf.skill_vs_raw(metrics(t), models=("band_median", "rolling_bc", "lead_blend"))
 
 
-@plan("interval_coverage", S.sql(f"""SELECT bucket, {S.rnd("CAST(COUNT(*) FILTER (WHERE y >= lo AND y <= hi) AS DOUBLE) / COUNT(*) FILTER (WHERE y IS NOT NULL AND lo IS NOT NULL AND hi IS NOT NULL) * 100e0", 2)} AS coverage_pct,
- COUNT(*) FILTER (WHERE y IS NOT NULL AND lo IS NOT NULL AND hi IS NOT NULL) AS n FROM (SELECT {_BK} AS bucket, target_pm25 AS y, pm25_p10 AS lo, pm25_p90 AS hi FROM evaluation) GROUP BY 1""", "evaluation"))
+@plan("interval_coverage", S.sql(f"""SELECT pollutant, bucket, {S.rnd("CAST(COUNT(*) FILTER (WHERE y >= lo AND y <= hi) AS DOUBLE) / COUNT(*) FILTER (WHERE y IS NOT NULL AND lo IS NOT NULL AND hi IS NOT NULL) * 100e0", 2)} AS coverage_pct,
+ COUNT(*) FILTER (WHERE y IS NOT NULL AND lo IS NOT NULL AND hi IS NOT NULL) AS n FROM ({" UNION ALL ".join(f"SELECT '{p}' AS pollutant, {_BK} AS bucket, target_{p} AS y, {p}_p10 AS lo, {p}_p90 AS hi FROM held_out" for p in POLLUTANTS)}) GROUP BY 1, 2""", "held_out"))
 def interval_coverage(t):
-    rows = evaluation(t).withColumn("bucket", vf.lead_bucket(_C("lead_h")))
-    return vf.interval_coverage(rows, "target_pm25", "pm25_p10", "pm25_p90", ["bucket"])
+    rows = vf.pollutant_rows(held_out(evaluation(t)), {"lo": "{}_p10", "hi": "{}_p90"})
+    return vf.interval_coverage(rows, "target", "lo", "hi", ["pollutant", "bucket"])
 
 
 _SE = "(p - y) * (p - y)"
@@ -179,7 +187,7 @@ def reliability_curve(t):
     return vf.reliability_curve(o, "y", "p", ["g"])
 
 
-_CAT = {"boosted": ("pm25_p50", "pm10_p50"), "raw_driver": ("driver_pm25", "driver_pm10"), "persistence": ("last_obs_pm25", "last_obs_pm10"),
+_CAT = {"band_median": ("pm25_p50", "pm10_p50"), "raw_driver": ("driver_pm25", "driver_pm10"), "persistence": ("last_obs_pm25", "last_obs_pm10"),
         "climatology": ("clim_pm25", "clim_pm10"), "rolling_bc": ("bc_pm25", "bc_pm10"), "lead_blend": ("blend_pm25", "blend_pm10")}
 
 
@@ -187,7 +195,7 @@ def _cat_sql(a, b):
     return S.category("(" + S.pm_index(a, b) + ")")
 
 
-S.view("categories", f"SELECT lead_h, {_cat_sql('target_pm25', 'target_pm10')} AS obs_cat, " + ", ".join(f"{_cat_sql(a, b)} AS cat_{m}" for m, (a, b) in _CAT.items())
+S.view("categories", f"SELECT issue_time, lead_h, {_cat_sql('target_pm25', 'target_pm10')} AS obs_cat, " + ", ".join(f"{_cat_sql(a, b)} AS cat_{m}" for m, (a, b) in _CAT.items())
     + ", target_pm25, target_pm10, last_obs_pm25, last_obs_pm10, driver_pm25, driver_pm10, pm25_p10, pm25_p50, pm25_p90, pm10_p10, pm10_p50, pm10_p90 FROM evaluation", "evaluation")
 
 
@@ -204,9 +212,9 @@ _ACC = " UNION ALL ".join(
 
 
 @plan("category_accuracy", S.sql(f"WITH k AS (SELECT *, {S.rank('obs_cat')} AS r_obs, " + ", ".join(f"{S.rank(f'cat_{m}')} AS r_{m}" for m in _CAT)
-    + f" FROM categories WHERE obs_cat <> 'Unknown'), x AS (SELECT *, {_BK} AS bucket FROM k UNION ALL SELECT *, '{ALL_LEADS}' FROM k) {_ACC}", "categories"))
+    + f" FROM categories WHERE obs_cat <> 'Unknown' AND {HELD_OUT}), x AS (SELECT *, {_BK} AS bucket FROM k UNION ALL SELECT *, '{ALL_LEADS}' FROM k) {_ACC}", "categories"))
 def category_accuracy(t):
-    return vf.category_accuracy(categories(t), "obs_cat", {m: f"cat_{m}" for m in _CAT})
+    return vf.category_accuracy(held_out(categories(t)), "obs_cat", {m: f"cat_{m}" for m in _CAT})
 
 
 def _erfc_sql(x):
@@ -254,14 +262,15 @@ def _brier_cols(probs):
 _PROBS = {"raw": "p_raw", "persistence": "p_pers", "raw_driver": "p_drv", "climatology": "p_clim"}
 
 
-@plan("severe_risk_table", S.sql(f"""WITH {_PROB}, base AS (SELECT {S.eavg(_sev('target_pm25', 'target_pm10'), 9)} AS rate FROM categories WHERE target_pm25 IS NOT NULL AND target_pm10 IS NOT NULL),
-k AS (SELECT lead_h, CASE WHEN obs_cat = 'Severe' THEN 1e0 ELSE 0e0 END AS y, p_raw, {_sev('last_obs_pm25', 'last_obs_pm10')} AS p_pers, {_sev('driver_pm25', 'driver_pm10')} AS p_drv, rate AS p_clim FROM pr, base WHERE obs_cat <> 'Unknown'),
+@plan("severe_risk_table", S.sql(f"""WITH {_PROB}, base AS (SELECT {S.eavg(_sev('target_pm25', 'target_pm10'), 9)} AS rate FROM categories WHERE NOT {HELD_OUT} AND target_pm25 IS NOT NULL AND target_pm10 IS NOT NULL),
+k AS (SELECT lead_h, CASE WHEN obs_cat = 'Severe' THEN 1e0 ELSE 0e0 END AS y, p_raw, {_sev('last_obs_pm25', 'last_obs_pm10')} AS p_pers, {_sev('driver_pm25', 'driver_pm10')} AS p_drv, rate AS p_clim FROM pr, base WHERE obs_cat <> 'Unknown' AND {HELD_OUT}),
 x AS (SELECT *, {_BK} AS bucket FROM k UNION ALL SELECT *, '{ALL_LEADS}' FROM k)
 SELECT bucket, COUNT(*) AS n_samples, CAST(SUM(y) AS BIGINT) AS events, {_brier_cols(_PROBS)} FROM x GROUP BY 1""", "categories"))
 def severe_risk_table(t):
     rows = durable(categories(t))
-    rate = vf.severe_base_rate(rows).first()["base_rate"]
-    rows = vf.with_exceedance(rows).withColumns({
+    cut = F.lit("2024-01-21 00:00:00").cast("timestamp_ntz")
+    rate = vf.severe_base_rate(rows.where(_C("issue_time") < cut)).first()["base_rate"]
+    rows = vf.with_exceedance(held_out(rows)).withColumns({
         "p_raw": round_half_even(_C("p_raw"), 9), "p_clim": F.lit(rate),
         "p_pers": vf.severe_state(_C("last_obs_pm25"), _C("last_obs_pm10")), "p_drv": vf.severe_state(_C("driver_pm25"), _C("driver_pm10")),
     })

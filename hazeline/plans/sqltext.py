@@ -74,7 +74,7 @@ def percentile(x: str, p: float) -> str:
     return f"quantile_cont({x}, {p})"
 
 
-_ST = "'st' || CAST({c} % 3 AS VARCHAR)"
+_ST = {c: f"'st' || CAST({c} // {n} AS VARCHAR)" for c, n in {"user_id": 50, "l_suppkey": 34, "s_suppkey": 34, "o_custkey": 500}.items()}
 REPORTING_DATE = "CAST(({ts} - INTERVAL 57601 SECOND) AS DATE) + 1"
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
@@ -85,7 +85,7 @@ def view(name: str, body: str, *needs: str) -> None:
 
 
 view("obs", f"""
-SELECT {_ST.format(c='user_id')} AS station, date_trunc('hour', ts) AS ts,
+SELECT {_ST['user_id']} AS station, date_trunc('hour', ts) AS ts,
   4 * {davg("CASE WHEN event_type IN ('click','view') THEN value END")} AS pm25,
   6 * {davg("CASE WHEN event_type IN ('purchase','signup') THEN value END")} AS pm10,
   {davg("CASE WHEN event_type = 'error' THEN value END")} AS no2,
@@ -93,7 +93,7 @@ SELECT {_ST.format(c='user_id')} AS station, date_trunc('hour', ts) AS ts,
 FROM events GROUP BY 1, 2""")
 
 view("drivers", f"""
-SELECT {_ST.format(c='l_suppkey')} AS station,
+SELECT {_ST['l_suppkey']} AS station,
   TIMESTAMP '2024-01-01' + to_hours(CAST(l_orderkey % 720 AS INTEGER)) AS ts,
   6 * {davg('l_quantity')} AS pm2_5, {davg('l_extendedprice')} / 200 AS pm10,
   1000 * {davg('l_tax')} AS ozone, 800 * {davg('l_discount')} AS nitrogen_dioxide,
@@ -103,7 +103,7 @@ SELECT {_ST.format(c='l_suppkey')} AS station,
 FROM lineitem GROUP BY 1, 2""")
 
 view("daily_long", f"""
-SELECT {_ST.format(c='o_custkey')} AS station, CAST(o_orderdate AS DATE) AS date,
+SELECT {_ST['o_custkey']} AS station, CAST(o_orderdate AS DATE) AS date,
   {davg('o_totalprice')} / 1000 AS aqi, {davg('(o_custkey % 300)')} + 1 AS pm25, {davg('(o_orderkey % 500)')} AS pm10
 FROM orders GROUP BY 1, 2""")
 
@@ -121,18 +121,18 @@ view("joint_samples", """
 SELECT l_suppkey AS group_id, 8 * l_quantity AS pm25, l_extendedprice / 150 AS pm10 FROM lineitem""")
 
 view("outcomes", f"""
-SELECT {_ST.format(c='l_suppkey')} AS station, CASE WHEN l_returnflag = 'R' THEN 1e0 ELSE 0e0 END AS y,
+SELECT {_ST['l_suppkey']} AS station, CASE WHEN l_returnflag = 'R' THEN 1e0 ELSE 0e0 END AS y,
   l_discount * 10 AS p, l_tax * 10 AS ref, l_orderkey AS o1, l_linenumber AS o2, l_partkey AS o3, l_suppkey AS o4
 FROM lineitem""")
 
 view("hour_records", f"""
-SELECT {_ST.format(c='user_id')} AS station, event_type AS parameter,
+SELECT {_ST['user_id']} AS station, event_type AS parameter,
   time_bucket(INTERVAL 30 MINUTE, ts) + INTERVAL 330 MINUTE AS ts, value,
   CAST(60 + event_id % 41 AS DOUBLE) AS coverage, event_id AS file_order
 FROM events""")
 
 view("stations", f"""
-SELECT {_ST.format(c='s_suppkey')} AS station, MIN(s_name) AS name,
+SELECT {_ST['s_suppkey']} AS station, MIN(s_name) AS name,
   28 + {davg('s_acctbal')} / 10000 AS lat, 77 + {davg('s_acctbal')} / 20000 AS lon
 FROM supplier GROUP BY 1""")
 

@@ -106,18 +106,39 @@ def test_grouped_logistic_matches_spark_ml(spark):
         assert max(abs(r["p_model"] - ml[(r["u"], r["v"])]) for r in got.where(F.col("g") == g).collect()) < 1e-4
 
 
-def test_quantile_boost_learns_and_reloads(spark, tmp_path):
+def boost_rows(spark):
     rng = np.random.RandomState(2)
     rows = [(float(a), float(50 + 100 * (a > 0.5) + rng.normal() * 5)) for a in rng.rand(600)]
-    df = spark.createDataFrame(rows, "a double, y double")
-    vec = VectorAssembler(inputCols=["a"], outputCol="features").transform(df)
-    model = bo.QuantileBoost(0.5, trees=6, rate=0.5, depth=2).fit(vec, "y")
-    got = model.transform(vec, "p")
-    err = got.select(F.avg(F.abs(F.col("p") - F.col("y")))).first()[0]
+    rows += [(None, 300.0 + i % 7) for i in range(60)] + [(0.5, None)]
+    return spark.createDataFrame(rows, "a double, y double")
+
+
+def test_quantile_boost_learns_and_reloads(spark, tmp_path):
+    df = boost_rows(spark)
+    model = bo.fit_quantiles(df, ["a"], [("y", 0.1), ("y", 0.5), ("y", 0.9)], trees=8, rate=0.5, depth=2, cut_every=3)
+    got = model.transform(df, ["lo", "mid", "hi"])
+    err = got.where("a IS NOT NULL").select(F.avg(F.abs(F.col("mid") - F.col("y")))).first()[0]
     assert err < 10
-    model.save(spark, str(tmp_path / "m"))
-    again = bo.QuantileBoostModel.load(spark, str(tmp_path / "m")).transform(vec, "p")
-    assert [r["p"] for r in again.collect()] == [r["p"] for r in got.collect()]
+    assert got.where("a IS NULL").select(F.max(F.abs(F.col("mid") - F.col("y")))).first()[0] < 10
+    inside = got.where("y IS NOT NULL").select(F.avg(((F.col("y") >= F.col("lo")) & (F.col("y") <= F.col("hi"))).cast("double"))).first()[0]
+    assert 0.7 < inside < 0.95
+    bo.save_models(spark, model, {"season": 1}, str(tmp_path / "m"))
+    again, meta = bo.load_models(spark, str(tmp_path / "m"))
+    assert meta["season"] == 1
+    assert [tuple(r) for r in again.transform(df, ["lo", "mid", "hi"]).collect()] == [tuple(r) for r in got.collect()]
+
+
+def test_quantile_boost_does_not_depend_on_partitions(spark):
+    df = boost_rows(spark)
+    fits = [bo.fit_quantiles(df.repartition(n), ["a"], [("y", 0.5)], trees=2, depth=2) for n in (1, 5)]
+    assert fits[0].base == fits[1].base
+    assert all((x.feature == y.feature).all() and (x.bins == y.bins).all() for a, b in zip(*[f.rounds for f in fits]) for x, y in zip(a, b))
+
+
+def test_quantile_boost_of_no_rows(spark):
+    df = boost_rows(spark)
+    model = bo.fit_quantiles(df.limit(0), ["a"], [("y", 0.5)], trees=1, depth=2)
+    assert {r["p"] for r in model.transform(df, ["p"]).collect()} == {0.0}
 
 
 def test_isotonic_is_monotone_and_clipped(spark):

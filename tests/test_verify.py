@@ -34,8 +34,8 @@ def test_bootstrap_equals_plain_resampling(spark):
         y, p, r = (rng.rand(n) > 0.5).astype(float), rng.rand(n), rng.rand(n)
         df = spark.createDataFrame([(i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(y, p, r))], "o int, y double, p double, r double")
         nb = -(-n // 7)
-        draws = vf.reference_draws(spark, nb, 60)
         seq = np.random.RandomState(42).randint(0, nb, size=60 * nb)
+        draws = spark.createDataFrame([(i // nb, i % nb, int(d)) for i, d in enumerate(seq)], "rep long, pos long, drawn long")
         want = resample(y, p, r, lambda rep, pos, k: seq[rep * k + pos], 60)
         got = vf.block_bootstrap(df, [], ["o"], "y", "p", "r", reps=60, draws=draws).orderBy("rep").collect()
         assert np.allclose([g["brier"] for g in got], [w[0] for w in want], atol=1e-8)
