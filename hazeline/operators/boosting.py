@@ -132,10 +132,11 @@ def fit_quantiles(
     edges = _bin_edges(df, features, bins)
     width = max((len(e) for e in edges), default=0) + 2
     model = QuantileModels(list(features), list(cells), edges, [], rate)
-    for label, q in cells:
-        rows = df.where(F.col(label).isNotNull()).select(F.lit(0).alias("_g"), F.col(label).cast("double").alias("_y"))
-        start = exact_percentiles(rows, ["_g"], "_y", {"q": q}).first()
-        model.base.append(float(start["q"]) if start and start["q"] is not None else 0.0)
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("_g"), F.col(c).cast("double").alias("_y")) for c in labels])).alias("r")).select("r.*").where("_y IS NOT NULL")
+    wanted = sorted({q for _, q in cells})
+    starts = {r["_g"]: r for r in exact_percentiles(long, ["_g"], "_y", {f"q{i}": q for i, q in enumerate(wanted)}).collect()}
+    model.base = [float(starts[c][f"q{wanted.index(q)}"]) if c in starts else 0.0 for c, q in cells]
     base, alphas = np.array(model.base), np.array([q for _, q in cells])
     label_of = np.array([labels.index(c) for c, _ in cells])
 
@@ -185,11 +186,14 @@ def fit_quantiles(
         return run
 
     amounts = [f"{k}{b}" for k in "ng" for b in range(width)]
+    added = [F.sum(c).alias(c) for c in amounts]
     hist = "model int, node int, feature int, " + ", ".join(f"{c} double" for c in amounts)
 
     def splits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in filter(len, batches):
-            yield _best_splits(pdf, width, min_leaf)
+            found = _best_splits(pdf, width, min_leaf)
+            if (found["gain"] > 0).any():
+                yield found[found["gain"] > 0]
 
     def leaves(rounds: list[list[Tree]], grown: list[Tree]):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,14 +212,12 @@ def fit_quantiles(
 
         return run
 
-    wanted = sorted(set(alphas.tolist()))
     for k in range(trees):
         grown = [Tree.blank(depth) for _ in cells]
         for level in range(depth):
-            sums = work.mapInPandas(histograms(grown, level, list(since)), hist).groupBy("model", "node", "feature").agg(
-                *[F.sum(c).alias(c) for c in amounts])
+            sums = work.mapInPandas(histograms(grown, level, list(since)), hist).groupBy("model", "node", "feature").agg(*added)
             best: dict[tuple[int, int], tuple] = {}
-            for r in sums.mapInPandas(splits, "model int, node int, feature int, bin int, gain double").where("gain > 0").collect():
+            for r in sums.mapInPandas(splits, "model int, node int, feature int, bin int, gain double").collect():
                 found = (r["gain"], -r["feature"], -r["bin"])  # ties go to the first feature
                 best[r["model"], r["node"]] = max(found, best.get((r["model"], r["node"]), found))
             for (m, node), (_, feature, cut) in best.items():

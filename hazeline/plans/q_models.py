@@ -114,13 +114,13 @@ def as_of(t):
     return winter_days(t).select("season", "date").distinct().withColumn("horizon", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
 
 
-@plan("expanding_train_counts", S.sql("""SELECT d.season, d.horizon, CAST(d.date AS VARCHAR) AS date, COUNT(t.y) AS n_train, """ + S.rnd("COALESCE(" + S.esum('t.aqi_d - 200', 6) + ", 0) + 200e0 * COUNT(t.y)", 3) + """ AS sum_aqi_d FROM
+@plan("expanding_train_counts", S.sql("""SELECT d.season, d.horizon, CAST(d.date AS VARCHAR) AS date, COUNT(t.y) AS n_train, """ + S.rnd("COALESCE(" + S.esum('t.aqi_d - 200', 12) + ", 0) + 200e0 * COUNT(t.y)", 6) + """ AS sum_aqi_d FROM
  (SELECT DISTINCT season, date, horizon FROM winter_days, (VALUES (1), (2), (3)) h(horizon)) d
  LEFT JOIN ridge_train t ON t.season = d.season AND t.horizon = d.horizon AND t.target_date <= d.date GROUP BY 1, 2, 3""", "ridge_train"))
 def expanding_train_counts(t):
     m = rg.expanding_moments(ridge_train(t), as_of(t))
     total = _C("sx0") + rg.CENTRE[0] * _C("n_train")
-    return m.select("season", "horizon", _C("date").cast("string").alias("date"), _C("n_train").cast("long").alias("n_train"), round_half_even(total, 3).alias("sum_aqi_d"))
+    return m.select("season", "horizon", _C("date").cast("string").alias("date"), _C("n_train").cast("long").alias("n_train"), round_half_even(total, 6).alias("sum_aqi_d"))
 
 
 def coefficients(t):
