@@ -72,12 +72,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     parts = chat.segments(given.unionByName(probe))
     chars = chat.examples(parts).groupBy("conv_id").agg(F.sum("stop").alias("formatted_chars"))
-    turns = chat.read_back(parts).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("stop", "role", "text", "reply"))).alias("t"))
-    said = F.concat_ws("", F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))))
-    replies = F.concat_ws("", F.transform("t", lambda x: x["reply"]))
-    read = turns.select(
-        "conv_id", F.size("t").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
-        F.char_length(replies).cast("long").alias("loss_chars"), F.sha2(replies, 256).alias("loss_sha256"))
+    read = chat.digests(chat.read_back(parts))
     return read.join(chars, read["conv_id"].eqNullSafe(chars["conv_id"])).select(read["*"], "formatted_chars")
 
 

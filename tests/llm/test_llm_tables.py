@@ -78,3 +78,19 @@ def test_queries_match_direct_computation(spark, tmp_path):
     assert set(got) == {1, -7}
     assert (got[1]["n_turns"], got[1]["turns_sha256"]) == (7, hashlib.sha256(said.encode()).hexdigest())
     assert (got[1]["loss_chars"], got[1]["loss_sha256"]) == (len(replies), hashlib.sha256(replies.encode()).hexdigest())
+
+
+def test_chat_digests_stream_conversations_of_any_length(spark):
+    rows = [*TURNS, *[(6, i, "assistant" if i % 2 else "user", f"turn <{i}> é" * 9) for i in range(3000)]]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    read = chat.read_back(chat.segments(turns))
+    fields = "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256"
+    want = set()
+    for conv in {t[0] for t in rows}:
+        mine = sorted((t for t in rows if t[0] == conv), key=lambda t: (t[1] is not None, t[1] or 0, t[2] or "", t[3] or ""))
+        replies = "".join(x or "" for _, _, r, x in mine if r == "assistant")
+        said = "".join(f"{r or ''}\n{x or ''}\n" for _, _, r, x in mine)
+        want.add((conv, len(mine), hashlib.sha256(said.encode()).hexdigest(), len(replies), hashlib.sha256(replies.encode()).hexdigest()))
+    for in_row in (0, 3500, chat.IN_ROW):
+        got = [tuple(r[f] for f in fields) for r in chat.digests(read, in_row).collect()]
+        assert len(got) == len(want) and set(got) == want
