@@ -164,7 +164,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, open_bins: int = 1 << 16, rows
     Pieces are dealt to tasks by a hash of (id, piece), so each task sees the mix of lengths. In a task
     they arrive longest first, in a fixed order, so a repeated task packs alike. `open_bins` bounds the
     task's memory; `rows_per_task` keeps it above the bins that a task opens before the short pieces
-    come. `pieces` is counted first: hand in a written table.
+    come. `pieces` is counted first: hand in a written table. Where the pieces have `ids`, `ids_crc32` is
+    taken anew from the ids that leave the packer.
     """
     tasks = max(1, -(-pieces.count() // rows_per_task))
     mixed = F.xxhash64("id", "piece", "ids_crc32")
@@ -173,6 +174,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, open_bins: int = 1 << 16, rows
         bins, first = OpenBins(capacity, open_bins), TaskContext.get().partitionId() << 40
         for pdf in batches:
             placed = [bins.add(n) for n in pdf["length"].tolist()]
+            if "ids" in pdf:
+                pdf["ids_crc32"] = [zlib.crc32(np.asarray(x, "<u4")) for x in pdf["ids"]]
             yield pdf.drop(columns="_mixed").assign(
                 sequence_id=np.array([b for b, _ in placed], np.int64) + first,
                 offset=np.array([o for _, o in placed], np.int64))

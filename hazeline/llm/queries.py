@@ -27,7 +27,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    pieces = durable(packing.token_pieces(docs, TOKENIZER, ids=False))
+    """Packed pieces with their token ids; `ids_crc32` is taken from the ids as packed."""
+    pieces = durable(packing.token_pieces(docs, TOKENIZER))
     return packing.pack(pieces).withColumnRenamed("id", "doc_id")
 
 

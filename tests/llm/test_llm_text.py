@@ -254,3 +254,19 @@ def test_toxicity_learns_words_and_stems_but_not_copies(spark):
     assert np.mean(right) > 0.97
     assert toxicity.toxicity(docs.limit(0), model).count() == 0
     assert toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int").limit(0)).lexicon == toxicity.Lexicon()
+
+
+def test_packing_queries_hold_the_token_ids(spark, tmp_path):
+    import corpus_pipeline
+    from hazeline.llm import queries
+
+    texts = {1: "a few words, and more", 2: None, 3: " ".join(f"word{i}" for i in range(1500))}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    plain = Tokenizer.from_file(TOKENIZER)
+    for df in (queries.op3_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.pack_sequences(spark, docs, str(tmp_path))):
+        by = {}
+        for r in sorted(df.collect(), key=lambda r: r["start"]):
+            assert len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
+            by.setdefault(r["doc_id"], []).extend(r["ids"])
+        assert by == {i: plain.encode(t or "", add_special_tokens=False).ids + [0] for i, t in texts.items()}
