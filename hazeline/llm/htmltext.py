@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 # Names of the HTML standard, frequent function words, usual names of page parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "select", "title", "math", "canvas", "audio", "video")
+#: Of these, the ones a browser reads as text to the end of the page when they are not closed; and those that `/>` closes.
+TEXT_ONLY, FOREIGN = frozenset("script style iframe textarea title".split()), frozenset(("svg", "math"))
 BLOCKS = frozenset((
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td "
@@ -56,6 +58,7 @@ STOP_LOW, STOP_HIGH, LINKS = 0.15, 0.25, 0.35
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNQUOTED_SLASH = re.compile(r"=\s*[^\s\"'>]*/\Z")
 _NAME = re.compile(r"[A-Za-z]+")
 _OPEN_END = re.compile(r"<[a-zA-Z/!][^<>]*\Z")
 
@@ -96,6 +99,7 @@ def blocks_of(html: str) -> list[Block]:
     stack: list[tuple[str, bool, bool]] = [("", False, False)]  # tag, within main, away
     held: Counter[str] = Counter()  # open elements by tag
     links, here = 0, [Block("", False, False)]
+    unclosed: set[str] = set()  # elements of RAW without an end tag from here on
 
     def cut(tag: str = "") -> None:
         if here[0].pieces:
@@ -137,8 +141,11 @@ def blocks_of(html: str) -> list[Block]:
             elif tag in BLOCKS:
                 cut()
         elif tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-            at = close.end() if close else size
+            if tag not in FOREIGN or not attributes.endswith("/") or _UNQUOTED_SLASH.search(attributes):
+                close = None if tag in unclosed else re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
+                if close is None:
+                    unclosed.add(tag)
+                at = close.end() if close else size if tag in TEXT_ONLY else at
             if tag not in ("title", "script", "style"):
                 add(" ")
         elif tag == "a":

@@ -270,3 +270,16 @@ def test_packing_queries_hold_the_token_ids(spark, tmp_path):
             assert len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
             by.setdefault(r["doc_id"], []).extend(r["ids"])
         assert by == {i: plain.encode(t or "", add_special_tokens=False).ids + [0] for i, t in texts.items()}
+
+
+@pytest.mark.parametrize("tag", ["<svg>", "<math>", "<svg a='1' />", "<svg/>", "<math/>", "<object data=x>", "<canvas>", "<audio src=x>", "<video>"])
+def test_unclosed_embedded_elements_keep_the_rest_of_the_article(tag):
+    rest = "This is the rest of the article and it is what the reader came for."
+    later = "<svg>gone</svg>" if tag.endswith("/>") else ""
+    text = htmltext.main_text(f"<article><p>It begins here. {tag}{rest}</p>{later}<p>And it ends with this.</p></article>")
+    assert rest in text and "And it ends with this." in text and "gone" not in text
+
+
+def test_closed_and_raw_text_elements_are_still_skipped():
+    for page in ("<svg a=b/>gone</svg>", "<object>gone</object>", "<script>gone", "<style>gone<p>gone"):
+        assert htmltext.main_text(f"<article><p>It is here.</p>{page}") == "It is here."
