@@ -98,3 +98,55 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        CAST(sum(stop) FILTER (role = 'assistant' OR last) AS BIGINT) AS formatted_chars
 FROM placed GROUP BY conv_id
 """
+
+ORACLES["op11_repetition"] = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+), lines AS (
+  SELECT r, count(*) - count(DISTINCT line) AS n_dup FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r
+), three AS (
+  SELECT r, unnest(places) AS i FROM (
+    SELECT r, list(i) AS places FROM (SELECT r, i, array_to_string(w[i:i + 2], ' ') AS win FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d))
+    GROUP BY r, win HAVING count(*) > 1)
+), ten AS (
+  SELECT r, unnest(places) AS i FROM (
+    SELECT r, list(i) AS places FROM (SELECT r, i, array_to_string(w[i:i + 9], ' ') AS win FROM (SELECT r, w, unnest(range(1, len(w) - 8)) AS i FROM d))
+    GROUP BY r, win HAVING count(*) > 1)
+), covered3 AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 3)) AS p FROM three) GROUP BY r
+), covered10 AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 10)) AS p FROM ten) GROUP BY r
+), long AS (
+  SELECT DISTINCT r FROM (
+    SELECT r, array_to_string(w[i:i + 100], ' ') AS win FROM (
+      SELECT r, w, unnest(range(1, len(w) - 99)) AS i FROM d WHERE r IN (SELECT r FROM covered10 WHERE n > 100)))
+  GROUP BY r, win HAVING count(*) > 1
+), counted AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines,
+         coalesce(covered3.n, 0) AS n_repeat_words, coalesce(covered10.n, 0) AS n_covered, long.r IS NOT NULL AS too_long
+  FROM d LEFT JOIN lines USING (r) LEFT JOIN covered3 USING (r) LEFT JOIN covered10 USING (r) LEFT JOIN long USING (r)
+), based AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND 100 * n_covered <= 45 * n_words AND NOT too_long AS kept, n_covered
+FROM based
+"""
+
+ORACLES["op12_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM positives p JOIN scored s USING (anchor_id)
+WHERE NOT s.same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) QUALIFY rank <= 5
+"""
