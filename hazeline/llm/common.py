@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +39,19 @@ def bounded(small: DataFrame, rows: int) -> bool:
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "left", rows: int = 200_000) -> DataFrame:
     """Broadcast join behind a check of the table's size; beyond it an ordinary (skew-aware) join."""
     return big.join(F.broadcast(small) if bounded(small, rows) else small, on, how)
+
+
+def regroup(pdfs: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The rows in the same order in frames of exactly `rows` rows, the last one shorter."""
+    held: list[pd.DataFrame] = []
+    size = 0
+    for pdf in pdfs:
+        while len(pdf):
+            part, pdf = pdf.iloc[:rows - size], pdf.iloc[rows - size:]
+            held.append(part)
+            size += len(part)
+            if size == rows:
+                yield pd.concat(held, ignore_index=True)
+                held, size = [], 0
+    if size:
+        yield pd.concat(held, ignore_index=True)

@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazeline.llm.common import regroup
 from hazeline.session import durable
 
 #: Rows per block, anchors per pack, zone maps looked at together.
@@ -110,22 +111,6 @@ def layout(rows: DataFrame) -> Layout:
     return Layout(size["n"], dims, kind, axes, tuple((spread[f"a{i}"] or 0.0) - w / 2 for i, w in zip(axes, width)), width)
 
 
-def _gather(pdfs: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
-    """Frames of exactly `rows` rows, the last one shorter."""
-    held: list[pd.DataFrame] = []
-    size = 0
-    for pdf in pdfs:
-        while len(pdf):
-            part, pdf = pdf.iloc[:rows - size], pdf.iloc[rows - size:]
-            held.append(part)
-            size += len(part)
-            if size == rows:
-                yield pd.concat(held, ignore_index=True)
-                held, size = [], 0
-    if size:
-        yield pd.concat(held, ignore_index=True)
-
-
 def _long(values: np.ndarray) -> bytes:
     return np.asarray(values, "<i8").tobytes()
 
@@ -157,7 +142,7 @@ def build_blocks(rows: DataFrame, shape: Layout, is_anchor: Column, positives: i
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = TaskContext.get().partitionId() << 32
-        for number, pdf in enumerate(_gather(pdfs, block_rows)):
+        for number, pdf in enumerate(regroup(pdfs, block_rows)):
             ids, labels, vecs = pdf["id"].to_numpy(np.int64), pdf["label"].to_numpy(np.int64), padded(pdf["vec"])
             at, floors = np.flatnonzero(pdf["is_anchor"].to_numpy(bool)), []
             for i, score in zip(at, products(vecs[at], vecs)):
@@ -188,7 +173,7 @@ def build_packs(blocks: DataFrame, shape: Layout, pack_rows: int = PACK) -> Data
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = TaskContext.get().partitionId() << 16
-        for number, pdf in enumerate(_gather(pdfs, pack_rows)):
+        for number, pdf in enumerate(regroup(pdfs, pack_rows)):
             yield pd.DataFrame([(first + number, _long(pdf["id"]), _long(pdf["label"]), b"".join(pdf["vec"]), _long(pdf["floor"]))],
                                columns=["pack", "ids", "labels", "vecs", "floors"])
 

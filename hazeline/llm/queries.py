@@ -10,7 +10,6 @@ from hazeline.llm import (
     chat, decontaminate, exactdedup, hardneg, htmltext, packing, periodic, quality, repetition, sharding, simhash, toxicity, urlfilter)
 from hazeline.llm.common import table
 from hazeline.llm.oracles import ORACLES  # noqa: F401
-from hazeline.session import durable
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -27,14 +26,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES).withColumnRenamed("id", "page_id")
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """Packed pieces with their token ids; `ids_crc32` is taken from the ids as packed."""
-    pieces = durable(packing.token_pieces(docs, TOKENIZER))
-    return packing.pack(pieces).withColumnRenamed("id", "doc_id")
-
-
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"))
+    return packing.packed(table(spark, sf_dir, "documents"), TOKENIZER, ids=False).withColumnRenamed("id", "doc_id")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
