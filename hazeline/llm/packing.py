@@ -27,33 +27,30 @@ def _plain(core: str) -> bool:
     return core.isalpha() and (core.isascii() or ("\u0130" not in core and max(core) < "\u1e00"))
 
 
-@lru_cache(maxsize=1)
-def _load(path: str):
-    """The tokenizer, once per worker, and which ids end a word. One thread: Spark runs a task per core."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    vocabulary = tokenizer.get_vocab(True)
-    ends = np.zeros(max(vocabulary.values()) + 1, bool)
-    ends[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
-    return tokenizer, ends
-
-
 class WordTokens:
     """Ids of a text as the ids of its white-space-separated chunks, each encoded once.
 
     Right for tokenizers that drop case and white space and never join text across white space, nor
-    letters with the marks behind them. The table of known chunks is bounded: when it is full, only the
-    chunks of the latest texts stay. `clear` empties it at the end of a task.
+    letters with the marks behind them. The table of known chunks is bounded: when it is full, later
+    (rarer) chunks are encoded anew each time. A worker keeps one for all its tasks (`of`).
     """
 
-    def __init__(self, path: str, known: int = 300_000, longest: int = 40) -> None:
-        self.limit, self.longest = known, longest
-        self.tokenizer, self.ends = _load(path)
-        self.known: dict[str, bytes] = {"": b""}
+    def __init__(self, path: str, known: int = 400_000, longest: int = 40) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.limit, self.longest = Tokenizer.from_file(path), known, longest
+        vocabulary = self.tokenizer.get_vocab(True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # the ids that end a word
+        self.ends[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {"": b""}
 
+    @staticmethod
+    @lru_cache(maxsize=1)
+    def of(path: str) -> "WordTokens":
+        return WordTokens(path)
+
     def _single(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -85,12 +82,12 @@ class WordTokens:
         words = self.words
         words.update(table)
         out = {c: words[core] + words[marks] for c, core, marks in split}
+        if len(words) > self.limit:
+            for w in table:
+                del words[w]
         out.update(zip(odd, self._single(odd)))
         return out
 
-    def clear(self) -> None:
-        self.known, self.words = {"": b""}, {"": b""}
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out, at = [], 0
@@ -100,17 +97,13 @@ class WordTokens:
                 size += len(texts[at])
                 group.append(texts[at].replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
                 at += 1
-            chunks = set().union(*group)
-            table = self._fresh(list(chunks.difference(self.known)))
+            table = self._fresh(list(set().union(*group).difference(self.known)))
             self.known.update(table)
             out += [b"".join(map(self.known.__getitem__, text)) for text in group]
-            if len(self.known) > self.limit:  # what this group used stays
-                self.known = {c: self.known[c] for c in chunks if len(c) <= self.longest}
-                self.words = {"": b""}
-            else:
-                for c in table:
-                    if len(c) > self.longest:
-                        del self.known[c]
+            full = len(self.known) > self.limit
+            for c in table:
+                if full or len(c) > self.longest:
+                    del self.known[c]
         return out
 
 
@@ -137,7 +130,7 @@ def token_pieces(
                     yield doc, piece, at // 4, len(part) // 4, part
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, rows = WordTokens(tokenizer_path), []
+        words, rows = WordTokens.of(tokenizer_path), []
         gc.disable()  # large tables without cycles, not worth walking again and again
         try:
             for row in pieces_of(batches, words):
@@ -148,7 +141,6 @@ def token_pieces(
             if rows:
                 yield pd.DataFrame(rows, columns=names)
         finally:
-            words.clear()
             gc.enable()
 
     cut = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(
