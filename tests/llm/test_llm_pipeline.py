@@ -39,4 +39,4 @@ def test_entry_lists_every_operator():
     names = entry.queries()
     assert {f"op{n}" for n in range(1, 14)} <= {k.split("_")[0] for k in names} and "pipeline" in names
     assert set(queries.ORACLES) <= set(names)
-    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "decontamination", "best_fit_packing"]
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "best_fit_packing"]
