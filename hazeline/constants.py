@@ -32,9 +32,12 @@ HOURLY_VALUES = ("pm25", "pm10", "no2", "so2", "co", "o3", "nh3", "at", "rh", "w
 
 # Anchored header patterns, first match wins.
 HEADER_TOKENS = {
-    "PM25": "pm25", "PM10": "pm10", "NO2": "no2", "SO2": "so2", "CO": "co", "OZONE": "o3", "NH3": "nh3",
+    "PM2.5": "pm25", "PM25": "pm25", "PM10": "pm10", "NO2": "no2", "SO2": "so2", "CO": "co", "OZONE": "o3", "NH3": "nh3",
     "AT": "at", "RH": "rh", "WS": "ws", "WD": "wd", "SR": "sr",
 }
+# Of these tokens any text may follow; the others have to end as a word.
+OPEN_TOKENS = ("PM2.5", "PM25", "PM10")
+STATION_COLUMNS = tuple(dict.fromkeys(HEADER_TOKENS.values()))
 # Agencies in station file names; the first also ends names of files that are not hourly.
 AGENCIES = ("hspcb", "dpcc", "uppcb")
 MAIN_AGENCY = AGENCIES[0]

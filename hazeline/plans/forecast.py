@@ -52,3 +52,13 @@ def forecast_json(forecast: DataFrame, stations: DataFrame) -> DataFrame:
     docs = forecast_documents(forecast, stations)
     body = F.to_json(F.struct(*[c for c in docs.columns]), {"ignoreNullFields": "false"})
     return docs.select("issue_time", "station", F.size("hourly").alias("n_hours"), body.alias("document"))
+
+
+def forecast_rows(docs: DataFrame) -> DataFrame:
+    """The reverse of `forecast_documents`: one row per hour, with the document's number of hours."""
+    rows = docs.withColumn("n_hours", F.size("hourly").cast("long")).withColumn("h", F.explode("hourly"))
+    bands = [F.col(f"h.{'aqi_pm' if p == 'aqi' else p}.{q}").alias(f"{p}_{q}") for p in (*POLLUTANTS, "aqi") for q in ("p10", "p50", "p90")]
+    return rows.select(
+        "station", F.col("name").alias("station_name"), "issue_time", "h.valid_time", "h.lead_h", *bands, "h.category",
+        "bias_correction", "newest_obs_age_hours", "recent_obs_count_7d",
+        *[F.col(f"p_severe.{h}h").alias(f"p_severe_{h}h") for h in (24, 48, 72)], "n_hours")

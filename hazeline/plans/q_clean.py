@@ -16,16 +16,6 @@ from hazeline.sources import readers as rd
 _C = F.col
 
 
-@query("scan_stations", S.sql("SELECT station, name, lat, lon FROM stations", "stations"))
-def scan_stations(spark, sf):
-    return A.stations(spark, sf)
-
-
-@query("scan_fires", S.sql("SELECT latitude, longitude, CAST(acq_date AS VARCHAR) AS acq_date, acq_time, confidence, frp FROM fires", "fires"))
-def scan_fires(spark, sf):
-    return A.fires(spark, sf).withColumn("acq_date", _C("acq_date").cast("string"))
-
-
 @query("fires_bbox", S.sql("""SELECT CAST(acq_date AS VARCHAR) AS acq_date, acq_time, latitude, longitude FROM fires
 WHERE longitude BETWEEN 73.8 AND 77.0 AND latitude BETWEEN 29.5 AND 32.6""", "fires"))
 def fires_bbox(spark, sf):
@@ -387,9 +377,3 @@ def latest_obs_pivot(spark, sf):
  FROM locations) WHERE km <= 25 OR name_match""", "locations"))
 def locations_within_radius(spark, sf):
     return rd.locations_within_radius(A.locations(spark, sf), 28.4, 77.3, 25.0, "machinery").select("id", "name", "name_match")
-
-
-@query("location_sensors")
-def location_sensors(spark, sf):
-    """Nested location documents built from customers and orders, then flattened."""
-    return rd.location_sensors(rd.location_documents(A.table(spark, sf, "customer"), A.table(spark, sf, "orders")))

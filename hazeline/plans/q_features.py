@@ -14,6 +14,8 @@ from hazeline.operators import features as ft
 from hazeline.plans import forecast as fc
 from hazeline.plans import sqltext as S
 from hazeline.plans.registry import plan
+from hazeline.sources import readers as rd
+from hazeline.sources import sinks as sk
 from hazeline.session import durable
 
 _C = F.col
@@ -371,9 +373,14 @@ def forecast(t):
     return fc.forecast_72h(t.obs, t.drivers, daily_issues(t))
 
 
-@plan("forecast_72h", S.sql(f"WITH {_bands_cte()}, {_Z}, {_RISK} SELECT i4.station, i4.issue_time, valid_time, lead_h, "
+_STAGED = f"WITH {_bands_cte()}, {_Z}, {_RISK}"
+for _stage in ("bands", "i4", "pick", "draws", "risk"):
+    _STAGED = _STAGED.replace(f"\n{_stage} AS (", f"\n{_stage} AS MATERIALIZED (").replace(f", {_stage} AS (", f", {_stage} AS MATERIALIZED (")
+
+
+@plan("forecast_72h", S.sql(f"{_STAGED} SELECT i4.station, i4.issue_time, valid_time, lead_h, "
     + ", ".join(fc.QUANTILE_NAMES) + ", category, bias_correction, newest_obs_age_hours, recent_obs_count_7d, p_severe_24h, p_severe_48h, p_severe_72h "
-    "FROM i4 JOIN risk ON risk.station = i4.station AND risk.issue_time = i4.issue_time", *_FORECAST_NEEDS))
+    "FROM i4 JOIN risk ON risk.station = i4.station AND risk.issue_time = i4.issue_time", *_FORECAST_NEEDS, once=True))
 def forecast_72h(t):
     return forecast(t)
 
@@ -390,6 +397,17 @@ def forecast_json(t):
     return fc.forecast_json(forecast(t), t.stations)
 
 
+@plan("forecast_documents", S.sql(f"{_STAGED} SELECT i4.station, s.name AS station_name, i4.issue_time, valid_time, lead_h, "
+    + ", ".join(fc.QUANTILE_NAMES) + ", category, bias_correction, newest_obs_age_hours, recent_obs_count_7d, p_severe_24h, p_severe_48h, p_severe_72h, "
+    "COUNT(*) OVER (PARTITION BY i4.issue_time, i4.station) AS n_hours FROM i4 JOIN risk ON risk.station = i4.station AND risk.issue_time = i4.issue_time "
+    "LEFT JOIN stations s ON s.station = i4.station", *_FORECAST_NEEDS, "stations", once=True))
+def forecast_documents(t):
+    """One nested document per issue and station, written below a manifest of issues, read back and taken apart again."""
+    folder = sk.scratch_folder(t.spark, "forecast-documents")
+    sk.write_documents(fc.forecast_documents(forecast(t), t.stations), folder)
+    return fc.forecast_rows(rd.scan_documents(t.spark, folder))
+
+
 @plan("replay_observed", S.sql(f"""WITH {_bands_cte()} SELECT i4.station, i4.issue_time, i4.valid_time, lead_h, aqi_p50, category, o.pm25 AS obs_pm25, o.pm10 AS obs_pm10,
  {S.pm_index('o.pm25', 'o.pm10')} AS obs_aqi, {S.category('(' + S.pm_index('o.pm25', 'o.pm10') + ')')} AS obs_category
 FROM i4 LEFT JOIN obs o ON o.station = i4.station AND o.ts = i4.valid_time""", *_FORECAST_NEEDS))

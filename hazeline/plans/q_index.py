@@ -10,6 +10,8 @@ from hazeline.operators import daily as dy
 from hazeline.plans import adapters as A
 from hazeline.plans import sqltext as S
 from hazeline.plans.registry import query
+from hazeline.sources import readers as rd
+from hazeline.sources import sinks as sk
 
 _C = F.col
 
@@ -23,8 +25,10 @@ FROM breakpoints b LEFT JOIN (
 ON o.pollutant = b.pollutant AND o.v >= b.conc_low AND o.v <= b.conc_high
 GROUP BY ALL""", "breakpoints", "obs"))
 def scan_breakpoints(spark, sf):
-    """The breakpoint table with the observed hours inside each band."""
-    bp = A.breakpoints(spark)
+    """The breakpoint file, written and read back, with the observed hours inside each band."""
+    folder = sk.scratch_folder(spark, "breakpoints")
+    A.breakpoints(spark).write.option("header", True).csv(folder)
+    bp = rd.scan_breakpoints(spark, folder).withColumn("averaging_hours", F.col("averaging_hours").cast("int"))
     long = dy.unpivot(A.obs(spark, sf).select("pm25", "pm10", "no2", "o3"), [], ["pm25", "pm10", "no2", "o3"])
     name = F.create_map(*[F.lit(x) for k in INDEX_NAMES.items() for x in k])
     long = long.select(F.element_at(name, F.col("pollutant")).alias("pollutant"), "value").where("value IS NOT NULL")

@@ -146,8 +146,8 @@ view("breakpoints", "SELECT * FROM (VALUES " + ", ".join(
 ) + ") t(pollutant, averaging_hours, conc_low, conc_high, index_low, index_high, category)")
 
 
-def sql(body: str, *views: str, recursive: bool = False) -> str:
-    """A query with the CTEs of the views it needs."""
+def sql(body: str, *views: str, recursive: bool = False, once: bool = False) -> str:
+    """A query with the CTEs of the views it needs; with `once` each of these is evaluated once."""
     ordered: list[str] = []
 
     def need(v: str) -> None:
@@ -158,7 +158,8 @@ def sql(body: str, *views: str, recursive: bool = False) -> str:
 
     for v in views:
         need(v)
-    ctes = ",\n".join(f"{v} AS ({VIEWS[v][1]})" for v in ordered)
+    kind = "AS MATERIALIZED" if once else "AS"
+    ctes = ",\n".join(f"{v} {kind} ({VIEWS[v][1]})" for v in ordered)
     body = body.strip()
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -50,3 +51,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint for the small state of an iteration (a row per model)."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """Broadcast hint for a (written) table of at most `rows` rows; a larger one is left to an ordinary join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

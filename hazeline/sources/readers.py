@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazeline.constants import HEADER_TOKENS
+from hazeline.constants import STATION_COLUMNS
 from hazeline.functions.clock import micros, to_local
-from hazeline.functions.text import canonical_columns, join_labels, station_from_filename
+from hazeline.functions.text import canonical_column, csv_fields, join_labels, station_from_filename
 from hazeline.operators.cleaning import coerce_numeric
 from hazeline.operators.ordered import HOUR_US, first_rows
+from hazeline.session import broadcast_small, durable
 
 STATION_SCHEMA = "id string, name string, lat double, lon double"
 FIRE_SCHEMA = (
@@ -51,36 +53,44 @@ def scan_breakpoints(spark: SparkSession, path: str) -> DataFrame:
     return header.withColumns({c: F.col(c).try_cast("double") for c in doubles})
 
 
-def scan_obs_csv(spark: SparkSession, directory: str) -> DataFrame:
+def station_headers(lines: DataFrame) -> DataFrame:
+    """(path, header, at, found) per file of `lines` (path, start, value, order): its first line, the place of the
+    timestamp and the place of each canonical column (0 where it is absent)."""
+    first = lines.where("start = 0").groupBy("path").agg(F.min_by("value", "order").alias("header"))
+    names = F.transform(csv_fields(F.regexp_replace("header", "^\ufeff", "")), lambda x: F.trim(x))
+    first = first.withColumn("names", names).withColumn("known", F.transform("names", canonical_column))
+    places = F.struct(*[F.array_position("known", c).alias(c) for c in STATION_COLUMNS])
+    return first.select("path", "header", F.array_position(F.transform("names", F.lower), "timestamp").alias("at"), places.alias("found"))
+
+
+def scan_obs_csv(spark: SparkSession, directory: str, named: bool = False) -> DataFrame:
     """Station CSV files whose headers differ; the station comes from the file name.
 
-    Only the first line of each file is looked at on the driver side of the plan (as one
-    distinct list of headers); files are then read per header group by Spark.
+    With `named` the files lie below folders `file=<name>`, as Spark writes them, and that is their name.
+
+    One plan for any number of layouts: the first line of each file says where its columns are, this
+    small table meets the lines by their file (by broadcast where it is small), and a line is split once
+    and picked from by position. Blank lines and repeated headers are left out. A file without a
+    timestamp column is an error that names the file. Fields do not span lines.
     """
-    lines = spark.read.option("wholetext", False).text(f"{directory}/*.csv").select(
-        F.col("_metadata.file_path").alias("path"), F.col("value"), F.col("_metadata.file_block_start").alias("start")
-    )
-    heads = lines.where((F.col("start") == 0) & F.lower("value").contains("timestamp") & F.col("value").contains(","))
-    groups = heads.groupBy("value").agg(F.collect_set("path").alias("paths")).collect()
-    parts = []
-    for row in groups:
-        names = [h.strip().strip('"') for h in row["value"].lstrip("﻿").split(",")]
-        raw = spark.read.schema(T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]))
-        raw = raw.option("header", True).option("enforceSchema", True).csv(row["paths"])
-        mapped = canonical_columns(names)
-        cols = [F.col(f"c{i}").alias(mapped[n]) for i, n in enumerate(names) if n in mapped]
-        at = next(i for i, n in enumerate(names) if n.lower() == "timestamp")
-        part = raw.select(
-            to_local(F.trim(f"c{at}"), naive="IST").alias("ts"),
-            station_from_filename(F.col("_metadata.file_name")).alias("station"), *cols,
-        )
-        parts.append(coerce_numeric(part, list(HEADER_TOKENS.values())).select("ts", "station", *HEADER_TOKENS.values()))
-    if not parts:
-        raise FileNotFoundError(f"no station files in {directory}")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    path = F.col("_metadata.file_path")
+    source = spark.read.option("recursiveFileLookup", named).option("pathGlobFilter", "*.csv").text(directory)
+    file = F.regexp_extract(path, "/file=([^/]+)/", 1) if named else F.col("_metadata.file_name")
+    lines = source.select(
+        "value", path.alias("path"), file.alias("file"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("order"))
+    heads = durable(station_headers(lines))
+    rows = lines.select("path", "file", "value").where(F.trim("value") != "").join(broadcast_small(heads), "path").where("value <> header")
+    no_time = F.raise_error(F.concat(F.lit("no Timestamp column in "), F.col("path"))).cast("string")
+    rows = rows.withColumn("fields", csv_fields(F.col("value")))
+
+    def picked(place: Column) -> Column:
+        return F.when(place > 0, F.get("fields", (place - 1).cast("int")))
+
+    out = rows.select(
+        to_local(F.when(F.col("at") > 0, picked(F.col("at"))).otherwise(no_time), naive="IST").alias("ts"),
+        station_from_filename(F.col("file")).alias("station"), *[picked(F.col(f"found.{c}")).alias(c) for c in STATION_COLUMNS])
+    return coerce_numeric(out, list(STATION_COLUMNS)).select("ts", "station", *STATION_COLUMNS)
 
 
 def series_of_file(file: Column) -> Column:
@@ -105,12 +115,21 @@ def hour_rows(docs: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def scan_hour_json(spark: SparkSession, directory: str) -> DataFrame:
-    """Nested hour records, one document per series and month; the series is in the file name."""
+def _named_json(spark: SparkSession, directory: str, schema: str, named: bool) -> DataFrame:
+    """One document per file, with its `file` name; damaged ones keep their text in `_corrupt`.
+
+    With `named` the documents lie one folder down, in folders `file=<name>` as Spark writes them.
+    """
+    read = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
+    if named:
+        return read.schema(f"{schema}, file string").json(directory)
+    return read.schema(schema).json(f"{directory}/*.json").select("*", F.col("_metadata.file_name").alias("file"))
+
+
+def scan_hour_json(spark: SparkSession, directory: str, named: bool = False) -> DataFrame:
+    """Nested hour records, one document per series and month; the series is in the file name (see `_named_json`)."""
     docs = (
-        spark.read.schema(HOUR_DOCUMENT).option("multiLine", True).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt").json(f"{directory}/*.json")
-        .select("*", F.col("_metadata.file_name").alias("file"))
+        _named_json(spark, directory, HOUR_DOCUMENT, named)
         .withColumn("_series", series_of_file(F.col("file"))).where("_series IS NOT NULL")
         .withColumns({"station": F.col("_series.station"), "parameter": F.col("_series.parameter")})
     )
@@ -150,16 +169,27 @@ def pack_driver_arrays(rows: DataFrame, keys: list[str], variables: list[str]) -
     return packed.select(*keys, F.struct(*[field(n) for n in ["time", *variables]]).alias("hourly"))
 
 
-def scan_driver_json(spark: SparkSession, directory: str, variables: list[str]) -> DataFrame:
-    """Array-columnar driver documents of one folder; the station is the file-name stem."""
-    hourly = T.StructType([T.StructField("time", T.ArrayType(T.StringType()))] + [
-        T.StructField(v, T.ArrayType(T.DoubleType())) for v in variables])
-    docs = spark.read.schema(T.StructType([T.StructField("hourly", hourly)])).option("multiLine", True).json(
-        f"{directory}/*.json")
-    station = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
+def scan_driver_json(spark: SparkSession, directory: str, variables: list[str], named: bool = False) -> DataFrame:
+    """Array-columnar driver documents of one folder; the station is the file-name stem (see `_named_json`).
+
+    Variables that a document lacks are null; documents that are no JSON, or have no hours, give no rows.
+    """
+    hourly = ", ".join(["time: array<string>", *[f"`{v}`: array<double>" for v in variables]])
+    docs = _named_json(spark, directory, f"hourly struct<{hourly}>, _corrupt string", named).where("_corrupt IS NULL")
+    station = F.regexp_replace("file", r"[.]json$", "")
     return explode_driver_arrays(docs.select("hourly", station.alias("station")), variables)
 
 
+def scan_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of a manifest's issues, with the schema they were written with; a folder without manifest is unfinished."""
+    manifest = spark.read.parquet(f"{path}/manifest")
+    held = manifest.select("schema").first()
+    if held is None:
+        raise ValueError(f"no issues in {path}")
+    docs = spark.read.schema(T.StructType.fromJson(json.loads(held["schema"]))).json(f"{path}/documents")
+    return docs.join(broadcast_small(manifest.select("issue_time")), "issue_time", "left_semi")
+
+
 def scan_fires(spark: SparkSession, directory: str) -> DataFrame:
     """All detection files of a folder; an empty folder gives an empty table."""
     try:

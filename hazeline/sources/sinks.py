@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazeline.session import shared_folder
@@ -50,13 +50,20 @@ def append_observations(spark: SparkSession, new: DataFrame, path: str, keys=("s
 
 
 def write_documents(docs: DataFrame, path: str) -> None:
-    """One JSON document per line, null fields kept, ordered by issue and station inside files."""
+    """One JSON document per line below `documents/`, null fields kept, ordered by issue and station inside
+    files; then a manifest of the schema and the issues, which marks the documents as complete."""
+    docs = docs.withColumn("issue_time", F.col("issue_time").cast("timestamp_ntz"))
     docs.repartitionByRange("issue_time", "station").sortWithinPartitions("issue_time", "station").write.mode(
-        "overwrite").option("ignoreNullFields", "false").json(path)
+        "overwrite").option("ignoreNullFields", "false").json(f"{path}/documents")
+    written = docs.sparkSession.read.schema("issue_time timestamp_ntz, station string").json(f"{path}/documents")
+    issues = written.groupBy("issue_time").agg(F.count(F.lit(1)).alias("n_documents"))
+    issues.withColumn("schema", F.lit(docs.schema.json())).write.mode("overwrite").parquet(f"{path}/manifest")
 
 
-def write_station_files(df: DataFrame, path: str, columns: dict[str, str]) -> None:
-    """Raw-style station CSV files below `path`, with the given headers and NA for missing."""
+def write_station_files(df: DataFrame, path: str, columns: dict[str, str], file: Column | None = None) -> None:
+    """Raw-style station CSV files below `path`, with the given headers and NA for missing; with `file` in
+    one folder `file=<name>` per file name."""
     cols = [F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Timestamp")]
     cols += [F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias(h) for c, h in columns.items()]
-    df.select(*cols).write.mode("append").option("header", True).csv(path)
+    out = df.select(*cols, *([] if file is None else [file.alias("file")])).write.mode("append").option("header", True)
+    (out if file is None else out.partitionBy("file")).csv(path)

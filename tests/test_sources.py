@@ -25,6 +25,39 @@ def test_station_csv_files(spark, tmp_path):
     ]
 
 
+def test_headers_by_token():
+    kept = {"PM2.5-avg": "pm25", "pm25": "pm25", "PM25x": "pm25", "PM10_raw": "pm10", " PM10": "pm10", "NO2/ppb": "no2", "WS:10m": "ws", "CO[mg]": "co",
+            "Ozone-8h": "o3", "NH3": "nh3", "at (C)": "at", "SO2.1": "so2", "RH %": "rh", "WD,deg": "wd", "sr": "sr"}
+    lost = ["S.O2", "NO2x", "NO2_raw", "COx", "O3", "WS10", "Ozone\u00e9", "avg PM10", "PM2", "Timestamp", "", "ATM", "xCO"]
+    assert text.canonical_columns([*kept, *lost]) == kept
+
+
+def test_headers_as_columns_follow_the_same_rule(spark):
+    names = ["PM2.5-avg", "PM10_raw", "NO2/ppb", "NO2_raw", "Ozone\u00e9", "Ozone", " co (mg)", "S.O2", "PM2", "at"]
+    df = spark.createDataFrame([(n,) for n in names], "n string").select("n", text.canonical_column(F.col("n")).alias("to"))
+    assert {r["n"]: r["to"] for r in df.collect() if r["to"]} == text.canonical_columns(names)
+
+
+def test_many_layouts_in_one_plan(spark, tmp_path):
+    heads = ["PM2.5 (x)", "PM10_y", "NO2/z", "CO", "Ozone-8h", "junk", '"WS, m/s"']
+    for i in range(60):
+        order = heads[i % 7:] + heads[:i % 7] + [f"extra{i}"] * (i % 3)
+        at = i % (len(order) + 1)
+        fields = [*order[:at], "Timestamp", *order[at:]]
+        values = {"PM2.5 (x)": "1.5", "PM10_y": '"2"', "NO2/z": "-", "CO": str(i), "Ozone-8h": " 5 ", "junk": "x,y" if i % 2 else "x", '"WS, m/s"': "7"}
+        row = ["2024-01-01 00:00:00" if f == "Timestamp" else values.get(f, "") for f in fields]
+        row = [f'"{v}"' if "," in v else v for v in row]
+        (tmp_path / f"site_{i}_s{i}_epa_1Hr.csv").write_text("\ufeff" * (i % 2) + ",".join(fields) + "\n\n" + ",".join(row) + "\n" + ",".join(fields) + "\n", "utf-8")
+    (tmp_path / "notes.txt").write_text("Timestamp,PM10\n")
+    found = rd.scan_obs_csv(spark, str(tmp_path))
+    assert "Union" not in found._jdf.queryExecution().toString()
+    got = {r["station"]: tuple(r[c] for c in ("pm25", "pm10", "no2", "co", "o3", "ws", "rh")) for r in found.collect()}
+    assert got == {f"s{i}": (1.5, 2.0, None, float(i), 5.0, 7.0, None) for i in range(60)}
+    (tmp_path / "broken.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(Exception, match="no Timestamp column in .*broken.csv"):
+        rd.scan_obs_csv(spark, str(tmp_path)).collect()
+
+
 def test_hour_documents(spark, tmp_path):
     def rec(stamp, value, cov, key="utc"):
         return {"value": value, "period": {"datetimeFrom": {key: stamp}}, "coverage": {"percentComplete": cov}}
@@ -46,11 +79,23 @@ def test_hour_documents(spark, tmp_path):
 def test_driver_documents(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"hourly": {"time": ["2024-01-01T00:00", "2024-01-01T01:00"], "pm2_5": [1.0, None]}}))
     (tmp_path / "b.json").write_text(json.dumps({"hourly": {"time": []}}))
+    (tmp_path / "c.json").write_text('{"hourly": {"time": ["2024-01-01T00:00"')
     got = rd.scan_driver_json(spark, str(tmp_path), ["pm2_5", "pm10"]).orderBy("ts").collect()
     assert [(r["station"], str(r["ts"]), r["pm2_5"], r["pm10"]) for r in got] == [
         ("a", "2024-01-01 00:00:00", 1.0, None), ("a", "2024-01-01 01:00:00", None, None)]
 
 
+def test_documents_need_their_manifest(spark, tmp_path):
+    docs = spark.createDataFrame([(ts("2024-01-01 06:00:00"), "a", [(1, 2.0), (2, None)]), (ts("2024-01-02 06:00:00"), "a", [])],
+                                 "issue_time timestamp_ntz, station string, hourly array<struct<lead_h:int,p50:double>>")
+    sk.write_documents(docs, str(tmp_path / "d"))
+    assert sorted(map(repr, rd.scan_documents(spark, str(tmp_path / "d")).select(*docs.columns).collect())) == sorted(map(repr, docs.collect()))
+    spark.createDataFrame([("{\"issue_time\": \"2024-01-03T06:00:00.000\", \"station\": \"late\"}",)], "v string").write.mode("append").text(str(tmp_path / "d" / "documents"))
+    assert rd.scan_documents(spark, str(tmp_path / "d")).count() == 2
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        rd.scan_documents(spark, str(tmp_path / "d" / "documents"))
+
+
 def test_registry_and_breakpoint_files(spark, tmp_path):
     (tmp_path / "s.csv").write_text('id,name,lat,lon\na,"A, B",28.5,77\n')
     assert tuple(rd.scan_stations(spark, str(tmp_path / "s.csv")).first()) == ("a", "A, B", 28.5, 77.0)
@@ -70,11 +115,15 @@ def test_location_flattening(spark):
 
 def test_names_and_times(spark):
     names = {
-        "Raw_Data_2021_site_263_sector_4b_norwick_hspcb_1Hr.csv": "sector_4b_norwick",
-        "Raw_Data_2021_site_301_mill_lane_oldport_dpcc_1Hr.csv": "mill_lane_oldport",
-        "Raw_Data_2021_site_5082_eastgate_marlow_uppcb_1Hr.csv": "eastgate_marlow",
-        "Raw_Data_2021_site_7_harbour_hspcb_15Min.csv": "harbour", "Raw_Data_2021_site_8_harbour.csv": "harbour", "harbour_dpcc_1Hr.csv": "harbour",
-        "SITE_9_one_two_1HR.CSV": "one", "other.csv": "other",
+        # an hourly file: the last word of letters before the ending is the agency, other words belong to the station
+        "site_12_north_quay_epa_1Hr.csv": "north_quay", "Site_3_quay_4b_1hr.CSV": "quay_4b", "old_site_7_pier_1Hr.csv": "pier",
+        "site_8_pier_two_9_1Hr.csv": "pier_two_9", "site_9_one_two_1HR.CSV": "one",
+        # another file of the main agency
+        "site_4_pier_east_hspcb_15Min.csv": "pier_east", "site_4_pier_HSPCB_2020_hspcb.txt": "pier",
+        # anything else: the stem, less a raw-data prefix and one of the endings
+        "raw_data_2020_site_55_pier.csv": "pier", "Raw_Data_20_site_5_pier.csv": "Raw_Data_20_site_5_pier", "site_5_pier.csv": "site_5_pier",
+        "x_dpcc_1Hr.csv": "x", "x_dpcc.1Hr.csv": "x", "x_dpcc1Hr.csv": "x", "x_.1Hr.csv": "x", "x__1Hr.csv": "x", "x_1hr.csv": "x", "x_uppcb_1HR.csv": "x",
+        "x1Hr.csv": "x1Hr", "x_epa.1Hr.csv": "x_epa.1Hr", "other.csv": "other", "two.dots.csv": "two.dots", ".csv": ".csv", "site_6__1Hr.csv": "site_6",
     }
     df = spark.createDataFrame([(n,) for n in names], "f string").withColumn("s", text.station_from_filename(F.col("f")))
     assert {r["f"]: r["s"] for r in df.collect()} == names
