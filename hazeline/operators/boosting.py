@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import copy
+import heapq
 import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -9,10 +11,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazeline.constants import FEATURES_72H, POLLUTANTS, QUANTILES
+from hazeline.functions.numeric import nan_to_null
 from hazeline.operators.ordered import exact_percentiles
 from hazeline.session import durable
 
@@ -27,29 +30,38 @@ def _codes(values: np.ndarray, edges: Sequence[np.ndarray]) -> np.ndarray:
 
 @dataclass
 class Tree:
-    """A complete binary tree as two arrays: rows with a bin above `bins[node]` go right; an unsplit node sends all left."""
+    """Splits in the order they were made: rows of `leaf` with a bin above `bins` become leaf number 1, 2, ... (one per split)."""
 
+    leaf: np.ndarray
     feature: np.ndarray
     bins: np.ndarray
     value: np.ndarray
 
-    @classmethod
-    def blank(cls, depth: int) -> "Tree":
-        return cls(np.zeros(2**depth - 1, int), np.full(2**depth - 1, np.iinfo(np.int16).max), np.zeros(2**depth))
-
-    def node(self, codes: np.ndarray, level: int) -> np.ndarray:
-        """Place of each row among the 2^level nodes of a level."""
-        at, every = np.zeros(len(codes), int), np.arange(len(codes))
-        for k in range(level):
-            n = at + 2**k - 1
-            at = 2 * at + (codes[every, self.feature[n]] > self.bins[n])
+    def assign(self, codes: np.ndarray) -> np.ndarray:
+        """Leaf of each row."""
+        at = np.zeros(len(codes), np.uint8)
+        for k, (leaf, feature, cut) in enumerate(zip(self.leaf.tolist(), self.feature.tolist(), self.bins.tolist()), 1):
+            at[(at == leaf) & (codes[:, feature] > cut)] = k
         return at
 
-    def leaf(self, codes: np.ndarray) -> np.ndarray:
-        return self.node(codes, (len(self.feature) + 1).bit_length() - 1)
-
     def predict(self, codes: np.ndarray) -> np.ndarray:
-        return self.value[self.leaf(codes)]
+        return self.value[self.assign(codes)]
+
+    def nodes(self, edges: Sequence[np.ndarray]) -> tuple[list[dict], int]:
+        """The tree as nodes (f, t, l, r, v) over raw values, the root first, and its depth; a leaf has f = -1.
+
+        A value goes to `r` where it exists and lies above `t`; above bin 0 lies whatever exists.
+        """
+        nodes: list[dict] = [{"f": -1, "t": 0.0, "l": 0, "r": 0, "v": float(self.value[0])}]
+        at, depth = {0: 0}, {0: 0}
+        for k, (leaf, feature, cut) in enumerate(zip(self.leaf.tolist(), self.feature.tolist(), self.bins.tolist()), 1):
+            here = at[leaf]
+            left, right = len(nodes), len(nodes) + 1
+            nodes += [{**nodes[here]}, {**nodes[here], "v": float(self.value[k])}]
+            nodes[here] = {"f": feature, "t": float(edges[feature][cut - 1]) if cut else -1.7e308, "l": left, "r": right, "v": 0.0}
+            at[leaf], at[k] = left, right
+            depth[leaf] = depth[k] = depth[leaf] + 1
+        return nodes, max(depth.values())
 
 
 @dataclass
@@ -71,7 +83,7 @@ class QuantileModels:
         return out
 
     def transform(self, df: DataFrame, names: Sequence[str]) -> DataFrame:
-        """Adds one prediction column per cell."""
+        """Adds one prediction column per cell, in Arrow batches: for many rows."""
         model = self
 
         @F.pandas_udf("array<double>")
@@ -82,16 +94,42 @@ class QuantileModels:
         scored = df.withColumn("_scores", scores(*[F.col(f).cast("double") for f in self.features]))
         return scored.withColumns({n: F.col("_scores")[i] for i, n in enumerate(names)}).drop("_scores")
 
+    def columns(self) -> list[Column]:
+        """The same predictions as expressions, one per cell: no Python worker in the plan.
+
+        The trees are one constant array per cell. A row walks each tree from its root by index and adds
+        the leaf's value, in the order of the rounds.
+        """
+        values = F.array(*[nan_to_null(F.col(f).cast("double")) for f in self.features])
+        node = "array<struct<f:int,t:double,l:int,r:int,v:double>>"
+
+        def score(m: int) -> Column:
+            built = [trees[m].nodes(self.edges) for trees in self.rounds]
+            forest = F.from_json(F.lit(json.dumps([nodes for nodes, _ in built])), f"array<{node}>")
+            steps = F.array(*[F.lit(i) for i in range(max((deep for _, deep in built), default=0))]).cast("array<int>")
+
+            def step(tree: Column, at: Column) -> Column:
+                here = F.get(tree, at)
+                above = F.coalesce(F.get(values, here["f"]) > here["t"], F.lit(False))
+                return F.when(here["f"] < 0, at).when(above, here["r"]).otherwise(here["l"])
+
+            def leaf(tree: Column) -> Column:
+                return F.get(tree, F.aggregate(steps, F.lit(0), lambda at, _: step(tree, at)))["v"]
+
+            return F.aggregate(forest, F.lit(float(self.base[m])), lambda total, tree: total + F.lit(self.rate) * leaf(tree))
+
+        return [score(m) for m in range(len(self.cells))]
+
     def save(self, spark: SparkSession, path: str) -> None:
         doc = {"features": self.features, "cells": self.cells, "edges": [e.tolist() for e in self.edges],
                "base": self.base, "rate": self.rate,
-               "rounds": [[[t.feature.tolist(), t.bins.tolist(), t.value.tolist()] for t in trees] for trees in self.rounds]}
+               "rounds": [[[t.leaf.tolist(), t.feature.tolist(), t.bins.tolist(), t.value.tolist()] for t in trees] for trees in self.rounds]}
         spark.createDataFrame([(json.dumps(doc),)], "model string").write.mode("overwrite").text(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "QuantileModels":
         doc = json.loads(spark.read.text(path).first()[0])
-        rounds = [[Tree(*map(np.array, t)) for t in trees] for trees in doc["rounds"]]
+        rounds = [[Tree(*[np.array(x, int) for x in t[:3]], np.array(t[3], float)) for t in trees] for trees in doc["rounds"]]
         return cls(doc["features"], [(c, q) for c, q in doc["cells"]], [np.array(e) for e in doc["edges"]],
                    doc["base"], doc["rate"], rounds)
 
@@ -103,30 +141,107 @@ def _bin_edges(df: DataFrame, features: Sequence[str], bins: int) -> list[np.nda
     return [np.unique(np.array(found[i] if found[i] is not None else [], float)) for i in range(len(features))]
 
 
-def _best_splits(pdf: pd.DataFrame, bins: int, min_leaf: int) -> pd.DataFrame:
-    """Gain and bin of the best split for each histogram row (model, node, feature, counts, sums)."""
-    n = pdf[[f"n{b}" for b in range(bins)]].to_numpy(float).cumsum(axis=1)
-    g = pdf[[f"g{b}" for b in range(bins)]].to_numpy(float).cumsum(axis=1)
-    right, total = n[:, -1:] - n, g[:, -1:]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = g**2 / n + (total - g) ** 2 / right - total**2 / n[:, -1:]
-    gain[(n < min_leaf) | (right < min_leaf)] = -1.0
-    best = gain.argmax(axis=1)
-    return pdf[["model", "node", "feature"]].assign(bin=best, gain=gain[np.arange(len(pdf)), best])
+class _Growing:
+    """One tree in the making, best gain first.
+
+    `known` holds, per node, its histogram (rows and rows above the prediction, by feature and bin) and its
+    best split. `grow` replays the best-first order over what is known; nodes that it splits and whose
+    children are not known yet are to be counted next, of each pair of children the smaller one only.
+    """
+
+    def __init__(self, alpha: float, leaves: int, depth: int, min_leaf: int) -> None:
+        self.alpha, self.leaves, self.depth, self.min_leaf = alpha, leaves, depth, min_leaf
+        self.known: dict[int, tuple] = {}  # node: (histogram, gain, feature, bin, depth)
+        self.children: dict[int, tuple[int, int]] = {}
+        self.order: list[int] = []
+        self.wanted: dict[int, int] = {0: 0}  # node to count: its parent (the root: itself)
+
+    def _learn(self, node: int, hist: np.ndarray, depth: int) -> None:
+        n, above = hist.astype(float).cumsum(axis=2)
+        g = above * self.alpha + (n - above) * (self.alpha - 1)
+        right, total = n[:, -1:] - n, g[:, -1:]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = g**2 / n + (total - g) ** 2 / right - total**2 / n[:, -1:]
+        gain[(n < self.min_leaf) | (right < self.min_leaf)] = -1.0
+        feature, cut = np.unravel_index(gain.argmax(), gain.shape) if gain.size else (0, 0)
+        self.known[node] = hist, float(gain[feature, cut]) if gain.size else -1.0, int(feature), int(cut), depth
+
+    def learn(self, counted: dict[int, np.ndarray], shape: tuple[int, int, int]) -> None:
+        for node, parent in self.wanted.items():
+            hist = counted.get(node, np.zeros(shape, np.int64))
+            if node == parent:
+                self._learn(node, hist, 0)
+                continue
+            left, right = self.children[parent]
+            depth = self.known[parent][4] + 1
+            self._learn(node, hist, depth)
+            self._learn(left + right - node, self.known[parent][0] - hist, depth)
+        self.wanted = {}
+
+    def grow(self) -> None:
+        queue, self.order = [(-self.known[0][1], 0)], []
+        unknown = []
+        while queue and len(self.order) < self.leaves - 1:
+            gain, node = heapq.heappop(queue)
+            if gain >= 0:
+                break
+            self.order.append(node)
+            if node in self.children and self.children[node][0] in self.known:
+                queue_up = [c for c in self.children[node] if self.known[c][4] < self.depth]
+                for c in queue_up:
+                    heapq.heappush(queue, (-self.known[c][1], c))
+            elif self.known[node][4] + 1 < self.depth:
+                unknown.append(node)
+        if len(self.order) == self.leaves - 1 and unknown[-1:] == self.order[-1:]:
+            unknown.pop()  # nothing can be split after it
+        for node in unknown:
+            hist, _, feature, cut, _ = self.known[node]
+            self.children[node] = left, right = (2 * len(self.children) + 1, 2 * len(self.children) + 2)
+            below = hist[0, feature, :cut + 1].sum()
+            self.wanted[left if 2 * below <= hist[0, feature].sum() else right] = node
+
+    def nodes_of(self, codes: np.ndarray) -> np.ndarray:
+        """The deepest node so far of each row."""
+        at = np.zeros(len(codes), np.int16)
+        for node, (left, right) in self.children.items():
+            _, _, feature, cut, _ = self.known[node]
+            here = at == node
+            above = codes[:, feature] > cut
+            at[here & above], at[here & ~above] = right, left
+        return at
+
+    def slim(self) -> "_Growing":
+        """What a task needs: splits and nodes to count, no histograms."""
+        out = copy.copy(self)
+        out.known = {k: (None, *v[1:]) for k, v in self.known.items() if k in self.children}
+        return out
+
+    def tree(self) -> Tree:
+        leaf_of, splits = {0: 0}, []
+        for k, node in enumerate(self.order, 1):
+            _, _, feature, cut, _ = self.known[node]
+            splits.append((leaf_of[node], feature, cut))
+            if node in self.children:
+                left, right = self.children[node]
+                leaf_of[left], leaf_of[right] = leaf_of[node], k
+        leaf, feature, cut = (np.array(x, int) for x in zip(*splits)) if splits else (np.zeros(0, int),) * 3
+        return Tree(leaf, feature, cut, np.zeros(len(splits) + 1))
 
 
 def fit_quantiles(
     df: DataFrame, features: Sequence[str], cells: Sequence[tuple[str, float]], trees: int = 80, rate: float = 0.08,
-    depth: int = 5, min_leaf: int = 20, bins: int = 32, accuracy: int = 10_000, cut_every: int = 10,
+    leaves: int = 31, depth: int = 6, min_leaf: int = 20, bins: int = 32, accuracy: int = 2_000, cut_every: int = 10, fan_in: int = 32,
 ) -> QuantileModels:
-    """Boosted trees for all (label, quantile) cells at once.
-
-    Features are binned once. Each level of a round is one grouped sum for all cells: histograms of
-    row counts and sign residuals by (cell, node, feature), added up in the task first, so what is
-    shuffled and what returns (one split per node and feature) do not grow with the rows. Leaves take
-    the residual quantile of their rows from a mergeable sketch (relative rank error 1/accuracy); the
-    start value is exact. Every `cut_every` rounds the current predictions are written out. Rows
-    without a label count for the other labels only; a label without any value predicts 0.
+    """Boosted trees for all (label, quantile) cells at once, grown best gain first to at most `leaves` leaves.
+
+    Features are binned once; a row is then three short byte strings (bins, labels, predictions). Each
+    pass counts histograms, of rows and of rows above the prediction, by (cell, node), added up in the
+    task, for the smaller child of each new split; the other one is the difference to the parent.
+    These sums are whole numbers and do not grow with the rows; the driver, which chooses the splits, gets
+    those of at most `fan_in` tasks, beyond that they are added up per (cell, node) by tasks in between. Passes go on until the best-first order is settled, at most
+    `depth` times. Leaves take the residual quantile of their rows from a mergeable sketch (relative
+    rank error 1/accuracy); the start value is exact. Every `cut_every` rounds the current predictions
+    are written out. Rows without a label count for the other labels only; a label without any value predicts 0.
     """
     labels = sorted({c for c, _ in cells})
     edges = _bin_edges(df, features, bins)
@@ -139,90 +254,94 @@ def fit_quantiles(
     model.base = [float(starts[c][f"q{wanted.index(q)}"]) if c in starts else 0.0 for c, q in cells]
     base, alphas = np.array(model.base), np.array([q for _, q in cells])
     label_of = np.array([labels.index(c) for c, _ in cells])
+    shape = 2, len(features), width
+    size = len(features) * width
+
+    def packed(codes: np.ndarray, y: np.ndarray, f: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({name: [row.tobytes() for row in block] for name, block in (("codes", codes), ("y", y), ("f", f))})
 
     def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             codes = _codes(pdf[[f"x{i}" for i in range(len(features))]].to_numpy(float, na_value=np.nan), edges)
-            yield pd.DataFrame({"codes": list(codes), "y": list(pdf[[f"y{i}" for i in range(len(labels))]].to_numpy(float, na_value=np.nan)),
-                                "f": list(np.tile(base, (len(pdf), 1)))})
+            y = pdf[[f"y{i}" for i in range(len(labels))]].to_numpy(float, na_value=np.nan)
+            yield packed(codes.astype(np.uint8), y, np.tile(base, (len(pdf), 1)))
 
-    row = "codes array<smallint>, y array<double>, f array<double>"
+    row = "codes binary, y binary, f binary"
+    cores = df.sparkSession.sparkContext.defaultParallelism  # every pass reads all rows: spread them over the cluster
     work = durable(df.select(
         *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)],
-        *[F.col(c).cast("double").alias(f"y{i}") for i, c in enumerate(labels)]).mapInPandas(binned, row))
+        *[F.col(c).cast("double").alias(f"y{i}") for i, c in enumerate(labels)]).repartition(cores).mapInPandas(binned, row))
     since: list[list[Tree]] = []  # rounds that `work` does not hold yet
 
     def current(pdf: pd.DataFrame, rounds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes, predictions and residuals (NaN without label) of a batch."""
-        codes, f = np.stack(pdf["codes"].to_numpy()), np.stack(pdf["f"].to_numpy()).copy()
+        """Bins, labels and predictions of a batch."""
+        codes, y, f = (np.frombuffer(b"".join(pdf[c]), t).reshape(len(pdf), -1) for c, t in (("codes", np.uint8), ("y", float), ("f", float)))
+        f = f.copy()
         for one in rounds:
             for m, tree in enumerate(one):
                 f[:, m] += rate * tree.predict(codes)
-        y = np.stack(pdf["y"].to_numpy()).astype(float)
-        return codes, f, y[:, label_of] - f
-
-    def histograms(growing: list[Tree], level: int, rounds: list[list[Tree]]):
-        nodes, size = 2**level, len(features) * width
+        return codes, y, f
 
+    def histograms(growing: list[_Growing], rounds: list[list[Tree]]):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            count, total = np.zeros((len(cells), nodes * size)), np.zeros((len(cells), nodes * size))
+            sums = {(m, node): np.zeros((2, size), np.int64) for m, g in enumerate(growing) for node in g.wanted}
             for pdf in filter(len, batches):
-                codes, _, rest = current(pdf, rounds)
-                for m, tree in enumerate(growing):
-                    ok = ~np.isnan(rest[:, m])
-                    at = (tree.node(codes[ok], level)[:, None] * size + np.arange(len(features)) * width + codes[ok]).ravel()
-                    sign = np.repeat(np.where(rest[ok, m] > 0, alphas[m], alphas[m] - 1.0), len(features))
-                    count[m] += np.bincount(at, minlength=nodes * size)
-                    total[m] += np.bincount(at, sign, nodes * size)
-            n, g = count.reshape(-1, width), total.reshape(-1, width)
-            seen = np.flatnonzero(n.any(axis=1))
-            cell, node, feature = np.unravel_index(seen, (len(cells), nodes, len(features)))
-            # Sign residuals in millionths: whole numbers, so that the order of adding does not matter.
-            if not len(seen):
-                return
-            yield pd.DataFrame({"model": cell, "node": node, "feature": feature}).join(pd.DataFrame(
-                np.hstack([n[seen], np.rint(g[seen] * 1e6)]), columns=[f"{k}{b}" for k in "ng" for b in range(width)]))
+                codes, y, f = current(pdf, rounds)
+                rest = y[:, label_of] - f
+                at = codes + np.arange(len(features)) * width
+                for m, g in enumerate(growing):
+                    nodes = np.where(np.isnan(rest[:, m]), -1, g.nodes_of(codes))
+                    for node in g.wanted:
+                        here = nodes == node
+                        sums[m, node][0] += np.bincount(at[here].ravel(), minlength=size)
+                        sums[m, node][1] += np.bincount(at[here & (rest[:, m] > 0)].ravel(), minlength=size)
+            if sums:
+                yield pd.DataFrame([(m, node, s.tobytes()) for (m, node), s in sums.items()], columns=["model", "node", "hist"])
 
         return run
 
-    amounts = [f"{k}{b}" for k in "ng" for b in range(width)]
-    added = [F.sum(c).alias(c) for c in amounts]
-    hist = "model int, node int, feature int, " + ", ".join(f"{c} double" for c in amounts)
-
-    def splits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in filter(len, batches):
-            found = _best_splits(pdf, width, min_leaf)
-            if (found["gain"] > 0).any():
-                yield found[found["gain"] > 0]
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for pdf in batches:
+            for m, node, hist in pdf.itertuples(index=False):
+                sums[m, node] = sums.get((m, node), 0) + np.frombuffer(hist, np.int64)
+        if sums:
+            yield pd.DataFrame([(m, node, s.tobytes()) for (m, node), s in sums.items()], columns=["model", "node", "hist"])
 
-    def leaves(rounds: list[list[Tree]], grown: list[Tree]):
+    def left_over(rounds: list[list[Tree]], grown: list[Tree]):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in filter(len, batches):
-                codes, _, rest = current(pdf, rounds)
+                codes, y, f = current(pdf, rounds)
+                rest = y[:, label_of] - f
                 for m, tree in enumerate(grown):
                     ok = ~np.isnan(rest[:, m])
-                    yield pd.DataFrame({"model": m, "leaf": tree.leaf(codes[ok]), "rest": rest[ok, m]})
+                    yield pd.DataFrame({"model": m, "leaf": tree.assign(codes[ok]).astype(np.int32), "rest": rest[ok, m]})
 
         return run
 
     def settled(rounds: list[list[Tree]]):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in filter(len, batches):
-                yield pdf.assign(f=list(current(pdf, rounds)[1]))
+                yield packed(*current(pdf, rounds))
 
         return run
 
+    hist, tasks = "model int, node int, hist binary", work.rdd.getNumPartitions()
     for k in range(trees):
-        grown = [Tree.blank(depth) for _ in cells]
-        for level in range(depth):
-            sums = work.mapInPandas(histograms(grown, level, list(since)), hist).groupBy("model", "node", "feature").agg(*added)
-            best: dict[tuple[int, int], tuple] = {}
-            for r in sums.mapInPandas(splits, "model int, node int, feature int, bin int, gain double").collect():
-                found = (r["gain"], -r["feature"], -r["bin"])  # ties go to the first feature
-                best[r["model"], r["node"]] = max(found, best.get((r["model"], r["node"]), found))
-            for (m, node), (_, feature, cut) in best.items():
-                grown[m].feature[2**level - 1 + node], grown[m].bins[2**level - 1 + node] = -feature, -cut
-        placed = work.mapInPandas(leaves(list(since), grown), "model int, leaf int, rest double")
+        growing = [_Growing(q, leaves, depth, min_leaf) for q in alphas]
+        while any(g.wanted for g in growing):
+            counts = work.mapInPandas(histograms([g.slim() for g in growing], list(since)), hist)
+            if tasks > fan_in:
+                counts = counts.repartition("model", "node").mapInPandas(added, hist)
+            summed: dict[tuple[int, int], np.ndarray] = {}
+            for r in counts.collect():
+                key = r["model"], r["node"]
+                summed[key] = summed.get(key, 0) + np.frombuffer(r["hist"], np.int64).reshape(shape)
+            for m, g in enumerate(growing):
+                g.learn({node: h for (cell, node), h in summed.items() if cell == m}, shape)
+                g.grow()
+        grown = [g.tree() for g in growing]
+        placed = work.mapInPandas(left_over(list(since), grown), "model int, leaf int, rest double")
         for r in placed.groupBy("model", "leaf").agg(F.percentile_approx("rest", wanted, accuracy).alias("v")).collect():
             grown[r["model"]].value[r["leaf"]] = r["v"][wanted.index(alphas[r["model"]])]
         model.rounds.append(grown)

@@ -115,7 +115,7 @@ def boost_rows(spark):
 
 def test_quantile_boost_learns_and_reloads(spark, tmp_path):
     df = boost_rows(spark)
-    model = bo.fit_quantiles(df, ["a"], [("y", 0.1), ("y", 0.5), ("y", 0.9)], trees=8, rate=0.5, depth=2, cut_every=3)
+    model = bo.fit_quantiles(df, ["a"], [("y", 0.1), ("y", 0.5), ("y", 0.9)], trees=8, rate=0.5, leaves=4, cut_every=3)
     got = model.transform(df, ["lo", "mid", "hi"])
     err = got.where("a IS NOT NULL").select(F.avg(F.abs(F.col("mid") - F.col("y")))).first()[0]
     assert err < 10
@@ -130,14 +130,14 @@ def test_quantile_boost_learns_and_reloads(spark, tmp_path):
 
 def test_quantile_boost_does_not_depend_on_partitions(spark):
     df = boost_rows(spark)
-    fits = [bo.fit_quantiles(df.repartition(n), ["a"], [("y", 0.5)], trees=2, depth=2) for n in (1, 5)]
+    fits = [bo.fit_quantiles(df.repartition(n), ["a"], [("y", 0.5)], trees=2, leaves=4) for n in (1, 5)]
     assert fits[0].base == fits[1].base
     assert all((x.feature == y.feature).all() and (x.bins == y.bins).all() for a, b in zip(*[f.rounds for f in fits]) for x, y in zip(a, b))
 
 
 def test_quantile_boost_of_no_rows(spark):
     df = boost_rows(spark)
-    model = bo.fit_quantiles(df.limit(0), ["a"], [("y", 0.5)], trees=1, depth=2)
+    model = bo.fit_quantiles(df.limit(0), ["a"], [("y", 0.5)], trees=1)
     assert {r["p"] for r in model.transform(df, ["p"]).collect()} == {0.0}
 
 
@@ -146,3 +146,61 @@ def test_isotonic_is_monotone_and_clipped(spark):
     test = spark.createDataFrame([(-0.5,), (0.15,), (0.3,), (0.4,), (1.5,)], "p double")
     got = [r["c"] for r in bo.isotonic_calibrate(train, test, "p", "y", "c").orderBy("p").collect()]
     assert got == sorted(got) and 0 <= got[0] and got[-1] <= 1 and got[0] == 0.0 and got[-1] == 1.0
+
+
+def plain_best_first(x, sign, alpha, leaves, least, depth):
+    """Splits (rows, feature, cut) in best-first order, on rows of bins."""
+    def best(rows):
+        found = (-1.0, 0, 0)
+        for f in range(x.shape[1]):
+            for cut in range(int(x.max()) + 1):
+                left, right = rows[x[rows, f] <= cut], rows[x[rows, f] > cut]
+                if min(len(left), len(right)) >= least:
+                    g = [np.where(sign[r], alpha, alpha - 1).sum() for r in (left, right, rows)]
+                    gain = g[0] ** 2 / len(left) + g[1] ** 2 / len(right) - g[2] ** 2 / len(rows)
+                    if gain > found[0] + 1e-9:
+                        found = (gain, f, cut)
+        return found
+
+    open_, out = [(best(np.arange(len(x))), np.arange(len(x)), 0)], []
+    while open_ and len(out) < leaves - 1:
+        k = max(range(len(open_)), key=lambda i: open_[i][0][0])
+        (gain, f, cut), rows, deep = open_.pop(k)
+        if gain <= 0:
+            break
+        out.append((frozenset(rows.tolist()), f, cut))
+        if deep + 1 < depth:
+            for part in (rows[x[rows, f] <= cut], rows[x[rows, f] > cut]):
+                open_.append((best(part), part, deep + 1))
+    return out
+
+
+def test_trees_grow_best_gain_first(spark):
+    rng = np.random.RandomState(7)
+    x = rng.randint(0, 6, (500, 3))
+    y = np.where(x[:, 0] > 2, x[:, 1] * 3.0, -x[:, 2]) + rng.normal(0, 0.5, 500) + 1e-6 * np.arange(500)
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], "a double, b double, c double, y double")
+    model = bo.fit_quantiles(df.repartition(3), ["a", "b", "c"], [("y", 0.5)], trees=1, leaves=9, min_leaf=15, depth=4)
+    codes = bo._codes(x.astype(float), model.edges)
+    (tree,), = model.rounds
+    at, got = np.zeros(500, int), []
+    for k, (leaf, f, cut) in enumerate(zip(tree.leaf, tree.feature, tree.bins), 1):
+        here = at == leaf
+        got.append((frozenset(np.flatnonzero(here).tolist()), f, cut))
+        at[here & (codes[:, f] > cut)] = k
+    want = plain_best_first(codes, y > model.base[0], 0.5, 9, 15, 4)
+    assert len(want) >= 5 and [g[0] for g in got] == [w[0] for w in want] and got == want
+    assert (tree.assign(codes) == at).all()
+
+
+def test_predictions_as_expressions_equal_those_in_batches(spark):
+    df = boost_rows(spark)
+    model = bo.fit_quantiles(df, ["a"], [("y", 0.1), ("y", 0.9)], trees=5, leaves=7)
+    odd = spark.createDataFrame([(float("nan"), 0.0), (None, 0.0), (-1e9, 0.0), (1e9, 0.0)], "a double, y double")
+    rows = df.unionByName(odd)
+    lo, hi = model.columns()
+    native = rows.select("a", lo.alias("lo"), hi.alias("hi"))
+    plan = native._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    key = lambda r: repr((r["a"], r["lo"], r["hi"]))
+    assert sorted(map(key, native.collect())) == sorted(map(key, model.transform(rows, ["lo", "hi"]).collect()))
