@@ -30,32 +30,37 @@ def fixed_point(c: Column, scale: int = 6) -> Column:
     return F.rint(c * float(10**scale)).try_cast("decimal(38,0)")
 
 
+def _units(c: Column, scale: int) -> Column:
+    """Whole units of 10^-scale; null for NaN, infinities and what has more than 63 bits of units."""
+    return F.rint(c * float(10**scale)).try_cast("long")
+
+
 def _unit_sum(c: Column, scale: int, over=None) -> Column:
     """Sum of whole units, from two sums of long numbers: multiples of 2^20 and what is left of them.
 
     Neither overflows below 2^43 rows of 2^53 units each, and whole numbers add up to the same
     total in any order, so retries and other partitionings give the same bits.
     """
-    units = F.rint(c * float(10**scale)).try_cast("long")
+    units = _units(c, scale)
     parts = [F.sum(F.shiftright(units, 20)), F.sum(units.bitwiseAND(F.lit((1 << 20) - 1)))]
     high, low = parts if over is None else [p.over(over) for p in parts]
     return high * float(1 << 20) + low
 
 
 def exact_sum(c: Column, scale: int = 6) -> Column:
-    """Order-independent sum of the finite values."""
+    """Order-independent sum of the values that have whole units (see `_units`)."""
     return _unit_sum(c, scale) / float(10**scale)
 
 
 def exact_avg(c: Column, scale: int = 6) -> Column:
-    """Mean of the non-null values by `exact_sum`; null when there are none."""
-    return F.try_divide(exact_sum(c, scale), F.count(c))
+    """Mean of exactly the values that `exact_sum` adds up; null when there are none."""
+    return F.try_divide(exact_sum(c, scale), F.count(_units(c, scale)))
 
 
 def window_avg(c: Column, window, scale: int = 6) -> Column:
     """`exact_avg` over a window."""
     total = _unit_sum(c, scale, window) / float(10**scale)
-    return F.try_divide(total, F.count(c).over(window))
+    return F.try_divide(total, F.count(_units(c, scale)).over(window))
 
 
 def round_half_even(c: Column, digits: int = 0) -> Column:

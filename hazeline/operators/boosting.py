@@ -358,12 +358,16 @@ def train_quantile_models(train: DataFrame, pollutants=POLLUTANTS, quantiles=QUA
     return fit_quantiles(rows, list(FEATURES_72H), cells, trees, **options)
 
 
-def predict_quantiles(models: QuantileModels, samples: DataFrame, monotone: bool = True) -> DataFrame:
-    """Adds `<pollutant>_p10/p50/p90`; ordered and non-negative unless told otherwise."""
+def predict_quantiles(models: QuantileModels, samples: DataFrame, monotone: bool = True, native: bool = False) -> DataFrame:
+    """Adds `<pollutant>_p10/p50/p90`; ordered and non-negative unless told otherwise.
+
+    `native` scores by plain expressions, for forecasts; the default, in Arrow batches, is for many rows.
+    """
     from hazeline.operators.bands import monotone_quantiles
 
     names = {(c, q): f"{c.removeprefix('target_')}_p{round(q * 100)}" for c, q in models.cells}
-    out = models.transform(samples, [names[cell] for cell in models.cells])
+    ordered = [names[cell] for cell in models.cells]
+    out = samples.withColumns(dict(zip(ordered, models.columns()))) if native else models.transform(samples, ordered)
     triples = {c.removeprefix("target_"): tuple(names[c, q] for q in sorted(q for d, q in models.cells if d == c)) for c, _ in models.cells}
     return monotone_quantiles(out, triples) if monotone else out
 

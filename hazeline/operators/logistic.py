@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.session import cut
+from hazeline.session import cut, durable
 
 
 def _linear(names: list[str], shift: list[str]) -> Column:
@@ -39,6 +39,7 @@ def fit_logistic(
     """
     d = len(features) + 1
     means = [f"_m{i}" for i in range(len(features))]
+    train = durable(train.select(*by, *features, label))  # every step reads it
     start = train.groupBy(*by).agg(
         *[F.avg(f).alias(m) for f, m in zip(features, means)], F.avg(label).alias("_rate"))
     one_class = (F.col("_rate") == 0) | (F.col("_rate") == 1)
@@ -96,7 +97,9 @@ def fit_logistic(
 
 
 def predict_logistic(test: DataFrame, weights: DataFrame, by: list[str], features: list[str], out: str = "p_model") -> DataFrame:
-    """Event probability per row; one-class groups give their class."""
+    """Event probability per row; one-class groups give their class. A group that did not converge is an error."""
     means = [f"_m{i}" for i in range(len(features))]
     p = F.coalesce(F.col("constant"), _sigmoid(_linear(features, means)))
+    group = F.concat_ws(", ", *[F.col(b).cast("string") for b in by])
+    p = F.when(F.col("converged"), p).otherwise(F.raise_error(F.concat(F.lit("no convergence for "), group)).cast("double"))
     return test.join(weights, by, "inner").withColumn(out, p).drop("_w", "constant", "converged", *means)

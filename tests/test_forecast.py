@@ -8,7 +8,8 @@ from hazeline.operators import bands as bd
 from hazeline.operators import bias as bs
 from hazeline.operators import climatology as cm
 from hazeline.operators import features as ft
-from hazeline.plans.forecast import forecast_72h, forecast_json
+from hazeline.operators import boosting as bo
+from hazeline.plans.forecast import forecast_72h, forecast_72h_boosted, forecast_json
 
 T = dt.datetime(2024, 1, 10)
 OBS = "station string, ts timestamp_ntz, pm25 double, pm10 double, o3 double, no2 double"
@@ -138,3 +139,23 @@ def test_windows_count_what_is_off_the_hour(spark):
     assert (g["recent_obs_count_7d"], g["newest_obs_age_hours"], g["bias_correction"]) == (86, 0.0, "applied")
     r = {x["pollutant"]: x for x in bs.residual_quantiles(i, o, d).collect()}
     assert r["pm25"]["n_pairs"] == 86 and abs(r["pm25"]["res_p50"] - (10 + 42.5 - 5)) < 1e-9
+
+
+def test_boosted_forecast_scores_without_python(spark, issue):
+    seen = spark.createDataFrame([("s", T - dt.timedelta(hours=24 * k)) for k in range(1, 7)], "station string, issue_time timestamp_ntz")
+    obs = obs_frame(spark, obs_rows(lambda h: 120.0 + 40 * ((h + 240) % 24) / 24 + h % 7))
+    train = ft.samples_for_issues(seen, obs, drivers(spark))
+    models = bo.train_quantile_models(train, trees=3)
+    out = forecast_72h_boosted(obs, drivers(spark), issue, models)
+    plan = out._jdf.queryExecution().toString()
+    assert "Python" not in plan and "ArrowEval" not in plan and "InPandas" not in plan
+    rows = out.orderBy("lead_h").collect()
+    assert [r["lead_h"] for r in rows] == list(range(1, 73)) and rows[0]["valid_time"] == T + dt.timedelta(hours=1)
+    assert {(r["bias_correction"], r["newest_obs_age_hours"], r["recent_obs_count_7d"]) for r in rows} == {("not_applicable", None, 0)}
+    batch = {r["lead_h"]: r for r in bo.predict_quantiles(models, ft.samples_for_issues(issue, obs, drivers(spark))).collect()}
+    for r in rows:
+        for p in POLLUTANTS:
+            assert [r[f"{p}_{q}"] for q in bd.Q] == [pytest.approx(batch[r["lead_h"]][f"{p}_{q}"], abs=0.0500001) for q in bd.Q]
+            assert 0 <= r[f"{p}_p10"] <= r[f"{p}_p50"] <= r[f"{p}_p90"]
+        assert r["aqi_p10"] <= r["aqi_p50"] <= r["aqi_p90"]
+    assert len({r["pm25_p50"] for r in rows}) > 1 and set(out.columns) == set(forecast_72h(obs, drivers(spark), issue).columns)

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
@@ -204,3 +205,18 @@ def test_predictions_as_expressions_equal_those_in_batches(spark):
     assert "Python" not in plan and "Arrow" not in plan
     key = lambda r: repr((r["a"], r["lo"], r["hi"]))
     assert sorted(map(key, native.collect())) == sorted(map(key, model.transform(rows, ["lo", "hi"]).collect()))
+
+
+def test_means_count_what_they_sum(spark):
+    from hazeline.functions.numeric import exact_avg
+
+    df = spark.createDataFrame([(1.0,), (3.0,), (9.9e18,), (float("nan"),), (None,)], "v double")
+    assert df.agg(exact_avg(F.col("v"))).first()[0] == 2.0
+
+
+def test_a_group_that_does_not_converge_is_an_error(spark):
+    rows = [(i % 2, float(i), float(i > 11)) for i in range(24)]
+    df = spark.createDataFrame(rows, "g int, x double, y double")
+    weights = lg.fit_logistic(df, ["g"], ["x"], "y", max_iter=1)
+    with pytest.raises(Exception, match="no convergence for [01]"):
+        lg.predict_logistic(df, weights, ["g"], ["x"]).collect()
