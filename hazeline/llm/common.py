@@ -18,9 +18,10 @@ LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 def session(spark: SparkSession) -> SparkSession:
     """Settings for stages with Python workers: batches bounded by rows and by bytes, for very long texts.
 
-    Row groups of 32 MB keep the Parquet writers of rows with whole texts or token ids small.
+    Row groups of 32 MB keep the Parquet writers of rows with whole texts or token ids small, zstd the tables between steps.
     """
     spark = ready(spark)
+    spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
     spark.conf.set("parquet.block.size", str(32 << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
