@@ -23,6 +23,8 @@ SYMBOLS, VECTOR, WIDTH, FILTERS = 768, 8, 6, 16
 CHUNK, STEP = 1024, 768
 LAGS, GAP = range(2, 25), 32
 BLOCK = 1 << 14
+#: Chunks convolved at a time, so that one very long text stays bounded too.
+GROUP = 512
 
 
 @dataclass
@@ -85,7 +87,8 @@ def convolved(code: np.ndarray, tables: np.ndarray, bias: np.ndarray) -> np.ndar
         for place in range(1, WIDTH):
             part += tables[place].take(padded[at + place:stop + place], axis=0)
         out[at:stop] = part
-    return out + bias.astype(np.float32)
+    out += bias.astype(np.float32)
+    return out
 
 
 def _logit(net: Network, pooled: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,12 +116,11 @@ def _score(net: Network, tables: np.ndarray, texts: Sequence[bytes]) -> np.ndarr
     code, starts, lengths = symbols(texts)
     first, last, doc = chunks(starts, lengths)
     pooled = np.empty((len(first), FILTERS))
-    group = max(1, (8 << 20) // CHUNK)  # chunks at a time, so that one very long text stays bounded too
-    for at in range(0, len(first), group):
-        a, b = first[at:at + group], last[at:at + group]
+    for at in range(0, len(first), GROUP):
+        a, b = first[at:at + GROUP], last[at:at + GROUP]
         made = convolved(code[a[0]:b.max() + WIDTH], tables, net.bias)
         ends = np.stack([a, b], axis=1).ravel() - a[0]
-        pooled[at:at + group] = np.maximum.reduceat(made, ends, axis=0)[::2]
+        pooled[at:at + GROUP] = np.maximum.reduceat(made, ends, axis=0)[::2]
     logit, _, _ = _logit(net, np.maximum(pooled, 0), doc)
     return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
