@@ -3,19 +3,20 @@
 Every item gives windows of `window` words (a shorter item is one window of its own length m).
 For windows of m words, texts are fingerprinted with k-grams of k = min(4, m) words, keeping the
 smallest hash of every m - k + 1 consecutive grams. Equal windows keep the same gram, so every
-shared window has a fingerprint in common; each common fingerprint is extended word by word to
-both sides, and counts where the shared span reaches m words.
+shared window has a fingerprint in common. A common fingerprint is extended to the windows that keep
+it: each is looked up among the item windows by its hash and compared word by word, and neighbouring
+windows grow together to spans. Windows repeated in an item are held once and in a document compared
+once, so the cost is linear in both, repeated words included.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,77 +34,89 @@ def words_of(text: str | None) -> list[bytes]:
     return utf8(text).translate(_WORDS).split()
 
 
-def winnow(ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the kept grams for windows of `length` words."""
+def rolled(ids: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """One hash for the `length` word numbers from each start on."""
+    mixed = np.zeros(len(starts), np.uint64)
+    for i in range(length):
+        mixed = (mixed ^ ids[starts + i]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return mixed
+
+
+def winnow(ids: np.ndarray, length: int) -> np.ndarray:
+    """The hash of the gram that each window of `length` words keeps, by window start."""
     gram = min(GRAM, length)
     if len(ids) < length:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    n = len(ids) - gram + 1
-    mixed = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(gram):
-            mixed = (mixed ^ ids[i:n + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(29)
-    span = length - gram + 1
-    at = np.lib.stride_tricks.sliding_window_view(mixed, span).argmin(axis=1) + np.arange(n - span + 1)
-    at = at[np.concatenate([[True], at[1:] != at[:-1]])]
-    return at, mixed[at]
+        return np.empty(0, np.uint64)
+    grams = rolled(ids, np.arange(len(ids) - gram + 1), gram)
+    return np.lib.stride_tricks.sliding_window_view(grams, length - gram + 1).min(axis=1)
 
 
 def word_ids(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+@dataclass
+class Windows:
+    """The distinct windows of one length, an entry per item: sorted hashes, item numbers and places."""
+
+    grams: np.ndarray
+    hashes: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
 
 
 @dataclass
 class Items:
-    """Fingerprints of a slice of the benchmark."""
+    """A slice of the benchmark."""
 
     names: list[str]
     words: list[list[bytes]]
-    grams: dict[int, dict[int, list[tuple[int, int]]]] = field(default_factory=dict)  # length: hash: (item, position)
-    hashes: dict[int, np.ndarray] = field(default_factory=dict)
+    windows: dict[int, Windows] = field(default_factory=dict)  # by length
 
 
 def read_items(rows: list[tuple], window: int) -> Items:
-    items = Items([], [])
+    items, found = Items([], []), {}
     for name, text in rows:
         words = words_of(text)
-        if words:
-            items.names.append(name)
-            items.words.append(words)
-    grams: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-    for i, words in enumerate(items.words):
-        length = min(window, len(words))
-        for at, h in zip(*(x.tolist() for x in winnow(word_ids(words), length))):
-            grams[length][h].append((i, at))
-    items.grams = {n: dict(x) for n, x in grams.items()}
-    items.hashes = {n: np.sort(np.fromiter(x, np.uint64, len(x))) for n, x in items.grams.items()}
+        if not words:
+            continue
+        length, ids = min(window, len(words)), word_ids(words)
+        hashes, place = np.unique(rolled(ids, np.arange(len(words) - length + 1), length), return_index=True)
+        parts = found.setdefault(length, ([], [], [], []))
+        for part, values in zip(parts, (np.unique(winnow(ids, length)), hashes, np.full(len(hashes), len(items.names), np.int32), place.astype(np.int32))):
+            part.append(values)
+        items.names.append(name)
+        items.words.append(words)
+    for length, parts in found.items():
+        grams, hashes, item, place = map(np.concatenate, parts)
+        order = np.argsort(hashes, kind="stable")
+        items.windows[length] = Windows(np.unique(grams), hashes[order], item[order], place[order])
     return items
 
 
+def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Whether each value is in the (not empty) sorted array."""
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 def scan(words: list[bytes], items: Items) -> tuple[list[tuple[int, int]], set[str]]:
     """Spans [from, to) of a document that hold item windows, and the items found."""
-    spans, found, ids = set(), set(), word_ids(words)
-    for length, hashes in items.hashes.items():
-        positions, kept = winnow(ids, length)
-        near = np.searchsorted(hashes, kept)
-        near[near == len(hashes)] = 0
-        hits = hashes[near] == kept
-        reached: dict[tuple[int, int], int] = {}
-        for at, h in zip(positions[hits].tolist(), kept[hits].tolist()):
-            for item, place in items.grams[length][h]:
-                line, shift = items.words[item], at - place
-                if reached.get((item, shift), -1) > at:  # inside a span already extended
-                    continue
-                a = b = at
-                while a > 0 and a > shift and words[a - 1] == line[a - 1 - shift]:
-                    a -= 1
-                while b < len(words) and b - shift < len(line) and words[b] == line[b - shift]:
-                    b += 1
-                reached[item, shift] = b
-                if b - a >= length:
-                    spans.add((a, b))
-                    found.add(items.names[item])
+    spans, found, ids = [], set(), word_ids(words)
+    for length, held in items.windows.items():
+        starts = np.flatnonzero(among(winnow(ids, length), held.grams))
+        hashes = rolled(ids, starts, length)
+        hit = among(hashes, held.hashes)
+        seen: dict[tuple[bytes, ...], bool] = {}
+        for at, h in zip(starts[hit].tolist(), hashes[hit]):
+            line = tuple(words[at:at + length])
+            if line not in seen:
+                entries = range(*(int(np.searchsorted(held.hashes, h, side)) for side in ("left", "right")))
+                equal = [held.item[e] for e in entries if tuple(items.words[held.item[e]][held.place[e]:held.place[e] + length]) == line]
+                found.update(items.names[i] for i in equal)
+                seen[line] = bool(equal)
+            if seen[line]:
+                spans.append((at, at + length))
     return merged(sorted(spans)), found
 
 

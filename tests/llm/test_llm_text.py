@@ -1,5 +1,7 @@
 import random
 import re
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -153,6 +155,18 @@ def test_contamination_matches_brute_force(spark, slice_bytes):
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
 
 
+def test_repeated_words_cost_no_more_than_others():
+    """20,000 words, one repeated word and one repeated line, against items of the same: linear, as checked by the time of one pair."""
+    line = "one line of nine words that comes again and".split()
+    items = [("w", "again " * 20_000), ("l", " ".join(line * 2000)), ("o", "some other item of more than ten words that is not there")]
+    held = decontaminate.read_items(items, 10)
+    began = time.monotonic()
+    for text, name, n in ((items[0][1], "w", 20_000), (items[1][1], "l", 18_000)):
+        spans, found = decontaminate.scan(decontaminate.words_of("before it " + text + " after"), held)
+        assert spans == [(2, 2 + n)] and found == {name}
+    assert time.monotonic() - began < 5
+
+
 # --- HTML --------------------------------------------------------------------------------------
 
 LONG = "This is a paragraph of the text and it has many of the words that are in the list of the rules, so that it is long enough for the first pass, as the rules ask for some length and for a share of such words in it."
@@ -203,6 +217,31 @@ def test_network_gradients_are_the_slope_of_the_loss():
         assert abs((up - down) / (2 * step) - grads[name][place]) < 2e-3 + 0.02 * abs(grads[name][place]), name
 
 
+def test_scores_of_a_very_long_text_are_bounded_in_memory_and_equal_a_plain_pass():
+    net = quality.start(3)
+    text = (b"Some words of a page, and then more of them. " * 200_000)[:8 << 20]
+    tracemalloc.start()
+    got = quality.score(net, [text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.shape == (1,) and peak < 200 << 20, peak >> 20
+
+
+def test_network_equals_a_plain_pass():
+    net, rng = quality.start(3), np.random.default_rng(5)
+    net.bias[:] = rng.normal(0, 0.3, len(net.bias))
+    for text in (b"", b"a", b"aaaa aaaa " * 3, bytes(rng.integers(32, 127, 3000, dtype=np.uint8))):
+        code, starts, lengths = quality.symbols([text])
+        first, last, _ = quality.chunks(starts, lengths)
+        padded, pooled = list(code) + [0] * quality.WIDTH, []
+        for a, b in zip(first, last):
+            out = [[net.bias[f] + sum(net.vectors[padded[at + w]] @ net.filters[w, :, f] for w in range(quality.WIDTH)) for f in range(quality.FILTERS)]
+                   for at in range(a, b)]
+            pooled.append(np.maximum(np.max(out, axis=0), 0))
+        logit = np.mean(pooled, axis=0) @ net.mean + np.max(pooled, axis=0) @ net.top + net.shift[0]
+        assert abs(quality.score(net, [text])[0] - 1 / (1 + np.exp(-logit))) < 1e-4
+
+
 def test_scores_do_not_depend_on_neighbours_and_learn(spark):
     rng = random.Random(1)
     good = [" ".join(rng.choice(["one", "two", "three", "four,", "five."]) for _ in range(rng.randrange(3, 80))) for _ in range(150)]
