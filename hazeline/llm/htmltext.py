@@ -2,8 +2,9 @@
 
 Pass one decides blocks by what they are made of: a block in a menu, header, footer, sidebar, form,
 notice, advert or comment section is bad; otherwise link density, length and stop-word density
-decide, and short blocks stay open. Pass two gives open blocks the label of their nearest decided
-neighbours. One linear scan per page, whole pages, no shuffle.
+decide, and other blocks stay open. An article or main element is one more feature: lower bars in
+pass one, and in pass two only neighbours within it. Pass two gives open blocks the label of their
+nearest decided neighbours. One linear scan per page, whole pages, no shuffle.
 """
 
 from __future__ import annotations
@@ -54,6 +55,8 @@ STOP_WORDS = frozenset((
 #: Characters below which a block is short, from which it may be good; stop-word and link shares.
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH, LINKS = 0.15, 0.25, 0.35
+#: Within an article or main element: the length from which a block may be good, and its stop-word share.
+MAIN_LONG, MAIN_STOP = 100, 0.2
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)", re.S)
@@ -66,8 +69,9 @@ _OPEN_END = re.compile(r"<[a-zA-Z/!][^<>]*\Z")
 @dataclass
 class Block:
     tag: str
-    main: bool
+    main: int  # number of the outermost article or main element around it, 0 for none
     away: bool
+    home: int  # number of the element around the block
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
@@ -96,16 +100,18 @@ def blocks_of(html: str) -> list[Block]:
     end = _OPEN_END.search(html, max(0, html.rfind("<")))
     html = html[:end.start()] if end else html
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]  # tag, within main, away
+    stack: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]  # tag, within which main, away, number
+    opened = 0
     held: Counter[str] = Counter()  # open elements by tag
-    links, here = 0, [Block("", False, False)]
+    links, here = 0, [Block("", 0, False, 0)]
     unclosed: set[str] = set()  # elements of RAW without an end tag from here on
 
     def cut(tag: str = "") -> None:
         if here[0].pieces:
             out.append(here[0])
-        _, main, away = stack[-1]
-        here[0] = Block(tag or next((t for t, _, _ in reversed(stack) if t in BLOCKS), ""), main, away)
+        _, main, away, number = stack[-1]
+        home = stack[-2][3] if tag and tag == stack[-1][0] else number
+        here[0] = Block(tag or next((t for t, *_ in reversed(stack) if t in BLOCKS), ""), main, away, home)
 
     def add(text: str) -> None:
         if text:
@@ -114,7 +120,7 @@ def blocks_of(html: str) -> list[Block]:
                 here[0].linked += len(text.split()) and len("".join(text.split()))
 
     def leave(depth: int) -> None:
-        held.subtract(t for t, _, _ in stack[depth:])
+        held.subtract(t for t, *_ in stack[depth:])
         del stack[depth:]
         cut()
 
@@ -156,9 +162,10 @@ def blocks_of(html: str) -> list[Block]:
                     leave(len(stack) - 1)
             if tag in ("li", "dd", "dt", "td", "th", "tr", "option") and stack[-1][0] == tag:
                 leave(len(stack) - 1)
-            _, main, away = stack[-1]
+            _, main, away, _ = stack[-1]
             if tag != "hr":
-                stack.append((tag, main or tag in MAIN, away or is_away(tag, attributes, main)))
+                opened += 1
+                stack.append((tag, main or (opened if tag in MAIN else 0), away or is_away(tag, attributes, main > 0), opened))
                 held[tag] += 1
             if tag in AWAY | MAIN | {"section", "div", "header"}:
                 links = 0
@@ -171,51 +178,71 @@ def blocks_of(html: str) -> list[Block]:
 
 
 def decide(b: Block) -> str:
-    """Pass one: good, bad, near (leans to good) or short."""
+    """Pass one: good, bad, near (leans to good) or short (too short, or too few stop words, to say)."""
     size, words = len(b.text), b.text.lower().split()
     links = b.linked / max(1, size)
     if b.away:
         return "bad"
     if links > LINKS:
         return "bad"
+    stop = sum(w.strip(".,;:!?\"'()«»") in STOP_WORDS for w in words) / len(words)
     if b.main:
-        return "good"
+        if size < SHORT:
+            return "short"
+        return "good" if size >= MAIN_LONG and stop >= MAIN_STOP else "near"
     if size < SHORT:
         return "bad" if links > 0 else "short"
-    stop = sum(w.strip(".,;:!?\"'()«»") in STOP_WORDS for w in words) / len(words)
     if stop >= STOP_HIGH:
         return "good" if size >= LONG else "near"
-    return "near" if stop >= STOP_LOW else "bad"
+    return "near" if stop >= STOP_LOW else "bad" if links > 0 else "short"
+
+
+def neighbours(blocks: list[Block]) -> list[Block | None]:
+    """For each block the nearest decided one before it; within an article or main element only one of its text."""
+    out: list[Block | None] = []
+    last: Block | None = None
+    inside: Block | None = None
+    for b in blocks:
+        if inside is not None and inside.main != b.main and not b.away:
+            inside = None
+        out.append(inside if b.main else last)
+        if b.label in ("good", "bad"):
+            last = b
+            if b.main and not b.away:
+                inside = b
+    return out
 
 
 def label(blocks: list[Block]) -> None:
     """Pass two: open blocks inherit from the nearest decided neighbours.
 
-    Between two good ones they are good, between two bad ones bad; between a good and a bad one a
-    near block and a heading before a good block are good, other short blocks bad. The end of the
-    page counts as bad. A page without any good block takes its near blocks as good first.
+    Between two good ones they are good, between two bad ones bad. Between a good and a bad one (the
+    end of the page counts as bad) a near block, a heading before a good block and a block that lies
+    in the same element as the good one, but not as the bad one, are good, other short blocks bad.
+    Within an article or main element the ends count as good and one good side is enough: what is
+    open there is bad only between blocks of links. A page without any good block takes its near
+    blocks as good first.
     """
     for b in blocks:
         b.label = decide(b)
     if all(b.label != "good" for b in blocks):
         for b in blocks:
             b.label = "good" if b.label == "near" else b.label
-    decided = [b.label if b.label in ("good", "bad") else "" for b in blocks]
-    before, last = [], "bad"
-    for d in decided:
-        before.append(last)
-        last = d or last
-    after, last = [], "bad"
-    for d in reversed(decided):
-        after.append(last)
-        last = d or last
-    after.reverse()
-    for b, left, right in zip(blocks, before, after):
-        if b.label == "near":
-            b.label = "good" if "good" in (left, right) else "bad"
-        elif b.label == "short":
-            heading = b.tag in HEADINGS and right == "good"
-            b.label = "good" if heading or left == right == "good" else "bad"
+    before, after = neighbours(blocks), neighbours(blocks[::-1])[::-1]
+    made = [_inherited(b, x, y) if b.label in ("near", "short") else b.label for b, x, y in zip(blocks, before, after)]
+    for b, result in zip(blocks, made):
+        b.label = result
+
+
+def _inherited(b: Block, before: Block | None, after: Block | None) -> str:
+    end = "good" if b.main else "bad"
+    left, right = (end if x is None else x.label for x in (before, after))
+    if left == right:
+        return left
+    good, bad = (before, after) if left == "good" else (after, before)
+    if b.main or b.label == "near" or b.tag in HEADINGS and right == "good":
+        return "good"
+    return "good" if good is not None and good.home == b.home and (bad is None or bad.home != b.home) else "bad"
 
 
 def main_text(html: str | None) -> str:

@@ -334,3 +334,40 @@ def test_unclosed_embedded_elements_keep_the_rest_of_the_article(tag):
 def test_closed_and_raw_text_elements_are_still_skipped():
     for page in ("<svg a=b/>gone</svg>", "<object>gone</object>", "<script>gone", "<style>gone<p>gone"):
         assert htmltext.main_text(f"<article><p>It is here.</p>{page}") == "It is here."
+
+
+def test_blocks_in_an_article_are_decided_by_the_two_passes():
+    """Neither pass knows the article's blocks beforehand: link lists in it go, open blocks take their neighbours' side."""
+    odd = "Zr kvl | mtq | pfw | " * 12
+    links = "<ul>" + "<li><a href=x>Read this one next</a></li>" * 3 + "</ul>"
+    page = f"<nav><a>Menu</a></nav><p>Outside.</p><article><h1>Head</h1><p>{LONG}</p><p>{odd}</p>{links}<p>Short one.</p><p>{LONG}</p></article><footer>Away</footer>"
+    blocks = htmltext.blocks_of(page)
+    assert [htmltext.decide(b) for b in blocks] == ["bad", "short", "short", "good", "near", "bad", "bad", "bad", "short", "good", "bad"]
+    htmltext.label(blocks)
+    assert [b.text.split()[0] for b in blocks if b.label == "good"] == ["Head", "This", "Zr", "Short", "This"]
+    between = f"<article><p>{LONG}</p>{links}<p>See also:</p>{links}<p>{LONG}</p></article>"
+    assert htmltext.main_text(between) == f"{LONG}\n\n{LONG}"
+
+
+def test_text_of_pages_hardly_depends_on_the_article_element():
+    """Whole pages with the wrapper replaced by a plain element keep their text; furniture stays out."""
+    rng = random.Random(4)
+    kept = whole = 0
+    for _ in range(60):
+        words = LONG.split()
+        parts = [" ".join(rng.choices(words, k=rng.choice((3, 8, 30, 60, 90)))) for _ in range(rng.randint(4, 12))]
+        parts[rng.randrange(len(parts))] = LONG
+        body = "<h1>Title of it</h1>" + "".join(f"<p>{p}</p>" for p in parts)
+        page = f"<body><nav><ul><li><a href=a>Home</a></li></ul></nav><article>{body}</article><div class=ad>{LONG}</div><footer>{LONG}</footer></body>"
+        text = htmltext.main_text(page)
+        assert text.split("\n\n") == ["Title of it", *parts]
+        plain = htmltext.main_text(page.replace("article>", "div>"))
+        assert set(plain.split("\n\n")) <= set(text.split("\n\n"))
+        kept, whole = kept + len(plain), whole + len(text)
+    assert kept >= 0.97 * whole, kept / whole
+
+
+def test_ties_and_repeats_in_pages_and_scores(spark):
+    page = f"<article><p>{LONG}</p><p>{LONG}</p></article>"
+    df = spark.createDataFrame([(1, "u", page), (1, "u", page), (2, "u", page)], "page_id long, url string, html string")
+    assert [r["text"] for r in htmltext.extract(df).collect()] == [f"{LONG}\n\n{LONG}"] * 3
