@@ -4,10 +4,10 @@ A turn becomes one segment `<|role|>text<|end|>`. Inside role and text a backsla
 `<`, `[` and `|` get one behind them, so no control string (of this template or of the bracketed and
 angled ones) can come from a text, and the change can be undone.
 
-All examples of a conversation are prefixes of one string, so they are kept as positions in it:
-example i is the string up to `stop`, its loss mask is [loss_start, loss_stop). That keeps the
-output linear in the input; `render` writes the strings out. DataFrame functions only, but for the
-digests of conversations that are too long for a row.
+Every example is written out in pieces, one row per turn of its context and one for the reply, so
+that no row grows with the conversation; `render` joins the pieces where a conversation fits in a
+task. Only the reply lies under the loss mask. DataFrame functions only, but for the digests of
+conversations that are too long for a row. Positions come from `operators.ordered.place`.
 """
 
 from __future__ import annotations
@@ -42,62 +42,65 @@ def unescape(text: Column) -> Column:
 
 
 def segments(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, segment, start, stop, loss_start, loss_stop, example, last, total) per turn of (conv_id, turn, role, text).
+    """(conv_id, turn, segment, start, stop, loss_start, loss_stop, example, first, replies, examples, total) per turn of (conv_id, turn, role, text).
 
     Positions count code points within the conversation's string. A null text or role is empty; equal
     turn numbers are ordered by role and text; a null conv_id is a conversation of its own. `example`
-    numbers the assistant turns from 1 and is null elsewhere, as is the mask. `total` is the length of the conversation's string. Positions come from
-    range placement: no conversation has to fit in a task.
+    numbers the assistant turns from 1 and is null elsewhere, as is the mask. `first` is the first
+    example that holds the turn, `replies` the number of assistant turns, `examples` one more where
+    turns follow the last reply, `total` the length of the conversation's string. No conversation has to fit in a task.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     head = F.concat(F.lit(OPEN), escape(role), F.lit(CLOSE))
     rows = turns.select(
         "conv_id", "turn", role.alias("role"), F.concat(head, escape(text), F.lit(END)).alias("segment"),
-        F.char_length(head).alias("_head"), (role == "assistant").alias("_reply"))
-    placed = place(rows, ["conv_id"], ["turn", "role", "segment"]).running({
-        "stop": F.char_length("segment").cast("long"), "_replies": F.col("_reply").cast("long"), "_at": F.lit(1).cast("long")}).rows()
-    start = F.col("stop") - F.char_length("segment")
+        F.char_length(head).alias("_head"), (role == "assistant").cast("long").alias("_reply"))
+    placed = place(rows, ["conv_id"], ["turn", "role", "segment"]).previous({"_before": "_reply"}).running({
+        "stop": F.char_length("segment").cast("long"), "_replies": F.col("_reply"),
+        "_ends": F.col("_reply") - F.coalesce("_before", F.lit(0))}).rows()  # adds up to whether the last turn is a reply
+    start, reply = F.col("stop") - F.char_length("segment"), F.col("_reply") == 1
     return placed.select(
         "conv_id", "turn", "segment", start.alias("start"), "stop",
-        F.when(F.col("_reply"), start + F.col("_head")).alias("loss_start"),
-        F.when(F.col("_reply"), F.col("stop") - len(END)).alias("loss_stop"),
-        F.when(F.col("_reply"), F.col("_replies")).alias("example"), (F.col("_at") == F.col("_at_total")).alias("last"),
+        F.when(reply, start + F.col("_head")).alias("loss_start"), F.when(reply, F.col("stop") - len(END)).alias("loss_stop"),
+        F.when(reply, F.col("_replies")).alias("example"), (F.col("_replies") + 1 - F.col("_reply")).alias("first"),
+        F.col("_replies_total").alias("replies"), (F.col("_replies_total") + 1 - F.col("_ends_total")).alias("examples"),
         F.col("stop_total").alias("total"))
 
 
 def examples(parts: DataFrame) -> DataFrame:
-    """(conv_id, example, stop, loss_start, loss_stop): one per assistant turn of `segments`.
+    """(conv_id, example, final, turn, start, stop, text, loss_start, loss_stop, total): the pieces of every example of `segments`.
 
-    Turns after the last reply make one more example without a mask (example null), so that every
-    turn of every conversation is in the output.
+    An example is the texts of its pieces in the order of `start`: all turns before an assistant turn,
+    and this reply, the only piece with a mask (positions in the example). Turns after the last reply make one more example without
+    a mask (example null), so that every turn is in the `final` example of its conversation.
     """
-    return parts.where("example IS NOT NULL OR last").select("conv_id", "example", "stop", "loss_start", "loss_stop")
+    spread = parts.withColumn("_to", F.explode(F.sequence("first", "examples")))
+    own = F.col("_to") == F.col("example")
+    return spread.select(
+        "conv_id", F.when(F.col("_to") <= F.col("replies"), F.col("_to")).alias("example"), (F.col("_to") == F.col("examples")).alias("final"),
+        "turn", "start", "stop", F.col("segment").alias("text"), F.when(own, F.col("loss_start")).alias("loss_start"),
+        F.when(own, F.col("loss_stop")).alias("loss_stop"), "total")
 
 
-def render(parts: DataFrame) -> DataFrame:
-    """(conv_id, example, text, loss_start, loss_stop): the strings of `examples` written out.
-
-    This repeats the context in every example, as the format asks; it wants conversations that fit
-    in a task. Exports of bounded conversations are its use.
-    """
-    whole = parts.groupBy("conv_id").agg(
-        F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("stop", "segment"))), lambda s: s["segment"])).alias("_all"),
-        F.array_sort(F.collect_list(F.when(F.expr("example IS NOT NULL OR last"), F.struct("stop", "example", "loss_start", "loss_stop")))).alias("_cuts"))
-    cut = whole.select("conv_id", "_all", F.explode("_cuts").alias("c"))
-    return cut.select("conv_id", "c.example", F.expr("substring(_all, 1, cast(c.stop AS int))").alias("text"), "c.loss_start", "c.loss_stop")
+def render(pieces: DataFrame) -> DataFrame:
+    """(conv_id, example, text, loss_start, loss_stop): the `examples` as one string each, for conversations that fit in a task."""
+    joined = pieces.groupBy("conv_id", "example").agg(
+        F.array_sort(F.collect_list(F.struct("start", "text"))).alias("_all"), F.max("loss_start").alias("loss_start"), F.max("loss_stop").alias("loss_stop"))
+    return joined.select("conv_id", "example", F.concat_ws("", F.transform("_all", lambda p: p["text"])).alias("text"), "loss_start", "loss_stop")
 
 
-def read_back(parts: DataFrame) -> DataFrame:
-    """(conv_id, turn, stop, role, text, reply, total) per turn, decoded from the segments and masks alone.
+def read_back(pieces: DataFrame) -> DataFrame:
+    """(conv_id, turn, stop, role, text, reply, total), decoded from the written `examples` alone.
 
-    `reply` is the text under the loss mask, undone, and null outside of it.
+    `role` and `text` are given once per turn, from the final example, `reply` once per assistant
+    turn, from the mask of its own example; elsewhere they are null.
     """
-    body = F.expr(f"substring(segment, {len(OPEN) + 1}, char_length(segment) - {len(OPEN) + len(END)})")
+    body = F.expr(f"substring(text, {len(OPEN) + 1}, char_length(text) - {len(OPEN) + len(END)})")
     cut = F.instr(body, CLOSE)
-    masked = F.expr("substring(segment, cast(loss_start - start + 1 AS int), cast(loss_stop - loss_start AS int))")
-    return parts.select(
-        "conv_id", "turn", "stop", unescape(F.substring(body, F.lit(1), cut - 1)).alias("role"),
-        unescape(F.substring(body, cut + len(CLOSE), F.char_length(body))).alias("text"),
+    masked = F.expr("substring(text, cast(loss_start - start + 1 AS int), cast(loss_stop - loss_start AS int))")
+    return pieces.where("final OR loss_start IS NOT NULL").select(
+        "conv_id", "turn", "stop", F.when(F.col("final"), unescape(F.substring(body, F.lit(1), cut - 1))).alias("role"),
+        F.when(F.col("final"), unescape(F.substring(body, cut + len(CLOSE), F.char_length(body)))).alias("text"),
         F.when(F.col("loss_start").isNotNull(), unescape(masked)).alias("reply"), "total")
 
 
@@ -111,7 +114,8 @@ def _stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if now is not None:
                     yield done()
                 now, said, replies = (key,), hashlib.sha256(), hashlib.sha256()
-            said.update(turn)
+            if turn is not None:
+                said.update(turn)
             if reply is not None:
                 replies.update(reply)
     if now is not None:
@@ -127,7 +131,7 @@ def digests(turns: DataFrame, in_row: int = IN_ROW) -> DataFrame:
     """
     said = F.concat("role", F.lit("\n"), "text", F.lit("\n"))
     rows = turns.select("conv_id", "stop", said.alias("said"), "reply", "total")
-    count, chars = F.count(F.lit(1)).alias("n_turns"), F.coalesce(F.sum(F.char_length("reply")), F.lit(0)).cast("long").alias("loss_chars")
+    count, chars = F.count("said").alias("n_turns"), F.coalesce(F.sum(F.char_length("reply")), F.lit(0)).cast("long").alias("loss_chars")
     whole = rows.where(F.col("total") <= in_row).groupBy("conv_id").agg(
         count, chars, F.array_sort(F.collect_list(F.struct("stop", "said", "reply"))).alias("t"))
     joined = lambda name: F.concat_ws("", F.transform("t", lambda x: x[name]))

@@ -10,6 +10,7 @@ from hazeline.llm import (
     chat, decontaminate, exactdedup, hardneg, htmltext, packing, periodic, quality, repetition, sharding, simhash, toxicity, urlfilter)
 from hazeline.llm.common import table
 from hazeline.llm.oracles import ORACLES  # noqa: F401
+from hazeline.session import durable
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -65,9 +66,9 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
-    parts = chat.segments(given.unionByName(probe))
-    chars = chat.examples(parts).groupBy("conv_id").agg(F.sum("stop").alias("formatted_chars"))
-    read = chat.digests(chat.read_back(parts))
+    written = durable(chat.examples(chat.segments(given.unionByName(probe))))
+    chars = written.groupBy("conv_id").agg(F.sum(F.char_length("text")).alias("formatted_chars"))
+    read = chat.digests(chat.read_back(written))
     return read.join(chars, read["conv_id"].eqNullSafe(chars["conv_id"])).select(read["*"], "formatted_chars")
 
 
