@@ -1,4 +1,4 @@
-"""Quantile gradient boosting over binned features, and isotonic calibration."""
+"""Quantile gradient boosting over binned features."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -380,18 +379,3 @@ def save_models(spark: SparkSession, models: QuantileModels, metadata: dict, pat
 
 def load_models(spark: SparkSession, path: str) -> tuple[QuantileModels, dict]:
     return QuantileModels.load(spark, f"{path}/models"), json.loads(spark.read.text(f"{path}/metadata").first()[0])
-
-
-def isotonic_calibrate(train: DataFrame, test: DataFrame, p: str, y: str, out: str, grid: float | None = None) -> DataFrame:
-    """Non-decreasing calibration of probabilities, clipped to [0, 1] and to the trained range.
-
-    Training rows are first averaged per distinct probability, with their count as weight, which
-    leaves the fit as it is. `grid` instead averages per step of that size, for probabilities with
-    too many distinct values.
-    """
-    step = F.col(p) if grid is None else F.rint(F.col(p) / grid)
-    points = train.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(step.alias("_s")).agg(
-        F.avg(p).alias("_x"), F.avg(y).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
-    model = IsotonicRegression(featuresCol="_x", labelCol="_y", weightCol="_w", predictionCol="_iso").fit(points)
-    scored = model.transform(test.withColumn("_x", F.col(p)))
-    return scored.withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_iso")))).drop("_x", "_iso")

@@ -13,6 +13,7 @@ from hazeline.operators import boosting as bo
 from hazeline.operators import climatology as cm
 from hazeline.operators import daily_verify as dv
 from hazeline.operators import features as ft
+from hazeline.operators import isotonic as iso
 from hazeline.operators import fires as fi
 from hazeline.operators import inversion as iv
 from hazeline.operators import logistic as lg
@@ -249,17 +250,39 @@ def split_samples(t):
     return s.where("part = 'train'").drop("part"), s.where("part = 'test'").drop("part")
 
 
+def calibrated(t):
+    """Test rows with the severe probability `p_raw` and `p_calibrated`, fitted on the training rows; and the training base rate."""
+    rows = durable(vf.with_exceedance(qv.categories(t)).withColumns({
+        "p_raw": round_half_even(_C("p_raw"), 9), "is_severe": vf.severe_state(_C("target_pm25"), _C("target_pm10"))}))
+    cut = F.lit("2024-01-21 00:00:00").cast("timestamp_ntz")
+    train = rows.where((_C("issue_time") < cut) & _C("target_pm25").isNotNull() & _C("target_pm10").isNotNull())
+    return iso.isotonic_calibrate(train, rows.where(_C("issue_time") >= cut), "p_raw", "is_severe", "p_calibrated"), vf.severe_base_rate(train).first()["base_rate"]
+
+
 @plan("isotonic_calibration")
 def isotonic_calibration(t):
     """Severe probabilities of the test rows, calibrated on the training rows."""
-    rows = durable(vf.with_exceedance(qv.categories(t)).withColumn(
-        "is_severe", vf.severe_state(_C("target_pm25"), _C("target_pm10"))))
-    cut = F.lit("2024-01-21 00:00:00").cast("timestamp_ntz")
-    train = rows.where((_C("issue_time") < cut) & _C("target_pm25").isNotNull() & _C("target_pm10").isNotNull())
-    out = bo.isotonic_calibrate(train, rows.where(_C("issue_time") >= cut), "p_raw", "is_severe", "p_calibrated")
+    out, _ = calibrated(t)
     return out.select("station", "issue_time", "lead_h", round_half_even(_C("p_raw"), 6).alias("p_raw"), round_half_even(_C("p_calibrated"), 6).alias("p_calibrated"))
 
 
+@plan("severe_risk_calibrated")
+def severe_risk_calibrated(t):
+    """The severe table with the calibrated probability: its Brier score and its skill over climatology and persistence."""
+    out, rate = calibrated(t)
+    rows = out.withColumns({
+        "p_clim": F.lit(rate), "p_pers": vf.severe_state(_C("last_obs_pm25"), _C("last_obs_pm10")), "p_drv": vf.severe_state(_C("driver_pm25"), _C("driver_pm10"))})
+    return vf.severe_risk_table(rows, "obs_cat", {**qv._PROBS, "calibrated": "p_calibrated"})
+
+
+@plan("reliability_calibrated")
+def reliability_calibrated(t):
+    """Five reliability bins of the raw and of the calibrated severe probability on the test rows."""
+    known = calibrated(t)[0].where("obs_cat <> 'Unknown'").withColumn("y", (_C("obs_cat") == "Severe").cast("double"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), _C(c).alias("p")) for m, c in (("raw", "p_raw"), ("calibrated", "p_calibrated"))]))
+    return vf.reliability_5(known.select("y", kinds.alias("k")).select("y", "k.*"), "y", "p", ["model"])
+
+
 _SAVED: dict[tuple[str, str], str] = {}
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hazeline.constants import CATEGORIES, DAILY_FEATURES
 from hazeline.operators import boosting as bo
 from hazeline.operators import features as ft
+from hazeline.operators import isotonic as iso
 from hazeline.operators import logistic as lg
 from hazeline.operators import ridge as rg
 
@@ -145,10 +146,31 @@ def test_quantile_boost_of_no_rows(spark):
 def test_isotonic_is_monotone_and_clipped(spark):
     train = spark.createDataFrame([(0.1, 0.0), (0.2, 1.0), (0.4, 0.0), (0.4, 1.0), (0.9, 1.0)], "p double, y double")
     test = spark.createDataFrame([(-0.5,), (0.15,), (0.3,), (0.4,), (1.5,)], "p double")
-    got = [r["c"] for r in bo.isotonic_calibrate(train, test, "p", "y", "c").orderBy("p").collect()]
+    got = [r["c"] for r in iso.isotonic_calibrate(train, test, "p", "y", "c").orderBy("p").collect()]
     assert got == sorted(got) and 0 <= got[0] and got[-1] <= 1 and got[0] == 0.0 and got[-1] == 1.0
 
 
+def test_isotonic_equals_the_plain_fit_over_many_tasks(spark):
+    rng = random.Random(8)
+    rows = [(p, float(rng.random() < 0.2 + 0.6 * p)) for p in (round(rng.random(), 3) for _ in range(3000))]
+    x = sorted({p for p, _ in rows})
+    total = np.cumsum([0.0] + [sum(y for p, y in rows if p == v) for v in x])
+    count = np.cumsum([0.0] + [sum(1 for p, _ in rows if p == v) for v in x])
+    n = len(x)
+    mean = (total[None, 1:] - total[:-1, None]) / np.where(count[None, 1:] > count[:-1, None], count[None, 1:] - count[:-1, None], np.nan)
+    want = [np.nanmax([np.nanmin(mean[a, i:]) for a in range(i + 1)]) for i in range(n)]  # largest of the smallest means around i
+    train = spark.createDataFrame(rows + [(None, 1.0), (0.5, None), (float("nan"), 1.0)], "p double, y double").repartition(7)
+    ask = x + [(a + b) / 2 for a, b in zip(x, x[1:])] + [-1.0, 2.0]
+    test = spark.createDataFrame([(v,) for v in ask] + [(None,), (0.5,)], "p double")
+    rows = iso.isotonic_calibrate(train, test, "p", "y", "c").collect()
+    got = {r["p"]: r["c"] for r in rows}
+    assert len(rows) == len(ask) + 2 and got[None] is None
+    for v in ask:
+        assert abs(got[v] - np.interp(v, x, want)) < 1e-9, v
+    assert {r["c"] for r in iso.isotonic_calibrate(train.limit(0), test, "p", "y", "c").collect()} == {None}
+    assert iso.isotonic_calibrate(train, test.limit(0), "p", "y", "c").count() == 0
+
+
 def plain_best_first(x, sign, alpha, leaves, least, depth):
     """Splits (rows, feature, cut) in best-first order, on rows of bins."""
     def best(rows):
