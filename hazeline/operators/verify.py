@@ -6,6 +6,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -157,6 +158,67 @@ def counter_draw(rep: Column, pos: Column, n_blocks: Column, seed: int = 42) ->
     return x % n_blocks
 
 
+def counter_draws(rep: np.ndarray, pos: np.ndarray, n_blocks: int, seed: int = 42) -> np.ndarray:
+    """`counter_draw` of whole arrays."""
+    x = (rep * 1_000_003 + pos * 7_919 + seed * 104_729) % 2_147_483_647
+    for _ in range(3):
+        x = (x * 48_271 + 11) % 2_147_483_647
+        x = (x + x // 65_536 * 31) % 2_147_483_647
+    return x % n_blocks
+
+
+#: Blocks of a group held by a task at a time, draws of a group made by one task, and draws held at a time.
+CHUNK, SHARE, AT_ONCE = 1 << 17, 1 << 22, 1 << 18
+DRAWN = {"rows": "long", "k": "long", "nm": "long", "nr": "long", "em": "long", "er": "long", "tm": "long", "tr": "long"}
+
+
+def _drawn_sums(blocks: DataFrame, keys: list[str], block: int, reps: int, seed: int) -> DataFrame:
+    """Sums over the drawn blocks per group and repetition, in as many rows as the group has chunks of blocks.
+
+    The draws are made where the blocks are: a task holds one chunk of a group's blocks and the draws of a
+    share of its repetitions, a piece at a time, so neither draws nor groups are joined or shuffled.
+    """
+    types = dict(blocks.dtypes)
+    shares = F.least(F.lit(reps), F.ceil(F.col("n_blocks") * reps / SHARE)).cast("int")
+    asked = blocks.withColumns({"_chunk": F.floor(F.col("_blk") / CHUNK).cast("long"), "_shares": shares}).withColumn(
+        "_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)))
+    group = [*keys, "_chunk", "_share"]
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", rep long, n long, " + ", ".join(f"{c} {t}" for c, t in DRAWN.items())
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        one = pdf.iloc[0]
+        n_blocks, low, n = int(one["n_blocks"]), int(one["_chunk"]) * CHUNK, int(one["n"])
+        mine = np.arange(int(one["_share"]), reps, int(one["_shares"]), dtype=np.int64)
+        size = min(CHUNK, n_blocks - low)
+        at = pdf["_blk"].to_numpy(np.int64) - low
+        held = {}
+        for c in ("len", "nm", "nr", "em", "er", "hm", "hr"):
+            held[c] = np.zeros(size + 1, np.int64)  # the last place is that of draws from other chunks
+            held[c][at] = pdf[c].to_numpy(np.int64)
+        out = {c: np.zeros(len(mine), np.int64) for c in DRAWN}
+        last = n_blocks - 1 - low if int(n) % block else -1
+        wide = min(n_blocks, AT_ONCE)
+        tall = max(1, AT_ONCE // wide)
+        for i in range(0, len(mine), tall):
+            rep, some = mine[i:i + tall, None], slice(i, i + tall)
+            for j in range(0, n_blocks, wide):
+                pos = np.arange(j, min(j + wide, n_blocks), dtype=np.int64)
+                drawn = counter_draws(rep, pos[None, :], n_blocks, seed) - low
+                drawn[(drawn < 0) | (drawn >= size)] = size
+                for name, c in (("rows", "len"), ("nm", "nm"), ("nr", "nr"), ("em", "em"), ("er", "er")):
+                    out[name][some] += held[c][drawn].sum(axis=1)
+                if 0 <= last < size:
+                    out["k"][some] += (drawn == last).sum(axis=1)
+                if pos[-1] == n_blocks - 1:
+                    end = drawn[:, -1]
+                    out["tm"][some] = held["em"][end] - held["hm"][end]
+                    out["tr"][some] = held["er"][end] - held["hr"][end]
+        return pd.DataFrame({**{k: [one[k]] * len(mine) for k in keys}, "rep": mine, "n": n, **out})
+
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return asked.repartition(tasks, *group).groupBy(*group).applyInPandas(run, schema)
+
+
 def block_bootstrap(
     df: DataFrame, by: list[str], order: list[str], y: str, p: str, ref: str | None = None,
     block: int = 7, reps: int = 1000, seed: int = 42, draws: DataFrame | None = None,
@@ -166,7 +228,8 @@ def block_bootstrap(
     Rows are never resampled: each block of `block` consecutive rows is reduced to its
     squared-error sums. Drawing n_blocks blocks and cutting to n rows only ever cuts when
     the short last block was not drawn at all; then the last drawn block keeps as many rows
-    as the short block has, so a second sum over those leading rows is enough.
+    as the short block has, so a second sum over those leading rows is enough. Rows without an
+    error count as rows and add nothing. `draws` (rep, pos, drawn) replaces the counter's draws.
     """
     keys = by or ["_all"]
     base = df if by else df.withColumn("_all", F.lit(0))
@@ -179,31 +242,30 @@ def block_bootstrap(
     head = F.pmod(at, F.lit(block)) < last_len
     em, er = square_error(F.col("_y"), F.col("_p")), square_error(F.col("_y"), F.col("_r"))
     rows = rows.withColumns({"_blk": blk, "_em": fixed_point(em, SCALE).cast("long"), "_er": fixed_point(er, SCALE).cast("long"), "_head": head})
+    zero = F.lit(0).cast("long")
     blocks = rows.groupBy(*keys, "_blk").agg(
         F.max("_rn_total").cast("long").alias("n"), F.count(F.lit(1)).alias("len"),
-        F.sum("_em").alias("em"), F.sum("_er").alias("er"),
-        F.sum(F.when(F.col("_head"), F.col("_em"))).alias("hm"), F.sum(F.when(F.col("_head"), F.col("_er"))).alias("hr"),
+        F.count("_em").alias("nm"), F.count("_er").alias("nr"),
+        F.coalesce(F.sum("_em"), zero).alias("em"), F.coalesce(F.sum("_er"), zero).alias("er"),
+        F.coalesce(F.sum(F.when(F.col("_head"), F.col("_em"))), zero).alias("hm"),
+        F.coalesce(F.sum(F.when(F.col("_head"), F.col("_er"))), zero).alias("hr"),
     ).withColumn("n_blocks", F.ceil(F.col("n") / block).cast("long"))
-    asked = blocks.select(*keys, "n", "n_blocks", F.col("_blk").alias("pos"))
     if draws is None:
-        asked = asked.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long")))).withColumn(
-            "_blk", counter_draw(F.col("rep"), F.col("pos"), F.col("n_blocks"), seed))
+        drawn = _drawn_sums(blocks, keys, block, reps, seed)
     else:
-        asked = asked.join(draws.withColumnRenamed("drawn", "_blk"), "pos")
-    drawn = asked.join(blocks.drop("n", "n_blocks"), [*keys, "_blk"])
-    is_end = F.col("pos") == F.col("n_blocks") - 1
-    short = (F.col("_blk") == F.col("n_blocks") - 1) & (F.col("len") < block)
-    per_rep = drawn.groupBy(*keys, "rep").agg(
-        F.max("n").alias("n"), F.sum("len").alias("rows"), F.count_if(short).alias("k"),
-        F.sum("em").alias("em"), F.sum("er").alias("er"),
-        F.sum(F.when(is_end, F.col("em") - F.col("hm"))).alias("tm"),
-        F.sum(F.when(is_end, F.col("er") - F.col("hr"))).alias("tr"),
-    )
+        asked = blocks.select(*keys, "n", "n_blocks", F.col("_blk").alias("pos")).join(draws.withColumnRenamed("drawn", "_blk"), "pos")
+        drawn = asked.join(blocks.drop("n", "n_blocks").hint("merge"), [*keys, "_blk"])
+        is_end = F.col("pos") == F.col("n_blocks") - 1
+        short = (F.col("_blk") == F.col("n_blocks") - 1) & (F.col("len") < block)
+        drawn = drawn.withColumns({
+            "rows": F.col("len"), "k": short.cast("long"),
+            "tm": F.when(is_end, F.col("em") - F.col("hm")).otherwise(zero), "tr": F.when(is_end, F.col("er") - F.col("hr")).otherwise(zero)})
+    per_rep = drawn.groupBy(*keys, "rep").agg(F.max("n").alias("n"), *[F.sum(c).alias(c) for c in DRAWN])
     cut = (F.col("k") == 0) & (F.col("rows") > F.col("n"))
     used = F.least("rows", "n")
     unit = float(10**SCALE)
-    bs = F.when(cut, F.col("em") - F.col("tm")).otherwise(F.col("em")).cast("double") / unit / used
-    br = F.when(cut, F.col("er") - F.col("tr")).otherwise(F.col("er")).cast("double") / unit / used
+    bs = F.when(F.col("nm") > 0, F.when(cut, F.col("em") - F.col("tm")).otherwise(F.col("em")).cast("double") / unit / used)
+    br = F.when(F.col("nr") > 0, F.when(cut, F.col("er") - F.col("tr")).otherwise(F.col("er")).cast("double") / unit / used)
     out = per_rep.select(*by, "rep", bs.alias("brier"), br.alias("brier_ref"))
     return out.withColumn("skill", brier_skill(F.col("brier"), F.col("brier_ref"), True)) if ref else out.drop("brier_ref")
 

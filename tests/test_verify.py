@@ -51,6 +51,29 @@ def test_bootstrap_groups_with_counter_draws(spark):
         assert r["brier_lo"] < mean < r["brier_hi"]
 
 
+def test_bootstrap_draws_are_made_where_the_blocks_are(spark, monkeypatch):
+    rows = [(g, i, float(i % 3 == 0), (i * 37 % 100) / 100, (i * 11 % 100) / 100) for g, n in (("a", 50), ("b", 35), ("c", 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, o int, y double, p double, r double")
+    for chunk, share in ((vf.CHUNK, vf.SHARE), (2, 40)):  # one task per group; several chunks of blocks and shares of repetitions
+        monkeypatch.setattr(vf, "CHUNK", chunk)
+        monkeypatch.setattr(vf, "SHARE", share)
+        out = vf.block_bootstrap(df, ["g"], ["o"], "y", "p", "r", reps=40)
+        assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[1]
+        got = {(r["g"], r["rep"]): (r["brier"], r["brier_ref"]) for r in out.collect()}
+        for g, n in (("a", 50), ("b", 35), ("c", 3)):
+            y, p, q = (np.array([r[k] for r in rows if r[0] == g]) for k in (2, 3, 4))
+            draw = lambda rep, pos, k: int(vf.counter_draws(np.array([rep]), np.array([pos]), k)[0])
+            want = resample(y, p, q, draw, 40)
+            assert np.allclose([got[g, i] for i in range(40)], want, atol=1e-8)
+
+
+def test_counter_draws_agree(spark):
+    rep, pos = np.arange(3000) % 1000, np.arange(3000) * 977
+    d = spark.createDataFrame(list(zip(rep.tolist(), pos.tolist())), "rep long, pos long")
+    got = [r["b"] for r in d.select(vf.counter_draw(F.col("rep"), F.col("pos"), F.lit(613)).alias("b")).collect()]
+    assert got == vf.counter_draws(rep, pos, 613).tolist()
+
+
 def test_counter_draws_are_even(spark):
     d = spark.range(20000).select(vf.counter_draw(F.col("id") % 1000, F.floor(F.col("id") / 1000).cast("long"), F.lit(10)).alias("b"))
     counts = [r["count"] for r in d.groupBy("b").count().collect()]
