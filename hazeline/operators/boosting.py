@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import copy
 import heapq
 import json
 from collections.abc import Iterator, Sequence
@@ -10,13 +9,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazeline.constants import FEATURES_72H, POLLUTANTS, QUANTILES
 from hazeline.functions.numeric import nan_to_null
 from hazeline.operators.ordered import exact_percentiles
-from hazeline.session import durable
+from hazeline.session import durable, shared_folder
 
 
 def _codes(values: np.ndarray, edges: Sequence[np.ndarray]) -> np.ndarray:
@@ -27,6 +27,32 @@ def _codes(values: np.ndarray, edges: Sequence[np.ndarray]) -> np.ndarray:
     return out
 
 
+@dataclass
+class Walk:
+    """A tree as arrays by node, walked one level at a time for all rows; a node without children leads to itself."""
+
+    feature: np.ndarray
+    cut: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    depth: int = 0
+
+    @classmethod
+    def of(cls, size: int) -> "Walk":
+        return cls(np.zeros(size, np.int64), np.zeros(size, np.int64), np.arange(size), np.arange(size))
+
+    def split(self, node: int, feature: int, cut: int, left: int, right: int) -> None:
+        self.feature[node], self.cut[node], self.left[node], self.right[node] = feature, cut, left, right
+
+    def nodes_of(self, codes: np.ndarray) -> np.ndarray:
+        """The deepest node of each row."""
+        flat, rows = codes.ravel(), np.arange(len(codes)) * codes.shape[1]
+        at = np.zeros(len(codes), np.int64)
+        for _ in range(self.depth):
+            at = np.where(flat[rows + self.feature[at]] > self.cut[at], self.right[at], self.left[at])
+        return at
+
+
 @dataclass
 class Tree:
     """Splits in the order they were made: rows of `leaf` with a bin above `bins` become leaf number 1, 2, ... (one per split)."""
@@ -38,10 +64,17 @@ class Tree:
 
     def assign(self, codes: np.ndarray) -> np.ndarray:
         """Leaf of each row."""
-        at = np.zeros(len(codes), np.uint8)
+        size = 2 * len(self.leaf) + 1
+        walk = Walk.of(size)
+        at, depth, leaf_of = {0: 0}, {0: 0}, np.zeros(size, np.uint8)
         for k, (leaf, feature, cut) in enumerate(zip(self.leaf.tolist(), self.feature.tolist(), self.bins.tolist()), 1):
-            at[(at == leaf) & (codes[:, feature] > cut)] = k
-        return at
+            left, right = 2 * k - 1, 2 * k
+            walk.split(at[leaf], feature, cut, left, right)
+            leaf_of[left], leaf_of[right] = leaf, k
+            at[leaf], at[k] = left, right
+            depth[leaf] = depth[k] = depth[leaf] + 1
+        walk.depth = max(depth.values())
+        return leaf_of[walk.nodes_of(codes)]
 
     def predict(self, codes: np.ndarray) -> np.ndarray:
         return self.value[self.assign(codes)]
@@ -96,28 +129,40 @@ class QuantileModels:
     def columns(self) -> list[Column]:
         """The same predictions as expressions, one per cell: no Python worker in the plan.
 
-        The trees are one constant array per cell. A row walks each tree from its root by index and adds
-        the leaf's value, in the order of the rounds.
+        The nodes of a cell's trees are constant arrays, one per field. A row makes its features once and
+        walks each tree from its root by index, where a leaf leads to itself, and adds the leaf's value, in
+        the order of the rounds.
         """
         values = F.array(*[nan_to_null(F.col(f).cast("double")) for f in self.features])
-        node = "array<struct<f:int,t:double,l:int,r:int,v:double>>"
 
-        def score(m: int) -> Column:
-            built = [trees[m].nodes(self.edges) for trees in self.rounds]
-            forest = F.from_json(F.lit(json.dumps([nodes for nodes, _ in built])), f"array<{node}>")
-            steps = F.array(*[F.lit(i) for i in range(max((deep for _, deep in built), default=0))]).cast("array<int>")
+        def constant(items: Sequence, kind: str) -> Column:  # folded to a literal by the optimizer
+            return F.split(F.lit(",".join(map(repr, items))), ",").cast(f"array<{kind}>")
+
+        def score(m: int, row: Column) -> Column:
+            if not self.rounds:
+                return F.lit(float(self.base[m]))
+            nodes, roots, deepest = [], [], 0
+            for trees in self.rounds:
+                built, depth = trees[m].nodes(self.edges)
+                first = len(nodes)
+                roots.append(first)
+                deepest = max(deepest, depth)
+                nodes += [(first + i, n["t"], first + n["l"], first + n["r"], n["f"], n["v"]) for i, n in enumerate(built)]
+            nodes = [(0, float("inf"), i, i, v) if f < 0 else (f, t, left, right, v) for i, t, left, right, f, v in nodes]
+            of, over, left, right, value = (constant(x, kind) for x, kind in zip(zip(*nodes), ("int", "double", "int", "int", "double")))
+            steps = F.array(*[F.lit(i) for i in range(deepest)]).cast("array<int>")
 
-            def step(tree: Column, at: Column) -> Column:
-                here = F.get(tree, at)
-                above = F.coalesce(F.get(values, here["f"]) > here["t"], F.lit(False))
-                return F.when(here["f"] < 0, at).when(above, here["r"]).otherwise(here["l"])
+            def step(at: Column) -> Column:
+                above = F.coalesce(F.get(row, F.get(of, at)) > F.get(over, at), F.lit(False))
+                return F.when(above, F.get(right, at)).otherwise(F.get(left, at))
 
-            def leaf(tree: Column) -> Column:
-                return F.get(tree, F.aggregate(steps, F.lit(0), lambda at, _: step(tree, at)))["v"]
+            return F.aggregate(constant(roots, "int"), F.lit(float(self.base[m])), lambda total, root: total + F.lit(self.rate) * F.get(
+                value, F.aggregate(steps, root, lambda at, _: step(at))))
 
-            return F.aggregate(forest, F.lit(float(self.base[m])), lambda total, tree: total + F.lit(self.rate) * leaf(tree))
+        def of_cell(m: int) -> Column:
+            return F.transform(F.array(values), lambda row: score(m, row))[0]
 
-        return [score(m) for m in range(len(self.cells))]
+        return [of_cell(m) for m in range(len(self.cells))]
 
     def save(self, spark: SparkSession, path: str) -> None:
         doc = {"features": self.features, "cells": self.cells, "edges": [e.tolist() for e in self.edges],
@@ -199,21 +244,14 @@ class _Growing:
             below = hist[0, feature, :cut + 1].sum()
             self.wanted[left if 2 * below <= hist[0, feature].sum() else right] = node
 
-    def nodes_of(self, codes: np.ndarray) -> np.ndarray:
-        """The deepest node so far of each row."""
-        at = np.zeros(len(codes), np.int16)
+    def walk(self) -> Walk:
+        """The splits so far, as a task needs them: no histograms."""
+        walk = Walk.of(2 * len(self.children) + 1)
         for node, (left, right) in self.children.items():
-            _, _, feature, cut, _ = self.known[node]
-            here = at == node
-            above = codes[:, feature] > cut
-            at[here & above], at[here & ~above] = right, left
-        return at
-
-    def slim(self) -> "_Growing":
-        """What a task needs: splits and nodes to count, no histograms."""
-        out = copy.copy(self)
-        out.known = {k: (None, *v[1:]) for k, v in self.known.items() if k in self.children}
-        return out
+            _, _, feature, cut, depth = self.known[node]
+            walk.split(node, feature, cut, left, right)
+            walk.depth = max(walk.depth, depth + 1)
+        return walk
 
     def tree(self) -> Tree:
         leaf_of, splits = {0: 0}, []
@@ -227,20 +265,44 @@ class _Growing:
         return Tree(leaf, feature, cut, np.zeros(len(splits) + 1))
 
 
+def _thinned(values: np.ndarray, most: int) -> tuple[np.ndarray, float]:
+    """The sorted values, or the middles of `most` equal shares of them, and how many values each one stands for."""
+    values = np.sort(values)
+    n = len(values)
+    if n <= most:
+        return values, 1.0
+    return values[((np.arange(most) + 0.5) * n / most).astype(np.int64)], n / most
+
+
+def _quantile(parts: Sequence[tuple[np.ndarray, float]], q: float) -> float:
+    """The first of the weighted values below which a share `q` lies."""
+    values = np.concatenate([v for v, _ in parts])
+    order = values.argsort(kind="stable")
+    upto = np.concatenate([np.full(len(v), w) for v, w in parts])[order].cumsum()
+    at = int(np.searchsorted(upto, q * upto[-1] * (1 - 1e-12), "left"))
+    return float(values[order][min(at, len(values) - 1)])
+
+
+#: Rows of the training table that one task holds at most.
+ROWS_PER_TASK = 500_000
+
+
 def fit_quantiles(
     df: DataFrame, features: Sequence[str], cells: Sequence[tuple[str, float]], trees: int = 80, rate: float = 0.08,
     leaves: int = 31, depth: int = 6, min_leaf: int = 20, bins: int = 32, accuracy: int = 2_000, cut_every: int = 10, fan_in: int = 32,
 ) -> QuantileModels:
     """Boosted trees for all (label, quantile) cells at once, grown best gain first to at most `leaves` leaves.
 
-    Features are binned once; a row is then three short byte strings (bins, labels, predictions). Each
-    pass counts histograms, of rows and of rows above the prediction, by (cell, node), added up in the
-    task, for the smaller child of each new split; the other one is the difference to the parent.
+    Features are binned once and the table is packed into blocks of rows (bins, labels, predictions), which
+    stay with the executors, in memory or on their disks, and are written to the shared folder every `cut_every`
+    rounds. Each pass counts histograms, of rows and of rows above the prediction, by (cell, node), added up
+    in the task, for the smaller child of each new split; the other one is the difference to the parent.
     These sums are whole numbers and do not grow with the rows; the driver, which chooses the splits, gets
-    those of at most `fan_in` tasks, beyond that they are added up per (cell, node) by tasks in between. Passes go on until the best-first order is settled, at most
-    `depth` times. Leaves take the residual quantile of their rows from a mergeable sketch (relative
-    rank error 1/accuracy); the start value is exact. Every `cut_every` rounds the current predictions
-    are written out. Rows without a label count for the other labels only; a label without any value predicts 0.
+    those of at most `fan_in` tasks, beyond that they are added up per (cell, node) by tasks in between. Passes
+    go on until the best-first order is settled, at most `depth` times. Leaves take the residual quantile of
+    their rows: each task sends at most `accuracy` values a leaf to the task that merges the leaf (relative rank
+    error 1/accuracy); the start value is exact. Rows without a label count for the other labels only; a label
+    without any value predicts 0.
     """
     labels = sorted({c for c, _ in cells})
     edges = _bin_edges(df, features, bins)
@@ -253,100 +315,105 @@ def fit_quantiles(
     model.base = [float(starts[c][f"q{wanted.index(q)}"]) if c in starts else 0.0 for c, q in cells]
     base, alphas = np.array(model.base), np.array([q for _, q in cells])
     label_of = np.array([labels.index(c) for c, _ in cells])
-    shape = 2, len(features), width
-    size = len(features) * width
-
-    def packed(codes: np.ndarray, y: np.ndarray, f: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({name: [row.tobytes() for row in block] for name, block in (("codes", codes), ("y", y), ("f", f))})
+    shape, wide, size = (2, len(features), width), len(features), len(features) * width
 
     def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            codes = _codes(pdf[[f"x{i}" for i in range(len(features))]].to_numpy(float, na_value=np.nan), edges)
+        for pdf in filter(len, batches):
+            codes = _codes(pdf[[f"x{i}" for i in range(wide)]].to_numpy(float, na_value=np.nan), edges)
             y = pdf[[f"y{i}" for i in range(len(labels))]].to_numpy(float, na_value=np.nan)
-            yield packed(codes.astype(np.uint8), y, np.tile(base, (len(pdf), 1)))
+            yield pd.DataFrame({"n": [len(pdf)], "codes": [codes.astype(np.uint8).tobytes()], "y": [y.tobytes()]})
 
-    row = "codes binary, y binary, f binary"
-    cores = df.sparkSession.sparkContext.defaultParallelism  # every pass reads all rows: spread them over the cluster
-    work = durable(df.select(
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism  # every pass reads all rows: spread them over the cluster
+    table = df.select(
         *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)],
-        *[F.col(c).cast("double").alias(f"y{i}") for i, c in enumerate(labels)]).repartition(cores).mapInPandas(binned, row))
-    since: list[list[Tree]] = []  # rounds that `work` does not hold yet
-
-    def current(pdf: pd.DataFrame, rounds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bins, labels and predictions of a batch."""
-        codes, y, f = (np.frombuffer(b"".join(pdf[c]), t).reshape(len(pdf), -1) for c, t in (("codes", np.uint8), ("y", float), ("f", float)))
-        f = f.copy()
-        for one in rounds:
-            for m, tree in enumerate(one):
-                f[:, m] += rate * tree.predict(codes)
-        return codes, y, f
-
-    def histograms(growing: list[_Growing], rounds: list[list[Tree]]):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums = {(m, node): np.zeros((2, size), np.int64) for m, g in enumerate(growing) for node in g.wanted}
-            for pdf in filter(len, batches):
-                codes, y, f = current(pdf, rounds)
-                rest = y[:, label_of] - f
-                at = codes + np.arange(len(features)) * width
-                for m, g in enumerate(growing):
-                    nodes = np.where(np.isnan(rest[:, m]), -1, g.nodes_of(codes))
-                    for node in g.wanted:
-                        here = nodes == node
-                        sums[m, node][0] += np.bincount(at[here].ravel(), minlength=size)
-                        sums[m, node][1] += np.bincount(at[here & (rest[:, m] > 0)].ravel(), minlength=size)
-            if sums:
-                yield pd.DataFrame([(m, node, s.tobytes()) for (m, node), s in sums.items()], columns=["model", "node", "hist"])
+        *[F.col(c).cast("double").alias(f"y{i}") for i, c in enumerate(labels)])
+    packed = durable(table.repartition(max(cores, -(-df.count() // ROWS_PER_TASK))).mapInPandas(binned, "n long, codes binary, y binary"))
+
+    def unpacked(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        codes, y = np.frombuffer(row["codes"], np.uint8), np.frombuffer(row["y"], float)
+        return codes.reshape(row["n"], -1), y.reshape(row["n"], -1), np.tile(base, (row["n"], 1))
+
+    def boosted(grown: list[Tree]):
+        def run(block):
+            codes, y, f = block
+            return codes, y, f + rate * np.column_stack([tree.predict(codes) for tree in grown])
 
         return run
 
-    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for pdf in batches:
-            for m, node, hist in pdf.itertuples(index=False):
-                sums[m, node] = sums.get((m, node), 0) + np.frombuffer(hist, np.int64)
-        if sums:
-            yield pd.DataFrame([(m, node, s.tobytes()) for (m, node), s in sums.items()], columns=["model", "node", "hist"])
-
-    def left_over(rounds: list[list[Tree]], grown: list[Tree]):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in filter(len, batches):
-                codes, y, f = current(pdf, rounds)
+    def histograms(walks: list[Walk], slots: list[np.ndarray]):
+        def run(blocks):
+            sums = [np.zeros((slot.max(initial=-1) + 1) * size * 2, np.int64) for slot in slots]
+            for codes, y, f in blocks:
                 rest = y[:, label_of] - f
-                for m, tree in enumerate(grown):
-                    ok = ~np.isnan(rest[:, m])
-                    yield pd.DataFrame({"model": m, "leaf": tree.assign(codes[ok]).astype(np.int32), "rest": rest[ok, m]})
+                at = (codes + np.arange(wide) * width) * 2
+                for m, (walk, slot) in enumerate(zip(walks, slots)):
+                    if not len(sums[m]):
+                        continue
+                    place = slot[walk.nodes_of(codes)]
+                    here = np.flatnonzero((place >= 0) & ~np.isnan(rest[:, m]))
+                    cell = at[here] + (place[here] * (2 * size) + (rest[here, m] > 0))[:, None]
+                    sums[m] += np.bincount(cell.ravel(), minlength=len(sums[m]))
+            for m, slot in enumerate(slots):
+                for node in np.flatnonzero(slot >= 0).tolist():
+                    below, above = sums[m].reshape(-1, size, 2)[slot[node]].T
+                    yield (m, node), np.stack([below + above, above])
 
         return run
 
-    def settled(rounds: list[list[Tree]]):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in filter(len, batches):
-                yield packed(*current(pdf, rounds))
+    def left_over(grown: list[Tree]):
+        def run(blocks):
+            found: dict[tuple[int, int], list[np.ndarray]] = {}
+            for codes, y, f in blocks:
+                rest = y[:, label_of] - f
+                for m, tree in enumerate(grown):
+                    ok = np.flatnonzero(~np.isnan(rest[:, m]))
+                    leaf, value = tree.assign(codes[ok]), rest[ok, m]
+                    order = leaf.argsort(kind="stable")
+                    ends = np.searchsorted(leaf[order], np.arange(len(tree.value) + 1))
+                    for k, part in enumerate(np.split(value[order], ends[1:-1])):
+                        if len(part):
+                            found.setdefault((m, k), []).append(part)
+            for key, parts in found.items():
+                yield key, _thinned(np.concatenate(parts), accuracy)
 
         return run
 
-    hist, tasks = "model int, node int, hist binary", work.rdd.getNumPartitions()
+    level = StorageLevel.MEMORY_AND_DISK
+    shared_folder(spark)
+    work, tasks = packed.rdd.map(unpacked).persist(level), packed.rdd.getNumPartitions()
+    held = [work]
     for k in range(trees):
         growing = [_Growing(q, leaves, depth, min_leaf) for q in alphas]
         while any(g.wanted for g in growing):
-            counts = work.mapInPandas(histograms([g.slim() for g in growing], list(since)), hist)
+            walks, slots = [g.walk() for g in growing], []
+            for g, walk in zip(growing, walks):
+                slot = np.full(len(walk.left), -1)
+                slot[list(g.wanted)] = np.arange(len(g.wanted))
+                slots.append(slot)
+            counts = work.mapPartitions(histograms(walks, slots))
             if tasks > fan_in:
-                counts = counts.repartition("model", "node").mapInPandas(added, hist)
+                counts = counts.reduceByKey(np.add, fan_in)
             summed: dict[tuple[int, int], np.ndarray] = {}
-            for r in counts.collect():
-                key = r["model"], r["node"]
-                summed[key] = summed.get(key, 0) + np.frombuffer(r["hist"], np.int64).reshape(shape)
+            for key, hist in counts.collect():
+                summed[key] = summed.get(key, 0) + hist
             for m, g in enumerate(growing):
-                g.learn({node: h for (cell, node), h in summed.items() if cell == m}, shape)
+                g.learn({node: summed[m, node].reshape(shape) for node in g.wanted if (m, node) in summed}, shape)
                 g.grow()
         grown = [g.tree() for g in growing]
-        placed = work.mapInPandas(left_over(list(since), grown), "model int, leaf int, rest double")
-        for r in placed.groupBy("model", "leaf").agg(F.percentile_approx("rest", wanted, accuracy).alias("v")).collect():
-            grown[r["model"]].value[r["leaf"]] = r["v"][wanted.index(alphas[r["model"]])]
+        merged = work.mapPartitions(left_over(grown)).groupByKey(min(tasks, fan_in))
+        for (m, leaf), value in merged.map(lambda kv: (kv[0], _quantile(list(kv[1]), alphas[kv[0][0]]))).collect():
+            grown[m].value[leaf] = value
         model.rounds.append(grown)
-        since.append(grown)
-        if len(since) == cut_every and k + 1 < trees:
-            work, since = durable(work.mapInPandas(settled(list(since)), row)), []
+        if k + 1 < trees:
+            work = work.map(boosted(grown)).persist(level)
+            held.append(work)
+            if (k + 1) % cut_every == 0:
+                work.checkpoint()
+        while len(held) > 3:
+            held.pop(0).unpersist()
+    for rdd in held:
+        rdd.unpersist()
     return model
 
 

@@ -229,6 +229,35 @@ def test_predictions_as_expressions_equal_those_in_batches(spark):
     assert sorted(map(key, native.collect())) == sorted(map(key, model.transform(rows, ["lo", "hi"]).collect()))
 
 
+def test_expressions_make_a_row_once_and_hold_their_trees_as_constants(spark):
+    df = boost_rows(spark)
+    model = bo.fit_quantiles(df, ["a"], [("y", 0.5)], trees=2, leaves=4)
+    plan = df.select(model.columns()[0].alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Project [transform(array(array(" in plan and "from_json" not in plan and "split(" not in plan
+
+
+def test_leaf_values_are_merged_within_the_rank_error():
+    rng = np.random.RandomState(4)
+    values = rng.exponential(size=30_001)
+    parts = [bo._thinned(v, 500) for v in np.split(values, [12_000, 12_003, 20_000])]
+    assert [len(v) for v, _ in parts] == [500, 3, 500, 500]
+    for q in (0.1, 0.5, 0.9):
+        assert abs((values <= bo._quantile(parts, q)).mean() - q) <= 1 / 500
+        assert bo._quantile([bo._thinned(values, 40_000)], q) == np.sort(values)[int(np.ceil(q * 30_001)) - 1]
+
+
+def test_boosting_adds_up_over_many_tasks_as_over_one(spark):
+    df = boost_rows(spark)
+    fits = [bo.fit_quantiles(df, ["a"], [("y", 0.1), ("y", 0.5)], trees=5, leaves=6, fan_in=n, cut_every=2) for n in (1, 32)]
+    assert [[t.value.tolist() for t in r] for r in fits[0].rounds] == [[t.value.tolist() for t in r] for r in fits[1].rounds]
+    codes = bo._codes(np.linspace(-0.5, 1.5, 400)[:, None], fits[0].edges)
+    for tree in fits[0].rounds[-1]:
+        at = np.zeros(400, int)
+        for k, (leaf, feature, cut) in enumerate(zip(tree.leaf, tree.feature, tree.bins), 1):
+            at[(at == leaf) & (codes[:, feature] > cut)] = k
+        assert (tree.assign(codes) == at).all()
+
+
 def test_means_count_what_they_sum(spark):
     from hazeline.functions.numeric import exact_avg
 
