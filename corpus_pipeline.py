@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazeline.llm import decontaminate, exactdedup, neardup, packing, toxicity
+from hazeline.llm import decontaminate, exactdedup, packing, simhash, toxicity
 from hazeline.llm.common import session, table
 from hazeline.llm.queries import ACCEPT, TOKENIZER
 from hazeline.session import shared_folder
@@ -25,8 +25,8 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (similarity of the five-word shingles 0.8 or more) the smallest id stays."""
-    return neardup.deduplicate(docs)
+    """Of each group linked by SimHash fingerprints (at most 4 of 64 bits apart, as in `op1_simhash`) the smallest id stays."""
+    return simhash.deduplicate(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,23 @@ def test_pipeline_rejects_what_it_should_and_keeps_the_rest(spark, tmp_path):
         assert [a for a, _ in sorted(places)] == [0, *ends[:-1]] and ends[-1] <= 2048
 
 
+def test_near_dedup_keeps_one_document_of_each_simhash_component(spark, tmp_path):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    rows, at = [], 0
+    for _ in range(40):
+        base = [rng.choice(words) for _ in range(rng.randrange(3, 120))]
+        for copy in range(rng.randrange(1, 4)):
+            rows.append((at, " ".join(base + ["end"] * copy)))
+            at += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op1_simhash(spark, str(tmp_path)).collect()
+    want = {r["component_id"] for r in found}
+    assert 40 <= len(want) < len(rows)
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_repeats(spark, docs, str(tmp_path)).collect()} == want
+
+
 def test_entry_lists_every_operator():
     import __spark_entry__ as entry
 
