@@ -62,8 +62,11 @@ def write_documents(docs: DataFrame, path: str) -> None:
 
 def write_station_files(df: DataFrame, path: str, columns: dict[str, str], file: Column | None = None) -> None:
     """Raw-style station CSV files below `path`, with the given headers and NA for missing; with `file` in
-    one folder `file=<name>` per file name."""
+    one folder `file=<name>` per file name, which holds one file however many tasks had its rows."""
     cols = [F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Timestamp")]
     cols += [F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias(h) for c, h in columns.items()]
-    out = df.select(*cols, *([] if file is None else [file.alias("file")])).write.mode("append").option("header", True)
-    (out if file is None else out.partitionBy("file")).csv(path)
+    if file is None:
+        df.select(*cols).write.mode("append").option("header", True).csv(path)
+    else:
+        rows = df.select(*cols, file.alias("file")).repartition("file")
+        rows.write.mode("append").option("header", True).partitionBy("file").csv(path)

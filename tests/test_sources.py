@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 
 import pytest
@@ -58,6 +59,16 @@ def test_many_layouts_in_one_plan(spark, tmp_path):
         rd.scan_obs_csv(spark, str(tmp_path)).collect()
 
 
+def test_station_files_are_one_a_name_however_many_tasks_write(spark, tmp_path):
+    rows = [(f"s{i % 3}", dt.datetime(2024, 1, 1, i // 3), float(i)) for i in range(60)]
+    obs = spark.createDataFrame(rows, "station string, ts timestamp_ntz, pm25 double").repartition(8)
+    name = F.concat(F.lit("Raw_Data_2024_site_1_"), F.col("station"), F.lit("_hspcb_1Hr.csv"))
+    sk.write_station_files(obs, str(tmp_path / "layout=0"), {"pm25": "PM2.5"}, name)
+    assert len(list(tmp_path.glob("layout=0/file=*"))) == len(list(tmp_path.glob("layout=0/file=*/*.csv"))) == 3
+    got = rd.scan_obs_csv(spark, str(tmp_path), named=True).select("station", "ts", "pm25").collect()
+    assert sorted(tuple(r) for r in got) == sorted(rows)
+
+
 def test_hour_documents(spark, tmp_path):
     def rec(stamp, value, cov, key="utc"):
         return {"value": value, "period": {"datetimeFrom": {key: stamp}}, "coverage": {"percentComplete": cov}}
