@@ -6,17 +6,19 @@ over the calendar, and each (date, horizon) is solved from its accumulated momen
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazeline.constants import CATEGORIES, DAILY_FEATURES, INDEX_BANDS, SEVERE_INDEX, VERY_POOR_INDEX
 from hazeline.functions.numeric import round_half_even
 from hazeline.operators.ordered import percentiles_of, probe_counts, ranked_values
-from hazeline.session import durable
+from hazeline.session import broadcast_small, durable
 
 K = len(DAILY_FEATURES)
 #: Moments are summed as decimals with 12 digits behind the point: exact in any order and at any size met here.
@@ -113,18 +115,149 @@ def predict_points(features: DataFrame, coefficients: DataFrame, by: list[str] =
         "target_date", F.date_add("date", F.col("horizon")))
 
 
-def training_residuals(train: DataFrame, coefficients: DataFrame, by: list[str] = ("season",)) -> DataFrame:
-    """Residuals of every training row under the fit of every later as-of date.
+#: Training rows a task holds at a time, residuals of a fit in one slice of their values, and slices of a fit at most.
+CHUNK, SLICE, SLICES = 1 << 15, 1 << 17, 256
 
-    A training row asks for the as-of dates of its season from its target date on, and meets
-    the coefficients by equality on (season, horizon, date).
+
+def residual_bounds(train: DataFrame, coefficients: DataFrame, by: list[str] = ("season",)) -> DataFrame:
+    """(by..., horizon, _last, _chunks, bounds): the last as-of date, in how many chunks its training rows are dealt, and the
+    values that cut residuals into slices of about `SLICE`.
+
+    The bounds are approximate quantiles of the last fit's residuals. They only deal the work: ranks do not depend on them.
     """
-    last = coefficients.groupBy(*by).agg(F.max("date").alias("_last"))
-    rows = train.withColumnRenamed("date", "feature_date").join(last, list(by), "inner").where("target_date <= _last")
-    rows = rows.withColumn("date", F.explode(F.sequence("target_date", "_last", F.expr("interval 1 day"))))
-    fit = rows.join(coefficients, [*by, "horizon", "date"], "inner")
-    parts = _zip_dot(DAILY_FEATURES, F.col("beta"), F.col("mu"), F.col("sigma"))
-    return fit.select(*by, "horizon", "date", (F.col("y") - (F.col("intercept") + sum(parts, F.lit(0.0)))).alias("residual"))
+    group = [*by, "horizon"]
+    last = coefficients.groupBy(*group).agg(
+        F.max("date").alias("_last"), F.max_by(F.struct("n_train", "intercept", "beta", "mu", "sigma"), "date").alias("_f"))
+    rows = train.join(F.broadcast(last), group, "inner").where("target_date <= _last")
+    parts = _zip_dot(DAILY_FEATURES, F.col("_f.beta"), F.col("_f.mu"), F.col("_f.sigma"))
+    residual = F.col("y") - (F.col("_f.intercept") + sum(parts, F.lit(0.0)))
+    steps = [k / SLICES for k in range(1, SLICES)]
+    found = rows.groupBy(*group).agg(
+        F.max("_last").alias("_last"), F.max("_f.n_train").alias("_n"), F.percentile_approx(residual, steps).alias("_q"))
+    wanted = F.least(F.lit(SLICES), F.ceil(F.col("_n") / SLICE)).cast("int")
+    picked = F.when(wanted > 1, F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), wanted - 1)), lambda k: F.get("_q", F.floor(k * SLICES / wanted).cast("int") - 1)))
+    return found.select(
+        *group, "_last", F.ceil(F.col("_n") / CHUNK).cast("int").alias("_chunks"),
+        F.coalesce(F.array_distinct(picked), F.array().cast("array<double>")).alias("bounds"))
+
+
+def training_residuals(train: DataFrame, coefficients: DataFrame, bounds: DataFrame, by: list[str] = ("season",)) -> DataFrame:
+    """Residuals of every training row under the fit of every later as-of date, as sorted runs.
+
+    A task holds a chunk of a season's training rows and the fits of that season (as many as it has days). A run has
+    the residuals of its chunk in one slice of one fit: `n` of them, the distinct ones as 8-byte numbers in `residuals`,
+    with how often each occurs in `times` unless that is once.
+    """
+    group = [*by, "horizon"]
+    dealt = F.broadcast(bounds)
+    rows = train.join(dealt, group, "inner").where("target_date <= _last").select(
+        *group, F.pmod(F.xxhash64("station", "target_date"), "_chunks").cast("int").alias("_chunk"),
+        F.unix_date("target_date").alias("_day"), "y", *DAILY_FEATURES)
+    fits = coefficients.join(dealt, group, "inner").select(
+        *group, F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"),
+        F.unix_date("date").alias("_day"), "intercept", "beta", "mu", "sigma", "bounds")
+    types = dict(coefficients.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in group) + ", _day int, slice int, n long, residuals binary, times binary"
+
+    def run(key: tuple, mine: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
+        mine = mine.sort_values("_day", kind="stable")
+        day, y = mine["_day"].to_numpy(), mine["y"].to_numpy()
+        x = [mine[name].to_numpy(np.float64) for name in DAILY_FEATURES]
+        out = []
+        for fit in models.to_dict("records"):
+            n = int(np.searchsorted(day, fit["_day"], side="right"))
+            total = np.zeros(n)
+            for i in range(K):
+                total += fit["beta"][i] * ((x[i][:n] - fit["mu"][i]) / fit["sigma"][i])
+            values, times = np.unique(y[:n] - (fit["intercept"] + total), return_counts=True)
+            cuts = [0, *np.searchsorted(values, np.asarray(fit["bounds"], np.float64), side="left"), len(values)]
+            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+                if b > a:
+                    often = times[a:b]
+                    out.append((fit["_day"], k, int(often.sum()), values[a:b].tobytes(), None if often.max() == 1 else often.astype(np.int64).tobytes()))
+        found = pd.DataFrame(out, columns=["_day", "slice", "n", "residuals", "times"])
+        for i, name in enumerate(group):
+            found.insert(i, name, key[i])
+        return found
+
+    chunks = [*group, "_chunk"]
+    runs = rows.groupBy(*chunks).cogroup(fits.groupBy(*chunks)).applyInPandas(run, schema)
+    return runs.withColumn("date", F.date_from_unix_date("_day")).drop("_day")
+
+
+def _edges() -> list[tuple[str, float, bool]]:
+    """(name, index, whether a value at the index lies below) of the category edges."""
+    edges = [(f"lo{k}", float(lo), False) for k, (lo, _) in enumerate(INDEX_BANDS) if k]
+    return edges + [(f"hi{k}", float(hi), True) for k, (_, hi) in enumerate(INDEX_BANDS)]
+
+
+def distribution_of_runs(points: DataFrame, runs: DataFrame, bounds: DataFrame, by: list[str] = ("season",)) -> DataFrame:
+    """`predictive_distribution` of exp(point + residual) for the runs of `training_residuals`, which have to be written.
+
+    A slice of a fit is merged by one task, for the points that have a category edge in it (a point asks at most as
+    many slices as there are edges); what lies in lower slices is added from the counts per slice.
+    """
+    edges, probs = _edges(), (0.1, 0.9)
+    keys = [*by, "horizon", "date"]
+    ids, group = [*keys, "station"], [*keys, "slice"]
+    counted = runs.groupBy(*group).agg(F.sum("n").alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("slice")
+    held = counted.select(
+        *group, (F.sum("_n").over(w) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_size"))
+    sizes = held.groupBy(*keys).agg(F.max("_size").alias("_size"), F.sort_array(F.collect_list(F.struct("slice", "_before"))).alias("_held"))
+    sizes = broadcast_small(durable(sizes.join(F.broadcast(bounds.select(*by, "horizon", "bounds")), [*by, "horizon"], "inner")))
+    xs = F.array(*[F.log(F.lit(v)) - F.col("point") for _, v, _ in edges])
+    slices = F.transform("_xs", lambda x: F.size(F.filter("bounds", lambda b: b <= x)))
+    asked = points.select(*ids, "point").join(sizes, keys, "inner").withColumn("_xs", xs).withColumn("_at", slices)
+    asked = asked.withColumn("slice", F.explode(F.array_distinct("_at")))
+    # all residuals of lower slices lie below; with no run in the slice itself, those of the slices up to it
+    lower = F.filter("_held", lambda h: h["slice"] >= F.col("slice"))
+    before = F.when(F.size(lower) > 0, F.get(lower, 0)["_before"]).otherwise(F.col("_size"))
+    asked = asked.select(*group, "station", "_xs", "_at", before.alias("_before"), "_size").unionByName(
+        held.withColumn("station", F.lit(None).cast("string")), allowMissingColumns=True)
+    types = dict(points.dtypes)
+    ends = [f"{e}{round(100 * p)}" for p in probs for e in ("lo", "hi")]
+    schema = ", ".join(f"`{k}` {types[k]}" for k in ids) + ", below array<long>, " + ", ".join(f"{e} double" for e in ends)
+
+    def merge(key: tuple, mine: pa.Table, wanted: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(b, np.float64) for b in mine["residuals"].to_pylist()]
+        times = [np.ones(len(v), np.int64) if b is None else np.frombuffer(b, np.int64) for v, b in zip(parts, mine["times"].to_pylist())]
+        values = np.concatenate([np.zeros(0), *parts])
+        order = np.argsort(values, kind="stable")
+        values, upto = values[order], np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *times])[order])])
+        rows = wanted.filter(wanted["station"].is_valid())
+        before = rows["_before"].to_numpy()[:, None]
+        x, at = (rows[c].combine_chunks().flatten().to_numpy().reshape(-1, len(edges)) for c in ("_xs", "_at"))
+        inside = np.stack([upto[np.searchsorted(values, x[:, i], side="right" if inc else "left")] for i, (_, _, inc) in enumerate(edges)], axis=1)
+        below = np.where(at == key[-1].as_py(), inside + before, 0).ravel()
+        out = {"station": rows["station"].to_pylist(), "below": np.split(below, len(x)) if len(x) else []} | {e: [None] * len(x) for e in ends}
+        for one in wanted.filter(wanted["station"].is_null()).to_pylist():
+            out["station"].append(None)
+            out["below"].append(None)
+            for p in probs:
+                place = p * (one["_size"] - 1)
+                for e, rank in (("lo", math.floor(place)), ("hi", math.ceil(place))):
+                    rank -= one["_before"]
+                    here = 0 <= rank < upto[-1]
+                    out[f"{e}{round(100 * p)}"].append(float(values[np.searchsorted(upto, rank, side="right") - 1]) if here else None)
+        kinds = {"station": pa.string(), "below": pa.list_(pa.int64())}
+        n = len(out["station"])
+        return pa.table({k: pa.array([v.as_py()] * n, v.type) for k, v in zip(keys, key)} | {
+            c: pa.array(v, kinds.get(c, pa.float64())) for c, v in out.items()})
+
+    ranked = durable(runs.groupBy(*group).cogroup(asked.groupBy(*group)).applyInArrow(merge, schema))
+    size = F.col("_size")
+
+    def end(p: float):
+        lo, hi, at = f"lo{round(100 * p)}", f"hi{round(100 * p)}", F.lit(p) * (size - 1)
+        return F.struct(F.col(lo).alias("lo"), F.col(hi).alias("hi"), (at - F.floor(at)).alias("frac")).alias(f"e{round(100 * p)}")
+
+    found = ranked.where("station IS NULL").groupBy(*keys).agg(*[F.max(e).alias(e) for e in ends])
+    cut = found.join(sizes.select(*keys, "_size"), keys, "inner").select(*keys, *[end(p) for p in probs], size.alias("n_residuals"))
+    counts = ranked.where("station IS NOT NULL").groupBy(*ids).agg(
+        *[F.sum(F.get("below", F.lit(i))).alias(n) for i, (n, _, _) in enumerate(edges)])
+    return _shares(points.join(broadcast_small(durable(cut)), keys, "inner").join(counts, ids, "inner"))
 
 
 def predictive_distribution(points: DataFrame, residuals: DataFrame, keys: list[str]) -> DataFrame:
@@ -135,8 +268,7 @@ def predictive_distribution(points: DataFrame, residuals: DataFrame, keys: list[
     pass; samples are never materialised.
     """
     ids = [*keys, "station"]
-    edges = [(f"lo{k}", float(lo), False) for k, (lo, _) in enumerate(INDEX_BANDS) if k]
-    edges += [(f"hi{k}", float(hi), True) for k, (_, hi) in enumerate(INDEX_BANDS)]
+    edges = _edges()
     probe = F.explode(F.array(*[
         F.struct(F.lit(n).alias("edge"), F.log(F.lit(v)).alias("log_edge"), F.lit(inc).alias("inclusive")) for n, v, inc in edges
     ]))
@@ -149,6 +281,11 @@ def predictive_distribution(points: DataFrame, residuals: DataFrame, keys: list[
         F.max("n_values").alias("n_residuals"),
         *[F.max(F.when(F.col("edge") == n, F.col("n_below"))).alias(n) for n, _, _ in edges],
     ).where("n_residuals > 0")
+    return _shares(points.join(ends, keys, "inner").join(counts, ids, "inner"))
+
+
+def _shares(joined: DataFrame) -> DataFrame:
+    """Interval and probabilities from a point's `n_residuals`, its counts below the edges and the ends `e10` and `e90`."""
     size = F.col("n_residuals")
     inside = {}
     for k, name in enumerate(CATEGORIES):
@@ -156,7 +293,6 @@ def predictive_distribution(points: DataFrame, residuals: DataFrame, keys: list[
     severe = inside["Severe"] + (size - F.col("hi5"))
     good = size - severe - sum((inside[c] for c in CATEGORIES[1:5]), F.lit(0))  # gaps count as Good
     share = {**inside, "Severe": severe, "Good": good}
-    joined = points.join(ends, keys, "inner").join(counts, ids, "inner")
 
     def quantile(e: str) -> Column:
         lo, hi = F.exp(F.col("point") + F.col(f"{e}.lo")), F.exp(F.col("point") + F.col(f"{e}.hi"))
@@ -172,7 +308,7 @@ def predictive_distribution(points: DataFrame, residuals: DataFrame, keys: list[
         "p_severe": round_half_even((size - F.col("lo5")) / size, 4),
         "p_very_poor": round_half_even((size - F.col("lo4")) / size, 4),
     })
-    return out.drop("e10", "e90", "n_values", *[n for n, _, _ in edges])
+    return out.drop("e10", "e90", "n_values", *[n for n, _, _ in _edges()])
 
 
 assert SEVERE_INDEX == INDEX_BANDS[5][0] and VERY_POOR_INDEX == INDEX_BANDS[4][0]
@@ -197,10 +333,12 @@ def daily_forecasts(features: DataFrame, daily: DataFrame, alpha: float = 1.0, m
 
     `features` and `daily` carry a `season` column; each season expands on its own.
     """
-    train = expanding_train(features, daily, horizons)
+    features = durable(features)
+    train = durable(expanding_train(features, daily, horizons))
     as_of = daily.select("season", "date").distinct().withColumn(
         "horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
     coefficients = durable(ridge_expanding(expanding_moments(train, as_of), alpha, min_rows))
     points = predict_points(features, coefficients)
-    keys = ["season", "horizon", "date"]
-    return top_contributions(predictive_distribution(points, training_residuals(train, coefficients), keys))
+    bounds = durable(residual_bounds(train, coefficients))
+    runs = durable(training_residuals(train, coefficients, bounds))
+    return top_contributions(distribution_of_runs(points, runs, bounds))

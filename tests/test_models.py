@@ -75,6 +75,33 @@ def test_ridge_and_distribution_match_direct_fit(spark):
     assert min(r["n_train"] for r in got.values()) >= 30
 
 
+def test_distribution_is_the_same_from_runs_in_chunks_and_slices(spark, monkeypatch):
+    rows = daily_rows() + [("z", t, 300.0, 150.0, 270.0, 2024) for t in (dt.date(2024, 10, 1) + dt.timedelta(days=d) for d in range(60))]  # equal days
+    daily = spark.createDataFrame(rows, "station string, date date, aqi double, pm25 double, pm10 double, season int")
+    feats = ft.daily_features(daily).withColumn("season", F.lit(2024))
+    train = rg.expanding_train(feats, daily).cache()
+    as_of = daily.select("season", "date").distinct().withColumn("horizon", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    coefficients = rg.ridge_expanding(rg.expanding_moments(train, as_of)).cache()
+    fit = train.withColumnRenamed("date", "day").join(coefficients, ["season", "horizon"]).where("target_date <= date")
+    parts = [F.col("beta")[i] * ((F.col(n) - F.col("mu")[i]) / F.col("sigma")[i]) for i, n in enumerate(DAILY_FEATURES)]
+    plain = fit.select("season", "horizon", "date", (F.col("y") - (F.col("intercept") + sum(parts, F.lit(0.0)))).alias("residual"))
+    points = rg.predict_points(feats, coefficients)
+    names = ["station", "date", "horizon", "n_residuals", "q10", "q90", "p_severe", "p_very_poor", *[f"category_probabilities['{c}']" for c in CATEGORIES]]
+
+    def table(df):
+        return sorted(tuple(r) for r in df.selectExpr(*names).collect())
+
+    want = table(rg.predictive_distribution(points, plain, ["season", "horizon", "date"]))
+    for chunk, cut in ((rg.CHUNK, rg.SLICE), (50, 30)):  # one task a season and horizon; several chunks of rows and slices of values
+        monkeypatch.setattr(rg, "CHUNK", chunk)
+        monkeypatch.setattr(rg, "SLICE", cut)
+        bounds = rg.residual_bounds(train, coefficients).cache()
+        runs = rg.training_residuals(train, coefficients, bounds).cache()
+        assert runs.agg(F.sum("n")).first()[0] == plain.count()
+        assert runs.agg(F.max("slice")).first()[0] > 2 if cut == 30 else runs.count() == coefficients.count()
+        assert want and table(rg.distribution_of_runs(points, runs, bounds)) == want
+
+
 def test_future_rows_do_not_change_a_forecast(spark):
     rows = daily_rows()
     cut = dt.date(2024, 11, 10)
