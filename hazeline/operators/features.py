@@ -11,7 +11,7 @@ from hazeline.constants import (
     DAILY_FEATURES, DRIVER_OF, FEATURES_72H, MET_VARIABLES, POLLUTANTS, SEVERE_INDEX,
     VERY_POOR_INDEX, WINTER_MONTHS,
 )
-from hazeline.functions.clock import cyclic, plus_hours
+from hazeline.functions.clock import cyclic, micros, plus_hours
 from hazeline.functions.numeric import window_avg
 from hazeline.operators.ordered import HOUR_US, asof_within, calendar_shift, with_halo
 
@@ -44,10 +44,19 @@ def persistence_24h(issues: DataFrame, obs: DataFrame, pollutants=POLLUTANTS) ->
 
 
 def lead_expand(issues: DataFrame, drivers: DataFrame, max_lead: int = 72) -> DataFrame:
-    """One row per lead hour that has a driver row."""
-    leads = issues.withColumn("lead_h", F.explode(F.sequence(F.lit(1), F.lit(max_lead)))).withColumn(
-        "valid_time", plus_hours("issue_time", F.col("lead_h")))
-    return leads.join(drivers.withColumnRenamed("ts", "valid_time"), ["station", "valid_time"], "inner")
+    """One row per lead hour that has a driver row.
+
+    An issue asks for the few days its leads reach and meets their hours by equality; what is no whole
+    lead is left out on top. The size of exploded issues is estimated without the number of days, so they
+    are kept from being broadcast.
+    """
+    first, last = (F.to_date(plus_hours("issue_time", h)) for h in (1, max_lead))
+    asked = issues.withColumn("_day", F.explode(F.sequence(first, last)))
+    hours = drivers.withColumnRenamed("ts", "valid_time").withColumn("_day", F.to_date("valid_time"))
+    ahead = micros("valid_time") - micros("issue_time")
+    met = asked.hint("merge").join(hours, ["station", "_day"], "inner").drop("_day")
+    found = met.where((ahead % HOUR_US == 0) & ahead.between(HOUR_US, max_lead * HOUR_US))
+    return found.withColumn("lead_h", (ahead / HOUR_US).cast("int"))
 
 
 def targets_at_valid_time(samples: DataFrame, obs: DataFrame, prefix: str = "target_") -> DataFrame:
@@ -69,25 +78,33 @@ def time_features(valid_time: str = "valid_time") -> dict[str, Column]:
     return {"hour": hour, "hour_sin": hs, "hour_cos": hc, "day_of_year": doy, "doy_sin": ds, "doy_cos": dc}
 
 
-def samples_for_issues(issues: DataFrame, obs: DataFrame, drivers: DataFrame, max_lead: int = 72) -> DataFrame:
-    """Feature and target rows of the given (station, issue_time) rows."""
-    base = lead_expand(persistence_24h(issues, obs), drivers, max_lead)
-    renamed = {f"driver_{p}": F.col(DRIVER_OF[p]) for p in POLLUTANTS}
+def hours_ahead(obs: DataFrame, drivers: DataFrame) -> DataFrame:
+    """What samples have from their valid time alone: drivers, targets and time features per (station, valid_time)."""
+    renamed = [F.col(DRIVER_OF[p]).alias(f"driver_{p}") for p in POLLUTANTS]
     zero = F.lit(0.0)
-    wide = targets_at_valid_time(
-        base.select(
-            "station", "issue_time", "valid_time", "lead_h", *[f"last_obs_{p}" for p in POLLUTANTS],
-            *[c.alias(n) for n, c in renamed.items()], *MET_VARIABLES,
-        ), obs)
-    wide = wide.withColumns(
+    hours = targets_at_valid_time(drivers.select("station", F.col("ts").alias("valid_time"), *renamed, *MET_VARIABLES), obs)
+    return hours.withColumns(
         {"ventilation_index": ventilation_index(F.col("boundary_layer_height"), F.col("wind_speed_10m"))}
         | time_features()
     ).withColumns({
         "wind_speed_10m": F.coalesce("wind_speed_10m", zero),
         "boundary_layer_height": F.coalesce("boundary_layer_height", zero),
     })
-    return wide.select(
-        "station", "issue_time", "valid_time", *FEATURES_72H, *[f"target_{p}" for p in POLLUTANTS])
+
+
+def samples_of_hours(issues: DataFrame, obs: DataFrame, hours: DataFrame, max_lead: int = 72) -> DataFrame:
+    """Sample rows of the issues and the `hours_ahead`; further columns of either are kept.
+
+    Whatever belongs to an issue or to an hour is joined to these few rows, before the leads multiply them.
+    """
+    wide = lead_expand(persistence_24h(issues, obs), hours.withColumnRenamed("valid_time", "ts"), max_lead)
+    names = ["station", "issue_time", "valid_time", *FEATURES_72H, *[f"target_{p}" for p in POLLUTANTS]]
+    return wide.select(*names, *[c for c in wide.columns if c not in names])
+
+
+def samples_for_issues(issues: DataFrame, obs: DataFrame, drivers: DataFrame, max_lead: int = 72) -> DataFrame:
+    """Feature and target rows of the given (station, issue_time) rows."""
+    return samples_of_hours(issues.select("station", "issue_time"), obs, hours_ahead(obs, drivers), max_lead)
 
 
 def samples_72h(
