@@ -83,7 +83,11 @@ def quantile_bands(samples: DataFrame, guard: DataFrame, residuals: DataFrame) -
 
 def blend_bands(samples: DataFrame, residuals: DataFrame) -> DataFrame:
     """Unrounded bands with the guard passed everywhere."""
-    rows = samples.join(residual_structs(residuals), ["station", "issue_time"], "left")
+    return blend_columns(samples.join(residual_structs(residuals), ["station", "issue_time"], "left"))
+
+
+def blend_columns(rows: DataFrame) -> DataFrame:
+    """`blend_bands` of samples that carry the residual structs."""
     out = {f"{p}_{q}": _where_driver(p, text) for p in POLLUTANTS for q, text in zip(Q, blend_band(p))}
     return rows.withColumns(out).drop(*[f"res_{p}" for p in POLLUTANTS])
 

@@ -248,7 +248,7 @@ S.view("candidates", "SELECT s.*, " + ", ".join(f"COALESCE(b_{p}.bias_7d, 0) AS
 def lead_blend(t):
     from hazeline.plans.verification import with_candidates
 
-    c = with_candidates(samples(t), issues(t), t.obs, t.drivers)
+    c = with_candidates(issues(t), t.obs, t.drivers)
     return c.select("station", "issue_time", "lead_h", *[f"bc_{p}" for p in POLLUTANTS], *[f"blend_{p}" for p in POLLUTANTS])
 
 

@@ -11,7 +11,7 @@ from hazeline.operators import climatology as cm
 from hazeline.operators import daily_verify as dv
 from hazeline.operators import features as ft
 from hazeline.operators import verify as vf
-from hazeline.operators.bands import blend_bands
+from hazeline.operators.bands import BAND_COLUMNS, blend_columns, residual_structs
 from hazeline.operators.bias import residual_quantiles
 from hazeline.plans import adapters as A
 from hazeline.plans import q_features as qf
@@ -77,8 +77,8 @@ def held_out(rows):
 def evaluation(t):
     """All candidates; `band_median` is the middle of the blend bands."""
     o, d, issues = t.obs, t.drivers, qf.issues(t)
-    table = evaluation_table(qf.samples(t), issues, o, d, train_obs(t))
-    out = blend_bands(table, residual_quantiles(issues, o, d))
+    known = issues.join(residual_structs(residual_quantiles(issues, o, d)), ["station", "issue_time"], "left")
+    out = blend_columns(evaluation_table(known, o, d, train_obs(t)))
     names = [f"{p}_{q}" for p in POLLUTANTS for q in qf._Q]
     return out.withColumns({n: round_half_even(_C(n), 6) for n in names})
 
@@ -259,6 +259,9 @@ def _brier_cols(probs):
     return out
 
 
+#: What the severe tables and the calibration read of the evaluation; the rest is not written.
+SEVERE_COLUMNS = ["issue_time", "lead_h", "obs_cat", *[f"{kind}_{p}" for kind in ("target", "last_obs", "driver") for p in ("pm25", "pm10")],
+                  *BAND_COLUMNS]
 _PROBS = {"raw": "p_raw", "persistence": "p_pers", "raw_driver": "p_drv", "climatology": "p_clim"}
 
 
@@ -267,7 +270,7 @@ k AS (SELECT lead_h, CASE WHEN obs_cat = 'Severe' THEN 1e0 ELSE 0e0 END AS y, p_
 x AS (SELECT *, {_BK} AS bucket FROM k UNION ALL SELECT *, '{ALL_LEADS}' FROM k)
 SELECT bucket, COUNT(*) AS n_samples, CAST(SUM(y) AS BIGINT) AS events, {_brier_cols(_PROBS)} FROM x GROUP BY 1""", "categories"))
 def severe_risk_table(t):
-    rows = durable(categories(t))
+    rows = durable(categories(t).select(*SEVERE_COLUMNS))
     cut = F.lit("2024-01-21 00:00:00").cast("timestamp_ntz")
     rate = vf.severe_base_rate(rows.where(_C("issue_time") < cut)).first()["base_rate"]
     rows = vf.with_exceedance(held_out(rows)).withColumns({

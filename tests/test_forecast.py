@@ -159,3 +159,38 @@ def test_boosted_forecast_scores_without_python(spark, issue):
             assert 0 <= r[f"{p}_p10"] <= r[f"{p}_p50"] <= r[f"{p}_p90"]
         assert r["aqi_p10"] <= r["aqi_p50"] <= r["aqi_p90"]
     assert len({r["pm25_p50"] for r in rows}) > 1 and set(out.columns) == set(forecast_72h(obs, drivers(spark), issue).columns)
+
+
+def test_leads_are_whole_hours_and_exploded_issues_are_not_broadcast(spark):
+    off = T + dt.timedelta(minutes=20)
+    issues = spark.createDataFrame([("s", T, 1), ("s", off, 2), ("s", off, 3), ("t", T, 4)], "station string, issue_time timestamp_ntz, k int")
+    hours = [T + dt.timedelta(hours=h) for h in range(-2, 80) if h != 5] + [off + dt.timedelta(hours=h) for h in (0, 1, 72, 73)]
+    d = spark.createDataFrame([("s", t, 1.0) for t in hours], "station string, ts timestamp_ntz, pm2_5 double")
+    out = ft.lead_expand(issues, d)
+    plan = out._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and dict(out.dtypes)["lead_h"] == "int"
+    got = sorted((r["k"], r["lead_h"], r["valid_time"]) for r in out.collect())
+    want = [(1, h, T + dt.timedelta(hours=h)) for h in range(1, 73) if h != 5]
+    assert got == want + [(k, h, off + dt.timedelta(hours=h)) for k in (2, 3) for h in (1, 72)]
+
+
+def test_samples_meet_targets_before_the_leads(spark, issue):
+    rows = ft.samples_for_issues(issue, obs_frame(spark, obs_rows(hours=range(-200, 40))), drivers(spark))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [line for line in plan if " Join " in line]
+    assert len(joins) == 2 and "_day" in joins[0] and "LeftOuter" in joins[1]
+    got = {r["lead_h"]: r["target_pm25"] for r in rows.collect()}
+    assert got == {h: 150.0 if h < 40 else None for h in range(1, 73)}
+
+
+def test_evaluation_joins_nothing_to_the_expanded_samples(spark, issue):
+    from hazeline.plans.verification import evaluation_table
+
+    obs = obs_frame(spark, obs_rows())
+    known = issue.withColumn("kept", F.lit("yes"))
+    table = evaluation_table(known, obs, drivers(spark), obs)
+    plan = table._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert "_day" in next(line for line in plan if " Join " in line)
+    rows = table.collect()
+    assert sorted(r["lead_h"] for r in rows) == list(range(1, 73))
+    assert {(r["kept"], r["bc_pm25"], r["blend_pm25"], r["clim_pm25"], r["target_pm25"]) for r in rows} == {("yes", 150.0, 150.0, 150.0, 150.0)}
