@@ -222,7 +222,7 @@ def daily_evaluation(t):
 @plan("ridge_evaluation")
 def ridge_evaluation(t):
     """The ridge forecasts scored against persistence and expanding climatology."""
-    f = daily_forecasts(t).select("station", "date", "horizon", "target_date", "q10", "q90", "p_severe", "p_very_poor")
+    f = durable(daily_forecasts(t).select("station", "date", "horizon", "target_date", "q10", "q90", "p_severe", "p_very_poor"))
     return dv.daily_evaluation(dv.with_references(f, t.daily_long))
 
 

@@ -36,3 +36,8 @@ def test_pushdown_and_pruning(spark):
     plan = plan_of(spark, "fires_by_confidence")
     assert "ReadSchema: struct<o_orderpriority:string>" in plan
     assert "IsNotNull(o_orderpriority)" in plan
+
+
+def test_ridge_evaluation_makes_the_forecasts_once(spark):
+    plan = entry.queries()["ridge_evaluation"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "beta" not in plan and "mean_aqi_7d" not in plan
