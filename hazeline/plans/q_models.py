@@ -19,6 +19,7 @@ from hazeline.operators import inversion as iv
 from hazeline.operators import logistic as lg
 from hazeline.operators import ridge as rg
 from hazeline.operators import verify as vf
+from hazeline.operators.bands import BAND_COLUMNS
 from hazeline.plans import forecast as fc
 from hazeline.plans import q_features as qf
 from hazeline.plans import q_verify as qv
@@ -252,8 +253,9 @@ def split_samples(t):
 
 def calibrated(t):
     """Test rows with the severe probability `p_raw` and `p_calibrated`, fitted on the training rows; and the training base rate."""
-    rows = durable(vf.with_exceedance(qv.categories(t)).withColumns({
-        "p_raw": round_half_even(_C("p_raw"), 9), "is_severe": vf.severe_state(_C("target_pm25"), _C("target_pm10"))}))
+    rows = vf.with_exceedance(qv.categories(t).select("station", *qv.SEVERE_COLUMNS)).drop(*BAND_COLUMNS).withColumns({
+        "p_raw": round_half_even(_C("p_raw"), 9), "is_severe": vf.severe_state(_C("target_pm25"), _C("target_pm10"))})
+    rows = durable(rows)
     cut = F.lit("2024-01-21 00:00:00").cast("timestamp_ntz")
     train = rows.where((_C("issue_time") < cut) & _C("target_pm25").isNotNull() & _C("target_pm10").isNotNull())
     return iso.isotonic_calibrate(train, rows.where(_C("issue_time") >= cut), "p_raw", "is_severe", "p_calibrated"), vf.severe_base_rate(train).first()["base_rate"]
