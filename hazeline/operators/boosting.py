@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,30 +27,9 @@ def _codes(values: np.ndarray, edges: Sequence[np.ndarray]) -> np.ndarray:
     return out
 
 
-@dataclass
-class Walk:
-    """A tree as arrays by node, walked one level at a time for all rows; a node without children leads to itself."""
-
-    feature: np.ndarray
-    cut: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    depth: int = 0
-
-    @classmethod
-    def of(cls, size: int) -> "Walk":
-        return cls(np.zeros(size, np.int64), np.zeros(size, np.int64), np.arange(size), np.arange(size))
-
-    def split(self, node: int, feature: int, cut: int, left: int, right: int) -> None:
-        self.feature[node], self.cut[node], self.left[node], self.right[node] = feature, cut, left, right
-
-    def nodes_of(self, codes: np.ndarray) -> np.ndarray:
-        """The deepest node of each row."""
-        flat, rows = codes.ravel(), np.arange(len(codes)) * codes.shape[1]
-        at = np.zeros(len(codes), np.int64)
-        for _ in range(self.depth):
-            at = np.where(flat[rows + self.feature[at]] > self.cut[at], self.right[at], self.left[at])
-        return at
+def _columns(codes: np.ndarray) -> np.ndarray:
+    """Bins (rows x features) by feature, a byte each: comparisons with a cut run over whole columns."""
+    return np.ascontiguousarray(codes.T.astype(np.uint8))
 
 
 @dataclass
@@ -62,19 +41,19 @@ class Tree:
     bins: np.ndarray
     value: np.ndarray
 
-    def assign(self, codes: np.ndarray) -> np.ndarray:
-        """Leaf of each row."""
-        size = 2 * len(self.leaf) + 1
-        walk = Walk.of(size)
-        at, depth, leaf_of = {0: 0}, {0: 0}, np.zeros(size, np.uint8)
+    def leaves(self, columns: np.ndarray) -> np.ndarray:
+        """Leaf of each row of `columns` (features x rows): a split takes marks of rows, no row walks the tree."""
+        marked, out = [np.ones(columns.shape[1], bool)], np.zeros(columns.shape[1], np.uint8)
         for k, (leaf, feature, cut) in enumerate(zip(self.leaf.tolist(), self.feature.tolist(), self.bins.tolist()), 1):
-            left, right = 2 * k - 1, 2 * k
-            walk.split(at[leaf], feature, cut, left, right)
-            leaf_of[left], leaf_of[right] = leaf, k
-            at[leaf], at[k] = left, right
-            depth[leaf] = depth[k] = depth[leaf] + 1
-        walk.depth = max(depth.values())
-        return leaf_of[walk.nodes_of(codes)]
+            right = marked[leaf] & (columns[feature] > cut)
+            marked[leaf] = marked[leaf] ^ right
+            marked.append(right)
+            out += right.view(np.uint8) * np.uint8(k - leaf)
+        return out
+
+    def assign(self, codes: np.ndarray) -> np.ndarray:
+        """Leaf of each row of bins (rows x features)."""
+        return self.leaves(_columns(codes))
 
     def predict(self, codes: np.ndarray) -> np.ndarray:
         return self.value[self.assign(codes)]
@@ -108,11 +87,11 @@ class QuantileModels:
     rounds: list[list[Tree]] = field(default_factory=list)
 
     def predict(self, codes: np.ndarray) -> np.ndarray:
-        out = np.tile(np.array(self.base, float), (len(codes), 1))
+        columns, out = _columns(codes), np.tile(np.array(self.base, float)[:, None], len(codes))
         for trees in self.rounds:
             for m, tree in enumerate(trees):
-                out[:, m] += self.rate * tree.predict(codes)
-        return out
+                out[m] += self.rate * tree.value[tree.leaves(columns)]
+        return np.ascontiguousarray(out.T)
 
     def transform(self, df: DataFrame, names: Sequence[str]) -> DataFrame:
         """Adds one prediction column per cell, in Arrow batches: for many rows."""
@@ -178,11 +157,67 @@ class QuantileModels:
                    doc["base"], doc["rate"], rounds)
 
 
-def _bin_edges(df: DataFrame, features: Sequence[str], bins: int) -> list[np.ndarray]:
-    """Distinct inner quantiles of each feature, by sketch: at most `bins` - 1 numbers per feature."""
+def _chunks(batches: Iterable[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The same rows in frames of about `rows` rows."""
+    held, n = [], 0
+    for pdf in batches:
+        for at in range(0, len(pdf), rows):
+            held.append(pdf.iloc[at:at + rows])
+            n += len(held[-1])
+            if n >= rows:
+                yield pd.concat(held, ignore_index=True)
+                held, n = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _thinned(values: np.ndarray, most: int) -> tuple[np.ndarray, float]:
+    """The sorted values, or the middles of `most` equal shares of them, and how many values each one stands for."""
+    values = np.sort(values)
+    n = len(values)
+    if n <= most:
+        return values, 1.0
+    return values[((np.arange(most) + 0.5) * n / most).astype(np.int64)], n / most
+
+
+def _quantiles(parts: Sequence[tuple[np.ndarray, float]], at: Sequence[float]) -> list[float]:
+    """For each share of `at`, the first of the weighted values up to which that share lies."""
+    values = np.concatenate([v for v, _ in parts])
+    order = values.argsort(kind="stable")
+    upto = np.concatenate([np.full(len(v), w) for v, w in parts])[order].cumsum()
+    found = np.searchsorted(upto, np.array(at) * upto[-1] * (1 - 1e-12), "left")
+    return values[order][np.minimum(found, len(values) - 1)].tolist()
+
+
+def _quantile(parts: Sequence[tuple[np.ndarray, float]], q: float) -> float:
+    return _quantiles(parts, [q])[0]
+
+
+def _bin_edges(df: DataFrame, features: Sequence[str], bins: int, accuracy: int = 10_000) -> list[np.ndarray]:
+    """Distinct inner quantiles of each feature, missing values and NaN left out: at most `bins` - 1 numbers per feature.
+
+    Every 262,144 rows at most send `accuracy` values a feature to the task that merges the feature (relative rank error
+    1/accuracy); fewer rows than that are exact.
+    """
     at = [k / bins for k in range(1, bins)]
-    found = df.agg(*[F.percentile_approx(F.col(f).cast("double"), at, 10_000).alias(f"e{i}") for i, f in enumerate(features)]).first()
-    return [np.unique(np.array(found[i] if found[i] is not None else [], float)) for i in range(len(features))]
+
+    def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _chunks(batches, 262_144):
+            parts = []
+            for i in range(len(features)):
+                v = pdf[f"x{i}"].to_numpy(float, na_value=np.nan)
+                values, weight = _thinned(v[~np.isnan(v)], accuracy)
+                parts.append((i, values.tobytes(), weight))
+            yield pd.DataFrame([part for part in parts if part[1]], columns=["i", "v", "w"])
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [(np.frombuffer(v, float), w) for v, w in zip(pdf["v"], pdf["w"])]
+        return pd.DataFrame({"i": pdf["i"][:1], "e": [np.unique(_quantiles(parts, at))]})
+
+    columns = df.select(*[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)])
+    sketch = columns.mapInPandas(sketched, "i int, v binary, w double")
+    found = {r["i"]: r["e"] for r in sketch.groupBy("i").applyInPandas(merged, "i int, e array<double>").collect()}
+    return [np.array(found.get(i, []), float) for i in range(len(features))]
 
 
 class _Growing:
@@ -244,14 +279,13 @@ class _Growing:
             below = hist[0, feature, :cut + 1].sum()
             self.wanted[left if 2 * below <= hist[0, feature].sum() else right] = node
 
-    def walk(self) -> Walk:
-        """The splits so far, as a task needs them: no histograms."""
-        walk = Walk.of(2 * len(self.children) + 1)
-        for node, (left, right) in self.children.items():
-            _, _, feature, cut, depth = self.known[node]
-            walk.split(node, feature, cut, left, right)
-            walk.depth = max(walk.depth, depth + 1)
-        return walk
+    def paths(self) -> tuple[list[tuple[int, int, int, int, int]], list[int]]:
+        """What a task needs: the splits (node, feature, bin, left, right) that lead to the nodes to count, and these nodes."""
+        parents, used = list(self.children), set()
+        for node in self.wanted:
+            while node and (node := parents[(node - 1) // 2]) not in used:
+                used.add(node)
+        return [(node, *self.known[node][2:4], *self.children[node]) for node in parents if node in used], list(self.wanted)
 
     def tree(self) -> Tree:
         leaf_of, splits = {0: 0}, []
@@ -265,26 +299,57 @@ class _Growing:
         return Tree(leaf, feature, cut, np.zeros(len(splits) + 1))
 
 
-def _thinned(values: np.ndarray, most: int) -> tuple[np.ndarray, float]:
-    """The sorted values, or the middles of `most` equal shares of them, and how many values each one stands for."""
-    values = np.sort(values)
-    n = len(values)
-    if n <= most:
-        return values, 1.0
-    return values[((np.arange(most) + 0.5) * n / most).astype(np.int64)], n / most
+#: Rows of the training table that one task holds at most, and rows of one block in it.
+ROWS_PER_TASK, ROWS_PER_BLOCK = 500_000, 65_536
 
+#: Bins of neighbouring features are counted jointly, up to so many combinations.
+JOINT_BINS = 4_096
 
-def _quantile(parts: Sequence[tuple[np.ndarray, float]], q: float) -> float:
-    """The first of the weighted values below which a share `q` lies."""
-    values = np.concatenate([v for v, _ in parts])
-    order = values.argsort(kind="stable")
-    upto = np.concatenate([np.full(len(v), w) for v, w in parts])[order].cumsum()
-    at = int(np.searchsorted(upto, q * upto[-1] * (1 - 1e-12), "left"))
-    return float(values[order][min(at, len(values) - 1)])
 
+class _Joint:
+    """Features counted together: rows fall into combinations of bins, whose counts add up to those of each feature."""
+
+    def __init__(self, widths: Sequence[int]) -> None:
+        self.widths, self.groups = list(widths), []
+        for j in sorted(range(len(widths)), key=lambda j: widths[j]):
+            if self.groups and np.prod([widths[i] for i in (*self.groups[-1], j)]) <= JOINT_BINS:
+                self.groups[-1].append(j)
+            else:
+                self.groups.append([j])
+        self.size = max((int(np.prod([widths[i] for i in group])) for group in self.groups), default=0)
+
+    def places(self, columns: np.ndarray) -> list[np.ndarray]:
+        """Per group, twice the number of each row's combination."""
+        out = []
+        for first, *others in self.groups:
+            at = columns[first].astype(np.uint16)
+            for j in others:
+                at = at * np.uint16(self.widths[j]) + columns[j]
+            out.append(at * np.uint16(2))
+        return out
+
+    def single(self, counts: Sequence[np.ndarray], width: int) -> np.ndarray:
+        """Counts (nodes x combinations x 2) of every group as nodes x 2 x features x bins, the two being all rows and rows above."""
+        out = np.zeros((len(counts[0]) if counts else 0, 2, len(self.widths), width), np.int64)
+        for group, found in zip(self.groups, counts):
+            shape = [self.widths[j] for j in group]
+            found = found[:, :int(np.prod(shape))].reshape(-1, *shape, 2)
+            for axis, j in enumerate(group, 1):
+                each = found.sum(axis=tuple(k for k in range(1, len(group) + 1) if k != axis))
+                out[:, 0, j, :self.widths[j]] = each.sum(axis=2)
+                out[:, 1, j, :self.widths[j]] = each[:, :, 1]
+        return out
 
-#: Rows of the training table that one task holds at most.
-ROWS_PER_TASK = 500_000
+
+def _dealt(sizes: dict[int, int], tasks: int) -> dict[int, int]:
+    """The task of each block: the largest first, to whichever task has fewest rows."""
+    loads = [(0, task) for task in range(tasks)]
+    out = {}
+    for block, n in sorted(sizes.items(), key=lambda item: (-item[1], item[0])):
+        rows, task = heapq.heappop(loads)
+        out[block] = task
+        heapq.heappush(loads, (rows + n, task))
+    return out
 
 
 def fit_quantiles(
@@ -293,12 +358,14 @@ def fit_quantiles(
 ) -> QuantileModels:
     """Boosted trees for all (label, quantile) cells at once, grown best gain first to at most `leaves` leaves.
 
-    Features are binned once and the table is packed into blocks of rows (bins, labels, predictions), which
-    stay with the executors, in memory or on their disks, and are written to the shared folder every `cut_every`
-    rounds. Each pass counts histograms, of rows and of rows above the prediction, by (cell, node), added up
-    in the task, for the smaller child of each new split; the other one is the difference to the parent.
+    Features are binned once and the table is packed into blocks of rows (bins by feature, and what the labels
+    exceed the predictions by), which stay with the executors, in memory or on their disks, and are written to
+    the shared folder every `cut_every` rounds. A pass reads the bins and one bit per cell, above the prediction
+    or not. It counts histograms, of rows and of rows above, by (cell, node), added up in the task, for the
+    smaller child of each new split; the other one is the difference to the parent. Rows in the root are counted
+    once per label; each round counts there the rows on one side of the prediction, the side with fewer rows.
     These sums are whole numbers and do not grow with the rows; the driver, which chooses the splits, gets
-    those of at most `fan_in` tasks, beyond that they are added up per (cell, node) by tasks in between. Passes
+    those of at most `fan_in` tasks, beyond that they are added up per cell by tasks in between. Passes
     go on until the best-first order is settled, at most `depth` times. Leaves take the residual quantile of
     their rows: each task sends at most `accuracy` values a leaf to the task that merges the leaf (relative rank
     error 1/accuracy); the start value is exact. Rows without a label count for the other labels only; a label
@@ -307,6 +374,8 @@ def fit_quantiles(
     labels = sorted({c for c, _ in cells})
     edges = _bin_edges(df, features, bins)
     width = max((len(e) for e in edges), default=0) + 2
+    if width > 256:
+        raise ValueError(f"{bins} bins do not fit a byte")
     model = QuantileModels(list(features), list(cells), edges, [], rate)
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("_g"), F.col(c).cast("double").alias("_y")) for c in labels])).alias("r")).select("r.*").where("_y IS NOT NULL")
@@ -315,63 +384,99 @@ def fit_quantiles(
     model.base = [float(starts[c][f"q{wanted.index(q)}"]) if c in starts else 0.0 for c, q in cells]
     base, alphas = np.array(model.base), np.array([q for _, q in cells])
     label_of = np.array([labels.index(c) for c, _ in cells])
-    shape, wide, size = (2, len(features), width), len(features), len(features) * width
+    wide, joint = len(features), _Joint([len(e) + 2 for e in edges])
+    shape = 2, wide, width
+
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism  # every pass reads all rows: spread them over the cluster
+    rows = df.count()
+    tasks = max(cores, -(-rows // ROWS_PER_TASK))
+    block = max(1, min(ROWS_PER_BLOCK, -(-rows // (2 * tasks))))
 
     def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in filter(len, batches):
+        for pdf in _chunks(batches, block):
             codes = _codes(pdf[[f"x{i}" for i in range(wide)]].to_numpy(float, na_value=np.nan), edges)
-            y = pdf[[f"y{i}" for i in range(len(labels))]].to_numpy(float, na_value=np.nan)
-            yield pd.DataFrame({"n": [len(pdf)], "codes": [codes.astype(np.uint8).tobytes()], "y": [y.tobytes()]})
+            y = np.ascontiguousarray(pdf[[f"y{i}" for i in range(len(labels))]].to_numpy(float, na_value=np.nan).T)
+            yield pd.DataFrame({"n": [len(pdf)], "codes": [_columns(codes).tobytes()], "y": [y.tobytes()]})
 
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism  # every pass reads all rows: spread them over the cluster
     table = df.select(
         *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)],
         *[F.col(c).cast("double").alias(f"y{i}") for i, c in enumerate(labels)])
-    packed = durable(table.repartition(max(cores, -(-df.count() // ROWS_PER_TASK))).mapInPandas(binned, "n long, codes binary, y binary"))
+    packed = durable(table.mapInPandas(binned, "n long, codes binary, y binary").withColumn("block", F.monotonically_increasing_id()))
+    task_of = _dealt({r["block"]: r["n"] for r in packed.select("block", "n").collect()}, tasks)
 
-    def unpacked(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        codes, y = np.frombuffer(row["codes"], np.uint8), np.frombuffer(row["y"], float)
-        return codes.reshape(row["n"], -1), y.reshape(row["n"], -1), np.tile(base, (row["n"], 1))
+    def unpacked(row) -> tuple[np.ndarray, np.ndarray]:
+        columns, y = np.frombuffer(row["codes"], np.uint8), np.frombuffer(row["y"], float)
+        return columns.reshape(-1, row["n"]), y.reshape(-1, row["n"])[label_of] - base[:, None]
 
     def boosted(grown: list[Tree]):
         def run(block):
-            codes, y, f = block
-            return codes, y, f + rate * np.column_stack([tree.predict(codes) for tree in grown])
+            columns, rest = block
+            return columns, np.stack([r - rate * tree.value[tree.leaves(columns)] for r, tree in zip(rest, grown)])
 
         return run
 
-    def histograms(walks: list[Walk], slots: list[np.ndarray]):
+    def signs(block):
+        columns, rest = block
+        return columns, np.packbits(rest > 0, axis=1), np.packbits(~np.isnan(rest), axis=1)
+
+    def marks(bits: np.ndarray, n: int) -> np.ndarray:
+        return np.unpackbits(bits, axis=1, count=n).view(bool)
+
+    def of_labels(blocks):
+        """Rows by label, feature and bin."""
+        sums = np.zeros((len(labels), len(joint.groups), 2 * joint.size), np.int64)
+        for columns, _, known in blocks:
+            places, known = joint.places(columns), marks(known, columns.shape[1])
+            for i in range(len(labels)):
+                here = np.flatnonzero(known[label_of == i][0])
+                for at, total in zip(places, sums[i]):
+                    total += np.bincount(at.take(here), minlength=len(total))
+        yield from enumerate(joint.single([s[None].reshape(1, -1, 2) for s in found], width)[0, 0] for found in sums)
+
+    def of_roots(blocks):
+        """Rows on the rarer side of the prediction by cell, feature and bin."""
+        sums = np.zeros((len(cells), len(joint.groups), 2 * joint.size), np.int64)
+        for columns, above, known in blocks:
+            places, above, known = joint.places(columns), marks(above, columns.shape[1]), marks(known, columns.shape[1])
+            for m, alpha in enumerate(alphas):
+                here = np.flatnonzero(known[m] ^ above[m] if alpha < 0.5 else above[m])
+                for at, total in zip(places, sums[m]):
+                    total += np.bincount(at.take(here), minlength=len(total))
+        yield from enumerate(joint.single([s[None].reshape(1, -1, 2) for s in found], width)[0, 0] for found in sums)
+
+    def of_nodes(paths):
+        """Rows and rows above by cell, node to count, feature and bin."""
         def run(blocks):
-            sums = [np.zeros((slot.max(initial=-1) + 1) * size * 2, np.int64) for slot in slots]
-            for codes, y, f in blocks:
-                rest = y[:, label_of] - f
-                at = (codes + np.arange(wide) * width) * 2
-                for m, (walk, slot) in enumerate(zip(walks, slots)):
-                    if not len(sums[m]):
-                        continue
-                    place = slot[walk.nodes_of(codes)]
-                    here = np.flatnonzero((place >= 0) & ~np.isnan(rest[:, m]))
-                    cell = at[here] + (place[here] * (2 * size) + (rest[here, m] > 0))[:, None]
-                    sums[m] += np.bincount(cell.ravel(), minlength=len(sums[m]))
-            for m, slot in enumerate(slots):
-                for node in np.flatnonzero(slot >= 0).tolist():
-                    below, above = sums[m].reshape(-1, size, 2)[slot[node]].T
-                    yield (m, node), np.stack([below + above, above])
+            sums = {m: np.zeros((len(joint.groups), len(nodes) * 2 * joint.size), np.int64) for m, (_, nodes) in enumerate(paths) if nodes}
+            for columns, above, known in blocks:
+                places, above, known = joint.places(columns), marks(above, columns.shape[1]), marks(known, columns.shape[1])
+                for m, totals in sums.items():
+                    splits, nodes = paths[m]
+                    marked, slot = {0: known[m]}, np.zeros(columns.shape[1], np.uint8)
+                    for node, feature, cut, left, right in splits:
+                        marked[right] = marked[node] & (columns[feature] > cut)
+                        marked[left] = marked[node] ^ marked[right]
+                    for i, node in enumerate(nodes, 1):
+                        slot += marked[node].view(np.uint8) * np.uint8(i)
+                    here = np.flatnonzero(slot)
+                    start = (slot.take(here).astype(np.int64) - 1) * (2 * joint.size) + above[m].take(here)
+                    for at, total in zip(places, totals):
+                        total += np.bincount(at.take(here) + start, minlength=len(total))
+            for m, totals in sums.items():
+                yield m, joint.single([t.reshape(len(paths[m][1]), -1, 2) for t in totals], width)
 
         return run
 
     def left_over(grown: list[Tree]):
         def run(blocks):
             found: dict[tuple[int, int], list[np.ndarray]] = {}
-            for codes, y, f in blocks:
-                rest = y[:, label_of] - f
+            for columns, rest in blocks:
                 for m, tree in enumerate(grown):
-                    ok = np.flatnonzero(~np.isnan(rest[:, m]))
-                    leaf, value = tree.assign(codes[ok]), rest[ok, m]
-                    order = leaf.argsort(kind="stable")
-                    ends = np.searchsorted(leaf[order], np.arange(len(tree.value) + 1))
-                    for k, part in enumerate(np.split(value[order], ends[1:-1])):
+                    here = np.flatnonzero(~np.isnan(rest[m]))
+                    leaf = tree.leaves(columns).take(here)
+                    value = rest[m].take(here.take(leaf.argsort(kind="stable")))
+                    for k, part in enumerate(np.split(value, np.bincount(leaf, minlength=len(tree.value)).cumsum()[:-1])):
                         if len(part):
                             found.setdefault((m, k), []).append(part)
             for key, parts in found.items():
@@ -379,41 +484,48 @@ def fit_quantiles(
 
         return run
 
+    def added_up(blocks, count) -> dict[int, np.ndarray]:
+        counts = blocks.mapPartitions(count)
+        if tasks > fan_in:
+            counts = counts.reduceByKey(np.add, fan_in)
+        summed: dict[int, np.ndarray] = {}
+        for key, found in counts.collect():
+            summed[key] = summed.get(key, 0) + found
+        return summed
+
     level = StorageLevel.MEMORY_AND_DISK
     shared_folder(spark)
-    work, tasks = packed.rdd.map(unpacked).persist(level), packed.rdd.getNumPartitions()
-    held = [work]
+    work = packed.rdd.map(lambda row: (task_of[row["block"]], unpacked(row))).partitionBy(tasks, int).values().persist(level)
+    before = everyone = None
     for k in range(trees):
+        seen = work.map(signs).persist(level)
+        if everyone is None:
+            everyone = added_up(seen, of_labels)
         growing = [_Growing(q, leaves, depth, min_leaf) for q in alphas]
+        rarer = added_up(seen, of_roots)
+        if before is not None:
+            before.unpersist()
+        for m, g in enumerate(growing):
+            n = everyone[label_of[m]]
+            g.learn({0: np.stack([n, n - rarer[m] if alphas[m] < 0.5 else rarer[m]])}, shape)
+            g.grow()
         while any(g.wanted for g in growing):
-            walks, slots = [g.walk() for g in growing], []
-            for g, walk in zip(growing, walks):
-                slot = np.full(len(walk.left), -1)
-                slot[list(g.wanted)] = np.arange(len(g.wanted))
-                slots.append(slot)
-            counts = work.mapPartitions(histograms(walks, slots))
-            if tasks > fan_in:
-                counts = counts.reduceByKey(np.add, fan_in)
-            summed: dict[tuple[int, int], np.ndarray] = {}
-            for key, hist in counts.collect():
-                summed[key] = summed.get(key, 0) + hist
-            for m, g in enumerate(growing):
-                g.learn({node: summed[m, node].reshape(shape) for node in g.wanted if (m, node) in summed}, shape)
+            paths = [g.paths() for g in growing]
+            summed = added_up(seen, of_nodes(paths))
+            for m, (g, (_, nodes)) in enumerate(zip(growing, paths)):
+                g.learn(dict(zip(nodes, summed[m])) if nodes else {}, shape)
                 g.grow()
+        seen.unpersist()
         grown = [g.tree() for g in growing]
         merged = work.mapPartitions(left_over(grown)).groupByKey(min(tasks, fan_in))
         for (m, leaf), value in merged.map(lambda kv: (kv[0], _quantile(list(kv[1]), alphas[kv[0][0]]))).collect():
             grown[m].value[leaf] = value
         model.rounds.append(grown)
         if k + 1 < trees:
-            work = work.map(boosted(grown)).persist(level)
-            held.append(work)
+            before, work = work, work.map(boosted(grown)).persist(level)
             if (k + 1) % cut_every == 0:
                 work.checkpoint()
-        while len(held) > 3:
-            held.pop(0).unpersist()
-    for rdd in held:
-        rdd.unpersist()
+    work.unpersist()
     return model
 
 

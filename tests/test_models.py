@@ -298,3 +298,16 @@ def test_a_group_that_does_not_converge_is_an_error(spark):
     weights = lg.fit_logistic(df, ["g"], ["x"], "y", max_iter=1)
     with pytest.raises(Exception, match="no convergence for [01]"):
         lg.predict_logistic(df, weights, ["g"], ["x"]).collect()
+
+
+def test_bin_edges_are_the_exact_quantiles_of_what_is_there(spark):
+    rng = np.random.RandomState(5)
+    x = np.round(rng.exponential(size=3_000), 2)
+    rows = [(float(v), float("nan") if i % 3 else None, float(i % 2)) for i, v in enumerate(x)] + [(None, None, None), (float("nan"), None, None)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(5)
+    a, b, c = bo._bin_edges(df, ["a", "b", "c"], 8)
+    ranked = np.sort(x)
+    assert a.tolist() == sorted({ranked[int(np.ceil(k * 3_000 / 8)) - 1] for k in range(1, 8)})
+    assert b.tolist() == [] and c.tolist() == [0.0, 1.0]
+    thinned = bo._bin_edges(df, ["a"], 8, accuracy=200)[0]
+    assert all(abs((x <= e).mean() - k / 8) <= 0.02 for k, e in enumerate(thinned, 1))
