@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import heapq
 import json
+import tempfile
+import uuid
+import zipfile
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,24 @@ def _columns(codes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(codes.T.astype(np.uint8))
 
 
+#: Which rows of a node are counted: all, those above the prediction, those at or below it.
+BOTH, ABOVE, BELOW = 2, 1, 0
+
+
+def _walk(splits: Sequence[tuple[int, int, int, int]], numbers: dict[int, int], depth: int, side: int = BOTH) -> np.ndarray:
+    """Splits (node, feature, bin, left child) of a tree by node: left children, features, bins, numbers (-1: none).
+
+    The right child follows the left one. A node without a split leads to itself: no bin lies above 255.
+    """
+    size = 2 * len(splits) + 1
+    left, feature, cut, number = np.arange(size), np.zeros(size, int), np.full(size, 255), np.full(size, -1)
+    for node, f, c, child in splits:
+        left[node], feature[node], cut[node] = child, f, c
+    for node, i in numbers.items():
+        number[node] = i
+    return np.concatenate([[depth, side, size], left, feature, cut, number])
+
+
 @dataclass
 class Tree:
     """Splits in the order they were made: rows of `leaf` with a bin above `bins` become leaf number 1, 2, ... (one per split)."""
@@ -58,6 +79,15 @@ class Tree:
     def predict(self, codes: np.ndarray) -> np.ndarray:
         return self.value[self.assign(codes)]
 
+    def walk(self) -> np.ndarray:
+        """The tree as the passes take it, its leaves numbered."""
+        splits, at, depth = [], {0: 0}, {0: 0}
+        for k, (leaf, feature, cut) in enumerate(zip(self.leaf.tolist(), self.feature.tolist(), self.bins.tolist()), 1):
+            splits.append((at[leaf], feature, cut, 2 * k - 1))
+            at[leaf], at[k] = 2 * k - 1, 2 * k
+            depth[leaf] = depth[k] = depth[leaf] + 1
+        return _walk(splits, {node: leaf for leaf, node in at.items()}, max(depth.values()))
+
     def nodes(self, edges: Sequence[np.ndarray]) -> tuple[list[dict], int]:
         """The tree as nodes (f, t, l, r, v) over raw values, the root first, and its depth; a leaf has f = -1.
 
@@ -245,9 +275,9 @@ class _Growing:
         feature, cut = np.unravel_index(gain.argmax(), gain.shape) if gain.size else (0, 0)
         self.known[node] = hist, float(gain[feature, cut]) if gain.size else -1.0, int(feature), int(cut), depth
 
-    def learn(self, counted: dict[int, np.ndarray], shape: tuple[int, int, int]) -> None:
-        for node, parent in self.wanted.items():
-            hist = counted.get(node, np.zeros(shape, np.int64))
+    def learn(self, counted: Sequence[np.ndarray]) -> None:
+        """The histograms of the wanted nodes, in their order."""
+        for (node, parent), hist in zip(self.wanted.items(), counted):
             if node == parent:
                 self._learn(node, hist, 0)
                 continue
@@ -279,13 +309,11 @@ class _Growing:
             below = hist[0, feature, :cut + 1].sum()
             self.wanted[left if 2 * below <= hist[0, feature].sum() else right] = node
 
-    def paths(self) -> tuple[list[tuple[int, int, int, int, int]], list[int]]:
-        """What a task needs: the splits (node, feature, bin, left, right) that lead to the nodes to count, and these nodes."""
-        parents, used = list(self.children), set()
-        for node in self.wanted:
-            while node and (node := parents[(node - 1) // 2]) not in used:
-                used.add(node)
-        return [(node, *self.known[node][2:4], *self.children[node]) for node in parents if node in used], list(self.wanted)
+    def walk(self, side: int = BOTH) -> np.ndarray:
+        """The splits so far and the numbers of the nodes to count, as a task needs them: no histograms."""
+        splits = [(node, *self.known[node][2:4], pair[0]) for node, pair in self.children.items()] if self.wanted else []
+        deepest = max((self.known[node][4] + 1 for node, *_ in splits), default=0)
+        return _walk(splits, {node: i for i, node in enumerate(self.wanted)}, deepest, side)
 
     def tree(self) -> Tree:
         leaf_of, splits = {0: 0}, []
@@ -300,45 +328,27 @@ class _Growing:
 
 
 #: Rows of the training table that one task holds at most, and rows of one block in it.
-ROWS_PER_TASK, ROWS_PER_BLOCK = 500_000, 65_536
-
-#: Bins of neighbouring features are counted jointly, up to so many combinations.
-JOINT_BINS = 4_096
-
-
-class _Joint:
-    """Features counted together: rows fall into combinations of bins, whose counts add up to those of each feature."""
-
-    def __init__(self, widths: Sequence[int]) -> None:
-        self.widths, self.groups = list(widths), []
-        for j in sorted(range(len(widths)), key=lambda j: widths[j]):
-            if self.groups and np.prod([widths[i] for i in (*self.groups[-1], j)]) <= JOINT_BINS:
-                self.groups[-1].append(j)
-            else:
-                self.groups.append([j])
-        self.size = max((int(np.prod([widths[i] for i in group])) for group in self.groups), default=0)
-
-    def places(self, columns: np.ndarray) -> list[np.ndarray]:
-        """Per group, twice the number of each row's combination."""
-        out = []
-        for first, *others in self.groups:
-            at = columns[first].astype(np.uint16)
-            for j in others:
-                at = at * np.uint16(self.widths[j]) + columns[j]
-            out.append(at * np.uint16(2))
-        return out
+ROWS_PER_TASK, ROWS_PER_BLOCK = 500_000, 16_384
 
-    def single(self, counts: Sequence[np.ndarray], width: int) -> np.ndarray:
-        """Counts (nodes x combinations x 2) of every group as nodes x 2 x features x bins, the two being all rows and rows above."""
-        out = np.zeros((len(counts[0]) if counts else 0, 2, len(self.widths), width), np.int64)
-        for group, found in zip(self.groups, counts):
-            shape = [self.widths[j] for j in group]
-            found = found[:, :int(np.prod(shape))].reshape(-1, *shape, 2)
-            for axis, j in enumerate(group, 1):
-                each = found.sum(axis=tuple(k for k in range(1, len(group) + 1) if k != axis))
-                out[:, 0, j, :self.widths[j]] = each.sum(axis=2)
-                out[:, 1, j, :self.widths[j]] = each[:, :, 1]
-        return out
+_PASSES: dict[str, object] = {}
+
+
+def _passes(spark: SparkSession):
+    """The passes of `boosting.java`, compiled by Spark's own compiler and sent to the executors once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _PASSES:
+        compiler = sc._jvm.org.codehaus.janino.SimpleCompiler()
+        compiler.setParentClassLoader(sc._jvm.java.lang.Thread.currentThread().getContextClassLoader())
+        compiler.cook(Path(__file__).with_name("boosting.java").read_text())
+        jar = Path(tempfile.mkdtemp(prefix="hazeline-passes-")) / f"hazeline-{uuid.uuid4().hex}.jar"
+        with zipfile.ZipFile(jar, "w") as out:
+            for name, code in compiler.getBytecodes().items():
+                out.writestr(f"{name.replace('.', '/')}.class", bytes(code))
+        sc._jsc.addJar(str(jar))
+        none = sc._gateway.new_array(sc._jvm.java.lang.Class, 0), sc._gateway.new_array(sc._jvm.java.lang.Object, 0)
+        made = compiler.getClassLoader().loadClass("hazeline.Boosting").getDeclaredConstructor(none[0]).newInstance(none[1])
+        _PASSES[sc.applicationId] = made
+    return _PASSES[sc.applicationId]
 
 
 def _dealt(sizes: dict[int, int], tasks: int) -> dict[int, int]:
@@ -352,177 +362,107 @@ def _dealt(sizes: dict[int, int], tasks: int) -> dict[int, int]:
     return out
 
 
+def _packed(walks: Sequence[np.ndarray]) -> bytes:
+    return np.concatenate([[len(walks)], *walks]).astype("<i4").tobytes()
+
+
 def fit_quantiles(
     df: DataFrame, features: Sequence[str], cells: Sequence[tuple[str, float]], trees: int = 80, rate: float = 0.08,
     leaves: int = 31, depth: int = 6, min_leaf: int = 20, bins: int = 32, accuracy: int = 2_000, cut_every: int = 10, fan_in: int = 32,
 ) -> QuantileModels:
     """Boosted trees for all (label, quantile) cells at once, grown best gain first to at most `leaves` leaves.
 
-    Features are binned once and the table is packed into blocks of rows (bins by feature, and what the labels
-    exceed the predictions by), which stay with the executors, in memory or on their disks, and are written to
-    the shared folder every `cut_every` rounds. A pass reads the bins and one bit per cell, above the prediction
-    or not. It counts histograms, of rows and of rows above, by (cell, node), added up in the task, for the
-    smaller child of each new split; the other one is the difference to the parent. Rows in the root are counted
-    once per label; each round counts there the rows on one side of the prediction, the side with fewer rows.
-    These sums are whole numbers and do not grow with the rows; the driver, which chooses the splits, gets
-    those of at most `fan_in` tasks, beyond that they are added up per cell by tasks in between. Passes
-    go on until the best-first order is settled, at most `depth` times. Leaves take the residual quantile of
-    their rows: each task sends at most `accuracy` values a leaf to the task that merges the leaf (relative rank
-    error 1/accuracy); the start value is exact. Rows without a label count for the other labels only; a label
-    without any value predicts 0.
+    Features are binned once and the table is packed into blocks of rows (bins, and what the labels exceed the
+    predictions by), which stay with the executors, in memory or on their disks, and are written to the shared
+    folder every `cut_every` rounds. The passes over them are those of `boosting.java`: no row comes to a Python
+    worker. A pass counts histograms, of rows and of rows above the prediction, by (cell, node), added up in the
+    task, for the smaller child of each new split; the other one is the difference to the parent. Rows in the
+    root are counted once; then each round counts there the rows on one side of the prediction, the side with
+    fewer rows. These sums are whole numbers and do not grow with the rows; the driver, which chooses the splits,
+    gets those of at most `fan_in` tasks, beyond that they are added up by tasks in between. Passes go on until
+    the best-first order is settled, at most `depth` times. Leaves take the residual quantile of their rows: each
+    task sends at most `accuracy` values a leaf to the task that merges the leaf (relative rank error
+    1/accuracy); the start value is exact. Rows without a label count for the other labels only; a label without
+    any value predicts 0.
     """
     labels = sorted({c for c, _ in cells})
     edges = _bin_edges(df, features, bins)
-    width = max((len(e) for e in edges), default=0) + 2
+    wide, width = len(features), max((len(e) for e in edges), default=0) + 2
     if width > 256:
         raise ValueError(f"{bins} bins do not fit a byte")
     model = QuantileModels(list(features), list(cells), edges, [], rate)
     long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("_g"), F.col(c).cast("double").alias("_y")) for c in labels])).alias("r")).select("r.*").where("_y IS NOT NULL")
+        F.struct(F.lit(c).alias("_g"), nan_to_null(F.col(c).cast("double")).alias("_y")) for c in labels])).alias("r")).select("r.*").where("_y IS NOT NULL")
     wanted = sorted({q for _, q in cells})
     starts = {r["_g"]: r for r in exact_percentiles(long, ["_g"], "_y", {f"q{i}": q for i, q in enumerate(wanted)}).collect()}
     model.base = [float(starts[c][f"q{wanted.index(q)}"]) if c in starts else 0.0 for c, q in cells]
-    base, alphas = np.array(model.base), np.array([q for _, q in cells])
-    label_of = np.array([labels.index(c) for c, _ in cells])
-    wide, joint = len(features), _Joint([len(e) + 2 for e in edges])
-    shape = 2, wide, width
+    alphas = np.array([q for _, q in cells])
 
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism  # every pass reads all rows: spread them over the cluster
+    sc, passes = spark.sparkContext, _passes(spark)
     rows = df.count()
-    tasks = max(cores, -(-rows // ROWS_PER_TASK))
+    tasks = max(sc.defaultParallelism, -(-rows // ROWS_PER_TASK))  # every pass reads all rows: spread them over the cluster
     block = max(1, min(ROWS_PER_BLOCK, -(-rows // (2 * tasks))))
 
     def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _chunks(batches, block):
             codes = _codes(pdf[[f"x{i}" for i in range(wide)]].to_numpy(float, na_value=np.nan), edges)
             y = np.ascontiguousarray(pdf[[f"y{i}" for i in range(len(labels))]].to_numpy(float, na_value=np.nan).T)
-            yield pd.DataFrame({"n": [len(pdf)], "codes": [_columns(codes).tobytes()], "y": [y.tobytes()]})
+            yield pd.DataFrame({"codes": [codes.astype(np.uint8).tobytes()], "y": [y.astype("<f8").tobytes()], "n": [len(pdf)]})
 
     table = df.select(
         *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)],
         *[F.col(c).cast("double").alias(f"y{i}") for i, c in enumerate(labels)])
-    packed = durable(table.mapInPandas(binned, "n long, codes binary, y binary").withColumn("block", F.monotonically_increasing_id()))
-    task_of = _dealt({r["block"]: r["n"] for r in packed.select("block", "n").collect()}, tasks)
-
-    def unpacked(row) -> tuple[np.ndarray, np.ndarray]:
-        columns, y = np.frombuffer(row["codes"], np.uint8), np.frombuffer(row["y"], float)
-        return columns.reshape(-1, row["n"]), y.reshape(-1, row["n"])[label_of] - base[:, None]
-
-    def boosted(grown: list[Tree]):
-        def run(block):
-            columns, rest = block
-            return columns, np.stack([r - rate * tree.value[tree.leaves(columns)] for r, tree in zip(rest, grown)])
-
-        return run
-
-    def signs(block):
-        columns, rest = block
-        return columns, np.packbits(rest > 0, axis=1), np.packbits(~np.isnan(rest), axis=1)
-
-    def marks(bits: np.ndarray, n: int) -> np.ndarray:
-        return np.unpackbits(bits, axis=1, count=n).view(bool)
-
-    def of_labels(blocks):
-        """Rows by label, feature and bin."""
-        sums = np.zeros((len(labels), len(joint.groups), 2 * joint.size), np.int64)
-        for columns, _, known in blocks:
-            places, known = joint.places(columns), marks(known, columns.shape[1])
-            for i in range(len(labels)):
-                here = np.flatnonzero(known[label_of == i][0])
-                for at, total in zip(places, sums[i]):
-                    total += np.bincount(at.take(here), minlength=len(total))
-        yield from enumerate(joint.single([s[None].reshape(1, -1, 2) for s in found], width)[0, 0] for found in sums)
-
-    def of_roots(blocks):
-        """Rows on the rarer side of the prediction by cell, feature and bin."""
-        sums = np.zeros((len(cells), len(joint.groups), 2 * joint.size), np.int64)
-        for columns, above, known in blocks:
-            places, above, known = joint.places(columns), marks(above, columns.shape[1]), marks(known, columns.shape[1])
-            for m, alpha in enumerate(alphas):
-                here = np.flatnonzero(known[m] ^ above[m] if alpha < 0.5 else above[m])
-                for at, total in zip(places, sums[m]):
-                    total += np.bincount(at.take(here), minlength=len(total))
-        yield from enumerate(joint.single([s[None].reshape(1, -1, 2) for s in found], width)[0, 0] for found in sums)
-
-    def of_nodes(paths):
-        """Rows and rows above by cell, node to count, feature and bin."""
-        def run(blocks):
-            sums = {m: np.zeros((len(joint.groups), len(nodes) * 2 * joint.size), np.int64) for m, (_, nodes) in enumerate(paths) if nodes}
-            for columns, above, known in blocks:
-                places, above, known = joint.places(columns), marks(above, columns.shape[1]), marks(known, columns.shape[1])
-                for m, totals in sums.items():
-                    splits, nodes = paths[m]
-                    marked, slot = {0: known[m]}, np.zeros(columns.shape[1], np.uint8)
-                    for node, feature, cut, left, right in splits:
-                        marked[right] = marked[node] & (columns[feature] > cut)
-                        marked[left] = marked[node] ^ marked[right]
-                    for i, node in enumerate(nodes, 1):
-                        slot += marked[node].view(np.uint8) * np.uint8(i)
-                    here = np.flatnonzero(slot)
-                    start = (slot.take(here).astype(np.int64) - 1) * (2 * joint.size) + above[m].take(here)
-                    for at, total in zip(places, totals):
-                        total += np.bincount(at.take(here) + start, minlength=len(total))
-            for m, totals in sums.items():
-                yield m, joint.single([t.reshape(len(paths[m][1]), -1, 2) for t in totals], width)
-
-        return run
-
-    def left_over(grown: list[Tree]):
-        def run(blocks):
-            found: dict[tuple[int, int], list[np.ndarray]] = {}
-            for columns, rest in blocks:
-                for m, tree in enumerate(grown):
-                    here = np.flatnonzero(~np.isnan(rest[m]))
-                    leaf = tree.leaves(columns).take(here)
-                    value = rest[m].take(here.take(leaf.argsort(kind="stable")))
-                    for k, part in enumerate(np.split(value, np.bincount(leaf, minlength=len(tree.value)).cumsum()[:-1])):
-                        if len(part):
-                            found.setdefault((m, k), []).append(part)
-            for key, parts in found.items():
-                yield key, _thinned(np.concatenate(parts), accuracy)
-
-        return run
-
-    def added_up(blocks, count) -> dict[int, np.ndarray]:
-        counts = blocks.mapPartitions(count)
-        if tasks > fan_in:
-            counts = counts.reduceByKey(np.add, fan_in)
-        summed: dict[int, np.ndarray] = {}
-        for key, found in counts.collect():
-            summed[key] = summed.get(key, 0) + found
-        return summed
-
-    level = StorageLevel.MEMORY_AND_DISK
+    packed = table.mapInPandas(binned, "codes binary, y binary, n long")
+    packed = durable(packed.select(F.monotonically_increasing_id().alias("block"), "codes", "y", "n"))
+    task_of = sorted(_dealt({r["block"]: r["n"] for r in packed.select("block", "n").collect()}, tasks).items())
+
+    def handed(numbers, kind) -> np.ndarray:
+        with tempfile.TemporaryDirectory(prefix="hazeline-sums-") as folder:
+            passes.write(numbers, f"{folder}/numbers")
+            return np.fromfile(f"{folder}/numbers", kind)
+
+    def added_up(walks: Sequence[np.ndarray]) -> np.ndarray:
+        """Rows and rows above: nodes x 2 x features x bins, the nodes to count of all cells after one another."""
+        counts = work.mapPartitions(passes.count(_packed(walks), wide, width))
+        total = counts.reduce(passes.add()) if tasks <= fan_in else counts.treeReduce(passes.add(), 2)
+        below, above = np.moveaxis(handed(total, "<i8").reshape(-1, wide, width, 2), 3, 0)
+        return np.stack([below + above, above], axis=1)
+
+    level = sc._jvm.org.apache.spark.storage.StorageLevel.MEMORY_AND_DISK()
     shared_folder(spark)
-    work = packed.rdd.map(lambda row: (task_of[row["block"]], unpacked(row))).partitionBy(tasks, int).values().persist(level)
+    deal = passes.deal(*[np.array([pair[i] for pair in task_of], kind).tobytes() for i, kind in ((0, "<i8"), (1, "<i4"))])
+    start = passes.start(np.array([labels.index(c) for c, _ in cells], "<i4").tobytes(), np.array(model.base, "<f8").tobytes())
+    parts = sc._jvm.org.apache.spark.HashPartitioner(tasks)
+    work = packed._jdf.javaRDD().mapToPair(deal).partitionBy(parts).values().map(start).persist(level)
     before = everyone = None
     for k in range(trees):
-        seen = work.map(signs).persist(level)
-        if everyone is None:
-            everyone = added_up(seen, of_labels)
         growing = [_Growing(q, leaves, depth, min_leaf) for q in alphas]
-        rarer = added_up(seen, of_roots)
+        rarer = [BOTH if everyone is None else BELOW if q < 0.5 else ABOVE for q in alphas]
+        roots = added_up([g.walk(side) for g, side in zip(growing, rarer)])
         if before is not None:
             before.unpersist()
-        for m, g in enumerate(growing):
-            n = everyone[label_of[m]]
-            g.learn({0: np.stack([n, n - rarer[m] if alphas[m] < 0.5 else rarer[m]])}, shape)
+        if everyone is None:
+            everyone = roots[:, 0].copy()
+        for m, (g, side) in enumerate(zip(growing, rarer)):
+            n, found = everyone[m], roots[m]
+            g.learn([np.stack([n, n - found[0] if side == BELOW else found[1]])])
             g.grow()
         while any(g.wanted for g in growing):
-            paths = [g.paths() for g in growing]
-            summed = added_up(seen, of_nodes(paths))
-            for m, (g, (_, nodes)) in enumerate(zip(growing, paths)):
-                g.learn(dict(zip(nodes, summed[m])) if nodes else {}, shape)
+            found = iter(added_up([g.walk() for g in growing]))
+            for g in growing:
+                g.learn([next(found) for _ in g.wanted])
                 g.grow()
-        seen.unpersist()
         grown = [g.tree() for g in growing]
-        merged = work.mapPartitions(left_over(grown)).groupByKey(min(tasks, fan_in))
-        for (m, leaf), value in merged.map(lambda kv: (kv[0], _quantile(list(kv[1]), alphas[kv[0][0]]))).collect():
-            grown[m].value[leaf] = value
+        walks, most = _packed([tree.walk() for tree in grown]), max(len(tree.value) for tree in grown)
+        left = work.mapPartitionsToPair(passes.leftOver(walks, wide, most, accuracy)).groupByKey(min(tasks, fan_in))
+        merged = left.mapPartitions(passes.merge(alphas.astype("<f8").tobytes(), most)).reduce(passes.join())
+        for key, value in handed(merged, [("key", "<i8"), ("value", "<f8")]).tolist():
+            grown[key // most].value[key % most] = value
         model.rounds.append(grown)
         if k + 1 < trees:
-            before, work = work, work.map(boosted(grown)).persist(level)
+            steps = np.stack([np.pad(rate * tree.value, (0, most - len(tree.value))) for tree in grown]).astype("<f8").tobytes()
+            before, work = work, work.map(passes.boost(walks, steps, wide, most)).persist(level)
             if (k + 1) % cut_every == 0:
                 work.checkpoint()
     work.unpersist()

@@ -311,3 +311,39 @@ def test_bin_edges_are_the_exact_quantiles_of_what_is_there(spark):
     assert b.tolist() == [] and c.tolist() == [0.0, 1.0]
     thinned = bo._bin_edges(df, ["a"], 8, accuracy=200)[0]
     assert all(abs((x <= e).mean() - k / 8) <= 0.02 for k, e in enumerate(thinned, 1))
+
+
+def test_rounds_run_without_python_workers(spark, monkeypatch):
+    from pyspark import RDD
+
+    def refuse(*_, **__):
+        raise AssertionError("a pass over the rows in Python")
+
+    df = boost_rows(spark)
+    for name in ("map", "mapPartitions", "mapPartitionsWithIndex"):
+        monkeypatch.setattr(RDD, name, refuse)
+    model = bo.fit_quantiles(df, ["a"], [("y", 0.1), ("y", 0.5)], trees=2, leaves=4)
+    assert [len(r) for r in model.rounds] == [2, 2] and len(model.rounds[0][0].value) == 4
+
+
+def test_leaves_take_the_exact_quantile_of_their_rows(spark):
+    rng = np.random.RandomState(11)
+    x = rng.randint(0, 5, 40_000).astype(float)
+    y = np.where(rng.rand(40_000) < 0.2, 0.0, np.round(rng.standard_cauchy(40_000), 1)) * (1 + x)
+    y[::9] = np.nan
+    df = spark.createDataFrame(pd.DataFrame({"a": x, "y": y})).repartition(6)
+    cells = [("y", 0.1), ("y", 0.5), ("y", 0.9)]
+    exact = bo.fit_quantiles(df, ["a"], cells, trees=3, leaves=4, accuracy=50_000, cut_every=2)
+    rough = bo.fit_quantiles(df, ["a"], cells, trees=1, leaves=4, accuracy=500, fan_in=1)
+    codes = bo._codes(x[:, None], exact.edges)
+    rest = y[:, None] - np.array(exact.base)
+    for k, trees in enumerate(exact.rounds):
+        for m, tree in enumerate(trees):
+            at = tree.assign(codes)
+            for leaf, value in enumerate(tree.value):
+                here = np.sort(rest[(at == leaf) & ~np.isnan(y), m])
+                assert value == here[int(np.ceil(cells[m][1] * len(here) * (1 - 1e-12))) - 1]
+                if not k:
+                    other = rough.rounds[0][m].value[leaf]
+                    assert (here < other).mean() - 0.004 <= cells[m][1] <= (here <= other).mean() + 0.004
+            rest[:, m] -= exact.rate * tree.value[at]
