@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.classic.column import Column as ClassicColumn, _to_java_column, _to_seq
 
 from hazeline.constants import FEATURES_72H, POLLUTANTS, QUANTILES
 from hazeline.functions.numeric import nan_to_null
@@ -91,7 +92,7 @@ class Tree:
     def nodes(self, edges: Sequence[np.ndarray]) -> tuple[list[dict], int]:
         """The tree as nodes (f, t, l, r, v) over raw values, the root first, and its depth; a leaf has f = -1.
 
-        A value goes to `r` where it exists and lies above `t`; above bin 0 lies whatever exists.
+        A value goes to `r` where it exists and does not lie at or below `t`; that is NaN where all that exists goes to `r`.
         """
         nodes: list[dict] = [{"f": -1, "t": 0.0, "l": 0, "r": 0, "v": float(self.value[0])}]
         at, depth = {0: 0}, {0: 0}
@@ -99,7 +100,7 @@ class Tree:
             here = at[leaf]
             left, right = len(nodes), len(nodes) + 1
             nodes += [{**nodes[here]}, {**nodes[here], "v": float(self.value[k])}]
-            nodes[here] = {"f": feature, "t": float(edges[feature][cut - 1]) if cut else -1.7e308, "l": left, "r": right, "v": 0.0}
+            nodes[here] = {"f": feature, "t": float(edges[feature][cut - 1]) if cut else float("nan"), "l": left, "r": right, "v": 0.0}
             at[leaf], at[k] = left, right
             depth[leaf] = depth[k] = depth[leaf] + 1
         return nodes, max(depth.values())
@@ -138,38 +139,23 @@ class QuantileModels:
     def columns(self) -> list[Column]:
         """The same predictions as expressions, one per cell: no Python worker in the plan.
 
-        The nodes of a cell's trees are constant arrays, one per field. A row makes its features once and
-        walks each tree from its root by index, where a leaf leads to itself, and adds the leaf's value, in
-        the order of the rounds.
+        The nodes of a cell's trees are constants of a function of `boosting.java`. A row makes its features once
+        and walks each tree from its root; the rate times the leaf's value is added, in the order of the rounds.
         """
-        values = F.array(*[nan_to_null(F.col(f).cast("double")) for f in self.features])
+        spark = SparkSession.getActiveSession()
+        passes = _passes(spark)
+        values = F.array(*[F.col(f).cast("double") for f in self.features])
 
-        def constant(items: Sequence, kind: str) -> Column:  # folded to a literal by the optimizer
-            return F.split(F.lit(",".join(map(repr, items))), ",").cast(f"array<{kind}>")
-
-        def score(m: int, row: Column) -> Column:
-            if not self.rounds:
-                return F.lit(float(self.base[m]))
-            nodes, roots, deepest = [], [], 0
+        def of_cell(m: int) -> Column:
+            nodes, roots = [], []
             for trees in self.rounds:
-                built, depth = trees[m].nodes(self.edges)
                 first = len(nodes)
                 roots.append(first)
-                deepest = max(deepest, depth)
-                nodes += [(first + i, n["t"], first + n["l"], first + n["r"], n["f"], n["v"]) for i, n in enumerate(built)]
-            nodes = [(0, float("inf"), i, i, v) if f < 0 else (f, t, left, right, v) for i, t, left, right, f, v in nodes]
-            of, over, left, right, value = (constant(x, kind) for x, kind in zip(zip(*nodes), ("int", "double", "int", "int", "double")))
-            steps = F.array(*[F.lit(i) for i in range(deepest)]).cast("array<int>")
-
-            def step(at: Column) -> Column:
-                above = F.coalesce(F.get(row, F.get(of, at)) > F.get(over, at), F.lit(False))
-                return F.when(above, F.get(right, at)).otherwise(F.get(left, at))
-
-            return F.aggregate(constant(roots, "int"), F.lit(float(self.base[m])), lambda total, root: total + F.lit(self.rate) * F.get(
-                value, F.aggregate(steps, root, lambda at, _: step(at))))
-
-        def of_cell(m: int) -> Column:
-            return F.transform(F.array(values), lambda row: score(m, row))[0]
+                nodes += [(n["f"], first + n["l"], first + n["r"], n["t"], self.rate * n["v"]) for n in trees[m].nodes(self.edges)[0]]
+            feature, left, right = (np.array([n[i] for n in nodes], "<i4").tobytes() for i in range(3))
+            above, step = (np.array([n[i] for n in nodes], "<f8").tobytes() for i in (3, 4))
+            score = passes.score(float(self.base[m]), np.array(roots, "<i4").tobytes(), feature, left, right, above, step)
+            return F.transform(F.array(values), lambda row: _applied(spark, score, row))[0]
 
         return [of_cell(m) for m in range(len(self.cells))]
 
@@ -330,13 +316,10 @@ class _Growing:
 #: Rows of the training table that one task holds at most, and rows of one block in it.
 ROWS_PER_TASK, ROWS_PER_BLOCK = 500_000, 16_384
 
-_PASSES: dict[str, object] = {}
-
-
 def _passes(spark: SparkSession):
     """The passes of `boosting.java`, compiled by Spark's own compiler and sent to the executors once per application."""
     sc = spark.sparkContext
-    if sc.applicationId not in _PASSES:
+    if not hasattr(sc, "_hazeline_passes"):  # not in this module: it goes to Python workers by value
         compiler = sc._jvm.org.codehaus.janino.SimpleCompiler()
         compiler.setParentClassLoader(sc._jvm.java.lang.Thread.currentThread().getContextClassLoader())
         compiler.cook(Path(__file__).with_name("boosting.java").read_text())
@@ -347,8 +330,13 @@ def _passes(spark: SparkSession):
         sc._jsc.addJar(str(jar))
         none = sc._gateway.new_array(sc._jvm.java.lang.Class, 0), sc._gateway.new_array(sc._jvm.java.lang.Object, 0)
         made = compiler.getClassLoader().loadClass("hazeline.Boosting").getDeclaredConstructor(none[0]).newInstance(none[1])
-        _PASSES[sc.applicationId] = made
-    return _PASSES[sc.applicationId]
+        sc._hazeline_passes = made
+    return sc._hazeline_passes
+
+
+def _applied(spark: SparkSession, function, column: Column) -> Column:
+    """A function of the JVM applied to one column."""
+    return ClassicColumn(function.apply(_to_seq(spark.sparkContext, [column], _to_java_column)))
 
 
 def _dealt(sizes: dict[int, int], tasks: int) -> dict[int, int]:

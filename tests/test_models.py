@@ -347,3 +347,14 @@ def test_leaves_take_the_exact_quantile_of_their_rows(spark):
                     other = rough.rounds[0][m].value[leaf]
                     assert (here < other).mean() - 0.004 <= cells[m][1] <= (here <= other).mean() + 0.004
             rest[:, m] -= exact.rate * tree.value[at]
+
+
+def test_expressions_walk_their_trees_in_the_jvm_and_infinities_lie_beyond_every_cut(spark):
+    df = boost_rows(spark)
+    model = bo.fit_quantiles(df, ["a"], [("y", 0.5)], trees=3, leaves=5)
+    inf = float("inf")
+    odd = spark.createDataFrame([(inf,), (-inf,), (float("nan"),), (None,), (0.5,)], "a double")
+    native = odd.select("a", model.columns()[0].alias("p"))
+    assert "UDF(" in native._jdf.queryExecution().optimizedPlan().toString() and "aggregate(" not in native._jdf.queryExecution().optimizedPlan().toString()
+    key = lambda r: repr((r["a"], r["p"]))
+    assert sorted(map(key, native.collect())) == sorted(map(key, model.transform(odd, ["p"]).collect()))
